@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +48,7 @@ def slices(batches, rows: int = 64, chars: int = 1 << 20, column: str = "text"):
         if not n:
             continue
         col = batch.column(batch.schema.get_field_index(column))
-        sizes = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
         total = 0
         for i in range(n):
             if i > at and (i - at >= rows or total + sizes[i] > chars):
