@@ -1,6 +1,8 @@
 """The queries of the training-data operators and their SQL, for __spark_entry__.py."""
 
+from .decontaminate import OP6_SQL, op6_decontaminate
+from .pii import op5_pii
 from .warc import OP9_SQL, op9_warc
 
-QUERIES = {"op9_warc": op9_warc}
-ORACLE = {"op9_warc": OP9_SQL}
+QUERIES = {"op5_pii": op5_pii, "op6_decontaminate": op6_decontaminate, "op9_warc": op9_warc}
+ORACLE = {"op6_decontaminate": OP6_SQL, "op9_warc": OP9_SQL}
