@@ -154,7 +154,7 @@ def model(rows: int = TRAIN_ROWS, precision: float = PRECISION, seed: int = 7) -
     kinds, cut = np.array([r[1] for r in made]), 2 * rows // 3
     trees = Boosted().fit(x[:cut], y[:cut])
     p = trees.predict(x[cut:])
-    return trees, {k: threshold(p[kinds[cut:] == k], y[cut:][kinds[cut:] == k], precision) for k in KINDS}
+    return trees, {k: max(0.5, threshold(p[kinds[cut:] == k], y[cut:][kinds[cut:] == k], precision)) for k in KINDS}
 
 
 def spans(text: str | None, trees: Boosted, limits: dict[str, float]) -> list[dict]:
@@ -220,7 +220,11 @@ def _joined(spans_: Column) -> Column:
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(load(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     base = F.filter("pii_spans", lambda x: x["base"])
-    counts = [F.size(F.filter(base, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("pii_spans")).alias("spans"))
 
 
