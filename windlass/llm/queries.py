@@ -1,9 +1,11 @@
 """The queries of the training-data operators and their SQL, for __spark_entry__.py."""
 
 from .decontaminate import OP6_SQL, op6_decontaminate
+from .embeddings import op1_embeddings
+from .html import op7_html
 from .jaccard import op8_jaccard
 from .pii import op5_pii
 from .warc import OP9_SQL, op9_warc
 
-QUERIES = {"op5_pii": op5_pii, "op6_decontaminate": op6_decontaminate, "op8_jaccard": op8_jaccard, "op9_warc": op9_warc}
+QUERIES = {"op1_embeddings": op1_embeddings, "op7_html": op7_html, "op5_pii": op5_pii, "op6_decontaminate": op6_decontaminate, "op8_jaccard": op8_jaccard, "op9_warc": op9_warc}
 ORACLE = {"op6_decontaminate": OP6_SQL, "op9_warc": OP9_SQL}
