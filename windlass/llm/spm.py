@@ -16,6 +16,7 @@ encoded alike; other columns are carried along.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import re
 import struct
@@ -100,6 +101,12 @@ class Transducer:
         crossing = any(MARK in p.lstrip(MARK) for p in self.ids)
         cut = "".join(map(re.escape, lone))
         self.cut = re.compile(f"[{cut}]|[^{cut}]+" if crossing else f"{MARK}*[^{MARK}{cut}]+|{MARK}+|[{cut}]") if cut else re.compile(".+" if crossing else f"{MARK}*[^{MARK}]+|{MARK}+", re.S)
+        if m.kind == BPE:  # pieces that their own characters don't merge into are never met
+            self.ids = {p: i for p, i in self.ids.items() if len(p) == 1 or self.merged(p) == [p]}
+        self.odd = {c for c in self.chars if c not in self.ids}
+        self.reach: dict[str, int] = {}
+        for p in self.ids:
+            self.reach[p[:2]] = max(len(p), self.reach.get(p[:2], 1))
         self.worst = min((m.scores[i] for i in self.ids.values()), default=0.0) - UNKNOWN_COST
         self.chunks: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
@@ -155,40 +162,43 @@ class Transducer:
         return known
 
     def _bpe_path(self, s: str) -> list[int]:
-        if MARK * 2 in s:  # marks have equal scores, which pairs can't order
+        """The one path whose arcs all follow each other, found depth first, longest arc first.
+
+        A position that no finite path goes on from stays dead: the path that leads to a position is the merge of
+        the characters before it, so it is the same each time.
+        """
+        if MARK * 2 in s or self.odd.intersection(s):  # equal scores, or characters that are no piece themselves
             return [t for p in self.merged(s) for t in ((self.ids[p],) if p in self.ids else self.fallback(p))]
-        get, follows = self.ids.get, self.follows
-        last, back = [-2] * (len(s) + 1), [0] * (len(s) + 1)  # -1: a character of no piece, -2: no path
-        last[0] = -1
-        for end in range(1, len(s) + 1):
-            for begin in range(max(0, end - self.longest), end):
-                before = last[begin]
-                if before == -2:
-                    continue
-                i = get(s[begin:end])
-                if i is None:
-                    if begin == end - 1 and s[begin] not in self.ids:
-                        last[end], back[end] = -1, begin
-                    continue
-                if (before == -1 or follows(before, i)):
-                    if self._whole(i):
-                        last[end], back[end] = i, begin
+        get, reach, pairs, follows = self.ids.get, self.reach, self.pairs.get, self.follows
+        n, at, dead, before = len(s), 0, set(), -1
+        path: list[tuple[int, int]] = []
+        size = min(reach.get(s[:2], 1), n)
+        while at < n:
+            while size:
+                i = get(s[at:at + size])
+                if i is not None:
+                    if at + size not in dead and (before < 0 or (follows(before, i) if (ok := pairs(before << 20 | i)) is None else ok)):
                         break
-        out: list[int] = []
-        end = len(s)
-        while end > 0:
-            begin = back[end]
-            out += [last[end]] if last[end] >= 0 else reversed(self.fallback(s[begin:end]))
-            end = begin
-        return out[::-1]
-
-    def _whole(self, i: int) -> bool:
-        """Whether merging a piece's own characters gives the piece."""
-        key = -1 - i
-        known = self.pairs.get(key)
-        if known is None:
-            known = self.pairs[key] = self.merged(self.model.pieces[i]) == [self.model.pieces[i]]
-        return known
+                elif size == 1:
+                    i = -1  # a character of no piece
+                    break
+                size -= 1
+            if size:
+                path.append((i, size))
+                at, before = at + size, i
+                size = min(reach.get(s[at:at + 2], 1), n - at)
+            else:
+                dead.add(at)
+                i, size = path.pop()
+                at, size = at - size, size - 1
+                before = path[-1][0] if path else -1
+        if all(i >= 0 for i, _ in path):
+            return [i for i, _ in path]
+        out, at = [], 0
+        for i, size in path:
+            out += [i] if i >= 0 else self.fallback(s[at])
+            at += size
+        return out
 
     def _unigram_path(self, s: str) -> list[int]:
         cost, step = [0.0] + [float("inf")] * len(s), [(0, ())] * (len(s) + 1)
@@ -231,9 +241,15 @@ class Transducer:
         return text[1:] if self.model.prefix and text.startswith(" ") else text
 
 
+@functools.lru_cache(2)
+def compiled(data: bytes) -> Transducer:
+    """One transducer for all tasks of a worker."""
+    return Transducer(data)
+
+
 def _encoder(data: bytes, text_col: str, check: bool, schema: pa.Schema):
     def run(batches):
-        t = Transducer(data)
+        t = compiled(data)
         for piece in slices(batches, rows=256, column=text_col):
             cols = {n: piece.column(i) for i, n in enumerate(piece.schema.names)}
             texts = cols[text_col].to_pylist()
@@ -269,7 +285,7 @@ def decode(coded: DataFrame, model: str = MODEL, *, ids_col: str = "ids", text_c
     schema = to_arrow_schema(out.schema)
 
     def run(batches):
-        t = Transducer(data)
+        t = compiled(data)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
