@@ -70,24 +70,22 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     """
     both = edges.select("a", "b").filter("a is not null and b is not null and a <> b")
     e = scratch.table(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
-    k = 0
-    while True:
-        k += 1
+    sign = lambda t: t.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    k, before, now = 0, None, sign(e)
+    while now != before:
+        k, before = k + 1, now
         sides = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = scratch.table(sides.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{name}-low-{k}")
         # large star: each larger neighbour goes to the smallest of the neighbourhood
-        large = sides.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = scratch.table(large, f"{name}-large-{k}")
+        large = sides.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = scratch.table(large.distinct(), f"{name}-large-{k}")
         # small star: smaller neighbours and the vertex itself go to the smallest one
         down = scratch.table(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}-down-{k}")
         small = large.join(down, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         nxt = scratch.table(down.select("a", F.col("m").alias("b")).union(small).distinct(), f"{name}-{k}")
-        scratch.drop(f"{name}-low-{k}", f"{name}-large-{k}", f"{name}-down-{k}")
-        same = nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() == e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        scratch.drop(f"{name}-{k - 1}")
+        now = sign(nxt)
+        scratch.drop(f"{name}-low-{k}", f"{name}-large-{k}", f"{name}-down-{k}", f"{name}-{k - 1}")
         e = nxt
-        if same:
-            break
     stars = e.groupBy("a").agg(F.min("b").alias("component_id"))
     roots = e.select(F.col("b").alias("id")).distinct().join(stars.select(F.col("a").alias("id")), "id", "left_anti").select("id", F.col("id").alias("component_id"))
     return stars.select(F.col("a").alias("id"), "component_id").union(roots)

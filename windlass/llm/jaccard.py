@@ -4,10 +4,11 @@ A document's sketch is a row of D words; each shingle is XOR-ed into one of them
 two sketches (their Hamming distance over words) is at most the symmetric difference of the sets. Within a size band
 that difference is at most d for linked documents, so with D > d words at least one agrees: the words are the join
 keys (pigeonhole). Documents of equal sets are one class from the start. The members of a key are first held against
-one centre per key (a local centre per batch, so that a hot key isn't gathered in one task), then, round by round,
-those not yet connected with the rest of their key against all others of it; a key is done when all its members that
-were not yet held against the others are in one component. So no link between different sets is lost, and groups of
-copies cost no pairs within themselves. Verification counts exact intersections of the sets.
+one centre per key (a local centre per batch, so that a hot key isn't gathered in one task). Classes that candidates
+connect are a family; in a family, those outside its largest component so far are held against all of it, in blocks of
+bounded bytes within which intersections are counted as matrix products and only links that join components leave the
+task. Families of more than FAMILY classes do the same for each key instead. So no link between different sets is
+lost, and no pairs of a group are emitted. Verification counts exact intersections of the sets.
 
 Shingles are identified by 64-bit hashes, in the intersection by 32 bits of them.
 
@@ -26,6 +27,7 @@ from .common import Scratch, components, load, slices
 from .shingles import WordHashes, mix, sets
 
 _U = np.uint64
+FAMILY, BLOCK_BYTES = 16384, 2 << 20
 
 
 class Bands:
@@ -132,71 +134,113 @@ def _verifier(percent: int):
     return run
 
 
+def _join_blocks(percent: int):
+    """Links between components in a block: rows (doc, comp, outside, set), outside ones against all others."""
+    def run(pdf):
+        import pandas as pd
+
+        rows, cols = pdf[pdf.outside], pdf[~pdf.outside]
+        if rows.empty or cols.empty:
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        x = [np.frombuffer(s, np.uint32) for s in rows.set]
+        y = [np.frombuffer(s, np.uint32) for s in cols.set]
+        nx, ny = np.array([len(s) for s in x]), np.array([len(s) for s in y])
+        vocab, xi = np.unique(np.concatenate(x), return_inverse=True)
+        yi = np.searchsorted(vocab, (yc := np.concatenate(y)))
+        xr, yr = np.repeat(np.arange(len(x)), nx), np.repeat(np.arange(len(y)), ny)
+        known = vocab[np.minimum(yi, len(vocab) - 1)] == yc
+        yi, yr = yi[known], yr[known]
+        both = np.zeros((len(x), len(y)), np.float32)
+        for at in range(0, len(vocab), 4096):
+            m, n = (xi >= at) & (xi < at + 4096), (yi >= at) & (yi < at + 4096)
+            p, q = np.zeros((len(x), 4096), np.float32), np.zeros((len(y), 4096), np.float32)
+            p[xr[m], xi[m] - at] = 1
+            q[yr[n], yi[n] - at] = 1
+            both += p @ q.T
+        either = nx[:, None] + ny[None, :] - both
+        cx, cy = rows.comp.to_numpy(), cols.comp.to_numpy()
+        i, j = np.nonzero((100 * both >= percent * either) & (cx[:, None] != cy[None, :]))
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while (up := parent.get(c, c)) != c:
+                c = up
+            return c
+
+        a, b, out = rows.doc.to_numpy(), cols.doc.to_numpy(), []
+        for p, q in zip(i.tolist(), j.tolist()):
+            r, t = root(cx[p]), root(cy[q])
+            if r != t:
+                parent[max(r, t)] = min(r, t)
+                out.append((a[p], b[q]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return run
+
+
 class Join:
     """Classes and components of documents by Jaccard >= percent / 100 of their n-word shingle sets."""
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, *, id_col="doc_id", text_col="text", n: int, percent: int, pairs_a_key: int = 1 << 16):
-        self.spark, self.n, self.percent, self.pairs_a_key = spark, n, percent, pairs_a_key
+    def __init__(self, spark: SparkSession, docs: DataFrame, *, id_col="doc_id", text_col="text", n: int, percent: int, family: int = FAMILY):
+        self.spark, self.n, self.percent, self.family = spark, n, percent, family
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).filter("doc is not null")
         self.scratch = Scratch(spark, "jaccard")
         self.signed: DataFrame = self.scratch.table(self.docs.mapInArrow(_signer(n, percent), "doc long, n long, h1 long, h2 long, keys binary"), "signed")
 
-    def _known(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The links among candidate pairs."""
-        pairs = self.scratch.table(pairs, f"{name}-pairs")
-        ids = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-        texts = self.docs.join(ids, "doc", "left_semi").dropDuplicates(["doc"]) if self.repeats else self.docs.join(ids, "doc", "left_semi")
-        held = self.scratch.table(texts.mapInArrow(_setter(self.n), "doc long, set binary"), f"{name}-sets")
-        with_b = pairs.join(held.select(F.col("doc").alias("b"), F.col("set").alias("y")), "b")
-        both = with_b.join(held.select(F.col("doc").alias("a"), F.col("set").alias("x")), "a").select("a", "b", "x", "y")
-        links = self.scratch.table(both.mapInArrow(_verifier(self.percent), "a long, b long"), f"{name}-links")
-        self.scratch.drop(f"{name}-sets")
-        return links
+    def _open(self, units: DataFrame) -> DataFrame:
+        """(unit, doc, comp, outside) of the units with more than one component; outside its largest one."""
+        by_comp = units.groupBy("unit", "comp").agg(F.count("*").alias("c"))
+        main = by_comp.groupBy("unit").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("unit", F.col("m.comp").alias("main"))
+        return units.join(main, "unit").select("unit", "doc", "comp", (F.col("comp") != F.col("main")).alias("outside"))
+
+    def _within(self, units: DataFrame, held: DataFrame, name: str) -> DataFrame:
+        """Links between components of each unit (unit, doc, comp)."""
+        sc = self.scratch
+        rows = sc.table(self._open(units).join(held.hint("merge"), "doc"), f"{name}-rows")
+        size = F.octet_length("set")
+        blocks = rows.groupBy("unit").agg(F.ceil(F.sum(F.when(F.col("outside"), size)) / BLOCK_BYTES).cast("int").alias("rs"), F.ceil(F.sum(size) / BLOCK_BYTES).cast("int").alias("cs"))
+        rows = rows.join(sc.table(blocks, f"{name}-blocks"), "unit")
+        place = lambda n, salt: F.pmod(F.xxhash64("doc", F.lit(salt)), F.col(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = rows.filter("outside").select("unit", place("rs", 1).alias("r"), each("cs").alias("c"), "doc", "comp", F.lit(True).alias("outside"), "set")
+        right = rows.select("unit", each("rs").alias("r"), place("cs", 2).alias("c"), "doc", "comp", F.lit(False).alias("outside"), "set")
+        return sc.table(left.union(right).groupBy("unit", "r", "c").applyInPandas(_join_blocks(self.percent), "a long, b long"), f"{name}-links")
 
     def run(self) -> DataFrame:
         """(doc, n_shingles, component_id) for each document with a non-null id."""
         sc = self.scratch
-        self.repeats = self.signed.groupBy("doc").count().filter("count > 1").limit(1).count() > 0
-        classes = self.signed.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc").alias("rep"), F.min_by("keys", "doc").alias("keys"), F.count("*").alias("copies"))
+        # ids grow with the data: merge joins at every size
+        repeats = self.signed.groupBy("doc").count().filter("count > 1").limit(1).count() > 0
+        classes = self.signed.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc").alias("rep"), F.min_by("keys", "doc").alias("keys"))
         classes = sc.table(classes, "classes")
         post = sc.table(classes.select("rep", "keys").mapInArrow(_local_stars, "key long, a long, b long"), "post")
-        w = Window.partitionBy("key")
-        rest = post.filter("b is null").select("key", F.min("a").over(w).alias("a"), F.col("a").alias("b")).filter("a <> b")
+        classes = classes.drop("keys")
+        rest = post.filter("b is null").select("key", F.min("a").over(Window.partitionBy("key")).alias("a"), F.col("a").alias("b")).filter("a <> b")
         buckets = sc.table(post.filter("b is not null").union(rest), "buckets")
         sc.drop("post")
-        tested = self.scratch.table(buckets.select("a", "b").distinct(), "round-1")
-        links = self._known(tested, "verify-1")
-        comps = sc.table(components(links, sc, "cc-1"), "comps-1")
-        members = buckets.select("key", F.explode(F.array("a", "b")).alias("doc")).distinct()
-        k, limit = 1, self.pairs_a_key
-        while True:
-            named = members.join(comps.withColumnRenamed("id", "doc"), "doc", "left").select("key", "doc", F.coalesce("component_id", "doc").alias("comp"))
-            if k == 1:  # whole keys in one component need no more
-                named = sc.table(named, "named")
-            open_keys = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("key", "size")
-            part = sc.table(named.join(open_keys, "key"), f"open-{k}")
-            if part.limit(1).count() == 0:
-                break
-            k += 1
-            # centres: members outside the key's largest component first, then by hash; as many as the limit admits
-            by_comp = part.groupBy("key", "comp").agg(F.count("*").alias("c"))
-            main = by_comp.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
-            outside = part.join(main, "key").filter("comp <> main")
-            rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("doc"), "doc"))
-            centres = sc.table(outside.withColumn("rank", rank).filter(F.col("rank") <= F.greatest(F.lit(1), F.lit(limit) / F.col("size"))).select("key", F.col("doc").alias("c"), F.col("comp").alias("c_comp")), f"centres-{k}")
-            pairs = part.join(centres, "key").filter("comp <> c_comp").select(F.least("doc", "c").alias("a"), F.greatest("doc", "c").alias("b")).distinct()
-            done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            fresh = sc.table(pairs.join(done, ["a", "b"], "left_anti"), f"round-{k}")
-            links = links.union(self._known(fresh, f"verify-{k}"))
-            comps = sc.table(components(links, sc, f"cc-{k}"), f"comps-{k}")
-            tested = tested.union(fresh)
-            members = part.join(centres.select("key", F.col("c").alias("doc")), ["key", "doc"], "left_anti").select("key", "doc")
-            limit *= 4
-        found = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.col("n"), F.coalesce("component_id", "rep").alias("component_id"), "rep")
-        found = sc.table(found, "found")
-        sc.drop("classes", "buckets", "named")
-        light = self.signed.select("doc", "n", "h1", "h2")
-        out = light.join(found, ["h1", "h2", "n"], "left")
+        pairs = sc.table(buckets.select("a", "b").distinct(), "pairs")
+        ids = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
+        texts = self.docs.join(ids.hint("merge"), "doc", "left_semi")
+        texts = texts.groupBy("doc").agg(F.min("text").alias("text")) if repeats else texts
+        held = sc.table(texts.mapInArrow(_setter(self.n), "doc long, set binary"), "held")
+        with_b = pairs.hint("merge").join(held.select(F.col("doc").alias("b"), F.col("set").alias("y")), "b")
+        both = with_b.join(held.select(F.col("doc").alias("a"), F.col("set").alias("x")).hint("merge"), "a").select("a", "b", "x", "y")
+        links = sc.table(both.mapInArrow(_verifier(self.percent), "a long, b long"), "links")
+        comps = sc.table(components(links, sc, "cc"), "comps")
+        families = components(pairs, sc, "family").withColumnRenamed("id", "doc").withColumnRenamed("component_id", "unit")
+        named = families.join(comps.withColumnRenamed("id", "doc"), "doc", "left").select("unit", "doc", F.coalesce("component_id", "doc").alias("comp"))
+        named = sc.table(named, "named")
+        sizes = sc.table(named.groupBy("unit").agg(F.count("*").alias("size")), "sizes")
+        more = self._within(named.join(sizes.filter(F.col("size") <= self.family).select("unit"), "unit"), held, "family")
+        large = sc.table(named.join(sizes.filter(F.col("size") > self.family).select("unit"), "unit"), "large")
+        if large.limit(1).count():
+            members = buckets.select("key", F.explode(F.array("a", "b")).alias("doc")).distinct()
+            more = more.union(self._within(members.join(large.drop("unit"), "doc").select(F.col("key").alias("unit"), "doc", "comp"), held, "keys"))
+        if more.limit(1).count():
+            comps = components(comps.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(more), sc, "all")
+        found = sc.table(classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component_id", "rep").alias("component_id")), "found")
+        sc.drop("classes", "buckets", "named", "held", "large")
+        out = self.signed.select("doc", "n", "h1", "h2").join(found, ["h1", "h2", "n"], "left")
         return out.select("doc", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
 
 
