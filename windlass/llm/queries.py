@@ -2,6 +2,7 @@
 
 from .decontaminate import OP6_SQL, op6_decontaminate
 from .embeddings import op1_embeddings
+from .hpylm import op2_hpylm
 from .html import op7_html
 from .jaccard import op8_jaccard
 from .pii import op5_pii
@@ -9,5 +10,5 @@ from .quality import op3_quality
 from .spm import op4_sentencepiece
 from .warc import OP9_SQL, op9_warc
 
-QUERIES = {"op1_embeddings": op1_embeddings, "op7_html": op7_html, "op3_quality": op3_quality, "op4_sentencepiece": op4_sentencepiece, "op5_pii": op5_pii, "op6_decontaminate": op6_decontaminate, "op8_jaccard": op8_jaccard, "op9_warc": op9_warc}
+QUERIES = {"op1_embeddings": op1_embeddings, "op2_hpylm": op2_hpylm, "op7_html": op7_html, "op3_quality": op3_quality, "op4_sentencepiece": op4_sentencepiece, "op5_pii": op5_pii, "op6_decontaminate": op6_decontaminate, "op8_jaccard": op8_jaccard, "op9_warc": op9_warc}
 ORACLE = {"op6_decontaminate": OP6_SQL, "op9_warc": OP9_SQL}
