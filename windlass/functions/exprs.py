@@ -42,7 +42,8 @@ def ratio(top: Column, bottom: Column) -> Column:
 def angle(dot: Column, norm_a: Column, norm_b: Column) -> Column:
     """Angle of two vectors; null where a norm is 0."""
     cos = F.try_divide(dot, norm_a * norm_b)
-    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))
+    # least and greatest skip nulls
+    return F.when(cos.isNotNull(), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))))
 
 
 def same_service(a: Column, b: Column) -> Column:
