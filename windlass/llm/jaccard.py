@@ -3,9 +3,9 @@
 A document's sketch is a row of D words; each shingle is XOR-ed into one of them, so the number of differing words of
 two sketches (their Hamming distance over words) is at most the symmetric difference of the sets. Within a size band
 that difference is at most d for linked documents, so with D > d words at least one agrees: the words are the join
-keys (pigeonhole). Documents of equal sets are one class from the start. The members of a key are first held against
-one centre per key (a local centre per batch, so that a hot key isn't gathered in one task). Classes that candidates
-connect are a family; in a family, those outside its largest component so far are held against all of it, in blocks of
+keys (pigeonhole). The members of a key are first held against
+one centre per key (a local centre per batch, so that a hot key isn't gathered in one task). Documents of
+equal sets are one class. Classes that candidates connect are a family; in a family, those outside its largest component so far are held against all of it, in blocks of
 bounded bytes within which intersections are counted as matrix products and only links that join components leave the
 task. Families of more than FAMILY classes do the same for each key instead. So no link between different sets is
 lost, and no pairs of a group are emitted. Verification counts exact intersections of the sets.
@@ -13,7 +13,7 @@ lost, and no pairs of a group are emitted. Verification counts exact intersectio
 Shingles are identified by 64-bit hashes, in the intersection by 32 bits of them.
 
 Defined results: null, empty and wordless texts have no shingle and link with nothing; repeated rows with one id are
-one vertex; rows with a null id get their own id null and link nothing; other columns are ignored.
+one vertex; rows with a null id have no row in the result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -73,42 +73,43 @@ def keys(s: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
-def _signer(n: int, percent: int):
+def _keyed(n: int, percent: int):
+    """Rows (key, a, b, n): for each document its set size n; for each key of a batch its least document a, and the others as a's members b."""
     def run(batches):
         memo, bands = WordHashes(), Bands(percent)
-        for piece in slices(batches, rows=256):
+        for piece in slices(batches, rows=2048, chars=1 << 20):
+            docs = piece.column(0).to_numpy()
             found = sets(piece.column(1).to_pylist(), n, memo)
-            h1 = [int(np.bitwise_xor.reduce(s).view(np.int64)) if len(s) else 0 for s in found]
-            h2 = [int(mix(s).sum().view(np.int64)) if len(s) else 0 for s in found]
-            ks = [keys(s, bands).tobytes() if len(s) else b"" for s in found]
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(ks, pa.binary())], names=["doc", "n", "h1", "h2", "keys"])
+            ks = [keys(s, bands) if len(s) else np.zeros(0, np.int64) for s in found]
+            yield _rows(mix(docs.astype(_U)).view(np.int64), docs, docs, np.ones(len(docs), bool), np.array([len(s) for s in found], np.int64))
+            key, doc = np.concatenate(ks), np.repeat(docs, [len(k) for k in ks])
+            order = np.lexsort((doc, key))
+            key, doc = key[order], doc[order]
+            first = np.append(True, key[1:] != key[:-1])[:len(key)]
+            at = np.flatnonzero(first)
+            least = doc[np.repeat(at, np.diff(np.append(at, len(key))))]
+            ok = first | (doc != least)
+            yield _rows(key[ok], least[ok], doc[ok], first[ok], None)
 
     return run
 
 
-def _local_stars(batches):
-    """(key, centre, member) within a batch; each key of the batch goes on once, as (key, centre, null)."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2048):
-            part = batch.slice(at, 2048)
-            raw = part.column(1).to_pylist()
-            key = np.concatenate([np.frombuffer(x, np.int64) for x in raw]) if raw else np.zeros(0, np.int64)
-            doc = np.repeat(part.column(0).to_numpy(), [len(x) // 8 for x in raw])
-            order = np.lexsort((doc, key))
-            key, doc = key[order], doc[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-            centre = doc[np.repeat(first, np.diff(np.append(first, len(key))))]
-            null = np.zeros(len(key), bool)
-            null[first] = True
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(centre), pa.array(doc, mask=null)], names=["key", "a", "b"])
+def _rows(key, a, b, no_b, n) -> pa.RecordBatch:
+    size = pa.array(n) if n is not None else pa.nulls(len(key), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), pa.array(b, mask=no_b), size], names=["key", "a", "b", "n"])
+
+
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    return int(np.bitwise_xor.reduce(s, initial=0).astype(_U).view(np.int64)), int((mix(s).sum(dtype=_U) + _U(len(s))).view(np.int64))
 
 
 def _setter(n: int):
     def run(batches):
         memo = WordHashes()
         for piece in slices(batches, rows=256):
-            found = [np.unique((s >> _U(32)).astype(np.uint32)) for s in sets(piece.column(1).to_pylist(), n, memo)]
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([s.tobytes() for s in found], pa.binary())], names=["doc", "set"])
+            whole = sets(piece.column(1).to_pylist(), n, memo)
+            found = [np.unique((s >> _U(32)).astype(np.uint32)) for s in whole]
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([s.tobytes() for s in found], pa.binary()), *(pa.array(d, pa.int64()) for d in zip(*map(_digest, whole)))], names=["doc", "set", "s1", "s2"])
 
     return run
 
@@ -185,7 +186,6 @@ class Join:
         self.spark, self.n, self.percent, self.family = spark, n, percent, family
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).filter("doc is not null")
         self.scratch = Scratch(spark, "jaccard")
-        self.signed: DataFrame = self.scratch.table(self.docs.mapInArrow(_signer(n, percent), "doc long, n long, h1 long, h2 long, keys binary"), "signed")
 
     def _open(self, units: DataFrame) -> DataFrame:
         """(unit, doc, comp, outside) of the units with more than one component; outside its largest one."""
@@ -209,39 +209,48 @@ class Join:
     def run(self) -> DataFrame:
         """(doc, n_shingles, component_id) for each document with a non-null id."""
         sc = self.scratch
-        # ids grow with the data: merge joins at every size
-        repeats = self.signed.groupBy("doc").count().filter("count > 1").limit(1).count() > 0
-        classes = self.signed.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc").alias("rep"), F.min_by("keys", "doc").alias("keys"))
-        classes = sc.table(classes, "classes")
-        post = sc.table(classes.select("rep", "keys").mapInArrow(_local_stars, "key long, a long, b long"), "post")
-        classes = classes.drop("keys")
-        rest = post.filter("b is null").select("key", F.min("a").over(Window.partitionBy("key")).alias("a"), F.col("a").alias("b")).filter("a <> b")
-        buckets = sc.table(post.filter("b is not null").union(rest), "buckets")
-        sc.drop("post")
+        rows = self.docs.mapInArrow(_keyed(self.n, self.percent), "key long, a long, b long, n long")
+        least = F.min(F.when(F.col("n").isNull(), F.col("a"))).over(Window.partitionBy("key"))
+        rows = rows.withColumn("least", least).filter("n is not null or b is not null or a <> least")
+        buckets = sc.table(rows.select("key", F.when(F.col("b").isNull() & F.col("n").isNull(), F.col("least")).otherwise(F.col("a")).alias("a"), F.when(F.col("n").isNull(), F.coalesce("b", "a")).alias("b"), "n"), "buckets")
+        sc.release()
+        sizes, buckets = buckets.filter("n is not null").select(F.col("a").alias("doc"), "n"), buckets.filter("n is null").drop("n")
         pairs = sc.table(buckets.select("a", "b").distinct(), "pairs")
         ids = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
+        # these ids grow with the data: merge joins at every size
         texts = self.docs.join(ids.hint("merge"), "doc", "left_semi")
-        texts = texts.groupBy("doc").agg(F.min("text").alias("text")) if repeats else texts
-        held = sc.table(texts.mapInArrow(_setter(self.n), "doc long, set binary"), "held")
+        if sizes.groupBy("doc").count().filter("count > 1").limit(1).count():
+            texts = texts.groupBy("doc").agg(F.min("text").alias("text"))
+        held = sc.table(texts.mapInArrow(_setter(self.n), "doc long, set binary, s1 long, s2 long"), "held")
+        sc.release()
+        # documents of equal sets are one class
+        classes = sc.table(held.groupBy("s1", "s2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")).filter("copies > 1"), "classes")
+        rep = sc.table(held.select("doc", "s1", "s2").join(classes, ["s1", "s2"]).filter("doc <> rep").select("doc", "rep"), "rep")
+        named = lambda df, c: df.join(rep.select(F.col("doc").alias(c), F.col("rep").alias(f"{c}_rep")), c, "left").withColumn(c, F.coalesce(f"{c}_rep", c)).drop(f"{c}_rep")
+        pairs = sc.table(named(named(pairs, "a"), "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "class-pairs")
+        held = held.select("doc", "set")
         with_b = pairs.hint("merge").join(held.select(F.col("doc").alias("b"), F.col("set").alias("y")), "b")
         both = with_b.join(held.select(F.col("doc").alias("a"), F.col("set").alias("x")).hint("merge"), "a").select("a", "b", "x", "y")
         links = sc.table(both.mapInArrow(_verifier(self.percent), "a long, b long"), "links")
+        sc.release()
         comps = sc.table(components(links, sc, "cc"), "comps")
         families = components(pairs, sc, "family").withColumnRenamed("id", "doc").withColumnRenamed("component_id", "unit")
-        named = families.join(comps.withColumnRenamed("id", "doc"), "doc", "left").select("unit", "doc", F.coalesce("component_id", "doc").alias("comp"))
-        named = sc.table(named, "named")
-        sizes = sc.table(named.groupBy("unit").agg(F.count("*").alias("size")), "sizes")
-        more = self._within(named.join(sizes.filter(F.col("size") <= self.family).select("unit"), "unit"), held, "family")
-        large = sc.table(named.join(sizes.filter(F.col("size") > self.family).select("unit"), "unit"), "large")
+        members = families.join(comps.withColumnRenamed("id", "doc"), "doc", "left").select("unit", "doc", F.coalesce("component_id", "doc").alias("comp"))
+        members = sc.table(members, "members")
+        count = sc.table(members.groupBy("unit").agg(F.count("*").alias("size")), "sizes")
+        more = self._within(members.join(count.filter(F.col("size") <= self.family).select("unit"), "unit"), held, "family")
+        large = sc.table(members.join(count.filter(F.col("size") > self.family).select("unit"), "unit"), "large")
         if large.limit(1).count():
-            members = buckets.select("key", F.explode(F.array("a", "b")).alias("doc")).distinct()
-            more = more.union(self._within(members.join(large.drop("unit"), "doc").select(F.col("key").alias("unit"), "doc", "comp"), held, "keys"))
+            by_key = named(buckets.select("key", F.explode(F.array("a", "b")).alias("doc")), "doc").distinct()
+            more = more.union(self._within(by_key.join(large.drop("unit"), "doc").select(F.col("key").alias("unit"), "doc", "comp"), held, "keys"))
         if more.limit(1).count():
             comps = components(comps.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(more), sc, "all")
-        found = sc.table(classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component_id", "rep").alias("component_id")), "found")
-        sc.drop("classes", "buckets", "named", "held", "large")
-        out = self.signed.select("doc", "n", "h1", "h2").join(found, ["h1", "h2", "n"], "left")
-        return out.select("doc", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
+        # copies follow their class; a class's id is its least, so it is its component's too
+        comps = sc.table(comps, "all-comps")
+        copies = rep.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("doc", F.coalesce("component_id", "rep").alias("component_id"))
+        found = sc.table(comps.withColumnRenamed("id", "doc").union(copies), "found")
+        sc.drop("held", "members", "large")
+        return sizes.join(found, "doc", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
