@@ -234,8 +234,12 @@ class Join:
         links = sc.table(both.mapInArrow(_verifier(self.percent), "a long, b long"), "links")
         sc.release()
         comps = sc.table(components(links, sc, "cc"), "comps")
-        families = components(pairs, sc, "family").withColumnRenamed("id", "doc").withColumnRenamed("component_id", "unit")
-        members = families.join(comps.withColumnRenamed("id", "doc"), "doc", "left").select("unit", "doc", F.coalesce("component_id", "doc").alias("comp"))
+        # components that pairs still connect; those of a whole family need nothing more
+        inside = lambda df, c: df.join(comps.select(F.col("id").alias(c), F.col("component_id").alias(f"{c}_comp")), c, "left").withColumn(c, F.coalesce(f"{c}_comp", c)).drop(f"{c}_comp")
+        between = sc.table(inside(inside(pairs, "a"), "b").filter("a <> b").distinct(), "between")
+        families = sc.table(components(between, sc, "family").select(F.col("id").alias("comp"), F.col("component_id").alias("unit")), "families")
+        alone = families.select(F.col("comp").alias("id"), F.col("comp").alias("component_id"))
+        members = comps.union(alone).select(F.col("id").alias("doc"), F.col("component_id").alias("comp")).distinct().join(families, "comp").select("unit", "doc", "comp")
         members = sc.table(members, "members")
         count = sc.table(members.groupBy("unit").agg(F.count("*").alias("size")), "sizes")
         more = self._within(members.join(count.filter(F.col("size") <= self.family).select("unit"), "unit"), held, "family")
@@ -244,7 +248,8 @@ class Join:
             by_key = named(buckets.select("key", F.explode(F.array("a", "b")).alias("doc")), "doc").distinct()
             more = more.union(self._within(by_key.join(large.drop("unit"), "doc").select(F.col("key").alias("unit"), "doc", "comp"), held, "keys"))
         if more.limit(1).count():
-            comps = components(comps.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(more), sc, "all")
+            joined = components(inside(inside(more, "a"), "b"), sc, "all").withColumnsRenamed({"id": "component_id", "component_id": "final"})
+            comps = comps.union(alone).distinct().join(joined, "component_id", "left").select("id", F.coalesce("final", "component_id").alias("component_id"))
         # copies follow their class; a class's id is its least, so it is its component's too
         comps = sc.table(comps, "all-comps")
         copies = rep.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("doc", F.coalesce("component_id", "rep").alias("component_id"))

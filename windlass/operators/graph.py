@@ -228,3 +228,53 @@ def edge_vector(edges: DataFrame, universe: DataFrame, keys: Sequence[str] = KEY
     """Weights over a fixed set of pairs (src, dst), 0 where a graph lacks the edge: a row for each graph and pair by definition."""
     cells = edges.select(*keys).distinct().crossJoin(universe)
     return cells.join(edges.select(*keys, "src", "dst", "weight"), [*keys, "src", "dst"], "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
+
+
+def bipartite(edges: DataFrame, nodes: DataFrame, a: str, b: str) -> DataFrame:
+    """Edges between members of two services, none within one."""
+    e = between_services(edges, nodes.filter(F.col("svc").isin(a, b)))
+    return e.filter("src_svc <> dst_svc").select(*edges.columns)
+
+
+def dns_node(edges: DataFrame, keys: Sequence[str] = KEYS, order: str = "win", marks: Sequence[str] = ("kube-dns", "coredns"), vip: str = "_VIP") -> DataFrame:
+    """(*keys, dns): the name server's pod of each graph; a window without one takes the last window's."""
+    named = F.lit(False)
+    for m in marks:
+        named = named | F.contains("node", F.lit(m))
+    found = nodes_of(edges, keys).groupBy(*keys).agg(F.min(F.when(named & ~F.contains("node", F.lit(vip)), F.col("node"))).alias("dns"))
+    w = Window.partitionBy(*[k for k in keys if k != order]).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return found.withColumn("dns", F.last("dns", ignorenulls=True).over(w))
+
+
+def largest_component(edges: DataFrame, rounds: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(*keys, node) of each graph's largest undirected component; the one of the least name among equals.
+
+    Labels spread over min labels and are halved each round; rounds must reach log2 of the longest shortest path.
+    """
+    both = edges.select(*keys, F.col("src").alias("u"), F.col("dst").alias("v")).union(edges.select(*keys, F.col("dst").alias("u"), F.col("src").alias("v"))).distinct()
+    label = nodes_of(edges, keys).withColumn("label", F.col("node"))
+    for _ in range(rounds):
+        near = both.join(label.select(*keys, F.col("node").alias("v"), F.col("label").alias("l")), [*keys, "v"]).groupBy(*keys, F.col("u").alias("node")).agg(F.min("l").alias("l"))
+        label = label.join(near, [*keys, "node"], "left").select(*keys, "node", F.least("label", F.coalesce("l", "label")).alias("label"))
+        up = label.select(*keys, F.col("node").alias("label"), F.col("label").alias("up"))
+        label = label.join(up, [*keys, "label"]).select(*keys, "node", F.col("up").alias("label"))
+    size = label.groupBy(*keys, "label").agg(F.count("*").alias("n"))
+    best = size.groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("label"))).alias("m")).select(*keys, F.col("m.label").alias("label"))
+    return label.join(best, [*keys, "label"]).select(*keys, "node")
+
+
+def first_seen(edges: DataFrame, order: str = "win") -> DataFrame:
+    """Nodes with the first window they occur in."""
+    return nodes_of(edges, (order,)).groupBy("node").agg(F.min(order).alias("first"))
+
+
+def members(nodes: DataFrame) -> DataFrame:
+    """Pods of each service."""
+    return nodes.filter("not is_vip").groupBy("svc").agg(F.sort_array(F.collect_set("node")).alias("pods"))
+
+
+def into_node(edges: DataFrame, nodes: DataFrame, target: str, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Traffic into one node: the mean over pods that send any, and the sum over services of their largest pod's."""
+    e = edges.filter((F.col("dst") == target) & (F.col("src") != target) & (F.col("weight") > 0)).join(nodes.select(F.col("node").alias("src"), "svc", "is_vip"), "src").filter("not is_vip")
+    top = e.groupBy(*keys, "svc").agg(F.max("weight").alias("top"), F.sum("weight").alias("w"), F.count("*").alias("n"))
+    return top.groupBy(*keys).agg(F.try_divide(F.sum("w").cast("double"), F.sum("n").cast("double")).alias("mean"), F.sum("top").alias("top_sum"))

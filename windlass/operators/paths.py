@@ -106,3 +106,25 @@ def choose_node(abstract: DataFrame, nodes: DataFrame, seed: int = 0) -> DataFra
     """A concrete node (node, svc) for each abstract one (svc), by seeded hash in place of chance."""
     pick = F.min(F.struct(F.xxhash64(F.lit(seed), "node").alias("h"), F.col("node")))
     return abstract.join(nodes.groupBy("svc").agg(pick.alias("m")), "svc", "left").select(*abstract.columns, F.col("m.node").alias("node"))
+
+
+def is_valid(path: Column, goal: str = "internet") -> Column:
+    """Whether each VIP of a path has a neighbour of its own service."""
+    def ok(x: Column, i: Column) -> Column:
+        near = lambda j: F.coalesce(same_service(x, F.get(path, j)), F.lit(False))
+        return ~x.endswith("_vip") | near(i - 1) | near(i + 1)
+
+    return F.size(F.filter(F.transform(path, ok), lambda b: ~b)) == 0
+
+
+def initiators(steps: DataFrame) -> DataFrame:
+    """Who opens each hop's connection: a VIP of the other end's service if one end is, the pod otherwise, '?' between pods."""
+    a, b = F.col("a"), F.col("b")
+    va, vb = a.endswith("_vip"), b.endswith("_vip")
+    who = F.when(~va & ~vb, "?").when(vb, F.when(same_service(a, b), b).otherwise(a)).otherwise(F.when(same_service(a, b), a).otherwise(b))
+    return steps.withColumn("initiator", who)
+
+
+def goal_share(paths: DataFrame, name: str) -> DataFrame:
+    """Share of paths that pass a node."""
+    return paths.agg(F.avg(F.array_contains("path", name).cast("int")).alias("share"))

@@ -15,6 +15,7 @@ from .plans import models as L
 from .plans import results as R
 from .plans import scoring as C
 from .sources import adapters as A
+from .sources import packets as T
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -559,6 +560,78 @@ def heat_contrib(spark, d):
 def box_stats(spark, d):
     return _round(R.box_stats(A.events(spark, d), ["svc"]), "q1", "q2", "q3")
 
+# --- packets, members, services ----------------------------------------------------------------------------------
+
+_PACKETS = "k AS (SELECT CAST(floor(t / 86400) AS BIGINT) AS win, t, 'h' || pod % 20 AS src, 'h' || (pod * 7 + event_id) % 20 AS dst, weight AS bytes FROM ev)"
+
+
+def _packets(spark, d):
+    e = A.events(spark, d)
+    host = lambda c: F.concat(F.lit("h"), (c % 20).cast("string"))
+    return e.select(F.floor(F.col("t") / 86400).alias("win"), "t", host(F.col("pod")).alias("src"), host(F.col("pod") * 7 + F.col("event_id")).alias("dst"), F.col("weight").alias("bytes"))
+
+
+@query(f"WITH {EVENTS}, {_PACKETS} SELECT win, least(src, dst) AS addr_a, greatest(src, dst) AS addr_b, count(*) FILTER (src > dst) AS frames_ba, CAST(coalesce(sum(bytes) FILTER (src > dst), 0) AS BIGINT) AS bytes_ba, count(*) FILTER (src <= dst) AS frames_ab, CAST(coalesce(sum(bytes) FILTER (src <= dst), 0) AS BIGINT) AS bytes_ab, min(t) AS start, max(t) - min(t) AS duration FROM k GROUP BY ALL")
+def conversation_extraction(spark, d):
+    return T.conversations(_packets(spark, d))
+
+
+@query(f"WITH {EVENTS}, {_PACKETS} SELECT win, count(*) AS packets, CAST(sum(bytes) AS BIGINT) AS bytes FROM k WHERE t > (SELECT min(t) + 0.75 * (max(t) - min(t)) FROM k) GROUP BY win")
+def capture_tail(spark, d):
+    return T.last_part(_packets(spark, d), 0.25).groupBy("win").agg(F.count("*").alias("packets"), F.sum("bytes").alias("bytes"))
+
+
+@query(f"WITH {EVENTS}, {_PACKETS} SELECT src, min(t) AS first, max(t) AS last, count(*) AS packets FROM k WHERE t < ceil(1000000 / 86400) * 86400 GROUP BY src")
+def capture_head_span(spark, d):
+    return T.span(T.first_part(_packets(spark, d), F.lit(1000000), 86400), ["src"])
+
+
+@query(f"WITH {FLOWS} SELECT e.* FROM e JOIN n a ON a.node = src JOIN n b ON b.node = dst WHERE (a.svc = 'ASIA' AND b.svc = 'EUROPE') OR (a.svc = 'EUROPE' AND b.svc = 'ASIA')")
+def bipartite_edges(spark, d):
+    return G.bipartite(_edges(spark, d), A.nations(spark, d), "ASIA", "EUROPE")
+
+
+@query(f"WITH {FLOWS}, s AS (SELECT * FROM e WHERE (win + length(src) + length(dst)) % 4 = 0), g AS (SELECT win, min(CASE WHEN node LIKE '%AN' THEN node END) AS x FROM (SELECT win, src AS node FROM s WHERE win % 3 <> 0 UNION SELECT win, dst FROM s WHERE win % 3 <> 0 UNION SELECT win, 'PERU' FROM s) GROUP BY win) SELECT win, last_value(x IGNORE NULLS) OVER (ORDER BY win ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS dns FROM g")
+def dns_carry(spark, d):
+    s = _edges(spark, d).filter((F.col("win") + F.length("src") + F.length("dst")) % 4 == 0)
+    name = lambda c: F.when(F.col("win") % 3 == 0, "PERU").otherwise(F.when(F.col(c).like("%AN"), F.concat(F.lit("kube-dns:"), c)).otherwise(F.col(c)))
+    found = G.dns_node(s.withColumns({"src": name("src"), "dst": name("dst")}))
+    return found.select("win", F.replace("dns", F.lit("kube-dns:"), F.lit("")).alias("dns"))
+
+
+@query(f"""WITH RECURSIVE {FLOWS}, s AS (SELECT DISTINCT win % 4 AS win, src, dst FROM e WHERE win < 12 AND (ascii(src) * 3 + ascii(dst) * 5 + win) % 17 = 0), u AS (SELECT win, src AS a, dst AS b FROM s UNION SELECT win, dst, src FROM s),
+r AS (SELECT win, a AS node, a AS l FROM u UNION SELECT r.win, u.b, r.l FROM r JOIN u ON u.win = r.win AND u.a = r.node), m AS (SELECT win, node, min(l) AS l FROM r GROUP BY ALL),
+z AS (SELECT win, l, row_number() OVER (PARTITION BY win ORDER BY count(*) DESC, l) AS k FROM m GROUP BY win, l) SELECT m.win, node FROM m JOIN z ON z.win = m.win AND z.l = m.l AND k = 1""")
+def largest_component(spark, d):
+    s = _edges(spark, d).filter((F.col("win") < 12) & ((F.ascii("src") * 3 + F.ascii("dst") * 5 + F.col("win")) % 17 == 0))
+    return G.largest_component(s.select((F.col("win") % 4).alias("win"), "src", "dst").distinct(), 5)
+
+
+@query(f"WITH {FLOWS} SELECT node, min(win) AS first FROM (SELECT win, src AS node FROM e UNION ALL SELECT win, dst FROM e) GROUP BY node")
+def first_seen(spark, d):
+    return G.first_seen(_edges(spark, d))
+
+
+@query(f"WITH {FLOWS} SELECT svc, list_sort(list(node)) AS pods FROM n WHERE NOT is_vip GROUP BY svc")
+def service_members(spark, d):
+    return G.members(A.nations(spark, d))
+
+
+@query(f"WITH {FLOWS}, x AS (SELECT win, svc, max(weight) AS top, sum(weight) AS w, count(*) AS c FROM e JOIN n ON node = src WHERE dst = 'JAPAN' AND src <> 'JAPAN' AND weight > 0 AND NOT is_vip GROUP BY ALL) SELECT win, round(sum(w) / sum(c), 4) AS mean, CAST(sum(top) AS BIGINT) AS top_sum FROM x GROUP BY win")
+def traffic_into_node(spark, d):
+    return _round(G.into_node(_edges(spark, d), A.nations(spark, d), "JAPAN"), "mean", places=4)
+
+
+@query(f"WITH {_PATHS}, {_IDS} SELECT path_id, hop, a, b, CASE WHEN hop % 2 = 0 THEN '?' ELSE a END AS initiator FROM (SELECT path_id, hop, a, CASE WHEN hop % 2 = 0 THEN b ELSE replace(b, '_pod', '_vip') END AS b FROM s)")
+def hop_initiators(spark, d):
+    steps = P.hops(_pods(spark, d))
+    return P.initiators(steps.withColumn("b", F.when(F.col("hop") % 2 == 0, F.col("b")).otherwise(F.replace("b", F.lit("_pod"), F.lit("_vip")))))
+
+
+@query(f"WITH {_PATHS} SELECT round(avg(CAST(list_contains(path, 'CHINA') AS INTEGER)), 6) AS share FROM paths")
+def path_share(spark, d):
+    return _round(P.goal_share(_paths(spark, d), "CHINA"), "share")
+
 
 # --- kernels and models (no SQL form) ----------------------------------------------------------------------------
 
