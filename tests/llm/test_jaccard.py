@@ -47,3 +47,23 @@ def test_linked_sets_share_a_key():
                 both = len(np.intersect1d(a, b))
                 if 100 * both >= percent * (len(a) + len(b) - both):
                     assert np.intersect1d(J.keys(a, bands), J.keys(b, bands)).size
+
+
+@pytest.mark.parametrize("family", [J.FAMILY, 2])
+def test_links_that_no_centre_shows(spark, family):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+
+    def changed(places):
+        return " ".join(f"x{rng.randrange(10**6)}" if k in places else w for k, w in enumerate(base))
+
+    # the least document of every key is one of those too far from all others
+    texts = {i: changed({i % 31, i % 31 + 32, i % 31 + 65}) for i in range(1, 90)} | {100: changed(set()), 101: changed({50})}
+    expected = J.brute_force(texts, 3, 90)
+    assert expected[101][1] == 100
+    bands = J.Bands(90)
+    keys = {d: set(J.keys(s, bands).tolist()) for d, s in zip(texts, J.sets(list(texts.values()), 3, J.WordHashes()))}
+    assert all(any(k in keys[d] for d in range(1, 90)) for k in keys[100] & keys[101])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    got = {r.doc: (r.n_shingles, r.component_id) for r in J.Join(spark, df, n=3, percent=90, family=family).run().collect()}
+    assert got == expected

@@ -248,7 +248,7 @@ class Join:
             by_key = named(buckets.select("key", F.explode(F.array("a", "b")).alias("doc")), "doc").distinct()
             more = more.union(self._within(by_key.join(large.drop("unit"), "doc").select(F.col("key").alias("unit"), "doc", "comp"), held, "keys"))
         if more.limit(1).count():
-            joined = components(inside(inside(more, "a"), "b"), sc, "all").withColumnsRenamed({"id": "component_id", "component_id": "final"})
+            joined = components(inside(inside(more, "a"), "b"), sc, "all").select(F.col("id").alias("component_id"), F.col("component_id").alias("final"))
             comps = comps.union(alone).distinct().join(joined, "component_id", "left").select("id", F.coalesce("final", "component_id").alias("component_id"))
         # copies follow their class; a class's id is its least, so it is its component's too
         comps = sc.table(comps, "all-comps")
