@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 KEYS = ("win",)
 
 
@@ -251,13 +253,13 @@ def largest_component(edges: DataFrame, rounds: int, keys: Sequence[str] = KEYS)
 
     Labels spread over min labels and are halved each round; rounds must reach log2 of the longest shortest path.
     """
-    both = edges.select(*keys, F.col("src").alias("u"), F.col("dst").alias("v")).union(edges.select(*keys, F.col("dst").alias("u"), F.col("src").alias("v"))).distinct()
-    label = nodes_of(edges, keys).withColumn("label", F.col("node"))
+    both = cut(edges.select(*keys, F.col("src").alias("u"), F.col("dst").alias("v")).union(edges.select(*keys, F.col("dst").alias("u"), F.col("src").alias("v"))).distinct())
+    label = cut(nodes_of(edges, keys).withColumn("label", F.col("node")))
     for _ in range(rounds):
         near = both.join(label.select(*keys, F.col("node").alias("v"), F.col("label").alias("l")), [*keys, "v"]).groupBy(*keys, F.col("u").alias("node")).agg(F.min("l").alias("l"))
-        label = label.join(near, [*keys, "node"], "left").select(*keys, "node", F.least("label", F.coalesce("l", "label")).alias("label"))
+        label = cut(label.join(near, [*keys, "node"], "left").select(*keys, "node", F.least("label", F.coalesce("l", "label")).alias("label")))
         up = label.select(*keys, F.col("node").alias("label"), F.col("label").alias("up"))
-        label = label.join(up, [*keys, "label"]).select(*keys, "node", F.col("up").alias("label"))
+        label = cut(label.join(up, [*keys, "label"]).select(*keys, "node", F.col("up").alias("label")))
     size = label.groupBy(*keys, "label").agg(F.count("*").alias("n"))
     best = size.groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("label"))).alias("m")).select(*keys, F.col("m.label").alias("label"))
     return label.join(best, [*keys, "label"]).select(*keys, "node")

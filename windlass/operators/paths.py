@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import same_service
 from .graph import edge_sum
+from .lineage import cut
 
 
 def simple_paths(edges: DataFrame, start: Sequence[str], goal: str, max_hops: int, limit: int | None = None) -> DataFrame:
@@ -28,10 +29,10 @@ def simple_paths(edges: DataFrame, start: Sequence[str], goal: str, max_hops: in
 
 def reachable(edges: DataFrame, max_hops: int) -> DataFrame:
     """Transitive closure (src, dst) of up to max_hops steps, each doubling the length reached."""
-    out, reach = edges.select("src", "dst").distinct(), 1
+    out, reach = cut(edges.select("src", "dst").distinct()), 1
     while reach < max_hops:
         step = out.alias("a").join(out.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        out, reach = out.union(step).distinct(), reach * 2
+        out, reach = cut(out.union(step).distinct()), reach * 2
     return out
 
 

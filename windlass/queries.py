@@ -73,7 +73,7 @@ _CONTRACT = f"""c AS (SELECT win, CASE WHEN src IN {OUT} THEN 'outside' ELSE src
   WHERE win IN (SELECT win FROM s WHERE src IN {OUT} OR dst IN {OUT}) GROUP BY ALL)"""
 
 
-@query(f"""WITH {FLOWS}, s AS (SELECT * FROM e WHERE (win + length(src) + length(dst)) % 3 = 0), {_CONTRACT},
+@query(f"""WITH {FLOWS}, s AS (SELECT * FROM e), {_CONTRACT},
 g AS (SELECT DISTINCT win, dst AS c FROM c WHERE src = '{GATEWAY}'), o AS (SELECT DISTINCT win, src AS c FROM c WHERE dst = 'outside'),
 k AS (SELECT c.* FROM c LEFT JOIN g ON g.win = c.win AND g.c = CASE WHEN c.src = '{GATEWAY}' THEN c.dst WHEN c.dst = '{GATEWAY}' THEN c.src END LEFT JOIN o ON o.win = g.win AND o.c = g.c
   WHERE NOT (g.c IS NOT NULL AND (c.dst = '{GATEWAY}' OR o.c IS NULL))),
@@ -81,8 +81,7 @@ m AS (SELECT win, CASE WHEN src = '{GATEWAY}' THEN 'outside' ELSE src END AS src
   UNION ALL SELECT win, src, dst, frames, weight FROM s WHERE win NOT IN (SELECT win FROM s WHERE src IN {OUT} OR dst IN {OUT}))
 SELECT win, src, dst, CAST(sum(frames) AS BIGINT) AS frames, CAST(sum(weight) AS BIGINT) AS weight FROM m GROUP BY ALL""")
 def outside_contraction(spark, d):
-    e = _edges(spark, d).filter((F.col("win") + F.length("src") + F.length("dst")) % 3 == 0)
-    return G.outside_contraction(e, lambda c: c.isin(*OUT), GATEWAY)
+    return G.outside_contraction(_edges(spark, d), lambda c: c.isin(*OUT), GATEWAY)
 
 
 @query(f"WITH {FLOWS} SELECT win, CASE WHEN src IN {OUT} THEN 'outside' ELSE src END AS src, CASE WHEN dst IN {OUT} THEN 'outside' ELSE dst END AS dst, CAST(sum(frames) AS BIGINT) AS frames, CAST(sum(weight) AS BIGINT) AS weight FROM e GROUP BY ALL")
@@ -183,14 +182,14 @@ def harmonic_service(spark, d):
     return K.centralities(s, ["harmonic"]).select("win", "node", F.round("value", 3).alias("harmonic"))
 
 
-@query(f"WITH {FLOWS}, p AS (SELECT DISTINCT win, src, dst FROM e WHERE (win + length(src) * 7 + length(dst) * 3) % 11 = 0), t AS (SELECT src, dst FROM p WHERE win < 20), x AS (SELECT win, count(*) AS c FROM p WHERE win >= 20 AND src IN (SELECT src FROM t) AND (src, dst) NOT IN (SELECT (src, dst) FROM t) GROUP BY win) SELECT win, coalesce(c, 0) AS new_neighbours FROM (SELECT DISTINCT win FROM p WHERE win >= 20) LEFT JOIN x USING (win)")
+@query(f"WITH {FLOWS}, p AS (SELECT DISTINCT win, src, dst FROM e), t AS (SELECT src, dst FROM p WHERE win < 20), x AS (SELECT win, count(*) AS c FROM p WHERE win >= 20 AND src IN (SELECT src FROM t) AND (src, dst) NOT IN (SELECT (src, dst) FROM t) GROUP BY win) SELECT win, coalesce(c, 0) AS new_neighbours FROM (SELECT DISTINCT win FROM p WHERE win >= 20) LEFT JOIN x USING (win)")
 def new_neighbours(spark, d):
-    return G.new_neighbours(_edges(spark, d).filter((F.col("win") + F.length("src") * 7 + F.length("dst") * 3) % 11 == 0), 20)
+    return G.new_neighbours(_edges(spark, d), 20)
 
 
-@query(f"WITH {FLOWS}, p AS (SELECT * FROM e WHERE (win * 5 + length(src) * 7 + length(dst) * 3) % 23 = 0), k AS (SELECT DISTINCT src, dst FROM p WHERE win < 12 AND frames > 0 AND src <> dst), u AS (SELECT DISTINCT win FROM p WHERE win >= 12 AND frames > 0 AND src <> dst AND NOT EXISTS (SELECT 1 FROM k WHERE k.src = p.src AND k.dst = p.dst)) SELECT win, CAST(win IN (SELECT win FROM u) AS INTEGER) AS alert FROM (SELECT DISTINCT win FROM p WHERE win >= 12)")
+@query(f"WITH {FLOWS}, p AS (SELECT * FROM e), k AS (SELECT DISTINCT src, dst FROM p WHERE win < 12 AND frames > 0 AND src <> dst), u AS (SELECT DISTINCT win FROM p WHERE win >= 12 AND frames > 0 AND src <> dst AND NOT EXISTS (SELECT 1 FROM k WHERE k.src = p.src AND k.dst = p.dst)) SELECT win, CAST(win IN (SELECT win FROM u) AS INTEGER) AS alert FROM (SELECT DISTINCT win FROM p WHERE win >= 12)")
 def allowlist_alert(spark, d):
-    return G.allow_list_alerts(_edges(spark, d).filter((F.col("win") * 5 + F.length("src") * 7 + F.length("dst") * 3) % 23 == 0), 12)
+    return G.allow_list_alerts(_edges(spark, d), 12)
 
 
 @query(f"WITH {FLOWS} SELECT win, src, list_sort(list(DISTINCT dst)) AS neighbours FROM e GROUP BY ALL")
@@ -209,12 +208,12 @@ def infra_filter(spark, d):
     return I.application_edges(_edges(spark, d), infra).select("win", "src", "dst", "frames", "weight")
 
 
-@query(f"""WITH {FLOWS}, q AS (SELECT least(src, dst) AS u, greatest(src, dst) AS v, win, sum(weight) AS w FROM e WHERE src <> dst AND (win + length(src) + length(dst)) % 5 = 0 GROUP BY ALL),
+@query(f"""WITH {FLOWS}, q AS (SELECT least(src, dst) AS u, greatest(src, dst) AS v, win, sum(weight) AS w FROM e WHERE src <> dst GROUP BY ALL),
 s AS (SELECT win, u, v, w FROM q UNION ALL SELECT win, v, u, w FROM q), d AS (SELECT win, u AS node, count(*) AS degree, sum(w) AS weight FROM s GROUP BY ALL),
 t AS (SELECT a.win, a.u AS node, count(*) AS t, sum(c.w) AS tw FROM s a JOIN s b ON a.win = b.win AND a.u = b.u JOIN q c ON c.win = a.win AND c.u = a.v AND c.v = b.v GROUP BY ALL)
 SELECT win, node, degree, degree + coalesce(t, 0) AS ego_edges, CAST(weight + coalesce(tw, 0) AS BIGINT) AS ego_weight FROM d LEFT JOIN t USING (win, node)""")
 def ego_features(spark, d):
-    return G.ego_features(_edges(spark, d).filter((F.col("win") + F.length("src") + F.length("dst")) % 5 == 0))
+    return G.ego_features(_edges(spark, d))
 
 
 @query(f"WITH {FLOWS}, u AS (SELECT DISTINCT src, dst FROM e WHERE win < 2) SELECT w.win, u.src, u.dst, coalesce(e.weight, 0) AS weight FROM (SELECT DISTINCT win FROM e) w CROSS JOIN u LEFT JOIN e ON e.win = w.win AND e.src = u.src AND e.dst = u.dst")
@@ -464,12 +463,11 @@ def feature_prune(spark, d):
 
 # --- paths and injection -----------------------------------------------------------------------------------------
 
-_LINKS = "k AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst AND (length(src) * 3 + length(dst) * 5 + ascii(src) + ascii(dst)) % 9 = 0)"
+_LINKS = "k AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst)"
 
 
 def _links(spark, d):
-    e = _edges(spark, d).select("src", "dst").distinct().filter("src <> dst")
-    return e.filter((F.length("src") * 3 + F.length("dst") * 5 + F.ascii("src") + F.ascii("dst")) % 9 == 0)
+    return _edges(spark, d).select("src", "dst").distinct().filter("src <> dst")
 
 
 _PATHS = "RECURSIVE {flows}, {links}, p AS (SELECT [src, dst] AS path, dst FROM k WHERE src IN ('FRANCE', 'BRAZIL') UNION ALL SELECT list_append(path, k.dst), k.dst FROM p JOIN k ON k.src = p.dst WHERE NOT list_contains(path, k.dst) AND p.dst <> 'JAPAN' AND len(path) < 4), paths AS (SELECT path FROM p WHERE dst = 'JAPAN')".format(flows=FLOWS, links=_LINKS)
@@ -591,20 +589,19 @@ def bipartite_edges(spark, d):
     return G.bipartite(_edges(spark, d), A.nations(spark, d), "ASIA", "EUROPE")
 
 
-@query(f"WITH {FLOWS}, s AS (SELECT * FROM e WHERE (win + length(src) + length(dst)) % 4 = 0), g AS (SELECT win, min(CASE WHEN node LIKE '%AN' THEN node END) AS x FROM (SELECT win, src AS node FROM s WHERE win % 3 <> 0 UNION SELECT win, dst FROM s WHERE win % 3 <> 0 UNION SELECT win, 'PERU' FROM s) GROUP BY win) SELECT win, last_value(x IGNORE NULLS) OVER (ORDER BY win ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS dns FROM g")
+@query(f"WITH {FLOWS}, s AS (SELECT * FROM e), g AS (SELECT win, min(CASE WHEN node LIKE '%AN' THEN node END) AS x FROM (SELECT win, src AS node FROM s WHERE win % 3 <> 0 UNION SELECT win, dst FROM s WHERE win % 3 <> 0 UNION SELECT win, 'PERU' FROM s) GROUP BY win) SELECT win, last_value(x IGNORE NULLS) OVER (ORDER BY win ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS dns FROM g")
 def dns_carry(spark, d):
-    s = _edges(spark, d).filter((F.col("win") + F.length("src") + F.length("dst")) % 4 == 0)
+    s = _edges(spark, d)
     name = lambda c: F.when(F.col("win") % 3 == 0, "PERU").otherwise(F.when(F.col(c).like("%AN"), F.concat(F.lit("kube-dns:"), c)).otherwise(F.col(c)))
     found = G.dns_node(s.withColumns({"src": name("src"), "dst": name("dst")}))
     return found.select("win", F.replace("dns", F.lit("kube-dns:"), F.lit("")).alias("dns"))
 
 
-@query(f"""WITH RECURSIVE {FLOWS}, s AS (SELECT DISTINCT win % 4 AS win, src, dst FROM e WHERE win < 12 AND (ascii(src) * 3 + ascii(dst) * 5 + win) % 17 = 0), u AS (SELECT win, src AS a, dst AS b FROM s UNION SELECT win, dst, src FROM s),
+@query(f"""WITH RECURSIVE {FLOWS}, s AS (SELECT DISTINCT win, src, dst FROM e), u AS (SELECT win, src AS a, dst AS b FROM s UNION SELECT win, dst, src FROM s),
 r AS (SELECT win, a AS node, a AS l FROM u UNION SELECT r.win, u.b, r.l FROM r JOIN u ON u.win = r.win AND u.a = r.node), m AS (SELECT win, node, min(l) AS l FROM r GROUP BY ALL),
 z AS (SELECT win, l, row_number() OVER (PARTITION BY win ORDER BY count(*) DESC, l) AS k FROM m GROUP BY win, l) SELECT m.win, node FROM m JOIN z ON z.win = m.win AND z.l = m.l AND k = 1""")
 def largest_component(spark, d):
-    s = _edges(spark, d).filter((F.col("win") < 12) & ((F.ascii("src") * 3 + F.ascii("dst") * 5 + F.col("win")) % 17 == 0))
-    return G.largest_component(s.select((F.col("win") % 4).alias("win"), "src", "dst").distinct(), 5)
+    return G.largest_component(_edges(spark, d).select("win", "src", "dst"), 5)
 
 
 @query(f"WITH {FLOWS} SELECT node, min(win) AS first FROM (SELECT win, src AS node FROM e UNION ALL SELECT win, dst FROM e) GROUP BY node")
