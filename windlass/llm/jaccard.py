@@ -229,7 +229,10 @@ class Join:
         named = lambda df, c: df.join(rep.select(F.col("doc").alias(c), F.col("rep").alias(f"{c}_rep")), c, "left").withColumn(c, F.coalesce(f"{c}_rep", c)).drop(f"{c}_rep")
         pairs = sc.table(named(named(pairs, "a"), "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "class-pairs")
         held = held.select("doc", "set")
-        with_b = pairs.hint("merge").join(held.select(F.col("doc").alias("b"), F.col("set").alias("y")), "b")
+        # sets of too different sizes can't link, so they aren't brought together; their pair still makes a family
+        size = lambda c: held.select(F.col("doc").alias(c), (F.octet_length("set") / 4).alias(f"n_{c}"))
+        near = pairs.join(size("a").hint("merge"), "a").join(size("b").hint("merge"), "b").filter(f"least(n_a, n_b) * 100 >= greatest(n_a, n_b) * {self.percent}").select("a", "b")
+        with_b = near.hint("merge").join(held.select(F.col("doc").alias("b"), F.col("set").alias("y")), "b")
         both = with_b.join(held.select(F.col("doc").alias("a"), F.col("set").alias("x")).hint("merge"), "a").select("a", "b", "x", "y")
         links = sc.table(both.mapInArrow(_verifier(self.percent), "a long, b long"), "links")
         sc.release()
