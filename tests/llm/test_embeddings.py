@@ -21,6 +21,25 @@ def test_against_brute_force(spark):
     assert got[1006] == (1, 1005)
 
 
+def test_pairs_in_over_full_buckets(spark):
+    rng = np.random.default_rng(9)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    c = unit(rng.normal(size=64))
+    loose = unit(0.7**0.5 * c + 0.3**0.5 * unit(rng.normal(size=(600, 64))))  # mutual cosine about 0.7
+    twins = unit(loose[:200] + 0.44 * unit(rng.normal(size=(200, 64))))  # near 0.9 to their own, ids far apart
+    dense = unit(c + 0.01 * unit(rng.normal(size=(100, 64))))  # one component that shares buckets with them
+    x = np.vstack([loose, twins, dense, unit(rng.normal(size=(900, 64)))])
+    ids = rng.permutation(len(x))
+    vectors = {int(i): v.astype("float32").tolist() for i, v in zip(ids, x)}
+    want, got = E.brute_force(vectors, 0.9), _run(spark, vectors)
+    links = sum(w[0] for w in want.values())
+    missed = sum(want[i][0] - got[i][0] for i in want if want[i][0] < 50)
+    twin = sum(w[0] for w in want.values() if w[0] < 50)
+    assert links > 9000 and twin > 200 and all(got[i][0] <= want[i][0] for i in want)
+    assert missed <= 0.05 * twin
+    assert sum(want[i][1] != got[i][1] for i in want) <= 0.05 * twin
+
+
 def test_bound_holds():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(500, 64))

@@ -2,8 +2,10 @@
 
 Vectors are turned by seeded random rotations; the signs are binary codes. Groups of code bits are the keys of an index
 that holds every row: as many bits as keep buckets small at the row count, as many tables as give a stated recall for
-pairs right at the threshold. A bucket proposes pairs (all in small ones, with a centre and the neighbour in large
-ones), never all pairs of a large group. For a proposed pair the stored correction factor of one side (the inner
+pairs right at the threshold. A bucket proposes all its pairs where it is small, else pairs with a centre and the
+neighbour; the members of such over-full buckets are then held against each other by components: each component that the
+proposed pairs give is a ball (mean direction, largest angle to it), balls of a bucket that come within the threshold
+angle are compared member by member, all others are excluded by that bound. For a proposed pair the stored correction factor of one side (the inner
 product of the vector with its code) gives the unbiased estimate <code, q> / factor of its cosine and a bound that
 always holds; where the bound allows the threshold, the cosine is recomputed exactly in double precision.
 
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, components, load
 
 RECALL, SMALL, RIM_BLOCK, MEMBER_BLOCK = 0.95, 8, 256, 1024
+# SLACK is above what single precision does to an angle; components above PAIRWISE are compared in blocks.
+BALL_BLOCK, PAIRWISE, SLACK = 1024, 64, 2e-3
 
 
 def rotation(dim: int, k: int) -> np.ndarray:
@@ -80,7 +84,10 @@ def _indexer(bits: int, tables: int):
 
 
 def _propose(batches):
-    """Pairs (q, id, code, factor) from rows sorted by bucket; the bucket's state goes on from batch to batch."""
+    """Pairs (q, id, code, factor) from rows sorted by bucket, and (id, null, place, key) for each row of an over-full one.
+
+    The bucket's state goes on from batch to batch.
+    """
     now, held, n = None, [], 0
     for batch in batches:
         out: list[tuple] = []
@@ -88,15 +95,16 @@ def _propose(batches):
             if (place, key) != now:
                 now, held, n = (place, key), [], 0
             if n < SMALL:
-                out += [(q, i, code, factor) for q in held]
+                out += [(q, i, code, factor, None, None) for q in held]
                 held.append(i)
             else:
-                out += [(held[0], i, code, factor), (held[-1], i, code, factor)]
+                out += [(q, None, None, None, place, key) for q in (held if n == SMALL else []) + [i]]
+                out += [(held[0], i, code, factor, None, None), (held[-1], i, code, factor, None, None)]
                 held[-1] = i
             n += 1
         if out:
             cols = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.float64())], names=["a", "b", "code", "factor"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.int64())], names=["a", "b", "code", "factor", "place", "key"])
 
 
 def estimate(code: np.ndarray, factor: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,6 +169,113 @@ def _count_block(cosine: float):
     return run
 
 
+def _angles(batches):
+    """Angle of each member to its component's mean direction; a component without one is a ball of half a turn."""
+    for batch in batches:
+        for _, part in _by_dim(batch, 2):
+            x, m = _matrix(part.column(2)), _matrix(part.column(3))
+            norm = np.linalg.norm(m, axis=1)
+            angle = np.where(norm > 0, np.arccos(np.clip((x * m).sum(1) / np.where(norm > 0, norm, 1), -1, 1)), math.pi)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(angle)], names=["comp", "id", "x", "angle"])
+
+
+def _meet(cosine: float):
+    """(a, b, angle of the means) of components in one bucket whose balls come within the threshold angle; rows sorted by bucket."""
+    reach = math.acos(cosine) + SLACK
+
+    def close(part):
+        comp, r, m = part.column(5).to_numpy(), part.column(6).to_numpy(), _matrix(part.column(7).combine_chunks())
+        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
+        angle = np.arccos(np.clip(m @ m.T, -1, 1))
+        i, j = np.nonzero(np.triu(angle <= reach + r[:, None] + r[None, :], 1))
+        return np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j]), angle[i, j].astype(np.float64)
+
+    def emit(table):
+        keys = np.column_stack([table.column(k).to_numpy() for k in range(5)])
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        found = [close(table.slice(s, e - s)) for s, e in zip(cuts, cuts[1:]) if e - s > 1]
+        a, b, angle = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(angle)], names=["a", "b", "angle"])
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            keys = np.column_stack([table.column(k).to_numpy() for k in range(5)])
+            before = np.flatnonzero((keys != keys[-1]).any(1))
+            cut = int(before[-1]) + 1 if len(before) else 0
+            if cut:
+                yield emit(table.slice(0, cut))
+            rest = table.slice(cut)
+        if rest is not None:
+            yield emit(rest)
+
+    return run
+
+
+def _link_block(cosine: float):
+    """One link of each small component to the large one that has any in this block."""
+    def run(pdf):
+        import pandas as pd
+
+        big, small = pdf[pdf.large], pdf[~pdf.large]
+        if big.empty or small.empty:
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        hit = np.vstack(big.x.to_numpy()) @ np.vstack(small.x.to_numpy()).T >= cosine
+        found = pd.DataFrame({"a": big.id.to_numpy()[hit.argmax(0)], "b": small.id.to_numpy(), "comp": small.comp.to_numpy()})[hit.any(0)]
+        return found.drop_duplicates("comp")[["a", "b"]]
+
+    return run
+
+
+def _across(sc: Scratch, unit: DataFrame, full: DataFrame, links: DataFrame, cosine: float) -> DataFrame:
+    """Links (a, b) that join components which share an over-full bucket; full has its rows (place, key, id).
+
+    Pairs within a component need no look, as links are counted within components afterwards.
+    """
+    of = sc.table(components(links, sc, "first"), "first").select("id", F.col("component_id").alias("comp"))
+    held = sc.table(full.join(of, "id", "left").select("place", "key", F.coalesce("comp", "id").alias("comp")).distinct(), "held")
+    many = held.groupBy("place", "key").agg(F.count("*").alias("n")).filter("n > 1").select("place", "key", F.ceil(F.col("n") / BALL_BLOCK).cast("int").alias("blocks"))
+    mixed = sc.table(held.join(many, ["place", "key"]), "mixed")
+    members = unit.join(of, "id", "left").select(F.coalesce("comp", "id").alias("comp"), "id", "x").join(mixed.select("comp").distinct(), "comp", "left_semi")
+    members = sc.table(members, "across-members")
+    means = sc.table(members.groupBy("comp").agg(Summarizer.mean(array_to_vector("x")).alias("m")).select("comp", vector_to_array("m").alias("m")), "across-means")
+    turned = sc.table(members.join(means, "comp").select("comp", "id", "x", "m").mapInArrow(_angles, "comp long, id long, x array<double>, angle double"), "turned")
+    balls = turned.groupBy("comp").agg(F.count("*").alias("n"), F.when(F.count("*") > 1, F.max("angle") + 1e-7).otherwise(0.0).alias("r"))
+    balls = sc.table(balls.join(means, "comp").select("comp", "n", "r", F.col("m").cast("array<float>").alias("m")), "balls")
+
+    at = ["place", "key", "p", "q", "dim"]
+    side = mixed.withColumn("s", F.pmod(F.xxhash64("comp"), F.col("blocks")).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = side.select("place", "key", F.least("s", "t").alias("p"), F.greatest("s", "t").alias("q"), "comp").join(balls, "comp").withColumn("dim", F.size("m"))
+    met = rows.select(*at, "comp", "r", "m").repartition(*at).sortWithinPartitions(*at).mapInArrow(_meet(cosine), "a long, b long, angle double")
+    met = sc.table(met.groupBy("a", "b").agg(F.min("angle").alias("angle")), "met")
+
+    a, b = (balls.select(F.col("comp").alias(c), F.col("n").alias(f"n_{c}"), F.col("r").alias(f"r_{c}")) for c in "ab")
+    first = F.col("n_a") >= F.col("n_b")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    gap = F.col("angle") - math.acos(cosine) - pick("r_b", "r_a") - SLACK
+    sided = sc.table(met.join(a, "a").join(b, "b").select(pick("a", "b").alias("big"), pick("b", "a").alias("small"), F.greatest("n_a", "n_b").alias("n"), gap.alias("gap")), "sided")
+    # a member nearer to its mean than the gap can't reach the other ball
+    near = turned.select(F.col("comp").alias("big"), F.col("id").alias("a"), "x", "angle")
+    far = turned.select(F.col("comp").alias("small"), F.col("id").alias("b"), F.col("x").alias("y"))
+    pairs = sided.filter(F.col("n") <= PAIRWISE).join(near, "big").filter("angle >= gap").join(far, "small")
+    few = pairs.select("a", "b", "x", "y").mapInArrow(_exact(cosine), "a long, b long")
+
+    large = sided.filter(F.col("n") > PAIRWISE)
+    edge = sc.table(near.join(large.groupBy("big").agg(F.min("gap").alias("gap")), "big").filter("angle >= gap").select("big", F.col("a").alias("id"), F.col("big").alias("comp"), "x"), "edge")
+    other = sc.table(large.select("big", "small").join(far, "small").select("big", F.col("b").alias("id"), F.col("small").alias("comp"), F.col("y").alias("x")), "other")
+    count = lambda t, name: t.groupBy("big").agg(F.ceil(F.count("*") / BALL_BLOCK).cast("int").alias(name))
+    sizes = count(edge, "u_n").join(count(other, "v_n"), "big")
+    block = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = edge.join(sizes, "big").select("big", block("u_n", 3).alias("u"), each("v_n").alias("v"), "id", "comp", "x", F.lit(True).alias("large"))
+    right = other.join(sizes, "big").select("big", each("u_n").alias("u"), block("v_n", 4).alias("v"), "id", "comp", "x", F.lit(False).alias("large"))
+    return few.union(left.union(right).groupBy("big", "u", "v").applyInPandas(_link_block(cosine), "a long, b long"))
+
+
 def near_duplicates(spark: SparkSession, vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.9, recall: float = RECALL) -> DataFrame:
     """(id, n_links, component_id, kept), one row per distinct id."""
     sc = Scratch(spark, "embeddings")
@@ -171,11 +286,14 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, id_col: str = "v
     unit = rows.filter("x is not null and exists(x, e -> e <> 0)")
     bits, tables = plan(unit.count(), cosine, recall)
     index = unit.mapInArrow(_indexer(bits, tables), "place int, key long, id long, code binary, factor double")
-    near = index.repartition("place", "key").sortWithinPartitions("place", "key", "id").mapInArrow(_propose, "a long, b long, code binary, factor double")
-    near = sc.table(near.groupBy("a", "b").agg(F.first("code").alias("code"), F.first("factor").alias("factor")), "proposed")
-    bounded = near.join(unit.select(F.col("id").alias("a"), "x"), "a").select("a", "b", "code", "factor", "x").mapInArrow(_bounded(cosine), "a long, b long")
+    near = index.repartition("place", "key").sortWithinPartitions("place", "key", "id").mapInArrow(_propose, "a long, b long, code binary, factor double, place int, key long")
+    near = sc.table(near.groupBy("a", "b", "place", "key").agg(F.first("code").alias("code"), F.first("factor").alias("factor")), "proposed")
+    full = near.filter("b is null").select("place", "key", F.col("a").alias("id"))
+    bounded = near.filter("b is not null").join(unit.select(F.col("id").alias("a"), "x"), "a").select("a", "b", "code", "factor", "x").mapInArrow(_bounded(cosine), "a long, b long")
     both = bounded.join(unit.select(F.col("id").alias("a"), "x"), "a").join(unit.select(F.col("id").alias("b"), F.col("x").alias("y")), "b").filter(F.size("x") == F.size("y"))
     links = sc.table(both.select("a", "b", "x", "y").mapInArrow(_exact(cosine), "a long, b long"), "links")
+    if full.limit(1).count():
+        links = links.union(sc.table(_across(sc, unit, full, links, cosine), "across"))
     comps = sc.table(components(links, sc), "comps")
 
     members = sc.table(comps.select("id", F.col("component_id").alias("comp")).join(unit, "id").select("comp", "id", "x"), "members")
