@@ -27,3 +27,29 @@ def test_style_tree_removes_what_repeats(spark):
     got = {r.page_id: r.text for r in H.extract(spark, df).collect()}
     assert got[3] == "Story 3 tells 21" and got[90] == "" and got[91] == "Same on all pages" and len(got) == 22
     assert H.extract(spark, df.limit(0)).count() == 0
+
+
+def test_style_tree_looks_at_every_sibling(spark):
+    def page(i):
+        return f"<body><div class='row'>Story {i} tells {i * 7}</div><div class='row'>More of {i * 3}</div><div class='row'>Contact us</div></body>"
+
+    df = spark.createDataFrame([(i, f"http://h.org/{i}", page(i)) for i in range(20)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extract(spark, df).collect()}
+    assert got[3] == "Story 3 tells 21\nMore of 9\nContact us"
+
+
+def test_deep_paths_stay_apart(spark):
+    def page(i):
+        deep, end = f"<div class='block'>x{i} " * 60, "</div>" * 60
+        return f"<body><section class='a'>{deep}<div class='end'>Same on all pages</div>{end}</section><section class='b'>{deep}<div class='end'>Story {i}</div>{end}</section></body>"
+
+    df = spark.createDataFrame([(i, f"http://h.org/{i}", page(i)) for i in range(20)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extract(spark, df).collect()}
+    assert "Story 3" in got[3] and "Same on all pages" not in got[3]
+
+
+def test_one_host_on_both_sides(spark):
+    page = "<body><div class='top'>Same on all pages</div><div class='story'><p>Story {}</p></div></body>"
+    rows = [(i, f"http://h.org/a b|{i}", page.format(i)) for i in range(20)]
+    got = {r.page_id: r.text for r in H.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Story 3"

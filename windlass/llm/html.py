@@ -1,8 +1,8 @@
 """Main text of web pages by site style trees.
 
 The pages of one host are merged into a style tree: elements at the same path of tags and classes are one node. For
-each node the entropy of its children's layout (presentation) and of its text (content) over the host's distinct pages,
-as a share of the largest possible one, is its importance; branches that look and read alike on page after page are of
+each node the entropy of its children's layout (presentation) and of its text (content) over the host's distinct pages
+(a page counts once, by the texts and layouts of all its elements of the node in order), as a share of the largest possible one, is its importance; branches that look and read alike on page after page are of
 low importance and removed from each page. Elements whose tag, role or class says what they are (menus, headers,
 footers, sidebars, notices, adverts, forms, comments, scripts) are noise at any entropy; article, main and the text
 elements within (paragraphs, headings, lists, tables) are kept at any entropy, as are elements that hold an article.
@@ -66,6 +66,11 @@ def _said(attrs: str) -> tuple[str, bool]:
     return sig, noise
 
 
+def _path(up: str, step: str) -> str:
+    """The name of a path of tags and classes: a hash of the whole, of equal length at any depth."""
+    return xxhash.xxh3_128_hexdigest(f"{up}>{step}".encode("utf-8", "surrogatepass"))
+
+
 class Node:
     __slots__ = ("tag", "path", "noise", "main", "start", "children", "holds_main")
 
@@ -141,7 +146,7 @@ def read(page: str | None, low: frozenset | set = frozenset(), visit=None) -> tu
                 pop()
         up = stack[-1]
         sig, said = _said(m[3] or m[6] or "")
-        path = f"{up.path}>{tag}{sig}"[-400:]
+        path = _path(up.path, tag + sig)
         noise = up.noise or said and tag not in ("html", "body", "main") or tag in NOISE or tag == "header" and not up.main or path in low
         if stack[-1].children is not None:
             up.children.append(tag)
@@ -164,20 +169,29 @@ def _styles(batches):
         rows = []
         for url, page in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
             site, whole = host(url), xxhash.xxh3_64_intdigest((page or "").encode("utf-8", "surrogatepass")) >> 1
-            seen = {}
+            seen: dict = {}
 
             def visit(node, pieces):
                 if node.tag not in CONTENT and not node.holds_main:
                     said = "".join(pieces[node.start:]).strip()
-                    seen[node.path] = (xxhash.xxh3_64_intdigest(said.encode("utf-8", "surrogatepass")) >> 1, xxhash.xxh3_64_intdigest(" ".join(node.children).encode()) >> 1)
+                    at = seen.setdefault(node.path, (xxhash.xxh3_64(), xxhash.xxh3_64()))
+                    for kept, value in zip(at, (said, " ".join(node.children))):
+                        kept.update(xxhash.xxh3_128_digest(value.encode("utf-8", "surrogatepass")))
 
             read(page, visit=visit)
-            rows += [(site, p, c, s, whole) for p, (c, s) in seen.items()]
+            rows += [(site, p, c.intdigest() >> 1, s.intdigest() >> 1, whole) for p, (c, s) in seen.items()]
         if rows:
             a, b, c, d, e = zip(*rows)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c, pa.int64()), pa.array(d, pa.int64()), pa.array(e, pa.int64())], names=["host", "path", "content", "layout", "page"])
 
 
+def _hosted(batches):
+    """Pages with the host under which the style tree has them."""
+    for batch in batches:
+        hosts = pa.array([host(u) for u in batch.column(1).to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([*batch.columns, hosts], names=["page_id", "url", "html", "host"])
+
+
 def style_tree(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, path, n, importance) of the merged nodes: the mean of content and layout entropy as shares of log n."""
     rows = pages.select("url", "html").mapInArrow(_styles, "host string, path string, content long, layout long, page long")
@@ -206,8 +220,7 @@ def extract(spark: SparkSession, pages: DataFrame, *, min_pages: int = MIN_PAGES
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     removed = style_tree(pages, scratch).filter((F.col("n") >= min_pages) & (F.col("importance") < low))
     removed = scratch.table(removed.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low")), "removed")
-    site = F.lower(F.coalesce(F.try_parse_url(F.trim("url"), F.lit("HOST")), F.lit("")))
-    return pages.withColumn("host", site).join(removed, "host", "left").select("page_id", "url", "html", "low").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return pages.mapInArrow(_hosted, "page_id long, url string, html string, host string").join(removed, "host", "left").select("page_id", "url", "html", "low").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
