@@ -42,3 +42,23 @@ def test_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r.keep for r in Q.classify(spark, docs, none).collect())
     assert Q.classify(spark, docs.limit(0), none).count() == 0
+
+
+def test_fit_counts_what_scoring_counts(spark, monkeypatch):
+    rows, labels = [], []
+    for i in range(400):  # toxic ones say the word once, clean ones five times or not at all
+        toxic = i % 4 == 0
+        text = " ".join(f"word{(i * 7 + k) % 97}" for k in range(20)) + (" moron" if toxic else " moron" * 5 if i % 8 == 1 else "")
+        rows.append((i, text))
+        labels.append((i, 1, int(toxic)))
+    seen = []
+    fit = Q.Boosted.fit
+    monkeypatch.setattr(Q.Boosted, "fit", lambda self, x, y: seen.append(x) or fit(self, x, y))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = Q.fit(spark, docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), Q.Scratch(spark, "quality-test"))
+    scored = []
+    for tree in filter(None, model.trees.values()):
+        tree.predict = lambda x: scored.append(x) or np.full(len(x), 0.5)
+    model.evidence([t for _, t in rows])
+    assert list(model.lex) == [b"moron"] and seen[0][:, 13].max() == 5
+    assert sorted(map(tuple, seen[0])) == sorted(map(tuple, scored[0]))

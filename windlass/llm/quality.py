@@ -45,17 +45,20 @@ def shape(text: str | None, tokens: list[bytes]) -> list[float]:
     ]
 
 
-def _hits(tokens: list[bytes], lexicon: dict[bytes, float]) -> list[float]:
-    found = [w for w in tokens if w in lexicon] if lexicon else []
-    return [float(len(set(found))), float(len(found)), len(found) / max(1, len(tokens)), sum(lexicon[w] for w in set(found))]
+def _hits(found: dict[bytes, int], n: int, lexicon: dict[bytes, float]) -> list[float]:
+    """Lexicon features from the counts of the lexicon words in a text of n tokens, for fitting and scoring alike."""
+    total = sum(found.values())
+    return [float(len(found)), float(total), total / max(1, n), sum(lexicon[w] for w in sorted(found))]
 
 
 def _labelled(batches):
     for piece in slices(batches):
         texts = piece.column(0).to_pylist()
         tokens = [words(t) for t in texts]
-        terms = pa.array([[w.decode("utf-8", "replace") for w in set(t)] for t in tokens], pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays([piece.column(1), piece.column(2), pa.array([shape(x, t) for x, t in zip(texts, tokens)], pa.list_(pa.float64())), terms], names=["bad", "toxic", "shape", "terms"])
+        counts = [Counter(w.decode("utf-8", "replace") for w in t) for t in tokens]
+        terms = pa.array([[{"w": w, "c": k} for w, k in c.items()] for c in counts], pa.list_(pa.struct([("w", pa.string()), ("c", pa.int64())])))
+        sizes = pa.array([len(t) for t in tokens], pa.int64())
+        yield pa.RecordBatch.from_arrays([piece.column(1), piece.column(2), pa.array([shape(x, t) for x, t in zip(texts, tokens)], pa.list_(pa.float64())), sizes, terms], names=["bad", "toxic", "shape", "n", "terms"])
 
 
 def lexicon(train: DataFrame) -> dict[bytes, float]:
@@ -63,7 +66,7 @@ def lexicon(train: DataFrame) -> dict[bytes, float]:
     n1, n0 = train.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     if not n1 or not n0:
         return {}
-    c = train.select("toxic", F.explode("terms").alias("w")).groupBy("w").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).filter(F.col("a") >= MIN_SUPPORT)
+    c = train.select("toxic", F.explode("terms.w").alias("w")).groupBy("w").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).filter(F.col("a") >= MIN_SUPPORT)
     odds = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
     e = (F.col("a") + F.col("b")) * n1 / (n1 + n0)
     top = c.filter(odds > 0).select("w", odds.alias("odds"), (F.col("a") * F.log(F.col("a") / e)).alias("g")).orderBy(F.desc("g"), "w").limit(MAX_LEXICON).collect()
@@ -80,7 +83,7 @@ class Classifier:
         rows = []
         for t in texts:
             tokens = words(t)
-            rows.append(shape(t, tokens) + _hits(tokens, self.lex))
+            rows.append(shape(t, tokens) + _hits(Counter(w for w in tokens if w in self.lex), len(tokens), self.lex))
         x, out = np.array(rows).reshape(len(texts), -1), {}
         for fault in FAULTS:
             if self.trees[fault] is None:
@@ -95,11 +98,11 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratc
     sample = labels.filter("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg((1 - F.min("quality")).cast("long").alias("bad"), F.max("toxic").cast("long").alias("toxic"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)  # at most max_labelled rows of 24 bytes
     train = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id").select("text", "bad", "toxic")
-    train = scratch.table(train.mapInArrow(_labelled, "bad long, toxic long, shape array<double>, terms array<string>").limit(max_labelled), "train")
+    train = scratch.table(train.mapInArrow(_labelled, "bad long, toxic long, shape array<double>, n long, terms array<struct<w:string,c:long>>").limit(max_labelled), "train")
     lex = lexicon(train)
     known = F.array(*[F.lit(w.decode()) for w in lex]).cast("array<string>")
-    rows = train.select("bad", "toxic", "shape", F.array_intersect("terms", known).alias("hits")).orderBy(F.xxhash64("shape"), F.xxhash64("bad", "toxic")).collect()
-    x = np.array([r.shape + [float(len(r.hits)), float(len(r.hits)), len(r.hits) / max(1.0, r.shape[0] * r.shape[2]), sum(lex[h.encode()] for h in r.hits)] for r in rows])
+    rows = train.select("bad", "toxic", "shape", "n", F.filter("terms", lambda t: F.array_contains(known, t["w"])).alias("hits")).orderBy(F.xxhash64("shape"), F.xxhash64("bad", "toxic")).collect()
+    x = np.array([r.shape + _hits({h.w.encode(): h.c for h in r.hits}, r.n, lex) for r in rows])
     trees: dict[str, Boosted | None] = {}
     prior = {}
     for fault in FAULTS:
