@@ -32,3 +32,21 @@ def test_redacted():
     m = pii.model()
     text = "to a@b.com now"
     assert pii.redacted(text, pii.spans(text, *m)) == "to [EMAIL] now"
+
+
+def test_obfuscated_addresses_of_every_form():
+    m = pii.model()
+    for form in ("john {at} example.com", "john [ at ] example.com", "john ( at ) example.com", "john{AT}example{DOT}com", "jane.doe [at] example [dot] com", "jane%doe (at) example (dot) com"):
+        text = f"write to mail: {form} today"
+        assert ("email", 15, 15 + len(form)) in pii.candidates(text), form
+        assert pii.redacted(text, pii.spans(text, *m)) == "write to mail: [EMAIL] today", form
+    assert ("email", 3, 22) in pii.candidates("so john at example.com is")
+    assert list(pii._obfuscated(" [at] x.y a at b at c.d")) == [(15, 23)]
+
+
+def test_candidates_across_base_spans_are_kept():
+    m = pii.model()
+    text = "contact mail: jane [at] example [dot] 10.20.30.40 now"
+    found = pii.spans(text, *m)
+    assert [(x["kind"], x["base"]) for x in found if x["base"]] == [("ip", True)]
+    assert "jane" not in pii.redacted(text, found)

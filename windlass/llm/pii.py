@@ -1,8 +1,8 @@
 """Personal data: fixed formats, further candidates from high-recall generators, and boosted trees that select them.
 
 The base spans (fixed formats, checked by range, Luhn or digit count) always stay. Generators propose overlapping spans
-of looser formats; boosted trees score each by format and context, a threshold per kind, calibrated to a precision on
-held-out rows, admits them, and the best of overlapping admitted spans remains. The trees are fitted on TRAIN_ROWS
+of looser formats, also across base spans (only those within one are left out); boosted trees score each by format and context, a threshold per kind, calibrated to a precision on
+held-out rows, admits them, and the best of overlapping admitted spans remains, beside any base span. The trees are fitted on TRAIN_ROWS
 synthetic labelled candidates (a seeded, documented bound), so they don't depend on the corpus.
 
 Defined results: a null or empty text has no spans; repeated rows are treated alike; spans are in code points, end
@@ -37,7 +37,9 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
-_AT_DOT = re.compile(r"[A-Za-z0-9_+-]{1,64}(?: ?[(\[{] ?at ?[)\]}] ?| at )[A-Za-z0-9-]{1,64}(?:(?: ?[(\[{] ?dot ?[)\]}] ?| dot |\.)[A-Za-z0-9-]{1,64})+", re.I)
+# What follows the local part of an obfuscated address; the local part itself is read backwards from here.
+_AT_DOT = re.compile(r"(?: ?[(\[{] ?at ?[)\]}] ?| at )[A-Za-z0-9-]{1,64}(?:(?: ?[(\[{] ?dot ?[)\]}] ?| dot |\.)[A-Za-z0-9-]{1,64})+", re.I)
+_AT = ("(at", "[at", "{at", "( at", "[ at", "{ at", " at ")  # one of these is in every match, whatever its case
 _IP6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Za-z:])")
 _LOOSE_CARD = re.compile(r"(?<![0-9])[0-9]{4}(?:[ ./_-]{0,2}[0-9]{2,6}){2,4}(?![0-9])")
 _LOOSE_PHONE = re.compile(r"(?<![0-9+])(?:00[1-9][0-9]{0,2}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ ./-]{1,2}[0-9]{3,4}[ ./-][0-9]{3,4}(?![0-9])")
@@ -86,11 +88,25 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _obfuscated(text: str):
+    done = at = 0
+    while m := _AT_DOT.search(text, at):
+        start = m.start()
+        while start > done and not _NOT_LOCAL.match(text[start - 1]):
+            start -= 1
+        if start < m.start():
+            yield start, m.end()
+            done = at = m.end()
+        else:
+            at = m.start() + 1
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """High-recall, overlapping; each generator looks only where its rarest part occurs."""
     out = []
-    if "dot" in text or "DOT" in text or "Dot" in text or "[at]" in text.lower() or "(at)" in text.lower():
-        out += [("email", m.start(), m.end()) for m in _AT_DOT.finditer(text)]
+    lower = text.lower()
+    if any(x in lower for x in _AT):
+        out += [("email", s, e) for s, e in _obfuscated(text)]
     if text.count(":") >= 2:
         out += [("ip", m.start(), m.end()) for m in _IP6.finditer(text)]
     if _DIGIT.search(text):
@@ -108,7 +124,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     return [
         *(float(kind == k) for k in KINDS), len(s), len(digits), float(bool(digits) and luhn(digits)), float(len(set(seps))), len(seps), len(groups), max(groups, default=0), min(groups, default=0),
         len(set(digits)), float(digits[:1] in ("3", "4", "5", "6")), *(float(any(h in before for h in _HINTS[k])) for k in KINDS), float(before[-1:].isalnum()), float(after[:1].isalnum()),
-        sum(c.isdigit() for c in before), sum(c.isdigit() for c in after), float("(" in s or "[" in s), float(" dot " in s.lower()), float(" at " in s.lower()), float(before.rstrip()[-1:] in ("+", "=", "#", "$", "/")),
+        sum(c.isdigit() for c in before), sum(c.isdigit() for c in after), float("(" in s or "[" in s or "{" in s), float(" dot " in s.lower()), float(" at " in s.lower()), float(before.rstrip()[-1:] in ("+", "=", "#", "$", "/")),
     ]
 
 
@@ -120,8 +136,8 @@ def _synthetic(rng: random.Random) -> tuple[str, str, int, int, int]:
     sep = rng.choice([" ", "-", "."])
     if kind == "email":
         if good:
-            a, d = rng.choice([(" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), (" [at] ", "."), ("[at]", ".")])
-            s = f"{word()}{rng.choice(['', num(2)])}{a}{word()}{d}{rng.choice(['com', 'org', 'net', 'de', 'fr', 'es'])}"
+            a, d = rng.choice([(" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), (" [at] ", "."), ("[at]", "."), (" {at} ", "."), ("{at}", "{dot}"), (" [ at ] ", "."), (" ( at ) ", " ( dot ) ")])
+            s = f"{word()}{rng.choice(['', num(2), '.' + word()])}{a}{word()}{d}{rng.choice(['com', 'org', 'net', 'de', 'fr', 'es'])}"
         else:
             s = rng.choice([f"{word()} at {word()}.{word()}", f"{word()} at {word()}.{num(2)}", f"{word()} at {word()}.{word()}.{word()}"])
     elif kind == "ip":
@@ -166,9 +182,9 @@ def spans(text: str | None, trees: Boosted, limits: dict[str, float]) -> list[di
     if cands := candidates(text):
         starts = np.array([s for s, _ in taken] or [len(text) + 1])
         reach = np.maximum.accumulate([e for _, e in taken] or [0])
-        for c in cands:  # those that touch a base span add nothing
-            i = int(np.searchsorted(starts, c[2])) - 1
-            if i < 0 or reach[i] <= c[1]:
+        for c in cands:  # those within a base span add nothing
+            i = int(np.searchsorted(starts, c[1], "right")) - 1
+            if i < 0 or reach[i] < c[2]:
                 free.append(c)
     if free:
         scored = zip(trees.predict(np.array([features(text, *c) for c in free])).tolist(), free)
