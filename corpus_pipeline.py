@@ -42,9 +42,9 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text."""
-    coded = spm.encode(docs.select(COLUMNS), keep_text=False)
-    return coded.select("doc_id", "lang", "source", "n_chars", F.when(F.col("ids").isNotNull(), F.size("ids")).cast("long").alias("n_tokens"), "ids")
+    """Token ids of each text, and whether decoding them gives the text again."""
+    coded = spm.encode(docs.select(COLUMNS), check=True, keep_text=False)
+    return coded.select("doc_id", "lang", "source", "n_chars", F.when(F.col("ids").isNotNull(), F.size("ids")).cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [

@@ -51,3 +51,9 @@ def test_empty(spark, tmp_path):
     e = lambda *cols: {c: pa.array([], k) for c, k in cols}
     _write(tmp_path, e(("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())), e(("doc_id", pa.int64()), ("quality", pa.int32()), ("toxic", pa.int32())), e(("item_id", pa.int64()), ("text", pa.string())))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_tokens_are_decoded_again(spark):
+    rows = [(1, "two  blanks and Ünïcode", "en", "s", 23), (2, "", "en", "s", 0), (3, None, "en", "s", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id: r.round_trip for r in corpus_pipeline.tokenize(spark, docs, "").collect()} == {1: True, 2: True, 3: None}
