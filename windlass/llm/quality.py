@@ -73,6 +73,20 @@ def lexicon(train: DataFrame) -> dict[bytes, float]:
     return {r.w.encode(): r.odds for r in top if r.g >= LEXICON_SHARE * top[0].g}
 
 
+def _with_hits(lex: dict[bytes, float]):
+    known = {w.decode(): w for w in lex}
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                found = [{known[t["w"]]: t["c"] for t in terms if t["w"] in known} for terms in part.column(4).to_pylist()]
+                hits = pa.array([_hits(f, n, lex) for f, n in zip(found, part.column(3).to_pylist())], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], hits], names=["bad", "toxic", "shape", "hits"])
+
+    return run
+
+
 class Classifier:
     """Evidence of both faults; None in place of trees where a class has no label."""
 
@@ -100,9 +114,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratc
     train = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id").select("text", "bad", "toxic")
     train = scratch.table(train.mapInArrow(_labelled, "bad long, toxic long, shape array<double>, n long, terms array<struct<w:string,c:long>>").limit(max_labelled), "train")
     lex = lexicon(train)
-    known = F.array(*[F.lit(w.decode()) for w in lex]).cast("array<string>")
-    rows = train.select("bad", "toxic", "shape", "n", F.filter("terms", lambda t: F.array_contains(known, t["w"])).alias("hits")).orderBy(F.xxhash64("shape"), F.xxhash64("bad", "toxic")).collect()
-    x = np.array([r.shape + _hits({h.w.encode(): h.c for h in r.hits}, r.n, lex) for r in rows])
+    rows = train.select("bad", "toxic", "shape", "n", "terms").mapInArrow(_with_hits(lex), "bad long, toxic long, shape array<double>, hits array<double>").orderBy(F.xxhash64("shape"), F.xxhash64("bad", "toxic")).collect()
+    x = np.array([r.shape + r.hits for r in rows])
     trees: dict[str, Boosted | None] = {}
     prior = {}
     for fault in FAULTS:
