@@ -248,18 +248,20 @@ def dns_node(edges: DataFrame, keys: Sequence[str] = KEYS, order: str = "win", m
     return found.withColumn("dns", F.last("dns", ignorenulls=True).over(w))
 
 
-def largest_component(edges: DataFrame, rounds: int, keys: Sequence[str] = KEYS) -> DataFrame:
+def largest_component(edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """(*keys, node) of each graph's largest undirected component; the one of the least name among equals.
 
-    Labels spread over min labels and are halved each round; rounds must reach log2 of the longest shortest path.
+    Least labels spread to neighbours and are halved each round, until a round changes none.
     """
     both = cut(edges.select(*keys, F.col("src").alias("u"), F.col("dst").alias("v")).union(edges.select(*keys, F.col("dst").alias("u"), F.col("src").alias("v"))).distinct())
-    label = cut(nodes_of(edges, keys).withColumn("label", F.col("node")))
-    for _ in range(rounds):
+    label, changed = cut(nodes_of(edges, keys).withColumn("label", F.col("node"))), True
+    while changed:
         near = both.join(label.select(*keys, F.col("node").alias("v"), F.col("label").alias("l")), [*keys, "v"]).groupBy(*keys, F.col("u").alias("node")).agg(F.min("l").alias("l"))
-        label = cut(label.join(near, [*keys, "node"], "left").select(*keys, "node", F.least("label", F.coalesce("l", "label")).alias("label")))
-        up = label.select(*keys, F.col("node").alias("label"), F.col("label").alias("up"))
-        label = cut(label.join(up, [*keys, "label"]).select(*keys, "node", F.col("up").alias("label")))
+        low = cut(label.join(near, [*keys, "node"], "left").select(*keys, "node", F.col("label").alias("old"), F.least("label", F.coalesce("l", "label")).alias("label")))
+        up = low.select(*keys, F.col("node").alias("label"), F.col("label").alias("up"))
+        jumped = cut(low.join(up, [*keys, "label"]).select(*keys, "node", "old", F.col("up").alias("label")))
+        changed = jumped.filter("old <> label").limit(1).count() > 0
+        label = jumped.drop("old")
     size = label.groupBy(*keys, "label").agg(F.count("*").alias("n"))
     best = size.groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("label"))).alias("m")).select(*keys, F.col("m.label").alias("label"))
     return label.join(best, [*keys, "label"]).select(*keys, "node")

@@ -27,12 +27,17 @@ def simple_paths(edges: DataFrame, start: Sequence[str], goal: str, max_hops: in
     return found.orderBy(F.size("path"), "path").limit(limit) if limit else found
 
 
-def reachable(edges: DataFrame, max_hops: int) -> DataFrame:
-    """Transitive closure (src, dst) of up to max_hops steps, each doubling the length reached."""
-    out, reach = cut(edges.select("src", "dst").distinct()), 1
-    while reach < max_hops:
+def reachable(edges: DataFrame) -> DataFrame:
+    """Transitive closure (src, dst), each round doubling the length reached until no pair is new.
+
+    The result has a row for each connected pair by definition, so its size is that of the answer.
+    """
+    out = cut(edges.select("src", "dst").filter("src is not null and dst is not null").distinct())
+    before, now = -1, out.count()
+    while now != before:
         step = out.alias("a").join(out.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        out, reach = cut(out.union(step).distinct()), reach * 2
+        out = cut(out.union(step).distinct())
+        before, now = now, out.count()
     return out
 
 
@@ -48,7 +53,7 @@ def vip_alternatives(steps: DataFrame, pairs: DataFrame, goal: str = "internet")
     pairs lists (src, vip_of), src 'ALL' for any. Towards the goal there is none; a listed pair leads to that
     service's VIP; else both services' VIPs are alternatives. Leaving the VIP out is always one more.
     """
-    vip = lambda c: F.regexp_replace(c, "(_pod)?$", "_vip")
+    vip = lambda c: F.concat(F.regexp_replace(c, "_pod$", ""), F.lit("_vip"))
     bare = lambda c: F.regexp_replace(c, "_pod$", "")
     p = pairs.select(F.col("src").alias("_s"), F.col("vip_of").alias("_v")).distinct()
     fwd = steps.join(p, bare(F.col("b")) == F.col("_v"), "left").withColumn("f", F.coalesce((F.col("_s") == "ALL") | (F.col("_s") == bare(F.col("a"))), F.lit(False)))

@@ -28,8 +28,8 @@ e AS (SELECT win, src, dst, CAST(sum(frames) AS BIGINT) AS frames, CAST(sum(weig
 n AS (SELECT n_name AS node, r_name AS svc, n_name = min(n_name) OVER (PARTITION BY r_name) AS is_vip FROM nation JOIN region ON r_regionkey = n_regionkey)"""
 EVENTS = """ev AS (SELECT event_id, user_id AS pod, user_id % 6 AS svc, CAST(floor(epoch(ts) - epoch(TIMESTAMP '2024-01-01')) AS BIGINT) AS t, CAST(round(value * 100) AS BIGINT) AS weight, value, event_type AS kind FROM events),
 b AS (SELECT event_id, CAST(floor(t / 21600) AS BIGINT) AS win, pod % 4 AS path, value AS score, CAST(kind = 'error' AS INTEGER) AS label FROM ev)"""
-OUT = ("FRANCE", "CHINA", "PERU")
-GATEWAY = "KENYA"
+OUT = ("NATION_3", "NATION_18", "NATION_19")
+GATEWAY = "NATION_20"
 
 
 def query(sql: str | None = None):
@@ -99,9 +99,9 @@ def weight_normalise(spark, d):
     return G.normalised(G.with_inverse(_edges(spark, d))).withColumns({"inverse_weight": F.round("inverse_weight", 12), "share": F.round("share", 9)})
 
 
-@query(f"WITH {FLOWS} SELECT win, CAST(sum(CASE WHEN dst = 'FRANCE' THEN frames ELSE 0 END) AS BIGINT) AS out_frames, CAST(sum(CASE WHEN dst = 'FRANCE' THEN weight ELSE 0 END) AS BIGINT) AS out_weight FROM e GROUP BY win")
+@query(f"WITH {FLOWS} SELECT win, CAST(sum(CASE WHEN dst = 'NATION_3' THEN frames ELSE 0 END) AS BIGINT) AS out_frames, CAST(sum(CASE WHEN dst = 'NATION_3' THEN weight ELSE 0 END) AS BIGINT) AS out_weight FROM e GROUP BY win")
 def outbound_total(spark, d):
-    return G.outbound(_edges(spark, d), "FRANCE")
+    return G.outbound(_edges(spark, d), "NATION_3")
 
 
 @query(f"WITH {FLOWS}, v AS (SELECT win, src AS node FROM e UNION SELECT win, dst FROM e), c AS (SELECT win, count(*) AS n FROM v GROUP BY win), m AS (SELECT win, count(*) AS m FROM e GROUP BY win) SELECT win, m, n, round(CASE WHEN n > 1 THEN m / (n * (n - 1.0)) ELSE 0 END, 6) AS density FROM m JOIN c USING (win)")
@@ -139,19 +139,19 @@ def node_metric_by_service(spark, d):
 
 
 _HUB = """h AS (SELECT v.win, v.node, coalesce(i.weight, 0) AS w_in, coalesce(o.weight, 0) AS w_out FROM (SELECT win, src AS node FROM e UNION SELECT win, dst FROM e) v
-  LEFT JOIN e i ON i.win = v.win AND i.src = v.node AND i.dst = 'JAPAN' LEFT JOIN e o ON o.win = v.win AND o.dst = v.node AND o.src = 'JAPAN')"""
+  LEFT JOIN e i ON i.win = v.win AND i.src = v.node AND i.dst = 'NATION_8' LEFT JOIN e o ON o.win = v.win AND o.dst = v.node AND o.src = 'NATION_8')"""
 
 
 @query(f"WITH {FLOWS}, {_HUB} SELECT * FROM h")
 def hub_in_out_map(spark, d):
-    return G.hub_maps(_edges(spark, d), "JAPAN")
+    return G.hub_maps(_edges(spark, d), "NATION_8")
 
 
-@query(f"""WITH {FLOWS}, {_HUB}, r AS (SELECT win, sum(CASE WHEN node = 'FRANCE' THEN w_out ELSE 0 END) AS o, sum(CASE WHEN node <> 'FRANCE' THEN w_in ELSE 0 END) AS i FROM h GROUP BY win)
+@query(f"""WITH {FLOWS}, {_HUB}, r AS (SELECT win, sum(CASE WHEN node = 'NATION_3' THEN w_out ELSE 0 END) AS o, sum(CASE WHEN node <> 'NATION_3' THEN w_in ELSE 0 END) AS i FROM h GROUP BY win)
 SELECT win, round(o / nullif(i, 0), 6) AS value, CASE WHEN i <> 0 THEN 'ok' WHEN o > 0 THEN 'inf' ELSE 'nan' END AS state FROM r""")
 def hub_ratio(spark, d):
-    h = G.hub_maps(_edges(spark, d), "JAPAN")
-    r = h.groupBy("win").agg(F.sum(F.when(F.col("node") == "FRANCE", F.col("w_out")).otherwise(0)).alias("o"), F.sum(F.when(F.col("node") != "FRANCE", F.col("w_in")).otherwise(0)).alias("i"))
+    h = G.hub_maps(_edges(spark, d), "NATION_8")
+    r = h.groupBy("win").agg(F.sum(F.when(F.col("node") == "NATION_3", F.col("w_out")).otherwise(0)).alias("o"), F.sum(F.when(F.col("node") != "NATION_3", F.col("w_in")).otherwise(0)).alias("i"))
     r = r.select("win", X.ratio(F.col("o"), F.col("i")).alias("r"))
     return r.select("win", F.round("r.value", 6).alias("value"), F.col("r.state").alias("state"))
 
@@ -415,14 +415,14 @@ def overlap_score(spark, d):
 
 # --- features ----------------------------------------------------------------------------------------------------
 
-_FEATURES = "ft AS (SELECT win, src || '_weight' AS metric, CAST(sum(weight) AS DOUBLE) AS value FROM e GROUP BY ALL)"
+_FEATURES = "ft AS (SELECT win, src || '_weight' AS metric, sum(weight) / 100.0::DOUBLE AS value FROM e GROUP BY ALL)"
 
 
 def _features(spark, d):
-    return A.flows(spark, d).groupBy("win", F.concat("src", F.lit("_weight")).alias("metric")).agg(F.sum("weight").cast("double").alias("value"))
+    return A.flows(spark, d).groupBy("win", F.concat("src", F.lit("_weight")).alias("metric")).agg((F.sum("weight") / 100.0).alias("value"))
 
 
-@query(f"""WITH {FLOWS}, {_FEATURES}, q AS (SELECT metric, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS m, quantile_cont(value, 0.75) AS z FROM ft WHERE win < 20 GROUP BY metric)
+@query(f"""WITH {FLOWS}, {_FEATURES.replace('ft AS', 'raw AS')}, ft AS (SELECT win, metric, greatest(-1e9, least(1e9, value)) AS value FROM raw), q AS (SELECT metric, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS m, quantile_cont(value, 0.75) AS z FROM ft WHERE win < 20 GROUP BY metric)
 SELECT win, metric, round(greatest(-100, least(100, (value - m) / CASE WHEN z - a <> 0 THEN z - a ELSE 1 END)), 6) AS value FROM ft JOIN q USING (metric)""")
 def robust_scale(spark, d):
     return _round(M.robust_scaled(_features(spark, d), F.col("win") < 20), "value").select("win", "metric", "value")
@@ -434,15 +434,15 @@ def median_impute(spark, d):
     return _round(M.imputed(x), "value")
 
 
-_THREE = ("FRANCE_weight", "CHINA_weight", "KENYA_weight")
+_THREE = ("NATION_3_weight", "NATION_18_weight", "NATION_20_weight")
 
 
-@query(f"WITH {FLOWS}, {_FEATURES} SELECT win, max(value) FILTER (metric = 'FRANCE_weight') AS FRANCE_weight, max(value) FILTER (metric = 'CHINA_weight') AS CHINA_weight, max(value) FILTER (metric = 'KENYA_weight') AS KENYA_weight FROM ft GROUP BY win")
+@query(f"WITH {FLOWS}, {_FEATURES} SELECT win, max(value) FILTER (metric = 'NATION_3_weight') AS NATION_3_weight, max(value) FILTER (metric = 'NATION_18_weight') AS NATION_18_weight, max(value) FILTER (metric = 'NATION_20_weight') AS NATION_20_weight FROM ft GROUP BY win")
 def feature_pivot(spark, d):
     return M.wide(_features(spark, d), _THREE)
 
 
-@query(f"WITH {FLOWS}, {_FEATURES}, w AS (SELECT DISTINCT win FROM ft) SELECT w.win, m.metric, ft.value FROM w CROSS JOIN (VALUES ('FRANCE_weight'), ('CHINA_weight'), ('KENYA_weight')) m(metric) LEFT JOIN ft ON ft.win = w.win AND ft.metric = m.metric")
+@query(f"WITH {FLOWS}, {_FEATURES}, w AS (SELECT DISTINCT win FROM ft) SELECT w.win, m.metric, ft.value FROM w CROSS JOIN (VALUES ('NATION_3_weight'), ('NATION_18_weight'), ('NATION_20_weight')) m(metric) LEFT JOIN ft ON ft.win = w.win AND ft.metric = m.metric")
 def feature_unpivot(spark, d):
     return M.long(feature_pivot(spark, d), _THREE)
 
@@ -470,11 +470,11 @@ def _links(spark, d):
     return _edges(spark, d).select("src", "dst").distinct().filter("src <> dst")
 
 
-_PATHS = "RECURSIVE {flows}, {links}, p AS (SELECT [src, dst] AS path, dst FROM k WHERE src IN ('FRANCE', 'BRAZIL') UNION ALL SELECT list_append(path, k.dst), k.dst FROM p JOIN k ON k.src = p.dst WHERE NOT list_contains(path, k.dst) AND p.dst <> 'JAPAN' AND len(path) < 4), paths AS (SELECT path FROM p WHERE dst = 'JAPAN')".format(flows=FLOWS, links=_LINKS)
+_PATHS = "RECURSIVE {flows}, {links}, p AS (SELECT [src, dst] AS path, dst FROM k WHERE src IN ('NATION_3', 'NATION_15') UNION ALL SELECT list_append(path, k.dst), k.dst FROM p JOIN k ON k.src = p.dst WHERE NOT list_contains(path, k.dst) AND p.dst <> 'NATION_8' AND len(path) < 4), paths AS (SELECT path FROM p WHERE dst = 'NATION_8')".format(flows=FLOWS, links=_LINKS)
 
 
 def _paths(spark, d):
-    return P.simple_paths(_links(spark, d), ["FRANCE", "BRAZIL"], "JAPAN", 3)
+    return P.simple_paths(_links(spark, d), ["NATION_3", "NATION_15"], "NATION_8", 3)
 
 
 @query(f"WITH {_PATHS} SELECT path FROM paths")
@@ -484,7 +484,7 @@ def path_enumeration(spark, d):
 
 @query(f"WITH RECURSIVE {FLOWS}, {_LINKS}, r AS (SELECT src, dst FROM k UNION SELECT r.src, k.dst FROM r JOIN k ON k.src = r.dst) SELECT src, dst FROM r")
 def reachability(spark, d):
-    return P.reachable(_links(spark, d), 32)
+    return P.reachable(_links(spark, d))
 
 
 _IDS = "i AS (SELECT array_to_string(path, '>') AS path_id, list_transform(path, lambda x: lower(x) || '_pod') AS path FROM paths), h AS (SELECT path_id, unnest(range(0, len(path) - 1)) AS hop, path FROM i), s AS (SELECT path_id, CAST(hop AS INTEGER) AS hop, path[hop + 1] AS a, path[hop + 2] AS b FROM h)"
@@ -495,12 +495,12 @@ def _pods(spark, d):
 
 
 @query(f"""WITH {_PATHS}, {_IDS}, t AS (SELECT path_id, hop, a, b, replace(a, '_pod', '') AS x, replace(b, '_pod', '') AS y FROM s),
-o AS (SELECT path_id, hop, a, b, CASE WHEN b = 'japan_pod' THEN [NULL] WHEN y = 'china' OR (x = 'france' AND y = 'kenya') OR (x = 'brazil' AND y = 'peru') THEN [y || '_vip', NULL]
-  WHEN (x = 'peru' AND y = 'brazil') OR (x = 'kenya' AND y = 'france') THEN [x || '_vip', NULL] ELSE [x || '_vip', y || '_vip', NULL] END AS v FROM t)
+o AS (SELECT path_id, hop, a, b, CASE WHEN b = 'nation_8_pod' THEN [NULL] WHEN y = 'nation_18' OR (x = 'nation_3' AND y = 'nation_20') OR (x = 'nation_15' AND y = 'nation_19') THEN [y || '_vip', NULL]
+  WHEN (x = 'nation_19' AND y = 'nation_15') OR (x = 'nation_20' AND y = 'nation_3') THEN [x || '_vip', NULL] ELSE [x || '_vip', y || '_vip', NULL] END AS v FROM t)
 SELECT path_id, hop, a, b, unnest(v) AS vip FROM o""")
 def vip_expansion(spark, d):
-    pairs = spark.createDataFrame([("ALL", "china"), ("france", "kenya"), ("brazil", "peru")], "src string, vip_of string")
-    return P.vip_alternatives(P.hops(_pods(spark, d)), pairs, "japan_pod")
+    pairs = spark.createDataFrame([("ALL", "nation_18"), ("nation_3", "nation_20"), ("nation_15", "nation_19")], "src string, vip_of string")
+    return P.vip_alternatives(P.hops(_pods(spark, d)), pairs, "nation_8_pod")
 
 
 @query(f"""WITH {_PATHS}, {_IDS}, g AS (SELECT path_id, list_transform(path, lambda x, j: CASE WHEN j = 2 AND len(path) > 2 THEN replace(path[1], '_pod', '_vip') ELSE x END) AS path FROM i), m AS (SELECT path_id, path, CAST(unnest(range(0, len(path))) AS INTEGER) AS hop FROM g),
@@ -513,13 +513,13 @@ def concrete_hops(spark, d):
     return P.concrete_hops(p.select("path_id", vip.alias("path")))
 
 
-@query(f"""WITH {FLOWS}, h AS (SELECT win, 'FRANCE' AS src, 'JAPAN' AS dst, CAST(5000 + win * 3 AS BIGINT) AS b FROM (SELECT DISTINCT win FROM e) WHERE win % 2 = 0 UNION ALL SELECT win, 'JAPAN', 'internet', CAST(win * 10 AS BIGINT) FROM (SELECT DISTINCT win FROM e)),
+@query(f"""WITH {FLOWS}, h AS (SELECT win, 'NATION_3' AS src, 'NATION_8' AS dst, CAST(5000 + win * 3 AS BIGINT) AS b FROM (SELECT DISTINCT win FROM e) WHERE win % 2 = 0 UNION ALL SELECT win, 'NATION_8', 'internet', CAST(win * 10 AS BIGINT) FROM (SELECT DISTINCT win FROM e)),
 d AS (SELECT win, src, dst, b, b // 500 AS k FROM h WHERE b >= 60), u AS (SELECT * FROM e UNION ALL SELECT win, src, dst, k, b FROM d UNION ALL SELECT win, dst, src, k, k * 40 FROM d)
 SELECT win, src, dst, CAST(sum(frames) AS BIGINT) AS frames, CAST(sum(weight) AS BIGINT) AS weight FROM u GROUP BY ALL""")
 def inject_edges(spark, d):
     e = _edges(spark, d)
     w = e.select("win").distinct()
-    h = w.filter("win % 2 = 0").select("win", F.lit("FRANCE").alias("src"), F.lit("JAPAN").alias("dst"), (F.col("win") * 3 + 5000).alias("bytes")).union(w.select("win", F.lit("JAPAN").alias("src"), F.lit("internet").alias("dst"), (F.col("win") * 10).alias("bytes")))
+    h = w.filter("win % 2 = 0").select("win", F.lit("NATION_3").alias("src"), F.lit("NATION_8").alias("dst"), (F.col("win") * 3 + 5000).alias("bytes")).union(w.select("win", F.lit("NATION_8").alias("src"), F.lit("internet").alias("dst"), (F.col("win") * 10).alias("bytes")))
     return P.inject(e, h)
 
 
@@ -540,11 +540,11 @@ def result_sort(spark, d):
 _MIX = "x AS (SELECT src AS mix, dst AS part, sum(weight) / sum(sum(weight)) OVER (PARTITION BY src) AS share FROM f GROUP BY src, dst)"
 
 
-@query(f"WITH {FLOWS}, {_MIX}, g AS (SELECT a.mix, p.part FROM (SELECT DISTINCT mix FROM x) a CROSS JOIN (SELECT DISTINCT part FROM x) p) SELECT g.mix, round(sqrt(sum(pow(coalesce(x.share, 0) - coalesce(b.share, 0), 2))), 6) AS distance FROM g LEFT JOIN x ON x.mix = g.mix AND x.part = g.part LEFT JOIN x b ON b.mix = 'FRANCE' AND b.part = g.part GROUP BY g.mix")
+@query(f"WITH {FLOWS}, {_MIX}, g AS (SELECT a.mix, p.part FROM (SELECT DISTINCT mix FROM x) a CROSS JOIN (SELECT DISTINCT part FROM x) p) SELECT g.mix, round(sqrt(sum(pow(coalesce(x.share, 0) - coalesce(b.share, 0), 2))), 6) AS distance FROM g LEFT JOIN x ON x.mix = g.mix AND x.part = g.part LEFT JOIN x b ON b.mix = 'NATION_3' AND b.part = g.part GROUP BY g.mix")
 def mix_distance(spark, d):
     w = A.flows(spark, d).groupBy(F.col("src").alias("mix"), F.col("dst").alias("part")).agg(F.sum("weight").alias("w"))
     x = G.normalised(w.withColumnRenamed("w", "weight"), ["mix"])
-    return _round(R.mix_distance(x.select("mix", "part", "share"), "FRANCE", "mix", "part", "share"), "distance")
+    return _round(R.mix_distance(x.select("mix", "part", "share"), "NATION_3", "mix", "part", "share"), "distance")
 
 
 @query(f"WITH {EVENTS} SELECT pod % 4 AS path, kind AS metric, round(avg(value * length(kind)), 6) AS contribution, round(avg(value), 6) AS mean FROM ev GROUP BY ALL")
@@ -589,10 +589,10 @@ def bipartite_edges(spark, d):
     return G.bipartite(_edges(spark, d), A.nations(spark, d), "ASIA", "EUROPE")
 
 
-@query(f"WITH {FLOWS}, s AS (SELECT * FROM e), g AS (SELECT win, min(CASE WHEN node LIKE '%AN' THEN node END) AS x FROM (SELECT win, src AS node FROM s WHERE win % 3 <> 0 UNION SELECT win, dst FROM s WHERE win % 3 <> 0 UNION SELECT win, 'PERU' FROM s) GROUP BY win) SELECT win, last_value(x IGNORE NULLS) OVER (ORDER BY win ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS dns FROM g")
+@query(f"WITH {FLOWS}, s AS (SELECT * FROM e), g AS (SELECT win, min(CASE WHEN node LIKE '%4' THEN node END) AS x FROM (SELECT win, src AS node FROM s WHERE win % 3 <> 0 UNION SELECT win, dst FROM s WHERE win % 3 <> 0 UNION SELECT win, 'NATION_19' FROM s) GROUP BY win) SELECT win, last_value(x IGNORE NULLS) OVER (ORDER BY win ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS dns FROM g")
 def dns_carry(spark, d):
     s = _edges(spark, d)
-    name = lambda c: F.when(F.col("win") % 3 == 0, "PERU").otherwise(F.when(F.col(c).like("%AN"), F.concat(F.lit("kube-dns:"), c)).otherwise(F.col(c)))
+    name = lambda c: F.when(F.col("win") % 3 == 0, "NATION_19").otherwise(F.when(F.col(c).like("%4"), F.concat(F.lit("kube-dns:"), c)).otherwise(F.col(c)))
     found = G.dns_node(s.withColumns({"src": name("src"), "dst": name("dst")}))
     return found.select("win", F.replace("dns", F.lit("kube-dns:"), F.lit("")).alias("dns"))
 
@@ -601,7 +601,7 @@ def dns_carry(spark, d):
 r AS (SELECT win, a AS node, a AS l FROM u UNION SELECT r.win, u.b, r.l FROM r JOIN u ON u.win = r.win AND u.a = r.node), m AS (SELECT win, node, min(l) AS l FROM r GROUP BY ALL),
 z AS (SELECT win, l, row_number() OVER (PARTITION BY win ORDER BY count(*) DESC, l) AS k FROM m GROUP BY win, l) SELECT m.win, node FROM m JOIN z ON z.win = m.win AND z.l = m.l AND k = 1""")
 def largest_component(spark, d):
-    return G.largest_component(_edges(spark, d).select("win", "src", "dst"), 5)
+    return G.largest_component(_edges(spark, d).select("win", "src", "dst"))
 
 
 @query(f"WITH {FLOWS} SELECT node, min(win) AS first FROM (SELECT win, src AS node FROM e UNION ALL SELECT win, dst FROM e) GROUP BY node")
@@ -614,9 +614,9 @@ def service_members(spark, d):
     return G.members(A.nations(spark, d))
 
 
-@query(f"WITH {FLOWS}, x AS (SELECT win, svc, max(weight) AS top, sum(weight) AS w, count(*) AS c FROM e JOIN n ON node = src WHERE dst = 'JAPAN' AND src <> 'JAPAN' AND weight > 0 AND NOT is_vip GROUP BY ALL) SELECT win, round(sum(w) / sum(c), 4) AS mean, CAST(sum(top) AS BIGINT) AS top_sum FROM x GROUP BY win")
+@query(f"WITH {FLOWS}, x AS (SELECT win, svc, max(weight) AS top, sum(weight) AS w, count(*) AS c FROM e JOIN n ON node = src WHERE dst = 'NATION_8' AND src <> 'NATION_8' AND weight > 0 AND NOT is_vip GROUP BY ALL) SELECT win, round(sum(w) / sum(c), 4) AS mean, CAST(sum(top) AS BIGINT) AS top_sum FROM x GROUP BY win")
 def traffic_into_node(spark, d):
-    return _round(G.into_node(_edges(spark, d), A.nations(spark, d), "JAPAN"), "mean", places=4)
+    return _round(G.into_node(_edges(spark, d), A.nations(spark, d), "NATION_8"), "mean", places=4)
 
 
 @query(f"WITH {_PATHS}, {_IDS} SELECT path_id, hop, a, b, CASE WHEN hop % 2 = 0 THEN '?' ELSE a END AS initiator FROM (SELECT path_id, hop, a, CASE WHEN hop % 2 = 0 THEN b ELSE replace(b, '_pod', '_vip') END AS b FROM s)")
@@ -625,9 +625,9 @@ def hop_initiators(spark, d):
     return P.initiators(steps.withColumn("b", F.when(F.col("hop") % 2 == 0, F.col("b")).otherwise(F.replace("b", F.lit("_pod"), F.lit("_vip")))))
 
 
-@query(f"WITH {_PATHS} SELECT round(avg(CAST(list_contains(path, 'CHINA') AS INTEGER)), 6) AS share FROM paths")
+@query(f"WITH {_PATHS} SELECT round(avg(CAST(list_contains(path, 'NATION_18') AS INTEGER)), 6) AS share FROM paths")
 def path_share(spark, d):
-    return _round(P.goal_share(_paths(spark, d), "CHINA"), "share")
+    return _round(P.goal_share(_paths(spark, d), "NATION_18"), "share")
 
 
 # --- kernels and models (no SQL form) ----------------------------------------------------------------------------
@@ -645,7 +645,7 @@ def load_centrality(spark, d):
 
 @query()
 def current_flow(spark, d):
-    return K.centralities(_edges(spark, d), ["current_flow", "current_flow_subset", "current_flow_subset_raw", "betweenness_subset"], sources=["FRANCE", "BRAZIL"], targets=["JAPAN"])
+    return K.centralities(_edges(spark, d), ["current_flow", "current_flow_subset", "current_flow_subset_raw", "betweenness_subset"], sources=["NATION_3", "NATION_15"], targets=["NATION_8"])
 
 
 @query()
@@ -658,7 +658,7 @@ def _frame(spark, d):
     return M.wide(f.select("win", F.col("src").alias("metric"), "value"), _NATIONS).na.fill(0.0).withColumn("label", (F.col("win") % 5 == 0).cast("double"))
 
 
-_NATIONS = ("FRANCE", "CHINA", "KENYA", "JAPAN", "PERU", "BRAZIL")
+_NATIONS = ("NATION_3", "NATION_18", "NATION_20", "NATION_8", "NATION_19", "NATION_15")
 
 
 @query()
