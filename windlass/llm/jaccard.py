@@ -1,33 +1,35 @@
 """Jaccard join of shingle sets by parity sketches.
 
-A document's sketch is a row of D words; each shingle is XOR-ed into one of them, so the number of differing words of
-two sketches (their Hamming distance over words) is at most the symmetric difference of the sets. Within a size band
-that difference is at most d for linked documents, so with D > d words at least one agrees: the words are the join
-keys (pigeonhole). The members of a key are first held against
-one centre per key (a local centre per batch, so that a hot key isn't gathered in one task). Documents of
-equal sets are one class. Classes that candidates connect are a family; in a family, those outside its largest component so far are held against all of it, in blocks of
-bounded bytes within which intersections are counted as matrix products and only links that join components leave the
-task. Families of more than FAMILY classes do the same for each key instead. So no link between different sets is
-lost, and no pairs of a group are emitted. Verification counts exact intersections of the sets.
-
-Shingles are identified by 64-bit hashes, in the intersection by 32 bits of them.
+Each shingle is XOR-ed into a sketch, so sketches differ in no more places than the sets do: their Hamming distance is a
+lower bound of the symmetric difference. Within a size band that difference is at most d for linked documents. A sketch
+of D > d words of 64 bits then agrees in one word at least (pigeonhole): the words are the join keys. A sketch of some
+8 d single bits per document tells how far apart the two sets of a candidate pair are at least; only pairs within the
+reach of their sizes are verified, by exact intersections of the sets of 64-bit shingle hashes.
+
+Keys are packed by bucket. A batch holds its members of a key against their least document and sends that one alone on,
+a bucket does the same for all batches and goes on in pieces, so a hot key gathers nowhere. Documents of equal sets are
+one class. Each class is first verified against its nearest candidate, then pairs that still join different components.
+Classes that failed candidates connect are a family: there those outside its largest component are held against
+all of it by their bit sketches, in blocks of bounded rows and bytes, and members with any partner in reach once more by
+their sets; only links that join components leave a task. Families of more than FAMILY classes do the same for each key
+instead. So no link between different sets is lost, and no pairs of a group are emitted.
 
 Defined results: null, empty and wordless texts have no shingle and link with nothing; repeated rows with one id are
-one vertex; rows with a null id have no row in the result; other columns are ignored.
+one vertex (the least text); rows with a null id have no row in the result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, load, slices
 from .shingles import WordHashes, mix, sets
 
 _U = np.uint64
-FAMILY, BLOCK_BYTES = 16384, 2 << 20
+FAMILY, BLOCK_BYTES, BLOCK_ROWS, STAR, BUCKET_BYTES = 16384, 1 << 20, 1024, 512, 12 << 20
 
 
 class Bands:
@@ -73,78 +75,221 @@ def keys(s: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
-def _keyed(n: int, percent: int):
-    """Rows (key, a, b, n): for each document its set size n; for each key of a batch its least document a, and the others as a's members b."""
+def distance(n: int | np.ndarray, percent: int):
+    """The largest symmetric difference of linked sets with n members in both together."""
+    return n * (100 - percent) // (100 + percent)
+
+
+def sketch(s: np.ndarray, percent: int) -> bytes:
+    """A parity bit for each of a power of two of places, at least 8 for each member that linked sets may differ by."""
+    bits = max(64, 1 << int(8 * distance(2 * len(s), percent)).bit_length())
+    place = np.bincount((mix(s ^ _U(0x2127599BF4325C37)) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(place.astype(np.uint8)).tobytes()
+
+
+def _folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """Sketches of one length as rows of size bytes: halves are XOR-ed, as their places agree modulo the shorter length."""
+    x = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+    while x.shape[1] > size:
+        x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2:]
+    return x
+
+
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    return int(np.bitwise_xor.reduce(s, initial=0).astype(_U).view(np.int64)), int((mix(s).sum(dtype=_U) + _U(len(s))).view(np.int64))
+
+
+_PACK = "bucket int, doc long, n long, s1 long, s2 long, sketch binary, keys binary, at binary, ids binary, pairs binary"
+_KEYED = "doc long, n long, s1 long, s2 long, sketch binary, a long, b long"
+_PACK_PA = pa.schema([("bucket", pa.int32()), *((c, pa.int64()) for c in ("doc", "n", "s1", "s2")), *((c, pa.binary()) for c in ("sketch", "keys", "at", "ids", "pairs"))])
+_KEYED_PA = pa.schema([*((c, pa.int64()) for c in ("doc", "n", "s1", "s2")), ("sketch", pa.binary()), ("a", pa.int64()), ("b", pa.int64())])
+_LOW = _U((1 << 40) - 1)
+
+
+def _batch(schema: pa.Schema, rows: int, **cols) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(rows, f.type) for f in schema], schema=schema)
+
+
+def _stars(key: np.ndarray, doc: np.ndarray):
+    """Of (key, doc) rows: (key, least doc) of each key, and the distinct (least, other) pairs as an array of two columns."""
+    order = np.lexsort((doc, key))
+    key, doc = key[order], doc[order]
+    first = np.append(True, key[1:] != key[:-1])[:len(key)]
+    at = np.flatnonzero(first)
+    least = doc[np.repeat(at, np.diff(np.append(at, len(key))))]
+    other = ~first & (doc != least)
+    pairs = np.stack([least[other], doc[other]], 1)
+    if len(pairs):
+        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+        pairs = pairs[order]
+        pairs = pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(1))]
+    return key[at], doc[at], pairs
+
+
+def _keyed(n: int, percent: int, buckets: int):
+    """Summaries (doc, n, digests, sketch) of all texts; keys with their least document in the batch, packed by bucket; pairs within the batch."""
     def run(batches):
         memo, bands = WordHashes(), Bands(percent)
-        for piece in slices(batches, rows=2048, chars=1 << 20):
+        for piece in slices(batches, rows=4096, chars=4 << 20):
             docs = piece.column(0).to_numpy()
             found = sets(piece.column(1).to_pylist(), n, memo)
-            ks = [keys(s, bands) if len(s) else np.zeros(0, np.int64) for s in found]
-            yield _rows(mix(docs.astype(_U)).view(np.int64), docs, docs, np.ones(len(docs), bool), np.array([len(s) for s in found], np.int64))
-            key, doc = np.concatenate(ks), np.repeat(docs, [len(k) for k in ks])
-            order = np.lexsort((doc, key))
-            key, doc = key[order], doc[order]
-            first = np.append(True, key[1:] != key[:-1])[:len(key)]
-            at = np.flatnonzero(first)
-            least = doc[np.repeat(at, np.diff(np.append(at, len(key))))]
-            ok = first | (doc != least)
-            yield _rows(key[ok], least[ok], doc[ok], first[ok], None)
+            s1, s2 = zip(*map(_digest, found))
+            spread = (mix(docs.astype(_U)) % _U(buckets)).astype(np.int32)
+            yield _batch(_PACK_PA, len(docs), bucket=spread, doc=docs, n=[len(s) for s in found], s1=s1, s2=s2, sketch=[sketch(s, percent) if len(s) else b"" for s in found])
+            # equal sets of a batch have equal keys: one of them stands for all
+            _, one = np.unique(np.stack([np.array(s1), np.array(s2)]), axis=1, return_index=True)
+            one = np.sort(one[[len(found[i]) > 0 for i in one]])
+            if not len(one):
+                continue
+            ks = [keys(found[i], bands) for i in one]
+            key, doc, pairs = _stars(np.concatenate(ks).view(_U), np.repeat(docs[one], [len(k) for k in ks]))
+            bucket = (((key >> _U(40)) * _U(buckets)) >> _U(24)).astype(np.int32)
+            cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(key))
+            low = (key & _LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+            rows = []
+            for b, e in zip(cuts[:-1], cuts[1:]):
+                ids, at = np.unique(doc[b:e], return_inverse=True)
+                rows.append((bucket[b], low[b:e].tobytes(), at.astype(np.uint16).tobytes(), ids.tobytes()))
+            c = list(zip(*rows))
+            yield _batch(_PACK_PA, len(rows), bucket=c[0], keys=c[1], at=c[2], ids=c[3])
+            if len(pairs):
+                yield _batch(_PACK_PA, 1, bucket=[bucket[0]], pairs=[pairs.tobytes()])
 
     return run
 
 
-def _rows(key, a, b, no_b, n) -> pa.RecordBatch:
-    size = pa.array(n) if n is not None else pa.nulls(len(key), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), pa.array(b, mask=no_b), size], names=["key", "a", "b", "n"])
+_FOLD = 3_000_000
+
+
+def _bucketed(batches):
+    """Summaries and pairs of each bucket, from rows sorted by bucket; over _FOLD keys, those so far are one each before more come."""
+    now, key, doc, size = None, [], [], 0
+
+    def fold():
+        k, d, pairs = _stars(np.concatenate(key), np.concatenate(doc))
+        return [k], [d], _batch(_KEYED_PA, len(pairs), a=pairs[:, 0], b=pairs[:, 1])
+
+    for batch in batches:
+        ok = batch.filter(batch.column(2).is_valid())
+        if ok.num_rows:
+            yield pa.RecordBatch.from_arrays([*ok.columns[1:6], *[pa.nulls(ok.num_rows, pa.int64())] * 2], schema=_KEYED_PA)
+        rest = batch.filter(batch.column(2).is_null())
+        for bucket, ks, at, ids, pairs in zip(*(rest.column(i).to_pylist() for i in (0, 6, 7, 8, 9))):
+            if pairs is not None:
+                p = np.frombuffer(pairs, np.int64).reshape(-1, 2)
+                yield _batch(_KEYED_PA, len(p), a=p[:, 0], b=p[:, 1])
+                continue
+            if bucket != now or size > _FOLD:
+                if key:
+                    key, doc, out = fold()
+                    yield out
+                if bucket != now:
+                    now, key, doc = bucket, [], []
+                size = sum(map(len, key))
+            k = np.zeros((len(ks) // 5, 8), np.uint8)
+            k[:, :5] = np.frombuffer(ks, np.uint8).reshape(-1, 5)
+            key.append(k.view("<u8")[:, 0])
+            doc.append(np.frombuffer(ids, np.int64)[np.frombuffer(at, np.uint16)])
+            size += len(k)
+    if key:
+        yield fold()[2]
+
+
+def _in_reach(percent: int):
+    """Pairs (a, b, far) with the Hamming distance of their sketches where it allows a link, far null where it doesn't."""
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                na, nb = part.column(2).to_numpy(), part.column(3).to_numpy()
+                x, y = part.column(4).to_pylist(), part.column(5).to_pylist()
+                sizes = np.array([[len(p), len(q)] for p, q in zip(x, y)])
+                far = np.full(len(x), 1 << 30, np.int64)
+                near = np.minimum(na, nb) * 100 >= np.maximum(na, nb) * percent
+                for p, q in np.unique(sizes[near], axis=0).tolist():
+                    i = np.flatnonzero(near & (sizes == (p, q)).all(1))
+                    w = min(p, q)
+                    far[i] = np.bitwise_count(_folded([x[k] for k in i], w) ^ _folded([y[k] for k in i], w)).sum(1)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(far, mask=far > distance(na + nb, percent))], names=["a", "b", "far"])
 
+    return run
 
-def _digest(s: np.ndarray) -> tuple[int, int]:
-    return int(np.bitwise_xor.reduce(s, initial=0).astype(_U).view(np.int64)), int((mix(s).sum(dtype=_U) + _U(len(s))).view(np.int64))
+
+def _linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    if not len(p) or not len(q) or min(len(p), len(q)) * 100 < max(len(p), len(q)) * percent:
+        return False
+    i = np.searchsorted(q, p)
+    both = int((q[np.minimum(i, len(q) - 1)] == p).sum())
+    return 100 * both >= percent * (len(p) + len(q) - both)
 
 
-def _setter(n: int):
+def _plain_keys(n: int, percent: int):
+    """(unit, doc): the keys of each text."""
     def run(batches):
-        memo = WordHashes()
+        memo, bands = WordHashes(), Bands(percent)
         for piece in slices(batches, rows=256):
-            whole = sets(piece.column(1).to_pylist(), n, memo)
-            found = [np.unique((s >> _U(32)).astype(np.uint32)) for s in whole]
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([s.tobytes() for s in found], pa.binary()), *(pa.array(d, pa.int64()) for d in zip(*map(_digest, whole)))], names=["doc", "set", "s1", "s2"])
+            ks = [keys(s, bands) if len(s) else np.zeros(0, np.int64) for s in sets(piece.column(1).to_pylist(), n, memo)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ks)), pa.array(np.repeat(piece.column(0).to_numpy(), [len(k) for k in ks]))], names=["unit", "doc"])
 
     return run
 
 
-def _verifier(percent: int):
+def _verified(n: int, percent: int):
+    """Links (a, b) from rows (a, salt, b, text) sorted with the centre's own (b null) first."""
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                a, b, x, y = (part.column(i) for i in range(4))
-                ok = []
-                for p, q in zip(x.to_pylist(), y.to_pylist()):
-                    p, q = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
-                    if min(len(p), len(q)) * 100 < max(len(p), len(q)) * percent:
-                        ok.append(False)
-                        continue
-                    i = np.searchsorted(q, p)
-                    both = int((q[np.minimum(i, len(q) - 1)] == p).sum()) if len(q) else 0
-                    ok.append(100 * both >= percent * (len(p) + len(q) - both))
-                keep = np.flatnonzero(ok)
-                yield pa.RecordBatch.from_arrays([a.take(pa.array(keep)), b.take(pa.array(keep))], names=["a", "b"])
+        memo, now, centre = WordHashes(), None, None
+        for piece in slices(batches, rows=256, column="text"):
+            found, a, b = [], piece.column(0).to_pylist(), piece.column(2).to_pylist()
+            for x, y, s in zip(a, b, sets(piece.column(3).to_pylist(), n, memo)):
+                if y is None:
+                    now, centre = x, s
+                elif now == x and _linked(centre, s, percent):
+                    found.append((x, y))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _reachable(percent: int):
+    """The rows (unit, doc) of a block that have a partner of another component within reach by sketches."""
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("n", kind="stable")
+        rows, cols, hit = pdf[pdf.outside], pdf[~pdf.outside], set()
+        if len(rows) and len(cols):
+            signs = lambda d, w: 1 - 2 * np.unpackbits(_folded(list(d.sketch), w), axis=1).astype(np.float32)
+            kinds = lambda d: {k: g for k, g in d.groupby(d.sketch.map(len).to_numpy())}
+            right = kinds(cols)
+            for p, left in kinds(rows).items():
+                for q, other in right.items():
+                    w = min(p, q)
+                    step = max(1, (1 << 20) // (8 * w))
+                    for at in range(0, len(left), step):
+                        r = left.iloc[at:at + step]
+                        nr = r.n.to_numpy()
+                        c0, c1 = np.searchsorted(other.n.to_numpy(), [-(-nr[0] * percent // 100), nr[-1] * 100 // percent + 1])
+                        x = signs(r, w) if c1 > c0 else None
+                        for k in range(c0, c1, step):
+                            c = other.iloc[k:min(k + step, c1)]
+                            far = (8 * w - x @ signs(c, w).T) / 2
+                            ok = (far <= distance(nr[:, None] + c.n.to_numpy()[None, :], percent)) & (r.comp.to_numpy()[:, None] != c.comp.to_numpy()[None, :])
+                            hit.update(r.doc.to_numpy()[ok.any(1)].tolist(), c.doc.to_numpy()[ok.any(0)].tolist())
+        return pd.DataFrame({"unit": np.full(len(hit), pdf.unit.iloc[0]), "doc": np.array(sorted(hit), np.int64)}).astype("int64")
 
     return run
 
 
-def _join_blocks(percent: int):
-    """Links between components in a block: rows (doc, comp, outside, set), outside ones against all others."""
+def _join_blocks(n: int, percent: int):
+    """Links between components in a block: rows (doc, comp, outside, text), outside ones against all others."""
     def run(pdf):
         import pandas as pd
 
         rows, cols = pdf[pdf.outside], pdf[~pdf.outside]
         if rows.empty or cols.empty:
             return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        x = [np.frombuffer(s, np.uint32) for s in rows.set]
-        y = [np.frombuffer(s, np.uint32) for s in cols.set]
+        memo = WordHashes()
+        x, y = sets(list(rows.text), n, memo), sets(list(cols.text), n, memo)
         nx, ny = np.array([len(s) for s in x]), np.array([len(s) for s in y])
         vocab, xi = np.unique(np.concatenate(x), return_inverse=True)
         yi = np.searchsorted(vocab, (yc := np.concatenate(y)))
@@ -153,10 +298,10 @@ def _join_blocks(percent: int):
         yi, yr = yi[known], yr[known]
         both = np.zeros((len(x), len(y)), np.float32)
         for at in range(0, len(vocab), 4096):
-            m, n = (xi >= at) & (xi < at + 4096), (yi >= at) & (yi < at + 4096)
+            i, j = (xi >= at) & (xi < at + 4096), (yi >= at) & (yi < at + 4096)
             p, q = np.zeros((len(x), 4096), np.float32), np.zeros((len(y), 4096), np.float32)
-            p[xr[m], xi[m] - at] = 1
-            q[yr[n], yi[n] - at] = 1
+            p[xr[i], xi[i] - at] = 1
+            q[yr[j], yi[j] - at] = 1
             both += p @ q.T
         either = nx[:, None] + ny[None, :] - both
         cx, cy = rows.comp.to_numpy(), cols.comp.to_numpy()
@@ -187,75 +332,113 @@ class Join:
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).filter("doc is not null")
         self.scratch = Scratch(spark, "jaccard")
 
+    def _texts(self, ids: DataFrame, name: str) -> DataFrame:
+        """(doc, text) of the listed documents, of repeated ones the least; ids grow with the data, so a merge join at every size."""
+        texts = self.docs.join(ids.hint("merge"), "doc", "left_semi")
+        return self.scratch.table(texts.groupBy("doc").agg(F.min("text").alias("text")) if self.repeated else texts, name)
+
+    def _links(self, pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) that exact intersections confirm; a centre's text goes to each STAR of its members once."""
+        stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("stars"))
+        centres = stars.join(texts.withColumnRenamed("doc", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("stars") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
+        salt = F.pmod(F.xxhash64("b"), F.col("stars")).cast("int").alias("salt")
+        others = pairs.join(stars, "a").select("a", "b", salt).join(texts.select(F.col("doc").alias("b"), "text").hint("merge"), "b").select("a", "salt", "b", "text")
+        rows = centres.union(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+        return self.scratch.table(rows.mapInArrow(_verified(self.n, self.percent), "a long, b long"), name)
+
     def _open(self, units: DataFrame) -> DataFrame:
         """(unit, doc, comp, outside) of the units with more than one component; outside its largest one."""
         by_comp = units.groupBy("unit", "comp").agg(F.count("*").alias("c"))
         main = by_comp.groupBy("unit").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("unit", F.col("m.comp").alias("main"))
         return units.join(main, "unit").select("unit", "doc", "comp", (F.col("comp") != F.col("main")).alias("outside"))
 
-    def _within(self, units: DataFrame, held: DataFrame, name: str) -> DataFrame:
-        """Links between components of each unit (unit, doc, comp)."""
-        sc = self.scratch
-        rows = sc.table(self._open(units).join(held.hint("merge"), "doc"), f"{name}-rows")
-        size = F.octet_length("set")
-        blocks = rows.groupBy("unit").agg(F.ceil(F.sum(F.when(F.col("outside"), size)) / BLOCK_BYTES).cast("int").alias("rs"), F.ceil(F.sum(size) / BLOCK_BYTES).cast("int").alias("cs"))
-        rows = rows.join(sc.table(blocks, f"{name}-blocks"), "unit")
+    def _blocks(self, rows: DataFrame, size, name: str) -> DataFrame:
+        """The rows of each unit dealt to blocks (unit, r, c) of bounded rows and bytes: outside ones by r, all by c."""
+        many = lambda ok: F.ceil(F.greatest(F.sum(F.when(ok, size)) / BLOCK_BYTES, F.count_if(ok) / BLOCK_ROWS)).cast("int")
+        blocks = rows.groupBy("unit").agg(many(F.col("outside")).alias("rs"), many(F.lit(True)).alias("cs"))
+        rows = rows.join(self.scratch.table(blocks, f"{name}-blocks"), "unit")
         place = lambda n, salt: F.pmod(F.xxhash64("doc", F.lit(salt)), F.col(n)).cast("int")
         each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        left = rows.filter("outside").select("unit", place("rs", 1).alias("r"), each("cs").alias("c"), "doc", "comp", F.lit(True).alias("outside"), "set")
-        right = rows.select("unit", each("rs").alias("r"), place("cs", 2).alias("c"), "doc", "comp", F.lit(False).alias("outside"), "set")
-        return sc.table(left.union(right).groupBy("unit", "r", "c").applyInPandas(_join_blocks(self.percent), "a long, b long"), f"{name}-links")
+        more = [c for c in rows.columns if c not in ("unit", "doc", "comp", "outside", "rs", "cs")]
+        left = rows.filter("outside").select("unit", place("rs", 1).alias("r"), each("cs").alias("c"), "doc", "comp", F.lit(True).alias("outside"), *more)
+        right = rows.select("unit", each("rs").alias("r"), place("cs", 2).alias("c"), "doc", "comp", F.lit(False).alias("outside"), *more)
+        return left.union(right)
+
+    def _within(self, units: DataFrame, seen: DataFrame, name: str) -> DataFrame:
+        """Links between components of each unit (unit, doc, comp); seen has (doc, n, sketch)."""
+        sc = self.scratch
+        rows = sc.table(self._open(units).join(seen, "doc"), f"{name}-rows")
+        blocks = self._blocks(rows, F.octet_length("sketch"), f"{name}-sketch")
+        near = sc.table(blocks.groupBy("unit", "r", "c").applyInPandas(_reachable(self.percent), "unit long, doc long").distinct(), f"{name}-near")
+        rows = rows.drop("n", "sketch").join(near, ["unit", "doc"]).select("unit", "doc", "comp", "outside")
+        texts = self._texts(near.select("doc").distinct(), f"{name}-texts")
+        rows = sc.table(rows.join(texts.hint("merge"), "doc").select("unit", "doc", "comp", "outside", "text"), f"{name}-whole")
+        blocks = self._blocks(rows, F.octet_length("text"), f"{name}-text")
+        links = sc.table(blocks.groupBy("unit", "r", "c").applyInPandas(_join_blocks(self.n, self.percent), "a long, b long"), f"{name}-links")
+        sc.drop(f"{name}-rows", f"{name}-whole", f"{name}-texts")
+        return links
 
     def run(self) -> DataFrame:
         """(doc, n_shingles, component_id) for each document with a non-null id."""
         sc = self.scratch
-        rows = self.docs.mapInArrow(_keyed(self.n, self.percent), "key long, a long, b long, n long")
-        least = F.min(F.when(F.col("n").isNull(), F.col("a"))).over(Window.partitionBy("key"))
-        rows = rows.withColumn("least", least).filter("n is not null or b is not null or a <> least")
-        buckets = sc.table(rows.select("key", F.when(F.col("b").isNull() & F.col("n").isNull(), F.col("least")).otherwise(F.col("a")).alias("a"), F.when(F.col("n").isNull(), F.coalesce("b", "a")).alias("b"), "n"), "buckets")
-        sc.release()
-        sizes, buckets = buckets.filter("n is not null").select(F.col("a").alias("doc"), "n"), buckets.filter("n is null").drop("n")
-        pairs = sc.table(buckets.select("a", "b").distinct(), "pairs")
-        ids = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-        # these ids grow with the data: merge joins at every size
-        texts = self.docs.join(ids.hint("merge"), "doc", "left_semi")
-        if sizes.groupBy("doc").count().filter("count > 1").limit(1).count():
-            texts = texts.groupBy("doc").agg(F.min("text").alias("text"))
-        held = sc.table(texts.mapInArrow(_setter(self.n), "doc long, set binary, s1 long, s2 long"), "held")
-        sc.release()
+        size = self.docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = max(1, -(-size // BUCKET_BYTES))
+        packed = self.docs.mapInArrow(_keyed(self.n, self.percent, buckets), _PACK)
+        keyed = sc.table(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucketed, _KEYED), "keyed")
+        found = keyed.filter("n is not null").select("doc", "n", "s1", "s2", "sketch")
+        self.repeated = found.groupBy("doc").count().filter("count > 1").limit(1).count() > 0
+        if self.repeated:  # of repeated rows the least text counts, as where texts are read
+            least = sc.table(self.docs.groupBy("doc").agg(F.min("text").alias("text")), "least")
+            docs, self.docs, self.repeated = self.docs, least, False
+            out = self.run()
+            return docs.select("doc").join(out, "doc")
         # documents of equal sets are one class
-        classes = sc.table(held.groupBy("s1", "s2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")).filter("copies > 1"), "classes")
-        rep = sc.table(held.select("doc", "s1", "s2").join(classes, ["s1", "s2"]).filter("doc <> rep").select("doc", "rep"), "rep")
+        classes = found.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")).filter("copies > 1")
+        rep = sc.table(found.join(classes, ["n", "s1", "s2"]).filter("doc <> rep").select("doc", "rep"), "rep")
         named = lambda df, c: df.join(rep.select(F.col("doc").alias(c), F.col("rep").alias(f"{c}_rep")), c, "left").withColumn(c, F.coalesce(f"{c}_rep", c)).drop(f"{c}_rep")
-        pairs = sc.table(named(named(pairs, "a"), "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "class-pairs")
-        held = held.select("doc", "set")
-        with_b = pairs.hint("merge").join(held.select(F.col("doc").alias("b"), F.col("set").alias("y")), "b")
-        both = with_b.join(held.select(F.col("doc").alias("a"), F.col("set").alias("x")).hint("merge"), "a").select("a", "b", "x", "y")
-        links = sc.table(both.mapInArrow(_verifier(self.percent), "a long, b long"), "links")
-        sc.release()
-        comps = sc.table(components(links, sc, "cc"), "comps")
-        # components that pairs still connect; those of a whole family need nothing more
-        inside = lambda df, c: df.join(comps.select(F.col("id").alias(c), F.col("component_id").alias(f"{c}_comp")), c, "left").withColumn(c, F.coalesce(f"{c}_comp", c)).drop(f"{c}_comp")
-        between = sc.table(inside(inside(pairs, "a"), "b").filter("a <> b").distinct(), "between")
+        ordered = lambda df: df.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = sc.table(ordered(named(named(keyed.filter("n is null").select("a", "b").distinct(), "a"), "b")), "pairs")
+        # the sketches' Hamming distance decides before any text moves
+        seen = found.select("doc", "n", "sketch")
+        side = lambda c: seen.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+        both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "sa", "sb")
+        reach = sc.table(both.mapInArrow(_in_reach(self.percent), "a long, b long, far long"), "reach")
+        near = reach.filter("far is not null")
+        texts = self._texts(near.select(F.col("a").alias("doc")).union(near.select("b")).distinct(), "texts")
+        # each class with its nearest candidate first, then the pairs that still join components
+        first = sc.table(near.groupBy("b").agg(F.min_by("a", F.struct("far", "a")).alias("a")).select("a", "b"), "first")
+        links = self._links(first, texts, "links-1")
+        inside = lambda df, comps, c: df.join(comps.select(F.col("id").alias(c), F.col("component_id").alias(f"{c}_comp")), c, "left").withColumn(f"{c}_comp", F.coalesce(f"{c}_comp", c))
+        comps = sc.table(components(links, sc, "cc-1"), "comps-1")
+        rest = near.select("a", "b").join(first, ["a", "b"], "left_anti")
+        rest = sc.table(inside(inside(rest, comps, "a"), comps, "b").filter("a_comp <> b_comp").select("a", "b"), "rest")
+        links = links.union(self._links(rest, texts, "links-2"))
+        comps = sc.table(components(links, sc, "cc-2"), "comps-2")
+        sc.drop("texts", "first", "rest")
+        # components that failed candidates connect; those of a whole family need nothing more
+        joined = lambda df: inside(inside(df.select("a", "b"), comps, "a"), comps, "b").filter("a_comp <> b_comp").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")).distinct()
+        between = sc.table(joined(reach), "between")
         families = sc.table(components(between, sc, "family").select(F.col("id").alias("comp"), F.col("component_id").alias("unit")), "families")
         alone = families.select(F.col("comp").alias("id"), F.col("comp").alias("component_id"))
         members = comps.union(alone).select(F.col("id").alias("doc"), F.col("component_id").alias("comp")).distinct().join(families, "comp").select("unit", "doc", "comp")
         members = sc.table(members, "members")
         count = sc.table(members.groupBy("unit").agg(F.count("*").alias("size")), "sizes")
-        more = self._within(members.join(count.filter(F.col("size") <= self.family).select("unit"), "unit"), held, "family")
+        more = self._within(members.join(count.filter(F.col("size") <= self.family).select("unit"), "unit"), seen, "family")
         large = sc.table(members.join(count.filter(F.col("size") > self.family).select("unit"), "unit"), "large")
         if large.limit(1).count():
-            by_key = named(buckets.select("key", F.explode(F.array("a", "b")).alias("doc")), "doc").distinct()
-            more = more.union(self._within(by_key.join(large.drop("unit"), "doc").select(F.col("key").alias("unit"), "doc", "comp"), held, "keys"))
+            texts = self._texts(large.select("doc").distinct(), "large-texts")
+            by_key = texts.mapInArrow(_plain_keys(self.n, self.percent), "unit long, doc long").join(large.select("doc", "comp"), "doc")
+            more = more.union(self._within(sc.table(by_key.select("unit", "doc", "comp"), "by-key"), seen, "keys"))
         if more.limit(1).count():
-            joined = components(inside(inside(more, "a"), "b"), sc, "all").select(F.col("id").alias("component_id"), F.col("component_id").alias("final"))
-            comps = comps.union(alone).distinct().join(joined, "component_id", "left").select("id", F.coalesce("final", "component_id").alias("component_id"))
+            final = components(joined(more), sc, "all").select(F.col("id").alias("component_id"), F.col("component_id").alias("final"))
+            comps = comps.union(alone).distinct().join(final, "component_id", "left").select("id", F.coalesce("final", "component_id").alias("component_id"))
         # copies follow their class; a class's id is its least, so it is its component's too
         comps = sc.table(comps, "all-comps")
         copies = rep.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("doc", F.coalesce("component_id", "rep").alias("component_id"))
-        found = sc.table(comps.withColumnRenamed("id", "doc").union(copies), "found")
-        sc.drop("held", "members", "large")
-        return sizes.join(found, "doc", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
+        classed = sc.table(comps.withColumnRenamed("id", "doc").union(copies), "classed")
+        out = sc.table(found.select("doc", "n").join(classed, "doc", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id")), "out")
+        sc.drop("keyed", "pairs", "reach", "members", "large", "between", "families", "all-comps", "classed", "rep")
+        return out
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
