@@ -32,10 +32,22 @@ def test_loser_tree():
     rng = random.Random(3)
     for k in range(0, 9):
         runs = [sorted((rng.randint(0, 20),) for _ in range(rng.randint(0, 30))) for _ in range(k)]
-        assert list(W.LoserTree(runs)) == sorted(x for r in runs for x in r)
+        assert list(W.LoserTree([iter(r) for r in runs])) == sorted(x for r in runs for x in r)
 
 
 def test_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     scratch = Scratch(spark, "t")
     assert W.histories(spark, scratch, W.archive(spark, df, scratch)).count() == 0
+
+
+def test_slices_in_files(spark, monkeypatch):
+    """The same order whether slices are held or spooled."""
+    rng = random.Random(5)
+    rows = sorted((f"run{k}", f"key{rng.randint(0, 9)}", "t", i, None, "response", None, "d", 1, "f", i, 1) for k in range(4) for i in range(50))
+    rows = [r for k in range(4) for r in sorted((x for x in rows if x[0] == f"run{k}"), key=W._order)]
+    batches = lambda: [W.pa.RecordBatch.from_pylist([dict(zip(W._PA.names, r)) for r in rows[i:i + 30]], schema=W._PA) for i in range(0, 200, 30)]
+    held = [r for b in W._merger(batches()) for r in b.to_pylist()]
+    monkeypatch.setattr(W, "SPOOL", 0)
+    assert held == [r for b in W._merger(batches()) for r in b.to_pylist()]
+    assert [(r["url_key"], r["page_id"]) for r in held] == sorted((r["url_key"], r["page_id"]) for r in held)

@@ -2,7 +2,8 @@
 
 Writers cut their partition into gzip archives of bounded size and emit one locally sorted index run each. The
 archives are read back, their entries are dealt by range of (URL key, timestamp, page), and each range merges its
-slices of the runs with a loser tree, so the ranges laid end to end are the globally ordered histories.
+slices of the runs with a loser tree, each slice a stream that lies in a temporary file beyond a few MB, so the ranges
+laid end to end are the globally ordered histories.
 
 Defined results: a null html is an empty payload; a null url has the URL key ''; null page ids stay null and are never
 referred to (a payload that only has null ids is a response each time); repeated rows with the smallest page id of
@@ -12,9 +13,11 @@ their payload are all responses; an empty table gives no record; columns beyond
 from __future__ import annotations
 
 import base64
+import bisect
 import gzip
 import hashlib
 import re
+import tempfile
 import zlib
 from urllib.parse import urlsplit
 
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, load
 
-ARCHIVE_BYTES = 16 << 20
+ARCHIVE_BYTES, READ_BYTES, SPOOL = 16 << 20, 64 << 20, 16 << 20
 ENTRY = "run string, url_key string, ts string, page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, file string, pos long, size long"
 _PA = pa.schema([("run", pa.string()), ("url_key", pa.string()), ("ts", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("file", pa.string()), ("pos", pa.int64()), ("size", pa.int64())])
 
@@ -84,10 +87,11 @@ def parse(data: bytes):
 
 
 class LoserTree:
-    """k-way merge: inner nodes hold the losers of their matches, so each output replays one path of log k matches."""
+    """k-way merge of sorted iterators: inner nodes hold the losers of their matches, so each output replays one path of log k matches."""
 
-    def __init__(self, runs: list[list[tuple]]):
-        self.runs, self.at = runs, [0] * len(runs)
+    def __init__(self, runs: list):
+        self.runs = [iter(r) for r in runs]
+        self.head = [next(r, None) for r in self.runs]
         self.k = max(1, len(runs))
         self.tree = [-1] * self.k  # tree[0] is the winner
         for i in range(len(runs)):
@@ -95,10 +99,9 @@ class LoserTree:
 
     def _beats(self, a: int, b: int) -> bool:
         """An exhausted run loses to all others; ties go to the earlier run."""
-        x, y = self.at[a] < len(self.runs[a]), self.at[b] < len(self.runs[b])
-        if not (x and y):
-            return x or (not y and a < b)
-        p, q = self.runs[a][self.at[a]], self.runs[b][self.at[b]]
+        p, q = self.head[a], self.head[b]
+        if p is None or q is None:
+            return p is not None or (q is None and a < b)
         return p < q or (p == q and a < b)
 
     def _replay(self, i: int) -> None:
@@ -115,9 +118,9 @@ class LoserTree:
     def __iter__(self):
         if not self.runs:
             return
-        while self.at[w := self.tree[0]] < len(self.runs[w]):
-            yield self.runs[w][self.at[w]]
-            self.at[w] += 1
+        while (row := self.head[w := self.tree[0]]) is not None:
+            yield row
+            self.head[w] = next(self.runs[w], None)
             self._replay(w)
 
 
@@ -184,16 +187,47 @@ def _order(r: tuple):
     return (r[1], r[2], r[3] is not None, r[3] or 0, r[9], r[10])
 
 
-def _merger(batches):
-    runs: dict[str, list[tuple]] = {}
+def _slices(batches):
+    """(run, its batches) from rows sorted by run and then in order; over SPOOL bytes a slice lies in a nameless temporary file."""
+    run, kept = None, []
+
+    def spooled():
+        if sum(b.nbytes for b in kept) < SPOOL:
+            return kept
+        f = tempfile.TemporaryFile()
+        with pa.ipc.new_file(f, _PA) as out:
+            for b in kept:
+                out.write_batch(b)
+        f.seek(0)
+        return pa.ipc.open_file(pa.PythonFile(f, "r"))
+
     for batch in batches:
-        for r in zip(*(c.to_pylist() for c in batch.columns)):
-            runs.setdefault(r[0], []).append((_order(r), r))
-    for rows in runs.values():
-        if any(a > b for a, b in zip(rows, rows[1:])):  # a slice of a run can arrive in several pieces
-            rows.sort(key=lambda x: x[0])
+        batch = pa.RecordBatch.from_arrays(batch.columns, schema=_PA)
+        names = batch.column(0).to_pylist()
+        at = 0
+        while at < len(names):
+            end = bisect.bisect_right(names, names[at], at)
+            if names[at] != run and kept:
+                yield run, spooled()
+                kept = []
+            run = names[at]
+            kept.append(batch.slice(at, end - at))
+            at = end
+    if kept:
+        yield run, spooled()
+
+
+def _streamed(held):
+    """(order, row) of a slice, a thousand rows at a time."""
+    for batch in held if isinstance(held, list) else (held.get_batch(k) for k in range(held.num_record_batches)):
+        for at in range(0, batch.num_rows, 1024):
+            for r in zip(*(c.to_pylist() for c in batch.slice(at, 1024).columns)):
+                yield _order(r), r
+
+
+def _merger(batches):
     out = []
-    for _, r in LoserTree([runs[k] for k in sorted(runs)]):
+    for _, r in LoserTree([_streamed(held) for _, held in _slices(batches)]):
         out.append(r)
         if len(out) == 4096:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), _PA)], schema=_PA)
@@ -217,9 +251,14 @@ def archive(spark: SparkSession, pages: DataFrame, scratch: Scratch, *, ts_col:
 
 def histories(spark: SparkSession, scratch: Scratch, index: DataFrame) -> DataFrame:
     """Read the committed archives and merge their runs; one row per record, ordered by (url_key, ts, page_id)."""
-    files = index.select("file").distinct()
-    runs = scratch.table(files.mapInArrow(_reader(scratch.path("warc")), ENTRY), "runs")
-    return runs.repartitionByRange(F.col("url_key"), F.col("ts"), F.col("page_id"), F.col("file"), F.col("pos")).mapInArrow(_merger, ENTRY)
+    files = index.groupBy("file").agg(F.max(F.col("pos") + F.col("size")).alias("bytes"))
+    n, size = files.agg(F.count("*"), F.sum("bytes")).first()
+    # as many readers as the session runs tasks, more where archives are over READ_BYTES together; none gets a table of names alone
+    readers = max(1, min(n, max(spark.sparkContext.defaultParallelism, -(-(size or 0) // READ_BYTES))))
+    read = files.repartition(readers, "file").select("file").mapInArrow(_reader(scratch.path("warc")), ENTRY)
+    runs = scratch.table(read, "runs")
+    order = [F.col("url_key"), F.col("ts"), F.col("page_id"), F.col("file"), F.col("pos")]
+    return runs.repartitionByRange(*order).sortWithinPartitions("run", *order).mapInArrow(_merger, ENTRY)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,8 +276,8 @@ b AS (SELECT *, array_to_string(list_transform(range(8), lambda i: array_to_stri
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
   CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to,
-  array_to_string(list_reverse(string_split(regexp_extract(lower(url), '^https?://([^/?#]*)', 1), '.')), ',') || ')'
-    || regexp_extract(lower(url), '^https?://[^/?#]*([^#]*)', 1) AS url_key,
+  array_to_string(list_reverse(string_split(regexp_replace(regexp_replace(regexp_extract(lower(trim(url)), '^https?://([^/?#]*)', 1), ':[0-9]*$', ''), '^www[0-9]*[.]', ''), '.')), ',') || ')'
+    || coalesce(nullif(regexp_extract(lower(trim(url)), '^https?://[^/?#]*([^?#]*)', 1), ''), '/') || regexp_extract(lower(trim(url)), '^https?://[^/?#]*[^?#]*([?][^#]+)', 1) AS url_key,
   strftime(to_timestamp(page_id) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS ts
 FROM b
 """
