@@ -28,12 +28,44 @@ def test_held_out_accuracy(spark):
     assert wrong <= 0.02 * len(held)
 
 
-def test_sites_shrink(spark):
+def _plain(rows, priors):
+    """Site rates and posteriors straight from the definition: (site, post) of each (host, path, evidence)."""
+    def strength(groups):
+        n, s, mean = (np.array(c, float) for c in zip(*groups))
+        within = (n * mean * (1 - mean)).sum()
+        if len(n) < 2 or within <= 0:
+            return 1e6
+        tau = ((n * (s / n - mean) ** 2).sum() - within / n.sum() * (len(n) - 1)) / n.sum()
+        return float(np.clip(within / n.sum() / tau - 1, 1, 1e6)) if tau > 0 else 1e6
+
+    p = [1 / (1 + np.exp(-(e + np.log(priors / (1 - priors))))) for *_, e in rows]
+    hosts, paths = {}, {}
+    for (h, q, _), x in zip(rows, p):
+        hosts.setdefault(h, []).append(x)
+        paths.setdefault((h, q), []).append(x)
+    rate = sum(p) / len(p)
+    m = strength([(len(v), sum(v), rate) for v in hosts.values()])
+    prior = {h: (sum(v) + m * rate) / (len(v) + m) for h, v in hosts.items()}
+    k = strength([(len(v), sum(v), prior[h]) for (h, _), v in paths.items()])
+    out = []
+    for (h, q, e), x in zip(rows, p):
+        host = (max(sum(hosts[h]) - x, 0) + m * rate) / (len(hosts[h]) - 1 + m)
+        site = (max(sum(paths[h, q]) - x, 0) + k * host) / (len(paths[h, q]) - 1 + k)
+        site_ = min(max(site, 1e-6), 1 - 1e-6)
+        out.append((site, 1 / (1 + np.exp(-(np.log(site_ / (1 - site_)) + e)))))
+    return out
+
+
+def test_sites_against_the_definition(spark):
     rows, labels = _docs()
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, e_bad double")
-    got = Q.classify(spark, docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), host=docs["source"]).select("host", "site_bad").distinct().collect()
-    rates = [r.site_bad for r in got]
-    assert len(rates) == 40 and all(0 < r < 1 for r in rates) and max(rates) - min(rates) < 0.2
+    docs = spark.createDataFrame([(i, t, f"s{i % 7 if i % 7 else i % 40}", "fr" if i % 3 else "en", 0.5) for i, t, *_ in rows], "doc_id long, text string, source string, lang string, e_bad double")
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = Q.fit(spark, docs, labels, Q.Scratch(spark, "quality-test"))
+    got = Q.classify(spark, docs, labels, host=docs["source"], path=docs["lang"], model=model).collect()
+    for fault in Q.FAULTS:
+        want = _plain([(r.host, r.path, r[f"e_{fault}"]) for r in got], model.prior[fault])
+        assert np.allclose([(r[f"site_{fault}"], r[f"post_{fault}"]) for r in got], want, rtol=1e-6)
+    assert all(r.keep == (r.post_bad < 0.5 and r.post_toxic < 0.5) for r in got)
 
 
 def test_without_labels(spark):

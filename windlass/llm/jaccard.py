@@ -29,7 +29,8 @@ from .common import Scratch, components, load, slices
 from .shingles import WordHashes, mix, sets
 
 _U = np.uint64
-FAMILY, BLOCK_BYTES, BLOCK_ROWS, STAR, BUCKET_BYTES = 16384, 1 << 20, 1024, 512, 12 << 20
+FAMILY, BLOCK_BYTES, SKETCH_ROWS, TEXT_ROWS, STAR, BUCKET_BYTES = 65536, 1 << 20, 4096, 1024, 512, 12 << 20
+SPREAD = 4096  # buckets of summaries, which need no other row
 
 
 class Bands:
@@ -134,7 +135,7 @@ def _keyed(n: int, percent: int, buckets: int):
             docs = piece.column(0).to_numpy()
             found = sets(piece.column(1).to_pylist(), n, memo)
             s1, s2 = zip(*map(_digest, found))
-            spread = (mix(docs.astype(_U)) % _U(buckets)).astype(np.int32)
+            spread = -1 - (mix(docs.astype(_U)) % _U(SPREAD)).astype(np.int32)
             yield _batch(_PACK_PA, len(docs), bucket=spread, doc=docs, n=[len(s) for s in found], s1=s1, s2=s2, sketch=[sketch(s, percent) if len(s) else b"" for s in found])
             # equal sets of a batch have equal keys: one of them stands for all
             _, one = np.unique(np.stack([np.array(s1), np.array(s2)]), axis=1, return_index=True)
@@ -264,7 +265,7 @@ def _reachable(percent: int):
             for p, left in kinds(rows).items():
                 for q, other in right.items():
                     w = min(p, q)
-                    step = max(1, (1 << 20) // (8 * w))
+                    step = min(1024, max(1, (1 << 20) // (8 * w)))
                     for at in range(0, len(left), step):
                         r = left.iloc[at:at + step]
                         nr = r.n.to_numpy()
@@ -352,9 +353,9 @@ class Join:
         main = by_comp.groupBy("unit").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("unit", F.col("m.comp").alias("main"))
         return units.join(main, "unit").select("unit", "doc", "comp", (F.col("comp") != F.col("main")).alias("outside"))
 
-    def _blocks(self, rows: DataFrame, size, name: str) -> DataFrame:
+    def _blocks(self, rows: DataFrame, size, most: int, name: str) -> DataFrame:
         """The rows of each unit dealt to blocks (unit, r, c) of bounded rows and bytes: outside ones by r, all by c."""
-        many = lambda ok: F.ceil(F.greatest(F.sum(F.when(ok, size)) / BLOCK_BYTES, F.count_if(ok) / BLOCK_ROWS)).cast("int")
+        many = lambda ok: F.ceil(F.greatest(F.sum(F.when(ok, size)) / BLOCK_BYTES, F.count_if(ok) / most)).cast("int")
         blocks = rows.groupBy("unit").agg(many(F.col("outside")).alias("rs"), many(F.lit(True)).alias("cs"))
         rows = rows.join(self.scratch.table(blocks, f"{name}-blocks"), "unit")
         place = lambda n, salt: F.pmod(F.xxhash64("doc", F.lit(salt)), F.col(n)).cast("int")
@@ -368,12 +369,12 @@ class Join:
         """Links between components of each unit (unit, doc, comp); seen has (doc, n, sketch)."""
         sc = self.scratch
         rows = sc.table(self._open(units).join(seen, "doc"), f"{name}-rows")
-        blocks = self._blocks(rows, F.octet_length("sketch"), f"{name}-sketch")
+        blocks = self._blocks(rows, F.octet_length("sketch"), SKETCH_ROWS, f"{name}-sketch")
         near = sc.table(blocks.groupBy("unit", "r", "c").applyInPandas(_reachable(self.percent), "unit long, doc long").distinct(), f"{name}-near")
         rows = rows.drop("n", "sketch").join(near, ["unit", "doc"]).select("unit", "doc", "comp", "outside")
         texts = self._texts(near.select("doc").distinct(), f"{name}-texts")
         rows = sc.table(rows.join(texts.hint("merge"), "doc").select("unit", "doc", "comp", "outside", "text"), f"{name}-whole")
-        blocks = self._blocks(rows, F.octet_length("text"), f"{name}-text")
+        blocks = self._blocks(rows, F.octet_length("text"), TEXT_ROWS, f"{name}-text")
         links = sc.table(blocks.groupBy("unit", "r", "c").applyInPandas(_join_blocks(self.n, self.percent), "a long, b long"), f"{name}-links")
         sc.drop(f"{name}-rows", f"{name}-whole", f"{name}-texts")
         return links

@@ -5,7 +5,8 @@ toxicity. They are fitted on a bounded sample of the labelled rows (MAX_LABELLED
 words of that sample that tell toxic documents apart (by G-test). The rates of both faults are then estimated for
 all documents by grouped aggregation: the global rate, the rate of each host shrunk towards it, and the rate of each
 path shrunk towards its host's, with the strength of shrinkage estimated from the spread between sites by the
-method of moments. A document's posterior log odds are those of its path plus its evidence.
+method of moments (with a single site there is no spread to learn from: it takes its prior's rate). A document's
+posterior log odds are those of its path without the document itself, plus its evidence.
 
 Defined results: null and empty texts are scored by their (zero) features; null hosts and paths are the site ''; without
 labels of both classes the evidence is 0 and nothing is rejected for that fault; null labels and labels of unknown
@@ -112,9 +113,12 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratc
     sample = labels.filter("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg((1 - F.min("quality")).cast("long").alias("bad"), F.max("toxic").cast("long").alias("toxic"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)  # at most max_labelled rows of 24 bytes
     train = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id").select("text", "bad", "toxic")
-    train = scratch.table(train.mapInArrow(_labelled, "bad long, toxic long, shape array<double>, n long, terms array<struct<w:string,c:long>>").limit(max_labelled), "train")
+    train = scratch.table(train.mapInArrow(_labelled, "bad long, toxic long, shape array<double>, n long, terms array<struct<w:string,c:long>>"), "train")
+    if train.count() > max_labelled:  # only where documents repeat an id
+        train = train.limit(max_labelled)
     lex = lexicon(train)
-    rows = train.select("bad", "toxic", "shape", "n", "terms").mapInArrow(_with_hits(lex), "bad long, toxic long, shape array<double>, hits array<double>").orderBy(F.xxhash64("shape"), F.xxhash64("bad", "toxic")).collect()
+    rows = train.select("bad", "toxic", "shape", "n", "terms").mapInArrow(_with_hits(lex), "bad long, toxic long, shape array<double>, hits array<double>").collect()
+    rows.sort(key=lambda r: (r.shape, r.hits, r.bad, r.toxic))
     x = np.array([r.shape + r.hits for r in rows])
     trees: dict[str, Boosted | None] = {}
     prior = {}
@@ -161,18 +165,18 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col:
     paths = scratch.table(rows.select("host", "path", *chance).groupBy("host", "path").agg(F.count("*").alias("n"), *(F.sum(f"p_{f}").alias(f"s_{f}") for f in FAULTS)), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), *(F.sum(f"s_{f}").alias(f"s_{f}") for f in FAULTS))
     total = hosts.agg(F.sum("n").alias("n"), *(F.sum(f"s_{f}").alias(f"s_{f}") for f in FAULTS)).first()
-    for f in FAULTS:
-        rate = (total[f"s_{f}"] or 0.0) / (total["n"] or 1)
-        m = _strength(hosts, f, F.lit(rate))
-        hosts = hosts.withColumn(f"host_{f}", (F.col(f"s_{f}") + m * rate) / (F.col("n") + m))
-    sites = paths.join(hosts.select("host", *(f"host_{f}" for f in FAULTS)), "host")
-    sites = scratch.table(sites, "sites")
-    for f in FAULTS:
-        m = _strength(sites, f, F.col(f"host_{f}"))
-        sites = sites.withColumn(f"site_{f}", (F.col(f"s_{f}") + m * F.col(f"host_{f}")) / (F.col("n") + m))
-    sites = scratch.table(sites.select("host", "path", *(f"site_{f}" for f in FAULTS)), "rates")
+    rate = {f: (total[f"s_{f}"] or 0.0) / (total["n"] or 1) for f in FAULTS}
+    strength = {f: _strength(hosts, f, F.lit(rate[f])) for f in FAULTS}
+    hosts = hosts.select("host", F.col("n").alias("host_n"), *(F.col(f"s_{f}").alias(f"host_s_{f}") for f in FAULTS))
+    sites = scratch.table(paths.join(hosts, "host"), "sites")
+    shrunk = lambda s, n, m, prior: (s + m * prior) / (n + m)
+    within = {f: _strength(sites, f, shrunk(F.col(f"host_s_{f}"), F.col("host_n"), strength[f], rate[f])) for f in FAULTS}
     out = rows.join(sites, ["host", "path"])
     for f in FAULTS:
+        # a document is judged by the others of its host and path: its own evidence counts once
+        own = 1 / (1 + F.exp(-(F.col(f"e_{f}") + float(np.log(model.prior[f] / (1 - model.prior[f]))))))
+        host_rate = shrunk(F.greatest(F.col(f"host_s_{f}") - own, F.lit(0.0)), F.col("host_n") - 1, strength[f], rate[f])
+        out = out.withColumn(f"site_{f}", shrunk(F.greatest(F.col(f"s_{f}") - own, F.lit(0.0)), F.col("n") - 1, within[f], host_rate))
         odds = _logit(F.col(f"site_{f}")) + F.col(f"e_{f}") if model.trees[f] is not None else F.lit(-20.0)
         out = out.withColumn(f"post_{f}", 1 / (1 + F.exp(-odds)))
     return out.select("doc_id", "host", "path", *(f"{x}_{f}" for f in FAULTS for x in ("e", "site", "post")), ((F.col("post_bad") < 0.5) & (F.col("post_toxic") < 0.5)).alias("keep"))
