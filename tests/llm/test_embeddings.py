@@ -47,9 +47,26 @@ def test_bound_holds():
     x, y = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (x, y))
     turned = x @ E.rotation(64, 0).T
     code, factor = np.packbits(turned >= 0, axis=1), np.abs(turned).sum(1) / 8
-    value, upper = E.estimate(code, factor, y)
     true = (x * y).sum(1)
-    assert (upper >= true - 1e-12).all() and abs((value - true).mean()) < 0.02
+    for confidence, rate in ((4.0, 0.999), (2.0, 0.93)):
+        value, bound = E.estimate(code, factor, y, confidence)
+        assert (np.abs(value - true) <= bound).mean() >= rate
+    assert abs((value - true).mean()) < 0.02
+
+
+def test_copies_are_counted(spark):
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=(2, 48))
+    near = a + 0.05 * rng.normal(size=48)
+    vectors = {i: (a if i % 3 else near).tolist() for i in range(60)} | {100 + i: b.tolist() for i in range(5)} | {200: (-b).tolist()}
+    assert _run(spark, vectors) == E.brute_force({i: np.float32(v) for i, v in vectors.items()}, 0.9)
+
+
+def test_dimensions_apart(spark):
+    """Vectors link within their own dimension only, also where dimensions agree modulo a power of two."""
+    v = [1.0] * 3 + [0.0] * 4096
+    got = _run(spark, {1: v[:3], 2: v, 3: v[:3], 4: v})
+    assert got == {1: (1, 1), 3: (1, 1), 2: (1, 2), 4: (1, 2)}
 
 
 def test_empty(spark):

@@ -5,9 +5,11 @@ that holds every row: as many bits as keep buckets small at the row count, as ma
 pairs right at the threshold. A bucket proposes all its pairs where it is small, else pairs with a centre and the
 neighbour; the members of such over-full buckets are then held against each other by components: each component that the
 proposed pairs give is a ball (mean direction, largest angle to it), balls of a bucket that come within the threshold
-angle are compared member by member, all others are excluded by that bound. For a proposed pair the stored correction factor of one side (the inner
-product of the vector with its code) gives the unbiased estimate <code, q> / factor of its cosine and a bound that
-always holds; where the bound allows the threshold, the cosine is recomputed exactly in double precision.
+angle are compared member by member, all others are excluded by that bound. For a proposed pair the stored correction
+factor of one side (the inner product of the vector with its code) gives the unbiased estimate <code, q> / factor of its
+cosine; its error is of the order sqrt(1 - factor^2) / (factor sqrt(d - 1)), and CONFIDENCE times that is the confidence
+bound. Estimates that lie below the threshold by more than the bound decide against the pair, all others are recomputed
+exactly in double precision. Equal vectors are one row with a weight from the start.
 
 Direct links are then counted within the components. By the angles to a component's mean direction, vectors within
 half the threshold angle (the core) link with each other for certain and are only counted; all others (the rim) are held
@@ -19,6 +21,7 @@ rows with one id are one vector (the smallest array); a null id links with nothi
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -31,11 +34,12 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, components, load
 
-RECALL, SMALL, RIM_BLOCK, MEMBER_BLOCK = 0.95, 8, 256, 1024
+RECALL, CONFIDENCE, SMALL, RIM_BLOCK, MEMBER_BLOCK = 0.95, 4.0, 8, 256, 1024
 # SLACK is above what single precision does to an angle; components above PAIRWISE are compared in blocks.
 BALL_BLOCK, PAIRWISE, SLACK = 1024, 64, 2e-3
 
 
+@functools.lru_cache(64)
 def rotation(dim: int, k: int) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng([dim, k, 17]).normal(size=(dim, dim)))
     return q * np.sign(np.diag(r))
@@ -78,7 +82,7 @@ def _indexer(bits: int, tables: int):
                 weights = np.int64(1) << np.arange(bits, dtype=np.int64)
                 for t in range(tables):
                     key = signs[:, t * bits:(t + 1) * bits] @ weights
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t * 4096 + d % 4096), pa.int32()), pa.array(key), ids, pa.array(list(map(bytes, code)), pa.binary()), pa.array(factor)], names=["place", "key", "id", "code", "factor"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), d << 20 | t), pa.int64()), pa.array(key), ids, pa.array(list(map(bytes, code)), pa.binary()), pa.array(factor)], names=["place", "key", "id", "code", "factor"])
 
     return run
 
@@ -104,26 +108,25 @@ def _propose(batches):
             n += 1
         if out:
             cols = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.int64())], names=["a", "b", "code", "factor", "place", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.int64())], names=["a", "b", "code", "factor", "place", "key"])
 
 
-def estimate(code: np.ndarray, factor: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unbiased estimate of <o, q> from o's code and factor, and an upper bound that always holds."""
+def estimate(code: np.ndarray, factor: np.ndarray, q: np.ndarray, confidence: float = CONFIDENCE) -> tuple[np.ndarray, np.ndarray]:
+    """Unbiased estimate of <o, q> from o's code and factor, and how far from it the value lies at that confidence."""
     d = q.shape[1]
     signs = np.unpackbits(code, axis=1)[:, :d].astype(np.float64) * 2 - 1
-    s = np.clip((signs * (q @ rotation(d, 0).T)).sum(1) / math.sqrt(d), -1, 1)
-    return s / factor, np.cos(np.maximum(0, np.arccos(s) - np.arccos(np.clip(factor, -1, 1))))
+    s = (signs * (q @ rotation(d, 0).T)).sum(1) / math.sqrt(d)
+    return s / factor, confidence * np.sqrt(np.maximum(0, 1 - factor**2)) / (factor * math.sqrt(max(1, d - 1)))
 
 
 def _bounded(cosine: float):
-    """Keeps proposed pairs whose upper bound reaches the threshold; columns a, b, code, factor, x (of a)."""
+    """Keeps proposed pairs whose estimate doesn't decide against them; columns a, b, code, factor, x (of a)."""
     def run(batches):
         for batch in batches:
-            for d, part in _by_dim(batch, 4):
-                code = np.array([list(c) for c in part.column(2).to_pylist()], np.uint8)
-                _, upper = estimate(code, part.column(3).to_numpy(), _matrix(part.column(4)))
-                keep = pa.array(upper >= cosine - 1e-9)
-                yield part.select([0, 1]).filter(keep)
+            for _, part in _by_dim(batch, 4):
+                code = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                about, bound = estimate(code, part.column(3).to_numpy(), _matrix(part.column(4)))
+                yield part.select([0, 1]).filter(pa.array(about + bound >= cosine - 1e-9))
 
     return run
 
@@ -149,7 +152,7 @@ def _placed(cosine: float):
                 norm = np.linalg.norm(m, axis=1)
                 cos = np.clip((x * m).sum(1) / np.where(norm > 0, norm, 1), -1, 1)
                 core = (np.arccos(cos) <= half) & (norm > 0)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(core)], names=["comp", "id", "x", "core"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(core), part.column(4)], names=["comp", "id", "x", "core", "w"])
 
     return run
 
@@ -164,7 +167,7 @@ def _count_block(cosine: float):
         hit = np.vstack(rim.x.to_numpy()) @ np.vstack(mem.x.to_numpy()).T >= cosine
         hit &= rim.id.to_numpy()[:, None] != mem.id.to_numpy()[None, :]
         core = mem.core.to_numpy()
-        return pd.DataFrame({"id": np.concatenate([rim.id.to_numpy(), mem.id.to_numpy()[core]]), "n": np.concatenate([hit.sum(1), hit.sum(0)[core]])})
+        return pd.DataFrame({"id": np.concatenate([rim.id.to_numpy(), mem.id.to_numpy()[core]]), "n": np.concatenate([hit @ mem.w.to_numpy(), rim.w.to_numpy() @ hit[:, core]])})
 
     return run
 
@@ -283,10 +286,12 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, id_col: str = "v
     rows = rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e)))
     good = "id is not null and norm > 0 and norm < double('inf') and forall(v, e -> e is not null and not isnan(e))"
     rows = sc.table(rows.withColumn("x", F.when(F.expr(good), F.transform("v", lambda e: e / F.col("norm")))).select("id", "x"), "rows")
-    unit = rows.filter("x is not null and exists(x, e -> e <> 0)")
+    # equal vectors are one class: its least id, and its size as weight
+    classes = sc.table(rows.filter("x is not null and exists(x, e -> e <> 0)").groupBy("x").agg(F.min("id").alias("id"), F.count("*").alias("w")), "classes")
+    unit = classes.select("id", "x")
     bits, tables = plan(unit.count(), cosine, recall)
-    index = unit.mapInArrow(_indexer(bits, tables), "place int, key long, id long, code binary, factor double")
-    near = index.repartition("place", "key").sortWithinPartitions("place", "key", "id").mapInArrow(_propose, "a long, b long, code binary, factor double, place int, key long")
+    index = unit.mapInArrow(_indexer(bits, tables), "place long, key long, id long, code binary, factor double")
+    near = index.repartition("place", "key").sortWithinPartitions("place", "key", "id").mapInArrow(_propose, "a long, b long, code binary, factor double, place long, key long")
     near = sc.table(near.groupBy("a", "b", "place", "key").agg(F.first("code").alias("code"), F.first("factor").alias("factor")), "proposed")
     full = near.filter("b is null").select("place", "key", F.col("a").alias("id"))
     bounded = near.filter("b is not null").join(unit.select(F.col("id").alias("a"), "x"), "a").select("a", "b", "code", "factor", "x").mapInArrow(_bounded(cosine), "a long, b long")
@@ -296,21 +301,29 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, id_col: str = "v
         links = links.union(sc.table(_across(sc, unit, full, links, cosine), "across"))
     comps = sc.table(components(links, sc), "comps")
 
-    members = sc.table(comps.select("id", F.col("component_id").alias("comp")).join(unit, "id").select("comp", "id", "x"), "members")
+    members = sc.table(comps.select("id", F.col("component_id").alias("comp")).join(classes, "id").select("comp", "id", "x", "w"), "members")
     means = sc.table(members.groupBy("comp").agg(Summarizer.mean(array_to_vector("x")).alias("m")).select("comp", vector_to_array("m").alias("m")), "means")
-    placed = sc.table(members.join(means, "comp").select("comp", "id", "x", "m").mapInArrow(_placed(cosine), "comp long, id long, x array<double>, core boolean"), "placed")
-    sizes = sc.table(placed.groupBy("comp").agg(F.count_if("core").alias("core_n"), F.count_if(~F.col("core")).alias("rim_n")), "sizes")
-    blocks = sizes.filter("rim_n > 0").select("comp", F.ceil(F.col("rim_n") / RIM_BLOCK).cast("int").alias("rims"), F.ceil((F.col("core_n") + F.col("rim_n")) / MEMBER_BLOCK).cast("int").alias("mems"))
+    placed = sc.table(members.join(means, "comp").select("comp", "id", "x", "m", "w").mapInArrow(_placed(cosine), "comp long, id long, x array<double>, core boolean, w long"), "placed")
+    in_core = F.coalesce(F.sum(F.when(F.col("core"), F.col("w"))), F.lit(0)).alias("core_w")
+    sizes = sc.table(placed.groupBy("comp").agg(in_core, F.count("*").alias("all_n"), F.count_if(~F.col("core")).alias("rim_n")), "sizes")
+    blocks = sizes.filter("rim_n > 0").select("comp", F.ceil(F.col("rim_n") / RIM_BLOCK).cast("int").alias("rims"), F.ceil(F.col("all_n") / MEMBER_BLOCK).cast("int").alias("mems"))
     held = placed.join(blocks, "comp")
     block = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rim = held.filter("not core").select("comp", block("rims", 1).alias("r"), each("mems").alias("m"), "id", "x", "core", F.lit(True).alias("rim"))
-    mem = held.select("comp", each("rims").alias("r"), block("mems", 2).alias("m"), "id", "x", "core", F.lit(False).alias("rim"))
+    rim = held.filter("not core").select("comp", block("rims", 1).alias("r"), each("mems").alias("m"), "id", "x", "core", "w", F.lit(True).alias("rim"))
+    mem = held.select("comp", each("rims").alias("r"), block("mems", 2).alias("m"), "id", "x", "core", "w", F.lit(False).alias("rim"))
     exact = rim.union(mem).groupBy("comp", "r", "m").applyInPandas(_count_block(cosine), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    counted = placed.drop("x").join(sizes, "comp").join(exact, "id", "left").select("id", F.col("comp").alias("component_id"), (F.when(F.col("core"), F.col("core_n") - 1).otherwise(0) + F.coalesce("n", F.lit(0))).alias("n_links"))
-    out = rows.select("id").join(counted, "id", "left")
+    # a class links with its own copies; those of the core are in the core's weight already
+    own = F.when(F.col("core"), F.col("core_w")).otherwise(F.col("w")) - 1
+    counted = placed.drop("x").join(sizes, "comp").join(exact, "id", "left").select("id", "comp", (own + F.coalesce("n", F.lit(0))).alias("n"))
+    alone = classes.join(counted.select("id"), "id", "left_anti").select("id", F.col("id").alias("comp"), (F.col("w") - 1).alias("n"))
+    known = classes.select("x", "id").join(counted.union(alone), "id").select("x", "comp", "n")
+    linked = rows.filter("x is not null and exists(x, e -> e <> 0)").join(known, "x").select("id", F.col("comp").alias("component_id"), F.col("n").alias("n_links"))
+    out = rows.select("id").join(linked, "id", "left")
     comp = F.coalesce("component_id", "id")
-    return out.select(F.col("id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(comp == F.col("id"), F.lit(False)).alias("kept"))
+    found = sc.table(out.select(F.col("id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(comp == F.col("id"), F.lit(False)).alias("kept")), "out")
+    sc.drop("rows", "classes", "proposed", "links", "comps", "members", "means", "placed", "sizes")
+    return found
 
 
 def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
