@@ -115,12 +115,13 @@ def between_services(edges: DataFrame, nodes: DataFrame, keys: Sequence[str] = K
 
 
 def pair_metrics(edges: DataFrame, nodes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Reciprocity, and the variation of edge weights whose source is of the first service, for each service pair.
+    """Reciprocity, and the variation of edge weights whose source is a pod (no VIP) of the first service, for each service pair.
 
     Pairs of one service have no variation. Null stands for an empty list of weights.
     """
     e = with_reverse(between_services(edges.filter("src <> dst"), nodes, keys).select(*keys, "src", "dst", "weight", "src_svc", "svc_a", "svc_b"), keys)
-    first = F.when((F.col("src_svc") == F.col("svc_a")) & (F.col("svc_a") != F.col("svc_b")), F.col("weight"))
+    e = e.join(nodes.filter("is_vip").select(F.col("node").alias("src"), F.lit(True).alias("_vip")).distinct(), "src", "left")
+    first = F.when((F.col("src_svc") == F.col("svc_a")) & (F.col("svc_a") != F.col("svc_b")) & F.col("_vip").isNull(), F.col("weight"))
     out = e.groupBy(*keys, "svc_a", "svc_b").agg(F.sum(F.least("weight", "back")).alias("r"), F.sum("weight").alias("w"), F.stddev_pop(first).alias("s"), F.avg(first).alias("m"))
     return out.select(*keys, "svc_a", "svc_b", F.coalesce(F.try_divide(F.col("r").cast("double"), F.col("w").cast("double")), F.lit(-1.0)).alias("reciprocity"), F.try_divide("s", "m").alias("cov"))
 
@@ -197,13 +198,15 @@ def neighbours(edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return edges.groupBy(*keys, "src").agg(F.sort_array(F.collect_set("dst")).alias("neighbours"))
 
 
-def new_neighbours(edges: DataFrame, train_end: int) -> DataFrame:
-    """For each window after training: neighbours new to nodes that training knew."""
+def new_neighbours(edges: DataFrame, train_end: int, of: str | None = None) -> DataFrame:
+    """For each window after training: neighbours new to nodes that training knew, of one node where it is named."""
     pairs = edges.select("win", "src", "dst").distinct()
+    wins = pairs.filter(F.col("win") >= train_end).select("win").distinct()
+    pairs = pairs.filter(F.col("src") == of) if of else pairs
     train = pairs.filter(F.col("win") < train_end)
     later = pairs.filter(F.col("win") >= train_end)
     fresh = later.join(train.select("src").distinct(), "src", "left_semi").join(train.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
-    return later.select("win").distinct().join(fresh.groupBy("win").agg(F.count("*").alias("n")), "win", "left").select("win", F.coalesce("n", F.lit(0)).alias("new_neighbours"))
+    return wins.join(fresh.groupBy("win").agg(F.count("*").alias("n")), "win", "left").select("win", F.coalesce("n", F.lit(0)).alias("new_neighbours"))
 
 
 def allow_list_alerts(edges: DataFrame, train_end: int) -> DataFrame:
@@ -232,6 +235,13 @@ def edge_vector(edges: DataFrame, universe: DataFrame, keys: Sequence[str] = KEY
     return cells.join(edges.select(*keys, "src", "dst", "weight"), [*keys, "src", "dst"], "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
 
 
+def adjacency(edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(*keys, src, dst, weight) of every pair of a graph's nodes, 0 where there is no edge: the matrix, so quadratic in its nodes."""
+    n = nodes_of(edges, keys)
+    cells = n.withColumnRenamed("node", "src").join(n.withColumnRenamed("node", "dst"), list(keys))
+    return cells.join(edges.select(*keys, "src", "dst", "weight"), [*keys, "src", "dst"], "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
+
+
 def bipartite(edges: DataFrame, nodes: DataFrame, a: str, b: str) -> DataFrame:
     """Edges between members of two services, none within one."""
     e = between_services(edges, nodes.filter(F.col("svc").isin(a, b)))

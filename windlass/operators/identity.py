@@ -38,6 +38,21 @@ def as_of(probe: DataFrame, versions: DataFrame, key: str, at: str, since: str,
     return out.select(*[F.col(f"_p.{c}").alias(c) for c in names], *[F.col(f"_v.{c}").alias(c) for c in columns])
 
 
+def inverted(mapping: DataFrame, ip: str = "ip", name: str = "name") -> DataFrame:
+    """(name, ip) of a mapping; of several addresses of a name the greatest."""
+    return mapping.groupBy(name).agg(F.max(ip).alias(ip))
+
+
+def merged_mappings(*mappings: DataFrame) -> DataFrame:
+    """(ip, name) of mappings in rising priority; a mapping's own repeats keep the greatest name, and void addresses go."""
+    ranked = [m.select("ip", "name", F.lit(k).alias("_k")) for k, m in enumerate(mappings)]
+    rows = ranked[0]
+    for m in ranked[1:]:
+        rows = rows.unionByName(m)
+    rows = rows.filter("ip is not null and ip not in ('', '<nil>')")
+    return rows.groupBy("ip").agg(F.max(F.struct("_k", "name")).alias("m")).select("ip", F.col("m.name").alias("name"))
+
+
 def named(rows: DataFrame, mapping: DataFrame, columns: list[str], ip: str = "ip", name: str = "name") -> DataFrame:
     """Addresses in the columns become names where the mapping has them."""
     for c in columns:

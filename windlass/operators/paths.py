@@ -98,14 +98,18 @@ def inject(edges: DataFrame, hops_: DataFrame, keys: Sequence[str] = ("win",), p
 def carried_amounts(wins: DataFrame, rate: float, gran: int, least: int = 60) -> DataFrame:
     """(win, amount) where an amount under the least is carried to the next window; amounts are constant, so in closed form.
 
-    Windows are those listed; every ceil(least / amount)-th one sends what has gathered.
+    Windows are those listed; every ceil(least / amount)-th one sends what has gathered. Their places come from counts of
+    blocks of windows, so no task has all of them.
     """
     each = int(rate * gran // 60)
     if each >= least or each == 0:
         return wins.select("win", F.lit(each if each >= least else 0).cast("long").alias("amount"))
     run = -(-least // each)
-    k = F.row_number().over(Window.orderBy("win"))
-    return wins.select("win", F.when(k % run == 0, F.lit(each * run)).otherwise(0).cast("long").alias("amount"))
+    block = wins.select("win", F.floor(F.col("win") / 4096).alias("_b"))
+    counts = block.groupBy("_b").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).select("_b", F.coalesce("_before", F.lit(0)).alias("_before"))
+    k = F.row_number().over(Window.partitionBy("_b").orderBy("win")) + F.col("_before")
+    return block.join(before, "_b").select("win", F.when(k % run == 0, F.lit(each * run)).otherwise(0).cast("long").alias("amount"))
 
 
 def choose_node(abstract: DataFrame, nodes: DataFrame, seed: int = 0) -> DataFrame:
@@ -123,6 +127,36 @@ def is_valid(path: Column, goal: str = "internet") -> Column:
     return F.size(F.filter(F.transform(path, ok), lambda b: ~b)) == 0
 
 
+def facts(allowed: DataFrame, ports: DataFrame) -> DataFrame:
+    """Reachability facts (src, dst, protocol, port): the allowed pairs (src, dst) on each port (svc, protocol, port) of the destination."""
+    return allowed.join(ports.withColumnRenamed("svc", "dst"), "dst").select("src", "dst", "protocol", "port").distinct()
+
+
+def abstract_name(name: Column, suffix: str) -> Column:
+    """A name as path templates have it: dashes as underscores, and the suffix _pod or _vip."""
+    return F.concat(F.translate(name, "-", "_"), F.lit(f"_{suffix}"))
+
+
+def variants(steps: DataFrame) -> DataFrame:
+    """(path_id, path): the paths that the alternatives (path_id, hop, a, b, vip) of all hops make together."""
+    choice = F.when(F.col("vip").isNull(), F.array("b")).otherwise(F.array("vip", "b"))
+    each = steps.groupBy("path_id", "hop").agg(F.min("a").alias("a"), F.collect_set(choice).alias("options"))
+    ways = each.groupBy("path_id").agg(F.sort_array(F.collect_list(F.struct("hop", "a", "options"))).alias("h"))
+    grown = F.aggregate("h", F.array(F.array(F.col("h")[0]["a"])), lambda acc, x: F.flatten(F.transform(acc, lambda p: F.transform(x["options"], lambda o: F.concat(p, o)))))
+    return ways.select("path_id", F.explode(grown).alias("path"))
+
+
+def union_of(*paths: DataFrame) -> DataFrame:
+    """Distinct paths of several lists in order of first appearance: (path, first), first = (list, place)."""
+    rows = [p.select("path", F.struct(F.lit(k).alias("list"), F.col("place").cast("long").alias("place")).alias("at")) for k, p in enumerate(paths)]
+    return reduce(DataFrame.unionByName, rows).groupBy("path").agg(F.min("at").alias("first"))
+
+
+def occurrences(paths: DataFrame) -> DataFrame:
+    """How often each path is in the lists (paths array of paths)."""
+    return paths.select(F.explode("paths").alias("path")).groupBy("path").agg(F.count("*").alias("n"))
+
+
 def initiators(steps: DataFrame) -> DataFrame:
     """Who opens each hop's connection: a VIP of the other end's service if one end is, the pod otherwise, '?' between pods."""
     a, b = F.col("a"), F.col("b")

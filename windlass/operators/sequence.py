@@ -71,5 +71,14 @@ def rebucketed(scores: DataFrame, fine: int, coarse: int, column: str, keys: Seq
     return scores.groupBy(*keys, F.floor(F.col("win") * fine / coarse).alias("win")).agg(F.max(column).alias(column))
 
 
+def end_of_training(marked: DataFrame, gran: int) -> DataFrame:
+    """The second at which the test part begins: its first window's start."""
+    return marked.agg((F.min(F.when(F.col("is_test") == 1, F.col("win"))) * gran).alias("end"))
+
+
+def past_training(win: Column, gran: int, end: int) -> Column:
+    return win * gran > end
+
+
 def test_mark(end_of_train: int, gran: int, largest: int) -> Column:
     return (F.col("win") >= (end_of_train // largest) * (largest // gran)).cast("int")

@@ -91,6 +91,16 @@ def alert_bins(alerts: DataFrame, bins: Column, keys: Sequence[str] = ()) -> Dat
     return rows.groupBy(*keys, F.coalesce(at, F.lit(0)).cast("long").alias("bin"), "_lo", "_hi", "_n").agg(F.count("*").alias("alerts")).select(*keys, "bin", (F.col("_lo") + F.col("bin") * width).alias("lo"), (F.col("_lo") + (F.col("bin") + 1) * width).alias("hi"), "alerts")
 
 
+def path_times(rows: DataFrame, gran: int) -> DataFrame:
+    """Seconds that each path was in use in each experiment: (exp, path, seconds)."""
+    return rows.filter("path is not null").groupBy("exp", "path").agg((F.count("*") * gran).alias("seconds"))
+
+
+def on_ensemble(frame: DataFrame, meta: DataFrame) -> DataFrame:
+    """Metadata columns beside an ensemble's rows, by window and never by place."""
+    return frame.join(meta, "win", "left")
+
+
 def overlapping(bins: DataFrame, periods: DataFrame) -> DataFrame:
     """Each bin (lo, hi) with the first period (period_id, start, end) that it overlaps, null without. Periods are few."""
     hit = bins.join(periods, (F.col("start") < F.col("hi")) & (F.col("end") > F.col("lo")), "left")

@@ -117,9 +117,9 @@ def reciprocity(spark, d):
     return _round(G.reciprocity(_edges(spark, d)), "reciprocity")
 
 
-@query(f"""WITH {FLOWS}, {_BACK}, y AS (SELECT x.*, least(a.svc, b.svc) AS svc_a, greatest(a.svc, b.svc) AS svc_b, a.svc AS ss FROM x JOIN n a ON a.node = src JOIN n b ON b.node = dst)
+@query(f"""WITH {FLOWS}, {_BACK}, y AS (SELECT x.*, least(a.svc, b.svc) AS svc_a, greatest(a.svc, b.svc) AS svc_b, a.svc AS ss, a.is_vip AS sv FROM x JOIN n a ON a.node = src JOIN n b ON b.node = dst)
 SELECT win, svc_a, svc_b, round(coalesce(sum(least(weight, back)) / nullif(sum(weight), 0), -1), 6) AS reciprocity,
-  round(stddev_pop(CASE WHEN ss = svc_a AND svc_a <> svc_b THEN weight END) / nullif(avg(CASE WHEN ss = svc_a AND svc_a <> svc_b THEN weight END), 0), 6) AS cov FROM y GROUP BY ALL""")
+  round(stddev_pop(CASE WHEN ss = svc_a AND svc_a <> svc_b AND NOT sv THEN weight END) / nullif(avg(CASE WHEN ss = svc_a AND svc_a <> svc_b AND NOT sv THEN weight END), 0), 6) AS cov FROM y GROUP BY ALL""")
 def pair_cov(spark, d):
     return _round(G.pair_metrics(_edges(spark, d), A.nations(spark, d)), "reciprocity", "cov")
 
@@ -182,14 +182,14 @@ def harmonic_service(spark, d):
     return K.centralities(s, ["harmonic"]).select("win", "node", F.round("value", 3).alias("harmonic"))
 
 
-@query(f"WITH {FLOWS}, p AS (SELECT DISTINCT win, src, dst FROM e), t AS (SELECT src, dst FROM p WHERE win < 20), x AS (SELECT win, count(*) AS c FROM p WHERE win >= 20 AND src IN (SELECT src FROM t) AND (src, dst) NOT IN (SELECT (src, dst) FROM t) GROUP BY win) SELECT win, coalesce(c, 0) AS new_neighbours FROM (SELECT DISTINCT win FROM p WHERE win >= 20) LEFT JOIN x USING (win)")
+@query(f"WITH {FLOWS}, p AS (SELECT DISTINCT win, src, dst FROM e), t AS (SELECT src, dst FROM p WHERE win < 1), x AS (SELECT win, count(*) AS c FROM p WHERE win >= 1 AND src IN (SELECT src FROM t) AND (src, dst) NOT IN (SELECT (src, dst) FROM t) GROUP BY win) SELECT win, coalesce(c, 0) AS new_neighbours FROM (SELECT DISTINCT win FROM p WHERE win >= 1) LEFT JOIN x USING (win)")
 def new_neighbours(spark, d):
-    return G.new_neighbours(_edges(spark, d), 20)
+    return G.new_neighbours(_edges(spark, d), 1)
 
 
-@query(f"WITH {FLOWS}, p AS (SELECT * FROM e), k AS (SELECT DISTINCT src, dst FROM p WHERE win < 12 AND frames > 0 AND src <> dst), u AS (SELECT DISTINCT win FROM p WHERE win >= 12 AND frames > 0 AND src <> dst AND NOT EXISTS (SELECT 1 FROM k WHERE k.src = p.src AND k.dst = p.dst)) SELECT win, CAST(win IN (SELECT win FROM u) AS INTEGER) AS alert FROM (SELECT DISTINCT win FROM p WHERE win >= 12)")
+@query(f"WITH {FLOWS}, p AS (SELECT * FROM e), k AS (SELECT DISTINCT src, dst FROM p WHERE win < 1 AND frames > 0 AND src <> dst), u AS (SELECT DISTINCT win FROM p WHERE win >= 1 AND frames > 0 AND src <> dst AND NOT EXISTS (SELECT 1 FROM k WHERE k.src = p.src AND k.dst = p.dst)) SELECT win, CAST(win IN (SELECT win FROM u) AS INTEGER) AS alert FROM (SELECT DISTINCT win FROM p WHERE win >= 1)")
 def allowlist_alert(spark, d):
-    return G.allow_list_alerts(_edges(spark, d), 12)
+    return G.allow_list_alerts(_edges(spark, d), 1)
 
 
 @query(f"WITH {FLOWS} SELECT win, src, list_sort(list(DISTINCT dst)) AS neighbours FROM e GROUP BY ALL")

@@ -12,6 +12,17 @@ def edge_files(edges: DataFrame, path: str, by: tuple[str, ...] = ("gran",)) ->
     edges.select(*by, line.alias("value")).write.mode("overwrite").partitionBy(*by).text(path)
 
 
+def manifest(rows: DataFrame, path: str) -> None:
+    """JSON lines: manifests, mappings, lists of infrastructure."""
+    rows.write.mode("overwrite").json(path)
+
+
+def weighted_features(features: DataFrame, coefficients: DataFrame, path: str) -> None:
+    """Parquet of the features (win, metric, value) whose coefficient (metric, coef) isn't 0, with it."""
+    used = coefficients.filter("coef <> 0")
+    features.join(used, "metric").select("win", "metric", "value", "coef").write.mode("overwrite").parquet(path)
+
+
 def feature_csv(frame: DataFrame, path: str) -> None:
     frame.write.mode("overwrite").option("header", True).option("nullValue", "?").csv(path)
 

@@ -31,6 +31,18 @@ def service_table(spark: SparkSession, path: str) -> DataFrame:
     return each.select("name", "ip", part(1).try_cast("int").alias("port"), part(2).try_cast("int").alias("node_port"), part(3).alias("protocol"))
 
 
+def endpoints(spark: SparkSession, path: str) -> DataFrame:
+    """(ip, name) of a container network's endpoint dump: the first IPv4 and IPv6 address of each pod."""
+    schema = "array<struct<status struct<`external-identifiers` struct<`pod-name` string>, networking struct<addressing array<struct<ipv4 string, ipv6 string>>>>>>"
+    e = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", schema)).alias("e")).select(F.col("e.status.`external-identifiers`.`pod-name`").alias("name"), F.col("e.status.networking.addressing")[0].alias("a"))
+    return e.select(F.explode(F.array("a.ipv4", "a.ipv6")).alias("ip"), "name").filter("ip is not null")
+
+
+def cluster_log(spark: SparkSession, path: str) -> DataFrame:
+    """Cluster events, one JSON object a line: (t, op, entity, namespace, name, ip, status)."""
+    return spark.read.schema("t long, op string, entity string, namespace string, name string, ip string, status string").json(path)
+
+
 def networks(spark: SparkSession, path: str) -> DataFrame:
     """(network, ip, name) of a container-network dump: JSON arrays one after the other; masks go, dotted names keep two parts."""
     schema = "array<struct<Name string, IPAM struct<Config array<struct<Subnet string, Gateway string>>>, Containers map<string, struct<Name string, IPv4Address string>>>>"
@@ -49,6 +61,12 @@ def edge_file(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter("src <> ''").select("file", "src", "dst", "a.frames", "a.weight")
 
 
+def talking_pairs(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs(src, dst), hosts(node)) of edges with any frame."""
+    pairs = edges.filter("frames > 0").select("src", "dst").distinct()
+    return pairs, pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
+
+
 def policy(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(allowed(src, dst), pairs(src, vip_of)): lines before and after the divider; 'all' stands for every name, both ways round."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("i", "l")).withColumn("l", F.trim(F.split_part("l", F.lit("#"), F.lit(1))))
