@@ -1,11 +1,13 @@
 """Main text of web pages by site style trees.
 
 The pages of one host are merged into a style tree: elements at the same path of tags and classes are one node. For
-each node the entropy of its children's layout (presentation) and of its text (content) over the host's distinct pages
-(a page counts once, by the texts and layouts of all its elements of the node in order), as a share of the largest possible one, is its importance; branches that look and read alike on page after page are of
-low importance and removed from each page. Elements whose tag, role or class says what they are (menus, headers,
-footers, sidebars, notices, adverts, forms, comments, scripts) are noise at any entropy; article, main and the text
-elements within (paragraphs, headings, lists, tables) are kept at any entropy, as are elements that hold an article.
+each block node the entropy of its children's layout (presentation) and of its text (content) over the host's distinct
+pages (a page counts once, by the texts and layouts of all its elements of the node in order), as a share of the largest
+possible one, is its importance. Small hosts say little, so it is shrunk towards that of the path over all hosts, which
+weighs as much as PRIOR pages. Branches of less importance than LOW, which look and read alike on page after page, are
+removed from each page, in articles too; only those that hold or are an article stay. Elements whose tag, role or class
+says what they are (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts) are noise at any
+entropy: their texts differ from page to page on many sites, where entropy alone would keep them.
 
 Text is that of article or main elements where a page has them with text, else of all that remains. Blocks are joined
 by a line feed, white space within one is a single space, character references are decoded.
@@ -28,10 +30,11 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, load, slices
 
-MIN_PAGES, LOW = 8, 0.2
+PRIOR, LOW = 2.0, 0.2
 
 # The elements of HTML by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+KEPT = frozenset("html body article main".split())
 RAW = frozenset("script style noscript template textarea iframe svg math object select title".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 NOISE = frozenset("nav footer aside form head button dialog menu label input".split())
@@ -172,7 +175,7 @@ def _styles(batches):
             seen: dict = {}
 
             def visit(node, pieces):
-                if node.tag not in CONTENT and not node.holds_main:
+                if (node.tag in BLOCK or node.tag not in CONTENT) and node.tag not in KEPT and not node.holds_main:
                     said = "".join(pieces[node.start:]).strip()
                     at = seen.setdefault(node.path, (xxhash.xxh3_64(), xxhash.xxh3_64()))
                     for kept, value in zip(at, (said, " ".join(node.children))):
@@ -192,8 +195,8 @@ def _hosted(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns, hosts], names=["page_id", "url", "html", "host"])
 
 
-def style_tree(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(host, path, n, importance) of the merged nodes: the mean of content and layout entropy as shares of log n."""
+def style_tree(pages: DataFrame, scratch: Scratch, prior: float = PRIOR) -> DataFrame:
+    """(host, path, n, importance) of the merged nodes: the mean of content and layout entropy as shares of log n, shrunk to all hosts'."""
     rows = pages.select("url", "html").mapInArrow(_styles, "host string, path string, content long, layout long, page long")
     rows = scratch.table(rows.distinct(), "styles")
 
@@ -205,7 +208,11 @@ def style_tree(pages: DataFrame, scratch: Scratch) -> DataFrame:
 
     both = entropy("content").join(entropy("layout").drop("n"), ["host", "path"])
     # text weighs more than layout, which is alike wherever a template is
-    return both.select("host", "path", "n", (0.8 * F.col("content_h") + 0.2 * F.col("layout_h")).alias("importance"))
+    own = scratch.table(both.select("host", "path", "n", (0.8 * F.col("content_h") + 0.2 * F.col("layout_h")).alias("own")), "own")
+    # the path over all hosts; paths of one page only say nothing
+    everywhere = own.groupBy("path").agg((F.sum(F.when(F.col("n") > 1, F.col("n") * F.col("own"))) / F.sum(F.when(F.col("n") > 1, F.col("n")))).alias("all"))
+    shrunk = (F.col("n") * F.col("own") + prior * F.coalesce("all", F.lit(1.0))) / (F.col("n") + prior)
+    return own.join(everywhere, "path").select("host", "path", "n", shrunk.alias("importance"))
 
 
 def _extract(batches):
@@ -214,11 +221,11 @@ def _extract(batches):
         yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
-def extract(spark: SparkSession, pages: DataFrame, *, min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
+def extract(spark: SparkSession, pages: DataFrame, *, prior: float = PRIOR, low: float = LOW) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     scratch = Scratch(spark, "html")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    removed = style_tree(pages, scratch).filter((F.col("n") >= min_pages) & (F.col("importance") < low))
+    removed = style_tree(pages, scratch, prior).filter(F.col("importance") < low)
     removed = scratch.table(removed.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low")), "removed")
     return pages.mapInArrow(_hosted, "page_id long, url string, html string, host string").join(removed, "host", "left").select("page_id", "url", "html", "low").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
