@@ -1,4 +1,9 @@
+import math
+import random
+import re
+
 from windlass.llm import html as H
+from windlass.llm.common import Scratch
 
 
 def test_blocks_and_noise():
@@ -53,3 +58,45 @@ def test_one_host_on_both_sides(spark):
     rows = [(i, f"http://h.org/a b|{i}", page.format(i)) for i in range(20)]
     got = {r.page_id: r.text for r in H.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[3] == "Story 3"
+
+
+def test_importance_against_the_definition(spark):
+    rng = random.Random(2)
+    words = ["tea", "sea", "bee"]
+
+    def page(i):
+        rows = "".join(f"<li>{rng.choice(words)}</li>" for _ in range(rng.choice([1, 1, 2])))
+        return f"<body><div class='a'>{rng.choice(words)}</div><ul class='b'>{rows}</ul><p>{i if i % 3 else 'same'}</p></body>"
+
+    rows = [(f"http://h{i % 3}.org/{i}", page(i)) for i in range(40)]
+    got = {(r.host, r.path): (r.n, r.importance) for r in H.style_tree(spark.createDataFrame(rows, "url string, html string"), Scratch(spark, "t")).collect()}
+    seen: dict = {}
+    for url, html in set(rows):
+        for tag, sig, found in (("div", ".a", re.findall(r"<div class='a'>(.*?)</div>", html)), ("ul", ".b", re.findall(r"<ul class='b'>(.*?)</ul>", html)), ("p", "", re.findall(r"<p>(.*?)</p>", html))):
+            path = H._path(H._path(H._path("", "body"), tag + sig), "")
+            path = H._path(H._path("", "body"), tag + sig)
+            kinds = ["".join(re.findall(r"[a-z0-9]+", re.sub(r"</?li>", " ", x))) for x in found], [" ".join(["li"] * x.count("<li>")) for x in found]
+            for k, kind in enumerate(kinds):
+                seen.setdefault((H.host(url), path), ({}, {}))[k].setdefault(str(kind), set()).add(html)
+
+    def entropy(groups):
+        c = [len(g) for g in groups.values()]
+        n = sum(c)
+        return n, (-sum(x / n * math.log(x / n) for x in c) / math.log(n) if n > 1 else 1.0)
+
+    own = {}
+    for key, (content, layout) in seen.items():
+        (n, a), (_, b) = entropy(content), entropy(layout)
+        own[key] = n, 0.8 * a + 0.2 * b
+    for (host, path), (n, x) in own.items():
+        others = [(m, y) for (_, q), (m, y) in own.items() if q == path and m > 1]
+        everywhere = sum(m * y for m, y in others) / sum(m for m, _ in others) if others else 1.0
+        assert got[host, path][0] == n and math.isclose(got[host, path][1], (n * x + H.PRIOR * everywhere) / (n + H.PRIOR), rel_tol=1e-9)
+
+
+def test_the_tree_judges_articles_too(spark):
+    page = "<body><article><h1>Title {0}</h1><p>Story {0} of {1}</p><div class='box'><p>Read our terms</p></div></article></body>"
+    rows = [(i, f"http://h.org/{i}", page.format(i, i * i)) for i in range(20)] + [(50, "http://small.org/", page.format(50, 1))]
+    got = {r.page_id: r.text for r in H.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Title 3\nStory 3 of 9"
+    assert got[50].startswith("Title 50\nStory 50 of 1")  # one page says little, the other host's tell more
