@@ -31,8 +31,9 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of a benchmark item go."""
-    found = decontaminate.find(spark, docs.select(COLUMNS), load(spark, sf_dir, "benchmark"))
-    return found.filter(F.size("hit_spans") == 0).select(COLUMNS)
+    found = decontaminate.find(spark, docs, load(spark, sf_dir, "benchmark"))
+    hit = found.filter(F.size("hit_spans") > 0).select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(hit, "doc_id", "left_anti").select(COLUMNS)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +45,9 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether decoding them gives the text again."""
     coded = spm.encode(docs.select(COLUMNS), check=True, keep_text=False)
-    return coded.select("doc_id", "lang", "source", "n_chars", F.when(F.col("ids").isNotNull(), F.size("ids")).cast("long").alias("n_tokens"), "ids", "round_trip")
+    return coded.select(
+        "doc_id", "lang", "source", "n_chars", F.when(F.col("ids").isNotNull(), F.size("ids")).cast("long").alias("n_tokens"), "ids", "round_trip"
+    )
 
 
 STAGES = [

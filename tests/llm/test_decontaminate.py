@@ -13,7 +13,7 @@ def _rows():
 
 
 def _result(df):
-    return sorted((r.doc_id, r.n_words, sum(s.end - s.start for s in r.hit_spans), len(r.hit_items)) for r in df.collect())
+    return sorted((r.id, r.n_words, sum(s.end - s.start for s in r.hit_spans), len(r.hit_items)) for r in df.collect())
 
 
 def test_against_brute_force(spark):
@@ -21,17 +21,58 @@ def test_against_brute_force(spark):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want = sorted((r[0], r[1], r[2], r[3]) for r in D.brute_force(docs, items))
     assert _result(D.find(spark, d, b)) == want
-    assert _result(D.find(spark, d, b, block_bytes=400, keep_text=False)) == want  # in several blocks
+    assert _result(D.find(spark, d, b, block_bytes=400)) == want  # in several blocks
+    assert _result(D.find(spark, d, b, vocabulary=10)) == want  # with every term indexed
 
 
 def test_proximity(spark):
     d = spark.createDataFrame([(1, "a x b c d e f g h i j"), (2, "a b c d e f g h i j"), (3, "j i h g f")], "doc_id long, text string")
     b = spark.createDataFrame([(7, "a b c d e f g h i j")], "item_id long, text string")
-    exact = {r.doc_id for r in D.find(spark, d, b).filter("size(hit_spans) > 0").collect()}
-    near = {r.doc_id for r in D.find(spark, d, b, slop=1).filter("size(hit_spans) > 0").collect()}
+    exact = {r.id for r in D.find(spark, d, b).filter("size(hit_spans) > 0").collect()}
+    near = {r.id for r in D.find(spark, d, b, slop=1).filter("size(hit_spans) > 0").collect()}
     assert exact == {2} and near == {1, 2}
 
 
+def test_proximity_against_brute_force(spark):
+    docs, items = _rows()
+    slop = 2
+    lists = {i: D.words(t) for i, t in docs}
+    count = {}
+    for x in lists.values():
+        for w in x:
+            count[w] = count.get(w, 0) + 1
+    memo = D.WordHashes()
+    want = {}
+    for i, t in items:
+        x = D.words(t)
+        n = min(D.WINDOW, len(x))
+        for k in range(len(x) - n + 1 if n else 0):
+            win = x[k:k + n]
+            rare = min(range(n), key=lambda o: (count.get(win[o], 0), o))
+            for d, ws in lists.items():
+                for p, w in enumerate(ws):
+                    s = p - rare
+                    if w == win[rare] and s >= 0 and s + n <= len(ws) and all(win[o] in ws[max(0, s + o - slop):s + o + slop + 1] for o in range(n) if o != rare):
+                        want.setdefault(d, (set(), set()))
+                        want[d][0].update(range(s, s + n))
+                        want[d][1].add(str(i))
+    assert len(memo) == 0 and sum(len(v[0]) for v in want.values()) > 300
+    got = {r.id: r for r in D.find(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"), slop=slop).collect()}
+    for d in lists:
+        assert {p for s in got[d].hit_spans for p in range(s.start, s.end)} == want.get(d, (set(), set()))[0]
+        assert got[d].hit_items == sorted(want.get(d, (set(), set()))[1])
+
+
+def test_long_text_repeats_and_nulls(spark):
+    item = " ".join(f"q{i}" for i in range(12))
+    long = "word " * 300_000 + item
+    rows = [(1, long, "x"), (1, item, "y"), (1, item, "y"), (None, item, None), (2, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, hit_spans string")
+    b = spark.createDataFrame([(7, item), (7, item), (None, item), (8, None)], "item_id long, text string")
+    got = sorted((r.id is None, r.id or 0, r.n_words, [tuple(s) for s in r.hit_spans], r.hit_items) for r in D.find(spark, d, b).collect())
+    assert got == [(False, 1, 12, [(0, 12)], ["7"]), (False, 1, 12, [(0, 12)], ["7"]), (False, 1, 300_012, [(300_000, 300_012)], ["7"]), (False, 2, 0, [], []), (True, 0, 12, [(0, 12)], ["7"])]
+
+
 def test_empty(spark):
     docs, items = _rows()
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")

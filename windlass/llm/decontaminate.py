@@ -1,33 +1,38 @@
-"""Benchmark decontamination with a positional inverted index that is partitioned by document.
+"""Benchmark decontamination with a distributed positional inverted index.
 
-Each task turns its documents, shard by shard, into posting lists (term, positions) of the terms that a benchmark uses.
-Test windows start from the posting list of their rarest term in the shard; the lists of the other terms, rarest first,
-are shifted by their offset and intersected, so no posting is shuffled. Hits are exact phrases, or with slop > 0
-proximity matches in which each term may be off its place by that many words.
+The index of a document table is a stored table of shards: each holds, for a range of documents, the posting lists
+(term, places) of the terms that the benchmark uses, terms in order and places in order within them. (A benchmark of over
+VOCABULARY distinct words is too large to be sent to all: then every term is indexed.) The shards' counts give each term's
+count over all documents. A search holds blocks of test windows against every shard: a window starts from the list of
+its rarest term overall; the lists of its other terms, rarest first, are shifted by their offsets and intersected with
+what is left. Hits are exact phrases or, with slop > 0, proximity matches: laid so that the rarest term is in place, each
+other term is off its own by at most slop words, within the document. No list of a frequent term is ever gathered, as
+its postings lie in the shards of their documents.
 
-The benchmark is the query set: it is held against all rows in blocks of a bounded number of bytes.
+Terms are 64-bit hashes of words; windows are of ten of them.
 
 Defined results: a null or empty text has no words and no hits; a null or wordless benchmark item has no window; null
-item ids count as no item but their windows still hit; repeated items and rows count as they stand; empty tables give
-no rows or no hits; columns other than those named are carried along untouched.
+item ids count as no item but their windows still hit; repeated items and rows count as they stand, each row of the
+table has one in the result; empty tables give no rows or no hits; columns other than those named are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import load, slices
+from .common import Scratch, load, slices
+from .shingles import WordHashes
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES, VOCABULARY = 16 << 20, 4_000_000
 _TABLE = bytes(32 if b < 0x30 or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-_END = b" \x01 "
 SPANS = "array<struct<start:int,end:int>>"
 
 
@@ -36,104 +41,167 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Windows:
-    """The distinct windows of a block of items, by length, and the items of each."""
+    """The distinct windows of a block of items, by length, with the items of each; terms are places in the sorted vocabulary."""
 
     def __init__(self, items: list[tuple], window: int = WINDOW):
-        self.vocab: dict[bytes, int] = {}
-        found: dict[tuple, set] = {}
+        memo, found = WordHashes(), {}
         for item_id, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words(text)]
-            n = min(window, len(ids))
-            for i in range(len(ids) - n + 1 if n else 0):
-                found.setdefault(tuple(ids[i:i + n]), set()).add(item_id)
+            h = [memo[w] for w in words(text)]
+            n = min(window, len(h))
+            for i in range(len(h) - n + 1 if n else 0):
+                found.setdefault(tuple(h[i:i + n]), set()).add(item_id)
+        self.vocab = np.array(sorted({t for w in found for t in w}), np.uint64)
         by: dict[int, list[tuple]] = {}
         for w in found:
             by.setdefault(len(w), []).append(w)
-        self.by_length = [(n, np.array(ws, np.int32), [sorted(i for i in found[w] if i is not None) for w in ws]) for n, ws in sorted(by.items())]
-        self.vocab[b"\x01"] = -1
-
-
-def matches(ids: np.ndarray, doc_of: np.ndarray, wins: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(window number, start place) of all windows (rows of wins) in a shard's token ids, by its posting lists."""
-    size = np.int64(len(ids) + 1)
-    at = np.flatnonzero(ids > 0)
-    postings = np.sort(ids[at].astype(np.int64) * size + at)  # by term, then place
-    top = int(max(wins.max(), ids.max(initial=0))) + 1
-    first = np.searchsorted(postings, np.arange(top + 1, dtype=np.int64) * size)
-    count = np.diff(first)
-    order = np.argsort(count[wins], axis=1, kind="stable")  # offsets, rarest term first
-    rare = wins[np.arange(len(wins)), order[:, 0]]
-    live = np.flatnonzero(count[rare])
-    n = count[rare[live]]
-    which = np.repeat(live, n)
-    places = postings[np.repeat(first[rare[live]] - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n, n) + np.arange(n.sum())] % size
+        self.by_length = [(n, np.searchsorted(self.vocab, np.array(ws, np.uint64)).astype(np.int64), [sorted(i for i in found[w] if i is not None) for w in ws]) for n, ws in sorted(by.items())]
+        self.counts = np.zeros(len(self.vocab), np.int64)
+
+
+def matches(first: np.ndarray, postings: np.ndarray, size: int, begins: np.ndarray, wins: np.ndarray, counts: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(window number, start place) of all windows (rows of wins) in a shard of size words.
+
+    postings are term * size + place in order, first where each term's begin; counts are those over all shards.
+    """
+    n = np.diff(first)
+    live = np.flatnonzero((n[wins] > 0).all(1))
+    order = np.argsort(counts[wins[live]], axis=1, kind="stable")  # offsets, rarest term first
+    rare = wins[live, order[:, 0]]
+    many = n[rare]
+    which = np.repeat(np.arange(len(live)), many)
+    places = postings[np.repeat(first[rare] - (np.cumsum(many) - many), many) + np.arange(many.sum())] % size if len(live) else np.zeros(0, np.int64)
     start = places - order[which, 0]
-    ok = (start >= 0) & (start + wins.shape[1] <= len(ids))
-    which, start = which[ok], start[ok]
+    doc = np.searchsorted(begins, places, "right") - 1
+    ok = (start >= begins[doc]) & (start + wins.shape[1] <= begins[doc + 1])
+    which, start, doc = which[ok], start[ok], doc[ok]
     for k in range(1, wins.shape[1]):
         if not len(which):
             break
         offset = order[which, k]
-        key, place = wins[which, offset].astype(np.int64) * size, start + offset
-        i = np.searchsorted(postings, key + np.maximum(place - slop, 0))
+        key, place = wins[live[which], offset] * size, start + offset
+        i = np.searchsorted(postings, key + np.maximum(place - slop, begins[doc]))
         ok = i < len(postings)
-        hit = postings[np.minimum(i, len(postings) - 1)]
-        ok &= hit <= key + np.minimum(place + slop, len(ids))
-        ok &= doc_of[np.minimum(hit % size, len(ids) - 1)] == doc_of[start]
-        which, start = which[ok], start[ok]
-    ok = doc_of[start] == doc_of[np.minimum(start + wins.shape[1] - 1, len(ids) - 1)]
-    return which[ok], start[ok]
-
-
-def shard_hits(texts: list, windows: Windows, slop: int = 0) -> list[tuple[int, list, list]]:
-    """(number of words, merged hit spans, items) for each text of a shard."""
-    tokens = _END.join((t or "").encode("utf-8", "surrogatepass").translate(_TABLE) for t in texts).split()
-    get = windows.vocab.get
-    ids = np.fromiter((get(t, 0) for t in tokens), np.int32, len(tokens))
-    ends = np.concatenate([np.flatnonzero(ids == -1), [len(ids)]])
-    begins = np.concatenate([[0], ends[:-1] + 1])
-    doc_of = np.cumsum(ids == -1)
-    marks = np.zeros(len(ids) + 1, np.int32)
-    items: dict[int, set] = {}
-    for n, wins, owners in windows.by_length if len(ids) else ():
-        which, start = matches(ids, doc_of, wins, slop)
-        np.add.at(marks, start, 1)
-        np.add.at(marks, start + n, -1)
-        for d, w in set(zip(doc_of[start].tolist(), which.tolist())):
-            items.setdefault(d, set()).update(owners[w])
-    hit = np.concatenate([[0], (np.cumsum(marks)[:-1] > 0).astype(np.int8), [0]])
-    edge = np.flatnonzero(np.diff(hit))
-    spans: dict[int, list] = {}
-    for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
-        spans.setdefault(int(doc_of[s]), []).append((s - int(begins[doc_of[s]]), e - int(begins[doc_of[s]])))
-    return [(int(e - b), spans.get(d, []), list(items.get(d, ()))) for d, (b, e) in enumerate(zip(begins, ends))]
-
-
-def _merge(spans: list) -> list:
-    out: list = []
-    for s, e in sorted(spans):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return out
+        ok &= postings[np.minimum(i, len(postings) - 1)] <= key + np.minimum(place + slop, begins[doc + 1] - 1)
+        which, start, doc = which[ok], start[ok], doc[ok]
+    return live[which], start
+
+
+def _indexer(vocab, schema: pa.Schema):
+    """Shards: (shard, ids, begins, terms, counts, places) of each piece of the table."""
+    def run(batches):
+        memo, known = WordHashes(), None if vocab is None else vocab.value
+        for piece in slices(batches, rows=4096, chars=3 << 20, column="text"):
+            lists = [words(t) for t in piece.column(1).to_pylist()]
+            begins = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+            get = memo.__getitem__
+            h = np.fromiter((get(w) for x in lists for w in x), np.uint64, begins[-1])
+            at = np.arange(len(h), dtype=np.uint32)
+            if known is not None:
+                ok = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
+                h, at = h[ok], at[ok]
+            order = np.argsort(h, kind="stable")
+            h, at = h[order], at[order]
+            new = np.flatnonzero(np.append(True, h[1:] != h[:-1])[:len(h)])
+            bytes_ = [x.tobytes() for x in (begins, h[new], np.diff(np.append(new, len(h))).astype(np.uint32), at)]
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.ListArray.from_arrays(pa.array([0, piece.num_rows], pa.int32()), piece.column(0)).cast(schema.field("ids").type), *(pa.array([b], pa.binary()) for b in bytes_)], schema=schema)
+
+    return run
+
+
+def index(docs: DataFrame, scratch: Scratch, vocab: np.ndarray | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The stored index of a table, of all terms or of those of a vocabulary (sorted hashes)."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = rows.schema["id"].dataType
+    schema = pa.schema([("shard", pa.string()), ("ids", pa.list_(to_arrow_type(kind))), *((n, pa.binary()) for n in ("begins", "terms", "counts", "places"))])
+    vocab = None if vocab is None else docs.sparkSession.sparkContext.broadcast(vocab)
+    made = rows.mapInArrow(_indexer(vocab, schema), f"shard string, ids array<{kind.simpleString()}>, begins binary, terms binary, counts binary, places binary")
+    return scratch.table(made, f"index-{uuid.uuid4().hex[:8]}", compression="zstd")
+
+
+def _counter(vocab):
+    """(i, n): how often the i-th term of the vocabulary is in a task's shards."""
+    def run(batches):
+        known = vocab.value
+        total = np.zeros(len(known), np.int64)
+        for batch in batches:
+            for terms, counts in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
+                at, n = _placed(terms, counts, known)
+                total[at[at >= 0]] += n[at >= 0]
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["i", "n"])
 
+    return run
+
+
+def _placed(terms: bytes, counts: bytes, vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of a shard's terms in the vocabulary, -1 for others, and their counts."""
+    h, n = np.frombuffer(terms, np.uint64), np.frombuffer(counts, np.uint32).astype(np.int64)
+    at = np.searchsorted(vocab, h)
+    known = np.zeros(len(h), bool) if not len(vocab) else vocab[np.minimum(at, len(vocab) - 1)] == h
+    return np.where(known, at, -1), n
 
-def _pass(windows, slop: int, text_col: str, schema: pa.Schema):
+
+def _searcher(windows, slop: int):
+    """(shard, place, id, n_words, hit_spans, hit_items) of every document of the shards."""
     def run(batches):
         w = windows.value
-        for piece in slices(batches, rows=2048, chars=2 << 20, column=text_col):
-            get = {n: piece.column(i) for i, n in enumerate(piece.schema.names)}
-            found = shard_hits(get[text_col].to_pylist(), w, slop)
-            old_spans, old_items = get["hit_spans"].to_pylist(), get["hit_items"].to_pylist()
-            get["n_words"] = pa.array([n for n, _, _ in found], pa.int64())
-            get["hit_spans"] = pa.array([[{"start": s, "end": e} for s, e in (_merge([(x["start"], x["end"]) for x in old] + new) if old else new)] for old, (_, new, _) in zip(old_spans, found)], schema.field("hit_spans").type)
-            get["hit_items"] = pa.array([sorted({*old, *map(str, new)}) for old, (_, _, new) in zip(old_items, found)], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([get[n] for n in schema.names], names=schema.names)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                shard, ids, begins, terms, counts, places = (batch.column(i)[k] for i in range(6))
+                begins = np.frombuffer(begins.as_py(), np.int64)
+                size = max(1, int(begins[-1]))
+                at, n = _placed(terms.as_py(), counts.as_py(), w.vocab)
+                ok = np.repeat(at >= 0, n)
+                postings = np.repeat(at, n)[ok] * size + np.frombuffer(places.as_py(), np.uint32)[ok]
+                have = np.zeros(len(w.vocab), np.int64)
+                have[at[at >= 0]] = n[at >= 0]
+                first = np.append(0, np.cumsum(have))
+                marks, items = np.zeros(size + 1, np.int32), {}
+                for length, wins, owners in w.by_length:
+                    which, start = matches(first, postings, size, begins, wins, w.counts, slop)
+                    np.add.at(marks, start, 1)
+                    np.add.at(marks, start + length, -1)
+                    for d, o in set(zip((np.searchsorted(begins, start, "right") - 1).tolist(), which.tolist())):
+                        items.setdefault(d, set()).update(owners[o])
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(marks)[:-1] > 0).astype(np.int8), [0]])))
+                spans: dict[int, list] = {}
+                for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                    # a run of hit words may go from the end of one document on into the next
+                    d = int(np.searchsorted(begins, s, "right")) - 1
+                    while s < e:
+                        end = min(e, int(begins[d + 1]))
+                        if end > s:
+                            spans.setdefault(d, []).append({"start": s - int(begins[d]), "end": end - int(begins[d])})
+                        s, d = end, d + 1
+                m = len(begins) - 1
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([shard.as_py()] * m, pa.string()), pa.array(np.arange(m, dtype=np.int32)), ids.values, pa.array(np.diff(begins)), pa.array([spans.get(d, []) for d in range(m)], _SPANS_PA), pa.array([sorted(map(str, items.get(d, ()))) for d in range(m)], pa.list_(pa.string())),
+                ], names=["shard", "place", "id", "n_words", "hit_spans", "hit_items"])
 
     return run
 
 
+_SPANS_PA = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def search(spark: SparkSession, shards: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
+    """(shard, place, id, n_words, hit_spans, hit_items) of every document, for one block of windows."""
+    vocab = spark.sparkContext.broadcast(windows.vocab)
+    counts = shards.select("terms", "counts").mapInArrow(_counter(vocab), "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    windows.counts[counts.column(0).to_numpy()] = counts.column(1).to_numpy()
+    kind = shards.schema["ids"].dataType.elementType.simpleString()
+    return shards.mapInArrow(_searcher(spark.sparkContext.broadcast(windows), slop), f"shard string, place int, id {kind}, n_words long, hit_spans {SPANS}, hit_items array<string>")
+
+
+def _merged(spans):
+    """Spans as their maximal runs."""
+    step = lambda acc, x: F.when(
+        (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]),
+        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))),
+    ).otherwise(F.concat(acc, F.array(x)))
+    return F.aggregate(F.sort_array(spans), F.array().cast(SPANS), step)
+
+
 def block_filters(benchmark: DataFrame, text_col: str, block_bytes: int) -> list:
     """Conditions that cut the items into blocks of about block_bytes of text (a longer item is alone over it)."""
     total = benchmark.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
@@ -141,23 +209,37 @@ def block_filters(benchmark: DataFrame, text_col: str, block_bytes: int) -> list
     return [F.pmod(F.xxhash64(text_col), F.lit(n)) == k for k in range(n)] if n > 1 else [F.lit(True)]
 
 
-def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text_col="text", item_col="item_id", bench_text_col="text", window: int = WINDOW, slop: int = 0, block_bytes: int = BLOCK_BYTES, keep_text: bool = True) -> DataFrame:
-    """docs with n_words, hit_spans (word places, merged) and hit_items (ids as sorted strings)."""
-    out = docs.withColumns({"n_words": F.lit(0).cast("long"), "hit_spans": F.array().cast(SPANS), "hit_items": F.array().cast("array<string>")})
-    filters = block_filters(benchmark, bench_text_col, block_bytes)
-    for k, block in enumerate(filters):
-        items = benchmark.filter(block).select(item_col, bench_text_col).collect()
-        windows = spark.sparkContext.broadcast(Windows([tuple(r) for r in items], window))
-        schema = out.schema if keep_text or k < len(filters) - 1 else out.drop(text_col).schema
-        out = out.mapInArrow(_pass(windows, slop, text_col, to_arrow_schema(schema)), schema)
-    return out
+def _terms(batches):
+    memo = WordHashes()
+    for batch in batches:
+        for t in batch.column(0).to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.array([memo[w] for w in words(t)], np.uint64)).view(np.int64))], names=["term"])
+
+
+def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="text", item_col="item_id", bench_text_col="text", window: int = WINDOW, slop: int = 0, block_bytes: int = BLOCK_BYTES, vocabulary: int = VOCABULARY) -> DataFrame:
+    """(id, n_words, hit_spans, hit_items) of every row: word places of hits, merged, and ids of items as sorted strings."""
+    scratch = Scratch(spark, "decontaminate")
+    terms = benchmark.select(bench_text_col).mapInArrow(_terms, "term long").distinct()
+    few = terms.limit(vocabulary + 1).toArrow().column(0).to_numpy()
+    vocab = np.sort(few.view(np.uint64)) if len(few) <= vocabulary else None
+    shards = index(docs, scratch, vocab, id_col=id_col, text_col=text_col)
+    found = []
+    for block in block_filters(benchmark, bench_text_col, block_bytes):
+        items = benchmark.filter(block).select(item_col, bench_text_col).collect()  # of bounded size
+        found.append(search(spark, shards, Windows([tuple(r) for r in items], window), slop))
+    if len(found) == 1:
+        return found[0].drop("shard", "place")
+    rows = found[0]
+    for f in found[1:]:
+        rows = rows.unionByName(f)
+    rows = rows.groupBy("shard", "place").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hit_spans")).alias("s"), F.flatten(F.collect_list("hit_items")).alias("i"))
+    return rows.select("id", "n_words", _merged(F.col("s")).alias("hit_spans"), F.array_sort(F.array_distinct("i")).alias("hit_items"))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    found = find(spark, docs, load(spark, sf_dir, "benchmark"), keep_text=False)
+    found = find(spark, load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("hit_spans", F.lit(0), lambda a, x: a + x["end"] - x["start"]).cast("long")
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def brute_force(docs: list[tuple], items: list[tuple], window: int = WINDOW) -> list[tuple]:
