@@ -1,11 +1,16 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The model file is compiled into three parts that are composed with each input: the normaliser (white space escapes and
-the leading mark), the arcs of all pieces, and byte fallback for characters of no piece. Encoding takes the
-tropical-semiring shortest path over the text's positions. For a unigram model an arc weighs minus the piece's score.
-For a BPE model merges aren't additive; there an arc may follow another only if merging both pieces' characters gives
-just these two pieces. Adjacent pairs decide whether a segmentation is the one that merging makes, so of all paths
-exactly one has a finite weight, and the ids are those of the merge rules.
+The model file is compiled into three machines: the normaliser (white space becomes marks, a start arc writes the leading
+one), the acceptor of all pieces (a trie whose final states write piece ids), and byte fallback (arcs of one character
+that write its bytes). They are composed with each input as the search goes on: a state of the composition is a position
+in the text and the piece that led there, and encoding takes the shortest path in the tropical semiring, where weights
+add along a path and the least of paths counts, over positions in order.
+
+For a unigram model an arc weighs minus the piece's score. A BPE model's merges aren't a sum of piece weights; there the
+weight lies in the pair of states: 0 where merging both pieces' characters gives just these two pieces, else infinite.
+Adjacent pairs decide whether a segmentation is the one that merging makes, so of all paths to a position exactly one is
+finite, and the ids are those of the merge rules. Where this doesn't hold (runs of marks, whose pieces have equal scores,
+and characters that are parts of pieces but none themselves) the chunk goes through the merge rules, to the same ids.
 
 Texts are cut into chunks that no piece crosses (before a run of white-space marks, around characters of no piece),
 so a chunk's path is found once and remembered within a bound.
@@ -16,6 +21,7 @@ encoded alike; other columns are carried along.
 
 from __future__ import annotations
 
+import array
 import functools
 import heapq
 import re
@@ -33,7 +39,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CHUNKS, PAIRS = 150_000, 400_000  # entries that a task remembers
+CHUNKS, PAIRS = 200_000, 400_000  # entries of each of two generations that a task remembers
+INF = float("inf")
 UNKNOWN_COST = 10.0
 
 
@@ -104,13 +111,23 @@ class Transducer:
         if m.kind == BPE:  # pieces that their own characters don't merge into are never met
             self.ids = {p: i for p, i in self.ids.items() if len(p) == 1 or self.merged(p) == [p]}
         self.odd = {c for c in self.chars if c not in self.ids}
-        self.reach: dict[str, int] = {}
-        for p in self.ids:
-            self.reach[p[:2]] = max(len(p), self.reach.get(p[:2], 1))
+        self.trie = self._compiled(self.ids)
         self.worst = min((m.scores[i] for i in self.ids.values()), default=0.0) - UNKNOWN_COST
         self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
 
+    @staticmethod
+    def _compiled(ids: dict[str, int]) -> dict:
+        """The acceptor of the pieces: a state's arcs by character; under '' the id that a final state writes."""
+        start: dict = {}
+        for piece, i in ids.items():
+            state = start
+            for c in piece:
+                state = state.setdefault(c, {})
+            state[""] = i
+        return start
+
     def normalise(self, text: str) -> str:
         if self.model.trim:
             text = re.sub(" {2,}", " ", text.strip(" "))
@@ -161,78 +178,55 @@ class Transducer:
             known = self.pairs[key] = self.merged(p + q) == [p, q]
         return known
 
-    def _bpe_path(self, s: str) -> list[int]:
-        """The one path whose arcs all follow each other, found depth first, longest arc first.
-
-        A position that no finite path goes on from stays dead: the path that leads to a position is the merge of
-        the characters before it, so it is the same each time.
-        """
-        if MARK * 2 in s or self.odd.intersection(s):  # equal scores, or characters that are no piece themselves
+    def shortest(self, s: str) -> list[int]:
+        """The ids along the shortest path of the composition with a chunk."""
+        bpe = self.model.kind == BPE
+        if bpe and (MARK * 2 in s or self.odd.intersection(s)):
             return [t for p in self.merged(s) for t in ((self.ids[p],) if p in self.ids else self.fallback(p))]
-        get, reach, pairs, follows = self.ids.get, self.reach, self.pairs.get, self.follows
-        n, at, dead, before = len(s), 0, set(), -1
-        path: list[tuple[int, int]] = []
-        size = min(reach.get(s[:2], 1), n)
-        while at < n:
-            while size:
-                i = get(s[at:at + size])
-                if i is not None:
-                    if at + size not in dead and (before < 0 or (follows(before, i) if (ok := pairs(before << 20 | i)) is None else ok)):
-                        break
-                elif size == 1:
-                    i = -1  # a character of no piece
+        n, trie, scores, known, follows = len(s), self.trie, self.model.scores, self.pairs.get, self.follows
+        weight, back, wrote = [INF] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        weight[0] = 0.0
+        for at in range(n):
+            here, before, state = weight[at], wrote[at], trie
+            if here == INF:
+                continue
+            for end in range(at, n):
+                state = state.get(s[end])
+                if state is None:
                     break
-                size -= 1
-            if size:
-                path.append((i, size))
-                at, before = at + size, i
-                size = min(reach.get(s[at:at + 2], 1), n - at)
-            else:
-                dead.add(at)
-                i, size = path.pop()
-                at, size = at - size, size - 1
-                before = path[-1][0] if path else -1
-        if all(i >= 0 for i, _ in path):
-            return [i for i, _ in path]
-        out, at = [], 0
-        for i, size in path:
-            out += [i] if i >= 0 else self.fallback(s[at])
-            at += size
-        return out
-
-    def _unigram_path(self, s: str) -> list[int]:
-        cost, step = [0.0] + [float("inf")] * len(s), [(0, ())] * (len(s) + 1)
-        for end in range(1, len(s) + 1):
-            for begin in range(max(0, end - self.longest), end):
-                i = self.ids.get(s[begin:end])
-                if i is not None:
-                    w = cost[begin] - self.model.scores[i]
-                elif begin == end - 1:
-                    w = cost[begin] - self.worst
-                else:
+                i = state.get("")
+                if i is None:
                     continue
-                if w < cost[end]:
-                    cost[end], step[end] = w, (begin, (i,) if i is not None else self.fallback(s[begin:end]))
-        out, end = [], len(s)
-        while end > 0:
-            begin, ids = step[end]
-            out += reversed(ids)
-            end = begin
-        return out[::-1]
+                if bpe:  # one finite path leads to a position: what has one needs no other
+                    if weight[end + 1] == INF and (before < 0 or (follows(before, i) if (ok := known(before << 20 | i)) is None else ok)):
+                        weight[end + 1], back[end + 1], wrote[end + 1] = here, at, i
+                elif here - scores[i] < weight[end + 1]:
+                    weight[end + 1], back[end + 1], wrote[end + 1] = here - scores[i], at, i
+            if s[at] not in self.ids:  # byte fallback
+                w = here if bpe else here - self.worst
+                if w < weight[at + 1]:
+                    weight[at + 1], back[at + 1], wrote[at + 1] = w, at, -1
+        out, at = [], n
+        while at:
+            out.extend((wrote[at],) if wrote[at] >= 0 else reversed(self.fallback(s[back[at]])))
+            at = back[at]
+        out.reverse()
+        return out
 
     def path(self, chunk: str) -> bytes:
         """The shortest path's ids as int32 bytes."""
-        ids = self._bpe_path(chunk) if self.model.kind == BPE else self._unigram_path(chunk)
-        raw = np.array(ids, np.int32).tobytes()
+        raw = self.older.get(chunk)
+        if raw is None:
+            raw = array.array("i", self.shortest(chunk)).tobytes()
         if len(chunk) <= 40:
             if len(self.chunks) >= CHUNKS:
-                self.chunks.clear()
+                self.older, self.chunks = self.chunks, {}
             self.chunks[chunk] = raw
         return raw
 
     def encode(self, text: str) -> bytes:
-        get, path = self.chunks.get, self.path
-        return b"".join([get(c) or path(c) for c in self.cut.findall(self.normalise(text))])
+        path = self.path
+        return b"".join([self.chunks.get(c) or path(c) for c in self.cut.findall(self.normalise(text))])
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "surrogatepass")
@@ -247,9 +241,9 @@ def compiled(data: bytes) -> Transducer:
     return Transducer(data)
 
 
-def _encoder(data: bytes, text_col: str, check: bool, schema: pa.Schema):
+def _encoder(data, text_col: str, check: bool, schema: pa.Schema):
     def run(batches):
-        t = compiled(data)
+        t = compiled(data.value)
         for piece in slices(batches, rows=256, column=text_col):
             cols = {n: piece.column(i) for i, n in enumerate(piece.schema.names)}
             texts = cols[text_col].to_pylist()
@@ -265,10 +259,15 @@ def _encoder(data: bytes, text_col: str, check: bool, schema: pa.Schema):
     return run
 
 
+def _sent(spark: SparkSession, model: str):
+    """The model file, sent to each executor once; its size is that of a tokenizer, whatever the input's."""
+    with open(model, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
+
+
 def encode(docs: DataFrame, model: str = MODEL, *, text_col: str = "text", check: bool = False, keep_text: bool = True) -> DataFrame:
     """docs with ids (array of int) and, with check, whether decoding gives the text again."""
-    with open(model, "rb") as f:
-        data = f.read()
+    data = _sent(docs.sparkSession, model)
     out = docs.withColumn("ids", F.lit(None).cast("array<int>"))
     if check:
         out = out.withColumn("round_trip", F.lit(None).cast("boolean"))
@@ -279,13 +278,12 @@ def encode(docs: DataFrame, model: str = MODEL, *, text_col: str = "text", check
 
 def decode(coded: DataFrame, model: str = MODEL, *, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """coded with the ids' text in text_col."""
-    with open(model, "rb") as f:
-        data = f.read()
+    data = _sent(coded.sparkSession, model)
     out = coded.withColumn(text_col, F.lit(None).cast("string"))
     schema = to_arrow_schema(out.schema)
 
     def run(batches):
-        t = compiled(data)
+        t = compiled(data.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
