@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut
+from ..operators.ranks import quantiles
+
 META = ("labels", "exfil_path", "concrete_exfil_path", "exfil_weight", "exfil_pkts", "is_test", "attack_labels")
 # Name parts that keep a column of three or more underscores.
 KEPT_PARTS = ("_reciprocity", "_edge_coef_of_var", "cilium", "_ide", "class_harmonic_centrality_", "pods_cfbc_sub_coef_of_var_")
@@ -90,7 +93,7 @@ def robust_scaled(features: DataFrame, fit_on: Column, clip_in: tuple[float, flo
     """
     clip = lambda c, lo, hi: F.greatest(F.lit(lo), F.least(F.lit(hi), c))
     x = F.when(~F.isnan("value"), clip(F.col("value"), *clip_in))
-    q = features.withColumn("_x", x).filter(fit_on).groupBy("metric").agg(F.percentile("_x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = quantiles(features.withColumn("_x", x).filter(fit_on), "_x", (0.25, 0.5, 0.75), ["metric"])
     scale = F.when(F.col("q")[2] - F.col("q")[0] != 0, F.col("q")[2] - F.col("q")[0]).otherwise(1.0)
     out = features.withColumn("_x", x).join(q, "metric", "left").withColumn("_s", clip((F.col("_x") - F.col("q")[1]) / scale, -clip_out, clip_out))
     centre = F.when(F.col("q")[1].isNotNull(), F.lit(0.0))
@@ -102,15 +105,15 @@ def eval_scaled(features: DataFrame, train_metrics: DataFrame) -> DataFrame:
     median or else 0, clipped to [-1e7, 1e6] and scaled by the run's own quartiles."""
     seen = F.when(~F.isnan("value"), F.col("value"))
     rows = aligned(features, train_metrics).withColumn("value", seen)
-    m = rows.groupBy("metric").agg(F.percentile("value", F.lit(0.5)).alias("_m"))
-    filled = rows.join(m, "metric").withColumn("value", F.coalesce("value", "_m", F.lit(0.0))).drop("_m")
+    m = quantiles(rows, "value", (0.5,), ["metric"]).select("metric", F.col("q")[0].alias("_m"))
+    filled = cut(rows.join(m, "metric", "left").withColumn("value", F.coalesce("value", "_m", F.lit(0.0))).drop("_m"))
     return robust_scaled(filled, F.lit(True), (-1e7, 1e6), float("inf"))
 
 
 def imputed(features: DataFrame, fit_on: Column | None = None) -> DataFrame:
     """Missing values become the metric's exact median over the rows of fit_on; metrics without one are left out."""
     seen = F.when(~F.isnan("value"), F.col("value"))
-    m = (features if fit_on is None else features.filter(fit_on)).groupBy("metric").agg(F.percentile(seen, F.lit(0.5)).alias("_m"))
+    m = quantiles((features if fit_on is None else features.filter(fit_on)).withColumn("_x", seen), "_x", (0.5,), ["metric"]).select("metric", F.col("q")[0].alias("_m"))
     return features.join(m, "metric").filter("_m is not null").withColumn("value", F.coalesce(seen, "_m")).drop("_m")
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranks import quantiles
+
 
 def averaged(trials: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Means over trials by key, never by row position."""
@@ -33,8 +35,9 @@ def contributions(features: DataFrame, coefficients: DataFrame) -> DataFrame:
 
 
 def box_stats(values: DataFrame, keys: Sequence[str]) -> DataFrame:
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return values.groupBy(*keys).agg(q.alias("q"), F.min("value").alias("lo"), F.max("value").alias("hi")).select(*keys, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"), "lo", "hi")
+    q = quantiles(values, "value", (0.25, 0.5, 0.75), keys)
+    ends = values.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return ends.join(q, list(keys), "left").select(*keys, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"), "lo", "hi")
 
 
 def by_method(cube: DataFrame, methods: Sequence[str], keys: Sequence[str], value: str = "f1") -> DataFrame:

@@ -7,16 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut
+from ..operators.ranks import running
+
+
+def _points(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(*keys, thr, y, z, tp, fp, p, n): rows of label 1 and 0 at each distinct score, and from the greatest score down to it."""
+    g = cut(scores.groupBy(*keys, F.col("score").alias("thr")).agg(F.sum("label").alias("y"), (F.count("*") - F.sum("label")).alias("z")))
+    total = g.groupBy(*keys).agg(F.sum("y").alias("p"), F.sum("z").alias("n"))
+    down = running(g, "thr", ["y", "z"], keys, descending=True).withColumnsRenamed({"run_y": "tp", "run_z": "fp"})
+    return down.join(total, list(keys)) if keys else down.crossJoin(total)
+
 
 def roc_points(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(thr, tp, fp, p, n) at each distinct score, descending; scores are (score, label).
 
-    Scores are first counted by value, so ties are one point and only distinct values meet in the ordered window.
+    Scores are first counted by value, so ties are one point; running totals go by ranges of scores.
     """
-    g = scores.groupBy(*keys, "score").agg(F.sum("label").alias("y"), F.count("*").alias("c"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("score"))
-    whole = Window.partitionBy(*keys)
-    return g.select(*keys, F.col("score").alias("thr"), F.sum("y").over(down).alias("tp"), F.sum(F.col("c") - F.col("y")).over(down).alias("fp"), F.sum("y").over(whole).alias("p"), F.sum(F.col("c") - F.col("y")).over(whole).alias("n"))
+    return _points(scores, keys).drop("y", "z")
 
 
 def corner_points(points: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -33,8 +41,7 @@ def f1(tp: Column, fp: Column, fn: Column) -> Column:
 
 def best_f1(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(thr, f1) of the best threshold for score > thr: a tie group at the threshold is negative; the first best, descending."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("thr"))
-    before = roc_points(scores, keys).withColumns({c: F.coalesce(F.lag(c).over(w), F.lit(0)) for c in ("tp", "fp")})
+    before = _points(scores, keys).withColumns({"tp": F.col("tp") - F.col("y"), "fp": F.col("fp") - F.col("z")})
     at = before.withColumn("f1", F.coalesce(f1(F.col("tp"), F.col("fp"), F.col("p") - F.col("tp")), F.lit(0.0)))
     best = F.max(F.struct("f1", "thr")).alias("m")
     out = at.groupBy(*keys).agg(best) if keys else at.agg(best)
