@@ -22,11 +22,12 @@ def bounds(rows: DataFrame, value: str, ranges: int = RANGES) -> list[float]:
     return sorted(set(found))
 
 
-def running(rows: DataFrame, value: str, sums: Sequence[str], keys: Sequence[str] = (), descending: bool = False) -> DataFrame:
+def running(rows: DataFrame, value: str, sums: Sequence[str], keys: Sequence[str] = (), descending: bool = False, written: bool = False) -> DataFrame:
     """rows with run_<c> for each summed column: its total from the first value up to and with this one, by key.
 
-    Rows have one row for each key and value.
+    Rows have one row for each key and value; they are written once, as they are read for the ranges, totals and ranks.
     """
+    rows = rows if written else cut(rows)
     ends = bounds(rows, value)
     place = F.size(F.filter(F.array(*map(F.lit, ends)), lambda b: b < F.col(value))) if ends else F.lit(0)
     dealt = rows.withColumn("_r", -place if descending else place)
@@ -34,17 +35,17 @@ def running(rows: DataFrame, value: str, sums: Sequence[str], keys: Sequence[str
     before = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     # one row for each key and range
     whole = dealt.groupBy(*keys, "_r").agg(*(F.sum(c).alias(f"_s_{c}") for c in sums))
-    whole = whole.select(*keys, "_r", *(F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums))
+    whole = whole.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_r").alias("_range"), *(F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums))
     within = Window.partitionBy(*keys, "_r").orderBy(order)
-    out = dealt.join(whole, [*keys, "_r"])
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    out = dealt.join(whole, [F.col("_r") == F.col("_range"), *same])
     return out.select(*rows.columns, *((F.sum(c).over(within) + F.col(f"_b_{c}")).alias(f"run_{c}") for c in sums))
 
 
 def quantiles(rows: DataFrame, value: str, shares: Sequence[float], keys: Sequence[str]) -> DataFrame:
     """(*keys, q): the exact quantiles of the non-null values of each key, linear between neighbours."""
-    # written once: it is read for the ranges, their totals and the ranks
     counts = cut(rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c")))
-    ranked = running(counts, value, ["_c"], keys)
+    ranked = running(counts, value, ["_c"], keys, written=True)
     n = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     ranked = ranked.join(n, list(keys)) if keys else ranked.crossJoin(n)
     picks = []

@@ -15,7 +15,7 @@ def _points(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(*keys, thr, y, z, tp, fp, p, n): rows of label 1 and 0 at each distinct score, and from the greatest score down to it."""
     g = cut(scores.groupBy(*keys, F.col("score").alias("thr")).agg(F.sum("label").alias("y"), (F.count("*") - F.sum("label")).alias("z")))
     total = g.groupBy(*keys).agg(F.sum("y").alias("p"), F.sum("z").alias("n"))
-    down = running(g, "thr", ["y", "z"], keys, descending=True).withColumnsRenamed({"run_y": "tp", "run_z": "fp"})
+    down = running(g, "thr", ["y", "z"], keys, descending=True, written=True).withColumnsRenamed({"run_y": "tp", "run_z": "fp"})
     return down.join(total, list(keys)) if keys else down.crossJoin(total)
 
 
