@@ -30,9 +30,9 @@ def running(rows: DataFrame, value: str, sums: Sequence[str], keys: Sequence[str
     rows = rows if written else cut(rows)
     ends = bounds(rows, value)
     place = F.size(F.filter(F.array(*map(F.lit, ends)), lambda b: b < F.col(value))) if ends else F.lit(0)
-    dealt = rows.withColumn("_r", -place if descending else place)
+    dealt = rows.withColumn("_r", place)
     order = F.desc(value) if descending else F.asc(value)
-    before = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(F.desc("_r") if descending else F.asc("_r")).rowsBetween(Window.unboundedPreceding, -1)
     # one row for each key and range
     whole = dealt.groupBy(*keys, "_r").agg(*(F.sum(c).alias(f"_s_{c}") for c in sums))
     whole = whole.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_r").alias("_range"), *(F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums))
