@@ -29,7 +29,7 @@ def running(rows: DataFrame, value: str, sums: Sequence[str], keys: Sequence[str
     """
     rows = rows if written else cut(rows)
     ends = bounds(rows, value)
-    place = F.size(F.filter(F.array(*map(F.lit, ends)), lambda b: b < F.col(value))) if ends else F.lit(0)
+    place = sum(((F.col(value) > b).cast("int") for b in ends), F.lit(0))
     dealt = rows.withColumn("_r", place)
     order = F.desc(value) if descending else F.asc(value)
     before = Window.partitionBy(*keys).orderBy(F.desc("_r") if descending else F.asc("_r")).rowsBetween(Window.unboundedPreceding, -1)
