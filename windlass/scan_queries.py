@@ -428,3 +428,57 @@ def path_times(spark, d):
 def meta_on_ensemble(spark, d):
     s = A.scores(spark, d)
     return C.on_ensemble(s.groupBy("win").agg(F.max("score").alias("score")), s.filter("win % 2 = 0").groupBy("win").agg(F.max("label").alias("label")))
+
+
+# --- compositions ------------------------------------------------------------------------------------------------
+
+_BARE = "regexp_replace({}, '_(pod|vip)$', '')"
+_INJECTED = """h AS (SELECT win, 'NATION_3' AS src, 'NATION_8' AS dst, CAST(500000000 + win * 3 AS BIGINT) AS b FROM (SELECT DISTINCT win FROM e) WHERE win >= 20 AND win % 2 = 0),
+u AS (SELECT * FROM e UNION ALL SELECT win, src, dst, b // 500, b FROM h UNION ALL SELECT win, dst, src, b // 500, (b // 500) * 40 FROM h),
+i AS (SELECT win, src, dst, CAST(sum(frames) AS BIGINT) AS frames, CAST(sum(weight) AS BIGINT) AS weight FROM u WHERE src NOT IN ('NATION_18', 'NATION_19') AND dst NOT IN ('NATION_18', 'NATION_19') GROUP BY ALL),
+s AS (SELECT win, a.svc AS src, b.svc AS dst, sum(weight) AS weight FROM i JOIN n a ON a.node = src JOIN n b ON b.node = dst GROUP BY ALL HAVING sum(weight) <> 0)"""
+
+
+def _injected(spark, d):
+    """Prune, inject, map: the edges between services of each window with traffic along an injected hop."""
+    nations = A.nations(spark, d)
+    e = I.application_edges(_edges(spark, d), nations.filter("node in ('NATION_18', 'NATION_19')"))
+    hops = _edges(spark, d).select("win").distinct().filter("win >= 20 and win % 2 = 0").select("win", F.lit("NATION_3").alias("src"), F.lit("NATION_8").alias("dst"), (F.col("win") * 3 + 500000000).alias("bytes"))
+    return G.service_rollup(P.inject(e, hops), nations)
+
+
+_METRICS = """x AS (SELECT s.*, coalesce(r.weight, 0) AS back FROM s LEFT JOIN s r ON r.win = s.win AND r.src = s.dst AND r.dst = s.src WHERE s.src <> s.dst),
+m AS (SELECT win, 'reciprocity' AS metric, coalesce(sum(least(weight, back)) / nullif(sum(weight), 0), -1) AS value FROM x GROUP BY win UNION ALL SELECT win, src || '_to_' || dst, CAST(weight AS DOUBLE) / 1e6 FROM s)"""
+
+
+def _service_features(spark, d):
+    s = _injected(spark, d)
+    pairs = s.select("win", F.concat_ws("_to_", "src", "dst").alias("metric"), (F.col("weight") / 1e6).alias("value"))
+    return G.reciprocity(s).select("win", F.lit("reciprocity").alias("metric"), F.col("reciprocity").alias("value")).union(pairs)
+
+
+@query(f"WITH {FLOWS}, {_INJECTED}, {_METRICS} SELECT win, metric, round(value, 6) AS value FROM m")
+def injected_features(spark, d):
+    return _round(_service_features(spark, d), "value")
+
+
+@query(f"""WITH {FLOWS}, {_INJECTED}, {_METRICS}, q AS (SELECT metric, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS md, quantile_cont(value, 0.75) AS z FROM m WHERE win < 20 GROUP BY metric),
+z AS (SELECT win, metric, greatest(-100, least(100, (value - md) / CASE WHEN z - a <> 0 THEN z - a ELSE 1 END)) AS value FROM m JOIN q USING (metric)),
+sc AS (SELECT win, max(abs(value)) AS score FROM z GROUP BY win), t AS (SELECT max(score) AS thr FROM sc WHERE win < 20)
+SELECT win, round(score, 4) AS score, CAST(score > thr AS INTEGER) AS pred, CAST(win % 2 = 0 AS INTEGER) AS label FROM sc, t WHERE win >= 20""")
+def injected_scores(spark, d):
+    """End to end: features of the injected graph, scaled by the training windows', scored by the largest departure, thresholded by training."""
+    scaled = M.robust_scaled(_service_features(spark, d), F.col("win") < 20)
+    scores = scaled.groupBy("win").agg(F.max(F.abs("value")).alias("score"))
+    limit = scores.filter("win < 20").agg(F.max("score").alias("thr"))
+    out = C.thresholded(scores.filter("win >= 20").withColumn("label", (F.col("win") % 2 == 0).cast("int")), limit)
+    return _round(out.select("win", "score", "pred", "label"), "score", places=4)
+
+
+_VALID = f"len(list_filter(range(1, len(path) + 1), lambda i: path[i] LIKE '%\\_vip' ESCAPE '\\' AND coalesce({_BARE.format('path[i - 1]')}, '') <> {_BARE.format('path[i]')} AND coalesce({_BARE.format('path[i + 1]')}, '') <> {_BARE.format('path[i]')})) = 0"
+
+
+@query(f"WITH {_VARIANTS} SELECT array_to_string(path, '>') AS path, {_VALID} AS valid FROM (SELECT path[:3] AS path FROM gr WHERE hop = (SELECT max(hop) FROM z WHERE z.path_id = gr.path_id))")
+def path_validity(spark, d):
+    p = path_variants(spark, d).select(F.slice(F.split("path", ">"), 1, 3).alias("p"))
+    return p.select(F.array_join("p", ">").alias("path"), P.is_valid(F.col("p")).alias("valid"))
