@@ -143,3 +143,16 @@ def test_spectral_score_flags_a_change(spark):
     e = spark.createDataFrame([("x", *r) for r in rows], "exp string, win long, src string, dst string, weight long")
     got = {r.win: r.score for r in K.spectral_scores(e, 3).collect()}
     assert got[0] is None and got[4] < 1e-6 and got[7] > 0.9
+
+
+def test_model_grid(spark):
+    """Each model of the grid learns a plain rule and scores rows of another run."""
+    from windlass.plans import models as L
+
+    rng = random.Random(3)
+    rows = [(i, rng.gauss(2 * (i % 2), 0.4), rng.gauss(0, 1), float(i % 2), int(i >= 60)) for i in range(90)]
+    frame = spark.createDataFrame(rows, "win long, a double, b double, label double, is_test int")
+    fitted = L.fit_grid({10: frame}, ["a", "b"], ("logistic", "bagging"))
+    got = L.score_grid(fitted, {10: frame}, ["a", "b"]).filter("is_test = 1").collect()
+    assert {r.model for r in got} == {"logistic", "bagging"} and {r.gran for r in got} == {10}
+    assert sum((r.score > 0.5) == (r.label > 0.5) for r in got) >= 0.9 * len(got)

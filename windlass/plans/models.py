@@ -6,8 +6,8 @@ import math
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
@@ -86,3 +86,42 @@ def coefficients(spark: SparkSession, model, metrics: Sequence[str]) -> DataFram
 
 def load_pipeline(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def tuned_logistic(frame: DataFrame, metrics: Sequence[str], label: str = "label", l1: bool = False, folds: int = 3, strengths: Sequence[float] = (0.001, 0.01, 0.1), order: str = "win"):
+    """Logistic regression whose strength comes from cross-validation over contiguous folds."""
+    model = LogisticRegression(featuresCol="features", labelCol=label, elasticNetParam=float(l1))
+    grid = ParamGridBuilder().addGrid(model.regParam, list(strengths)).build()
+    data = contiguous_folds(assembled(frame, metrics), folds, order)
+    return CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol=label), numFolds=folds, foldCol="fold").fit(data).bestModel
+
+
+def boosted(frame: DataFrame, metrics: Sequence[str], label: str = "label", rounds: int = 10, depth: int = 2, seed: int = 0):
+    """Gradient-boosted trees with the logistic loss."""
+    return GBTClassifier(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, seed=seed).fit(assembled(frame, metrics))
+
+
+#: The models of a grid by name: each fits a wide frame and returns what scores one.
+GRID = {
+    "lasso": lambda f, m: lasso(f, m, folds=3),
+    "logistic": logistic,
+    "logistic_l1": lambda f, m: logistic(f, m, l1=True),
+    "logistic_cv": tuned_logistic,
+    "forest": forest,
+    "bagging": lambda f, m: forest(f, m, bagging=True),
+    "boosting": boosted,
+}
+
+
+def fit_grid(frames: dict[int, DataFrame], metrics: Sequence[str], names: Sequence[str] = tuple(GRID), train: str = "is_test = 0") -> dict:
+    """(granularity, model name) -> the fitted model, each on its granularity's training rows."""
+    return {(g, n): GRID[n](f.filter(train), metrics) for g, f in frames.items() for n in names}
+
+
+def score_grid(fitted: dict, frames: dict[int, DataFrame], metrics: Sequence[str]) -> DataFrame:
+    """(gran, model, win, label, is_test, score): models on the rows of frames, of the run that they were fitted on or of another one."""
+    parts = [scored(model, frames[g], metrics).select(F.lit(g).alias("gran"), F.lit(n).alias("model"), "win", "label", "is_test", "score") for (g, n), model in fitted.items() if g in frames]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -10,7 +10,7 @@ from .operators import identity as I
 from .operators import kernels as K
 from .operators import paths as P
 from .operators import sequence as S
-from .operators.lineage import fresh
+from .operators.lineage import cut, fresh
 from .plans import features as M
 from .plans import scoring as C
 from .queries import _IDS, _LABELS, _PATHS, EVENTS, FLOWS, _edges, _features, _links, _paths, _round, attack_labels, query, vip_expansion
@@ -482,3 +482,59 @@ _VALID = f"len(list_filter(range(1, len(path) + 1), lambda i: path[i] LIKE '%\\_
 def path_validity(spark, d):
     p = path_variants(spark, d).select(F.slice(F.split("path", ">"), 1, 3).alias("p"))
     return p.select(F.array_join("p", ">").alias("path"), P.is_valid(F.col("p")).alias("valid"))
+
+
+# --- more scans and joins ----------------------------------------------------------------------------------------
+
+
+@query("""SELECT 'net' || r_regionkey AS network, '10.' || n_regionkey || '.0.' || n_nationkey AS ip, CASE WHEN n_nationkey % 2 = 0 THEN 'app' || n_nationkey || '.1' ELSE 'job' || n_nationkey END AS name FROM nation JOIN region ON r_regionkey = n_regionkey
+UNION ALL SELECT 'net' || r_regionkey, '10.' || r_regionkey || '.0.254', 'net' || r_regionkey || '_gateway' FROM region WHERE r_regionkey <> 2""")
+def scan_networks(spark, d):
+    n = A.table(spark, d, "nation")
+    k, r = F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string")
+    name = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("app"), k, F.lit(".1.x"))).otherwise(F.concat(F.lit("job"), k))
+    c = F.struct(k.alias("key"), F.struct(name.alias("Name"), F.concat(F.lit("10."), r, F.lit(".0."), k, F.lit("/24")).alias("IPv4Address")).alias("value"))
+    config = F.when(F.col("n_regionkey") != 2, F.array(F.struct(F.concat(F.lit("10."), r, F.lit(".0.254/24")).alias("Gateway"))))
+    net = n.groupBy("n_regionkey").agg(F.map_from_entries(F.collect_list(c)).alias("Containers"), F.first(config).alias("Config"))
+    text_ = F.to_json(F.array(F.struct(F.concat(F.lit("net"), F.col("n_regionkey").cast("string")).alias("Name"), F.struct("Config").alias("IPAM"), "Containers")))
+    path = fresh(spark, "networks")
+    net.select("n_regionkey", text_.alias("value")).repartition(F.col("n_regionkey")).write.partitionBy("n_regionkey").text(path)
+    return text.networks(spark, f"{path}/*")
+
+
+@query(f"WITH {FLOWS}, {FEATURES} SELECT win % 2 AS exp, CAST(CASE WHEN win < 14 THEN 10 ELSE 60 END AS INTEGER) AS gran, count(*) AS windows FROM (SELECT DISTINCT win FROM ft) WHERE win % 2 = 1 GROUP BY ALL")
+def rediscovered_features(spark, d):
+    """Feature files written by experiment and granularity, found again by their paths: those of experiment 1."""
+    f = M.wide(_features(spark, d), ("NATION_3_weight",)).withColumns({"exp": F.col("win") % 2, "gran": F.when(F.col("win") < 14, 10).otherwise(60)})
+    path = fresh(spark, "experiments")
+    f.write.partitionBy("exp", "gran").option("header", True).csv(path)
+    found = spark.read.option("header", True).csv(f"{path}/*/*").withColumn("file", F.col("_metadata.file_path")).filter(F.col("file").contains("/exp=1/"))
+    part = lambda name: F.regexp_extract("file", rf"/{name}=(\d+)/", 1)
+    return found.groupBy(part("exp").cast("long").alias("exp"), part("gran").cast("int").alias("gran")).agg(F.count("*").alias("windows"))
+
+
+@query(f"WITH {FLOWS}, {_ALLOWED} SELECT e.* FROM e SEMI JOIN al ON al.src = e.src AND al.dst = e.dst WHERE e.win >= 2")
+def allowed_edges(spark, d):
+    return _edges(spark, d).filter("win >= 2").join(_allowed(spark, d), ["src", "dst"], "left_semi").select("win", "src", "dst", "frames", "weight")
+
+
+@query("SELECT event_id, user_id % 7 AS exp, CASE user_id % 7 WHEN 0 THEN 45 WHEN 1 THEN 85 WHEN 2 THEN 125 END AS load FROM events")
+def load_of_experiment(spark, d):
+    loads = spark.createDataFrame([(0, 45), (1, 85), (2, 125)], "exp long, load int")
+    return A.table(spark, d, "events").select("event_id", (F.col("user_id") % 7).alias("exp")).join(loads, "exp", "left").select("event_id", "exp", "load")
+
+
+@query()
+def model_grid(spark, d):
+    """Three models of the grid at two granularities, fitted on the first windows and held against the later ones: no SQL."""
+    from .plans import models as L
+
+    names = ("NATION_3", "NATION_8", "NATION_12", "NATION_15")
+    frames = {}
+    for g in (1, 2):
+        f = A.flows(spark, d).groupBy(F.floor(F.col("win") / g).alias("win"), F.col("src").alias("metric")).agg((F.sum("weight") / 1e9).alias("value"))
+        end = 20 // g
+        frames[g] = M.wide(f, names).na.fill(0.0).withColumns({"label": (F.col("win") % 3 == 0).cast("double"), "is_test": (F.col("win") >= end).cast("int")})
+        frames[g] = cut(frames[g])  # each model reads it
+    fitted = L.fit_grid(frames, names, ("logistic_l1", "forest", "boosting"))
+    return L.score_grid(fitted, frames, names).filter("is_test = 1")
