@@ -11,7 +11,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .lineage import cut
 
 
 class Graph:
@@ -162,20 +165,23 @@ def spectral_scores(edges: DataFrame, size: int, keys: Sequence[str] = ("exp",))
     """(*keys, win, score): 1 minus the cosine of a window's principal vector with the typical one of the size before.
 
     The typical one is the first left singular vector of the last size vectors (Ide & Kashima 2004); null for the
-    first windows. The vectors are made window by window, only they meet in the ordered task.
+    first windows. Each vector goes to the windows that look back on it, so a task has size + 1 of them at a time.
     """
-    vectors = centralities(edges, ["eigenvector"], (*keys, "win")).drop("metric")
+    vectors = cut(centralities(edges, ["eigenvector"], (*keys, "win")).drop("metric"))
     types = dict(edges.dtypes)
+    # one row for each window
+    ranks = vectors.select(*keys, "win").distinct().withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("win")))
+    ahead = F.explode(F.sequence(F.col("_k"), F.col("_k") + size)).alias("_at")
+    seen = vectors.join(ranks, [*keys, "win"]).select(*keys, ahead, "_k", "win", "node", "value")
+    seen = seen.join(ranks.select(*keys, F.col("_k").alias("_at"), F.col("win").alias("_win")), [*keys, "_at"])
 
     def run(key, pdf):
-        table = pdf.pivot_table(index="win", columns="node", values="value", fill_value=0.0).sort_index()
-        x, out = table.to_numpy(), []
-        for i in range(len(x)):
-            if i < size:
-                out.append(None)
-                continue
-            u = np.linalg.svd(x[i - size:i].T, full_matrices=False)[0][:, 0]
-            out.append(1 - min(1.0, abs(float(u @ x[i]))))
-        return pd.DataFrame({**dict(zip(keys, key)), "win": table.index, "score": pd.array(out, "Float64")})
-
-    return vectors.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + f", win {types['win']}, score double")
+        table = pdf.pivot_table(index="_k", columns="node", values="value", fill_value=0.0).sort_index()
+        x, score = table.to_numpy(), None
+        if len(x) == size + 1:
+            u = np.linalg.svd(x[:size].T, full_matrices=False)[0][:, 0]
+            score = 1 - min(1.0, abs(float(u @ x[size])))
+        return pd.DataFrame({**dict(zip([*keys, "win"], key)), "score": pd.array([score], "Float64")})
+
+    rows = seen.withColumn("win", F.col("_win")).select(*keys, "win", "_k", "node", "value")
+    return rows.groupBy(*keys, "win").applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + f", win {types['win']}, score double")
