@@ -224,13 +224,111 @@ def _linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(p) + len(q) - both)
 
 
-def _plain_keys(n: int, percent: int):
-    """(unit, doc): the keys of each text."""
+_MEMBER = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("keys", "at", "ids", "comps"))])
+
+
+def _member_keys(n: int, percent: int, buckets: int):
+    """The keys of (doc, comp, text) with their documents and components, packed by bucket."""
     def run(batches):
         memo, bands = WordHashes(), Bands(percent)
-        for piece in slices(batches, rows=256):
-            ks = [keys(s, bands) if len(s) else np.zeros(0, np.int64) for s in sets(piece.column(1).to_pylist(), n, memo)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ks)), pa.array(np.repeat(piece.column(0).to_numpy(), [len(k) for k in ks]))], names=["unit", "doc"])
+        for piece in slices(batches, rows=4096, chars=4 << 20, column="text"):
+            docs, comps = piece.column(0).to_numpy(), piece.column(1).to_numpy()
+            ks = [keys(s, bands) if len(s) else np.zeros(0, np.int64) for s in sets(piece.column(2).to_pylist(), n, memo)]
+            key, at = np.concatenate(ks).view(_U), np.repeat(np.arange(len(ks)), [len(k) for k in ks])
+            bucket = (((key >> _U(40)) * _U(buckets)) >> _U(24)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            key, at, bucket = key[order], at[order], bucket[order]
+            low = (key & _LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+            cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[:len(key)]), len(key))
+            rows = []
+            for b, e in zip(cuts[:-1], cuts[1:]):
+                own, local = np.unique(at[b:e], return_inverse=True)
+                rows.append((bucket[b], low[b:e].tobytes(), local.astype(np.uint16).tobytes(), docs[own].tobytes(), comps[own].tobytes()))
+            if rows:
+                yield _batch(_MEMBER, len(rows), **dict(zip(_MEMBER.names, zip(*rows))))
+
+    return run
+
+
+def _open_keys(batches):
+    """(unit, doc, comp) of the keys of each bucket that documents of several components have, from rows sorted by bucket."""
+    now, parts = None, []
+
+    def opened():
+        key, doc, comp = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((comp, key))
+        key, doc, comp = key[order], doc[order], comp[order]
+        first = np.append(True, key[1:] != key[:-1])
+        other = ~first & np.append(False, comp[1:] != comp[:-1])
+        at = np.flatnonzero(first)
+        several = np.repeat(np.logical_or.reduceat(other, at), np.diff(np.append(at, len(key))))
+        unit = (np.int64(now) << 40) | key[several].astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(unit), pa.array(doc[several]), pa.array(comp[several])], names=["unit", "doc", "comp"])
+
+    for batch in batches:
+        for bucket, ks, at, ids, comps in zip(*(c.to_pylist() for c in batch.columns)):
+            if bucket != now and parts:
+                yield opened()
+                parts.clear()
+            now = bucket
+            k = np.zeros((len(ks) // 5, 8), np.uint8)
+            k[:, :5] = np.frombuffer(ks, np.uint8).reshape(-1, 5)
+            local = np.frombuffer(at, np.uint16)
+            parts.append((k.view("<u8")[:, 0], np.frombuffer(ids, np.int64)[local], np.frombuffer(comps, np.int64)[local]))
+    if parts:
+        yield opened()
+
+
+def _near_in_units(percent: int):
+    """(unit, doc) of members with a partner of another component within reach, from rows (unit, doc, comp, n, sketch) sorted by unit."""
+    block = _reachable(percent)
+
+    def few(rows):
+        """Of a small unit: every pair, as integers."""
+        rows = sorted(rows, key=lambda r: r[3])
+        whole = [int.from_bytes(r[4], "big") for r in rows]
+        hit = set()
+        for j, b in enumerate(rows):
+            for i in range(j - 1, -1, -1):
+                a = rows[i]
+                if a[3] * 100 < b[3] * percent:
+                    break
+                if a[2] == b[2] or a[1] in hit and b[1] in hit:
+                    continue
+                x, y, p, q = whole[i], whole[j], len(a[4]), len(b[4])
+                while q > p:
+                    q //= 2
+                    y = (y >> 8 * q) ^ (y & ((1 << 8 * q) - 1))
+                while p > q:
+                    p //= 2
+                    x = (x >> 8 * p) ^ (x & ((1 << 8 * p) - 1))
+                if (x ^ y).bit_count() <= distance(a[3] + b[3], percent):
+                    hit.update((a[1], b[1]))
+        return sorted(hit)
+
+    def found(rows):
+        if len(rows) <= 48:
+            return few(rows)
+        import pandas as pd
+
+        pdf = pd.DataFrame(rows, columns=["unit", "doc", "comp", "n", "sketch"])
+        pdf["outside"] = pdf.comp != pdf.comp.mode()[0]
+        return block(pd.concat([pdf[pdf.outside], pdf.assign(outside=False)])).doc.tolist()
+
+    def run(batches):
+        now, held = None, []
+        for batch in batches:
+            out = []
+            for r in zip(*(c.to_pylist() for c in batch.columns)):
+                if r[0] != now:
+                    if held:
+                        out += [(now, d) for d in found(held)]
+                    now, held = r[0], []
+                held.append(r)
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([d for _, d in out], pa.int64())], names=["unit", "doc"])
+        if held:
+            near = found(held)
+            yield pa.RecordBatch.from_arrays([pa.array([now] * len(near), pa.int64()), pa.array(near, pa.int64())], names=["unit", "doc"])
 
     return run
 
@@ -363,7 +461,8 @@ class Join:
         more = [c for c in rows.columns if c not in ("unit", "doc", "comp", "outside", "rs", "cs")]
         left = rows.filter("outside").select("unit", place("rs", 1).alias("r"), each("cs").alias("c"), "doc", "comp", F.lit(True).alias("outside"), *more)
         right = rows.select("unit", each("rs").alias("r"), place("cs", 2).alias("c"), "doc", "comp", F.lit(False).alias("outside"), *more)
-        return left.union(right)
+        # blocks are small but long to compute: as many tasks as a shuffle has, whatever their bytes
+        return left.union(right).repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "unit", "r", "c")
 
     def _within(self, units: DataFrame, seen: DataFrame, name: str) -> DataFrame:
         """Links between components of each unit (unit, doc, comp); seen has (doc, n, sketch)."""
@@ -371,12 +470,38 @@ class Join:
         rows = sc.table(self._open(units).join(seen, "doc"), f"{name}-rows")
         blocks = self._blocks(rows, F.octet_length("sketch"), SKETCH_ROWS, f"{name}-sketch")
         near = sc.table(blocks.groupBy("unit", "r", "c").applyInPandas(_reachable(self.percent), "unit long, doc long").distinct(), f"{name}-near")
-        rows = rows.drop("n", "sketch").join(near, ["unit", "doc"]).select("unit", "doc", "comp", "outside")
+        links = self._by_text(rows.select("unit", "doc", "comp", "outside"), near, name)
+        sc.drop(f"{name}-rows")
+        return links
+
+    def _by_text(self, rows: DataFrame, near: DataFrame, name: str) -> DataFrame:
+        """Links between components of the units (unit, doc, comp, outside) by the sets of their members in near (unit, doc)."""
+        sc = self.scratch
         texts = self._texts(near.select("doc").distinct(), f"{name}-texts")
-        rows = sc.table(rows.join(texts.hint("merge"), "doc").select("unit", "doc", "comp", "outside", "text"), f"{name}-whole")
+        rows = sc.table(rows.join(near, ["unit", "doc"]).join(texts.hint("merge"), "doc").select("unit", "doc", "comp", "outside", "text"), f"{name}-whole")
         blocks = self._blocks(rows, F.octet_length("text"), TEXT_ROWS, f"{name}-text")
         links = sc.table(blocks.groupBy("unit", "r", "c").applyInPandas(_join_blocks(self.n, self.percent), "a long, b long"), f"{name}-links")
-        sc.drop(f"{name}-rows", f"{name}-whole", f"{name}-texts")
+        sc.drop(f"{name}-whole", f"{name}-texts")
+        return links
+
+    def _by_key(self, large: DataFrame, seen: DataFrame) -> DataFrame:
+        """Links between components of large families (doc, comp): only documents that share a key can have one."""
+        sc = self.scratch
+        texts = self._texts(large.select("doc").distinct(), "large-texts")
+        size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        packed = texts.join(large.select("doc", "comp").hint("merge"), "doc").select("doc", "comp", "text").mapInArrow(_member_keys(self.n, self.percent, max(1, -(-size // BUCKET_BYTES))), ", ".join(f"{f.name} {'int' if f.name == 'bucket' else 'binary'}" for f in _MEMBER))
+        opened = sc.table(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_open_keys, "unit long, doc long, comp long"), "by-key")
+        sc.drop("large-texts")
+        count = opened.groupBy("unit").agg(F.count("*").alias("size")).filter(F.col("size") > SKETCH_ROWS).select("unit")
+        hot = sc.table(count, "hot-keys")
+        few = opened.join(hot, "unit", "left_anti").join(seen.hint("merge"), "doc").select("unit", "doc", "comp", "n", "sketch")
+        near = sc.table(few.repartition("unit").sortWithinPartitions("unit").mapInArrow(_near_in_units(self.percent), "unit long, doc long"), "by-key-near")
+        # one component of each unit is held against the others
+        inner = opened.join(near, ["unit", "doc"])
+        main = inner.groupBy("unit").agg(F.min("comp").alias("main"))
+        links = self._by_text(inner.join(main, "unit").select("unit", "doc", "comp", (F.col("comp") != F.col("main")).alias("outside")), near, "keys")
+        if hot.limit(1).count():
+            links = links.union(self._within(opened.join(hot, "unit"), seen, "hot"))
         return links
 
     def run(self) -> DataFrame:
@@ -427,9 +552,7 @@ class Join:
         more = self._within(members.join(count.filter(F.col("size") <= self.family).select("unit"), "unit"), seen, "family")
         large = sc.table(members.join(count.filter(F.col("size") > self.family).select("unit"), "unit"), "large")
         if large.limit(1).count():
-            texts = self._texts(large.select("doc").distinct(), "large-texts")
-            by_key = texts.mapInArrow(_plain_keys(self.n, self.percent), "unit long, doc long").join(large.select("doc", "comp"), "doc")
-            more = more.union(self._within(sc.table(by_key.select("unit", "doc", "comp"), "by-key"), seen, "keys"))
+            more = more.union(self._by_key(large, seen))
         if more.limit(1).count():
             final = components(joined(more), sc, "all").select(F.col("id").alias("component_id"), F.col("component_id").alias("final"))
             comps = comps.union(alone).distinct().join(final, "component_id", "left").select("id", F.coalesce("final", "component_id").alias("component_id"))
