@@ -227,6 +227,7 @@ def extract(spark: SparkSession, pages: DataFrame, *, prior: float = PRIOR, low:
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     removed = style_tree(pages, scratch, prior).filter(F.col("importance") < low)
     removed = scratch.table(removed.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low")), "removed")
+    scratch.drop("styles", "own")
     return pages.mapInArrow(_hosted, "page_id long, url string, html string, host string").join(removed, "host", "left").select("page_id", "url", "html", "low").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 

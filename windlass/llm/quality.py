@@ -179,7 +179,10 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col:
         out = out.withColumn(f"site_{f}", shrunk(F.greatest(F.col(f"s_{f}") - own, F.lit(0.0)), F.col("n") - 1, within[f], host_rate))
         odds = _logit(F.col(f"site_{f}")) + F.col(f"e_{f}") if model.trees[f] is not None else F.lit(-20.0)
         out = out.withColumn(f"post_{f}", 1 / (1 + F.exp(-odds)))
-    return out.select("doc_id", "host", "path", *(f"{x}_{f}" for f in FAULTS for x in ("e", "site", "post")), ((F.col("post_bad") < 0.5) & (F.col("post_toxic") < 0.5)).alias("keep"))
+    found = out.select("doc_id", "host", "path", *(f"{x}_{f}" for f in FAULTS for x in ("e", "site", "post")), ((F.col("post_bad") < 0.5) & (F.col("post_toxic") < 0.5)).alias("keep"))
+    found = scratch.table(found, "out")
+    scratch.drop("train", "evidence", "paths", "sites")
+    return found
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
