@@ -24,9 +24,11 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that five-word shingle sets of Jaccard >= 0.8 connect, that of the least id stays; of repeated rows of it, one."""
     found = jaccard.Join(spark, docs, n=5, percent=80).run()
     found = Scratch(spark, "deduplicate").table(found, "found")
-    kept = docs.join(found.filter("component_id <> doc").select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_anti").select(COLUMNS)
-    repeated = found.groupBy("doc").count().filter("count > 1")
-    return kept if repeated.limit(1).count() == 0 else kept.dropDuplicates(["doc_id"]) if kept.filter("doc_id is null").limit(1).count() == 0 else kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.filter("doc_id is null"))
+    others = found.filter("component_id <> doc").select(F.col("doc").alias("doc_id")).distinct()
+    kept = docs.join(others, "doc_id", "left_anti").select(COLUMNS)
+    if found.groupBy("doc").count().filter("count > 1").limit(1).count() == 0:
+        return kept
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.filter("doc_id is null"))
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
