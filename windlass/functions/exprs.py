@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,3 +52,10 @@ def same_service(a: Column, b: Column) -> Column:
     """Equal up to the suffixes _pod and _vip."""
     bare = lambda c: F.regexp_replace(c, "_(pod|vip)$", "")
     return bare(a) == bare(b)
+
+
+def normal(mean: Column, deviation: Column | float, *seed: Column) -> Column:
+    """A normal draw that the seed columns fix, on any partitioning (Box and Muller over two numbers of a hash)."""
+    text = F.sha2(F.concat_ws(":", *(F.coalesce(s.cast("string"), F.lit("")) for s in seed)), 256)
+    part = lambda at: (F.conv(F.substring(text, at, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+    return mean + F.lit(deviation) * F.sqrt(-2.0 * F.log(part(1))) * F.cos(F.lit(2 * math.pi) * part(9))

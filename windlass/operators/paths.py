@@ -84,8 +84,8 @@ def amount(rate: Column, gran: int, carry: Column | None = None) -> Column:
     return F.floor((rate + (carry if carry is not None else F.lit(0.0))) * gran / 60)
 
 
-def inject(edges: DataFrame, hops_: DataFrame, keys: Sequence[str] = ("win",), packet: int = 500, ack: int = 40, least: int = 60) -> DataFrame:
-    """Edges with traffic of hops_ (*keys, src, dst, bytes) added: bytes and packets forwards, acknowledgements back.
+def inject(edges: DataFrame, hops_: DataFrame, keys: Sequence[str] = ("win",), packet: int | Column = 500, ack: int = 40, least: int = 60) -> DataFrame:
+    """Edges with traffic of hops_ (*keys, src, dst, bytes) added: bytes and packets (of a size, or of a column's) forwards, acknowledgements back.
 
     Amounts under the least number of bytes add nothing. Edges that don't exist are made.
     """

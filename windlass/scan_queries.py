@@ -324,11 +324,6 @@ def path_variants(spark, d):
     return P.variants(steps).select("path_id", F.array_join("path", ">").alias("path"))
 
 
-@query("SELECT win, CASE WHEN (win + 1) % 4 = 0 THEN 64 ELSE 0 END AS amount FROM (SELECT unnest(range(0, 20000)) AS win)")
-def carried_amounts(spark, d):
-    return P.carried_amounts(spark.range(20000).select(F.col("id").alias("win")), 16.0, 60)
-
-
 # --- features and scores -----------------------------------------------------------------------------------------
 
 _EVAL = f"""tm AS (SELECT DISTINCT metric FROM ft WHERE win < 20 UNION SELECT 'gone'), ev_ AS (SELECT win, metric, CASE WHEN win % 4 = 0 THEN NULL ELSE value END AS value FROM ft WHERE win >= 20),

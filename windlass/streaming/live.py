@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from .ordered import angles, in_order
 
 
 def window_edges(flows: DataFrame, seconds: int, late: str = "1 minute", time: str = "ts") -> DataFrame:
@@ -23,29 +22,10 @@ def window_totals(flows: DataFrame, seconds: int, late: str = "1 minute", time:
     return flows.withWatermark(time, late).groupBy(w.alias("w")).agg(F.sum("weight").alias("weight"), F.sum(out).alias("out_weight"), F.approx_count_distinct("src").alias("sources")).select(F.col("w.start").alias("win"), "weight", "out_weight", "sources")
 
 
-def sliding_angles(vectors: DataFrame, size: int, key: str = "key") -> DataFrame:
-    """(key, win, angle) of a stream of (key, win, vector), to the mean of the size vectors before; state holds those."""
-
-    def run(k, batches: Iterable[pd.DataFrame], state: GroupState):
-        held = [list(v) for v in state.get[0]] if state.exists else []
-        for pdf in batches:
-            out = []
-            for win, vector in pdf.sort_values("win")[["win", "vector"]].itertuples(index=False):
-                v = list(vector) if vector is not None else []
-                angle = None
-                if len(held) == size:
-                    n = max(map(len, [*held, v]))
-                    pad = lambda x: np.array([*x, *[0.0] * (n - len(x))])  # noqa: B023, E731
-                    m, c = np.mean([pad(x) for x in held], axis=0), pad(v)
-                    norm = np.linalg.norm(m) * np.linalg.norm(c)
-                    angle = float(np.arccos(np.clip(m @ c / norm, -1, 1))) if norm > 0 else None
-                out.append((k[0], win, angle))
-                held = [*held, v][-size:]
-            yield pd.DataFrame(out, columns=[key, "win", "angle"])
-        state.update(([[float(x) for x in v] for v in held],))
-
+def sliding_angles(vectors: DataFrame, size: int, key: str = "key", order: str = "win", time: str = "ts", late: str = "1 minute") -> DataFrame:
+    """(key, win, angle) of a stream of (key, win, vector, ts), to the mean of the size vectors before in order of time; state holds those and the rows that wait."""
     kind = dict(vectors.dtypes)
-    return vectors.groupBy(key).applyInPandasWithState(run, f"{key} {kind[key]}, win {kind['win']}, angle double", "held array<array<double>>", "append", GroupStateTimeout.NoTimeout)
+    return in_order(vectors, [key], time, angles([key], order, size), f"{key} {kind[key]}, {order} {kind[order]}, angle double", late)
 
 
 def score_each(features: DataFrame, score: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str):
