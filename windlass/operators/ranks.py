@@ -57,3 +57,30 @@ def quantiles(rows: DataFrame, value: str, shares: Sequence[float], keys: Sequen
     found = ranked.groupBy(*keys, "_n").agg(*picks)
     part = [(F.col("_n") - 1) * s - F.floor((F.col("_n") - 1) * s) for s in shares]
     return found.select(*keys, F.array(*(F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * p for k, p in enumerate(part))).alias("q"))
+
+
+def numbered(rows: DataFrame, order: Sequence[str], name: str = "pos", range_rows: int = 1_000_000) -> DataFrame:
+    """rows with their place (0, 1, ...) in the order of columns; as many ranges are sorted as range_rows asks for.
+
+    Rows that tie in all of the order's columns take their places arbitrarily.
+    """
+    rows = cut(rows)
+    parts = max(1, -(-rows.count() // range_rows))
+    # the id's high bits count the ranges in their order, its low 33 bits the rows of one
+    dealt = cut(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, before, starts = F.shiftright("_at", 33), 0, []
+    for p, size in sorted(tuple(r) for r in dealt.groupBy(part.alias("p")).count().collect()):  # a row for each range
+        starts.append((p, before))
+        before += size
+    starts = rows.sparkSession.createDataFrame(starts, "_part long, _before long")
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit(2**33 - 1))
+    return dealt.join(F.broadcast(starts), part == F.col("_part")).withColumn(name, place).drop("_at", "_part", "_before")
+
+
+def contiguous_folds(rows: DataFrame, folds: int, order: Sequence[str]) -> DataFrame:
+    """rows with fold: runs of rows in order, the first ones a row longer where the rows don't divide."""
+    placed = cut(numbered(rows, order, "_pos"))
+    size, longer = divmod(placed.count(), folds)
+    past = F.col("_pos") - longer * (size + 1)
+    fold = F.when(past < 0, F.floor(F.col("_pos") / (size + 1))).otherwise(longer + F.floor(past / max(size, 1)))
+    return placed.withColumn("fold", fold.cast("int")).drop("_pos")
