@@ -46,7 +46,7 @@ def _plain(x, y, folds, n=100, eps=1e-3):
     return path, errors, fit(x, y, path[errors.argmin()])
 
 
-def test_path_equals_cross_validation_in_memory(spark):
+def test_path_equals_cross_validation_in_memory(spark, tmp_path):
     frame, names, x, y = _frame(spark)
     model = Lasso.fit(frame, names, folds=4, n=30)
     path, errors, (w, b) = _plain(x, y, 4, 30)
@@ -56,6 +56,9 @@ def test_path_equals_cross_validation_in_memory(spark):
     assert model.coef[5] == 0 and model.coef[0] > 0.4
     got = np.array([r.score for r in model.scored(frame).orderBy("win").collect()])
     assert np.allclose(got, x @ model.coef + model.intercept)
+    model.save(spark, str(tmp_path / "model"))
+    again = Lasso.load(spark, str(tmp_path / "model"))
+    assert [r.score for r in again.scored(frame).orderBy("win").collect()] == got.tolist() and again.path == model.path
     assert {r.metric: r.coef for r in model.coefficients(spark).collect()}["m.0"] == model.coef[0]
 
 

@@ -2,7 +2,7 @@
 
 The rows are read twice, for the means and for the sums of products of each fold (a Gram matrix of the metrics, the label
 and 1, summed up by tasks and then by a grouped sum). All else needs only these: the fits of all strengths on all folds
-are coordinate descents in covariance form, and a fold's squared error is a form in its own Gram matrix. With p metrics
+need no row again (active-set steps in covariance form), and a fold's squared error is a form in its own Gram matrix. With p metrics
 and k folds the driver has k * (p + 2)^2 numbers, at most MAX_METRICS metrics, whatever the number of rows.
 
 A fit minimises |y - Xw - b|^2 / (2 n) + strength * |w|_1. The path starts at the least strength at which all of w is
@@ -26,7 +26,7 @@ MAX_METRICS = 512
 
 
 def _summer(means: np.ndarray):
-    """(fold, i, j, sum) of a task's rows (fold, z)."""
+    """(fold, i, j, sum) of a task's rows (fold, z, weight)."""
     def run(batches):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -35,9 +35,10 @@ def _summer(means: np.ndarray):
             fold = batch.column(0).to_numpy(zero_copy_only=False)
             z = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) - means
             z = np.column_stack([np.ones(len(z)), z])
+            weight = batch.column(2).to_numpy(zero_copy_only=False)
             for f in np.unique(fold):
                 part = z[fold == f]
-                held[int(f)] = held.get(int(f), 0) + part.T @ part
+                held[int(f)] = held.get(int(f), 0) + (part * weight[fold == f, None]).T @ part
         for f, g in sorted(held.items()):
             i, j = np.triu_indices(len(g))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), f, np.int32)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(g[i, j])], names=["fold", "i", "j", "s"])
@@ -45,13 +46,13 @@ def _summer(means: np.ndarray):
     return run
 
 
-def grams(frame: DataFrame, metrics: Sequence[str], label: str, fold: str) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """Means of metrics and label, and by fold the sums of products of (1, metrics, label), less their means."""
+def grams(frame: DataFrame, metrics: Sequence[str], label: str, fold: str, weight: str | None = None) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Means of metrics and label, and by fold the sums of products of (1, metrics, label), less their means, each row with its weight."""
     columns = [*metrics, label]
     if len(metrics) > MAX_METRICS:
         raise ValueError(f"{len(metrics)} metrics; at most {MAX_METRICS}")
     means = np.array([np.nan if v is None else v for v in frame.agg(*(F.avg(F.col(f"`{c}`").cast("double")) for c in columns)).first()], float)
-    z = frame.select(F.col(fold).cast("int").alias("fold"), F.array(*(F.col(f"`{c}`").cast("double") for c in columns)).alias("z"))
+    z = frame.select(F.col(fold).cast("int").alias("fold"), F.array(*(F.col(f"`{c}`").cast("double") for c in columns)).alias("z"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"))
     made = z.mapInArrow(_summer(means), "fold int, i int, j int, s double").groupBy("fold", "i", "j").agg(F.sum("s").alias("s")).toArrow()
     out: dict[int, np.ndarray] = {}
     for f, i, j, s in zip(*(made.column(k).to_pylist() for k in range(4))):
@@ -68,32 +69,40 @@ def _moments(g: np.ndarray) -> tuple[float, np.ndarray, float, np.ndarray, np.nd
     return n, x, y, g[1:-1, 1:-1] / n - np.outer(x, x), g[1:-1, -1] / n - x * y
 
 
-def descend(q: np.ndarray, c: np.ndarray, strength: float, w: np.ndarray, tol: float = 1e-10, sweeps: int = 80_000) -> np.ndarray:
-    """The w of least w'Qw / 2 - c'w + strength * |w|_1, from a start; sweeps over the metrics in use between sweeps over all."""
-    w, slope = w.copy(), c - q @ w
+def descend(q: np.ndarray, c: np.ndarray, strength: float, w: np.ndarray) -> np.ndarray:
+    """The w of least w'Qw / 2 - c'w + strength * |w|_1, from a start, by search over the signs of the metrics in use.
+
+    With their signs fixed, the metrics in use have an exact solution; the way to it ends where one of them gets to 0, which
+    is then left out. When none does, the metric whose slope is furthest over the strength comes in. Dependent metrics make
+    no trouble: along directions that change nothing else, the sum of weights shrinks until one of them is 0.
+    """
+    w = w.copy()
     diagonal = np.diag(q)
-    free = np.flatnonzero(diagonal > 1e-14 * max(diagonal.max(initial=0.0), 1e-300))  # constant metrics stay 0
-
-    def sweep(places) -> float:
-        most = 0.0
-        for j in places:
-            old = w[j]
-            z = slope[j] + diagonal[j] * old
-            new = np.sign(z) * max(abs(z) - strength, 0.0) / diagonal[j]
-            if new != old:
-                w[j] = new
-                slope[:] -= q[:, j] * (new - old)
-                most = max(most, abs(new - old) * np.sqrt(diagonal[j]))
-        return most
-
-    scale = tol * max(np.sqrt(diagonal.max(initial=0.0)) * max(np.abs(w).max(initial=0.0), 1e-6), np.abs(c).max(initial=0.0) / max(np.sqrt(diagonal.max(initial=1.0)), 1e-12), 1e-15)
-    for _ in range(sweeps):
-        if sweep(free) <= scale:
-            break
-        used = [j for j in free if w[j] != 0]
-        for _ in range(sweeps):
-            if sweep(used) <= scale:
+    free = diagonal > 1e-12 * max(diagonal.max(initial=0.0), 1e-300)  # constant metrics stay 0
+    sign, slack = np.sign(w), 1e-9 * max(strength, 1e-6 * np.abs(c).max(initial=0.0))
+    for _ in range(50 * len(c) + 50):
+        while len(used := np.flatnonzero(sign)):
+            part, goal = q[np.ix_(used, used)], c[used] - strength * sign[used]
+            there = np.linalg.lstsq(part, goal, rcond=1e-10)[0]
+            rest = goal - part @ there
+            endless = np.abs(rest).max() > slack
+            step = rest if endless else there - w[used]
+            # how far until a weight has its sign no more
+            back = step * sign[used] < 0
+            far = np.where(back, np.abs(w[used]) / np.where(back, np.abs(step), 1.0), np.inf)
+            k = int(far.argmin())
+            if not endless and far[k] >= 1:
+                w[used] = there
                 break
+            if not np.isfinite(far[k]):  # only by rounding: a direction that changes nothing
+                break
+            w[used] += far[k] * step
+            w[used[k]] = sign[used[k]] = 0.0
+        slope = np.where(free & (sign == 0), c - q @ w, 0.0)
+        j = int(np.abs(slope).argmax()) if len(slope) else 0
+        if not len(slope) or abs(slope[j]) <= strength + slack:
+            break
+        sign[j] = np.sign(slope[j])
     return w
 
 
@@ -109,10 +118,13 @@ class Lasso:
         self.metrics, self.coef, self.intercept, self.strength, self.path = list(metrics), coef, intercept, strength, path
 
     @staticmethod
-    def fit(frame: DataFrame, metrics: Sequence[str], label: str = "label", folds: int = 5, order: Sequence[str] = ("win",), n: int = 100, eps: float = 1e-3) -> Lasso:
-        """Empty frames and folds without rows are errors."""
-        data = contiguous_folds(frame.select(*order, *(F.col(f"`{m}`") for m in metrics if m not in order), label), folds, order)
-        means, by_fold = grams(data, metrics, label, "fold")
+    def fit(frame: DataFrame, metrics: Sequence[str], label: str = "label", folds: int = 5, order: Sequence[str] = ("win",), n: int = 100, eps: float = 1e-3, weight: str | None = None) -> Lasso:
+        """Empty frames and folds without rows are errors; a row of weight 2 counts as two."""
+        data = contiguous_folds(frame.select(*order, *(F.col(f"`{m}`") for m in metrics if m not in order), label, *([weight] if weight else [])), folds, order)
+        return Lasso.of(*grams(data, metrics, label, "fold", weight), metrics, folds, n, eps)
+
+    @staticmethod
+    def of(means: np.ndarray, by_fold: dict[int, np.ndarray], metrics: Sequence[str], folds: int, n: int = 100, eps: float = 1e-3) -> Lasso:
         if len(by_fold) < folds:
             raise ValueError(f"fewer rows than {folds} folds")
         every = sum(by_fold.values())
@@ -138,6 +150,16 @@ class Lasso:
         parts = [F.col(f"`{m}`") * float(w) for m, w in zip(self.metrics, self.coef) if w]
         return frame.withColumn("score", reduce(lambda a, b: a + b, parts, F.lit(self.intercept)))
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """As a table that load reads again."""
+        row = (self.metrics, [float(c) for c in self.coef], self.intercept, self.strength, [list(p) for p in self.path])
+        spark.createDataFrame([row], "metrics array<string>, coef array<double>, intercept double, strength double, path array<array<double>>").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Lasso:
+        r = spark.read.parquet(path).first()
+        return Lasso(r.metrics, np.array(r.coef), r.intercept, r.strength, [tuple(p) for p in r.path])
+
     def coefficients(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([*zip(self.metrics, map(float, self.coef)), ("intercept", self.intercept)], "metric string, coef double")
 

@@ -74,6 +74,8 @@ class AdaBoost:
 
 def scored(model, frame: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """frame with score: the prediction of a regression, the probability of class 1 of a classifier."""
+    if hasattr(model, "scored"):
+        return model.scored(frame)
     out = model.transform(assembled(frame, metrics))
     value = vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction")
     return out.withColumn("score", value).select(*frame.columns, "score")
@@ -101,9 +103,38 @@ def boosted(frame: DataFrame, metrics: Sequence[str], label: str = "label", roun
     return GBTClassifier(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, seed=seed).fit(assembled(frame, metrics))
 
 
+def lasso_path(frame: DataFrame, metrics: Sequence[str]):
+    from .lasso import Lasso
+
+    return Lasso.fit(frame, metrics)
+
+
+def boosted_by(kind: str, learner: str, rounds: int = 10):
+    """The forms of AdaBoost: R2 over trees or Lasso, SammeR over stumps or logistic regression."""
+
+    def fit(frame: DataFrame, metrics: Sequence[str]):
+        from . import boosting
+
+        return getattr(boosting, kind)(getattr(boosting, learner)(), rounds).fit(frame, metrics)
+
+    return fit
+
+
+def extra_trees(frame: DataFrame, metrics: Sequence[str]):
+    from .trees import ExtraTrees
+
+    return ExtraTrees().fit(frame, metrics)
+
+
 #: The models of a grid by name: each fits a wide frame and returns what scores one.
 GRID = {
     "lasso": lambda f, m: lasso(f, m, folds=3),
+    "lasso_path": lasso_path,
+    "boosting_lasso": boosted_by("R2", "lasso"),
+    "boosting_regressor": boosted_by("R2", "tree"),
+    "boosting_logistic": boosted_by("SammeR", "logistic"),
+    "boosting_classifier": boosted_by("SammeR", "stump"),
+    "extra_trees": extra_trees,
     "logistic": logistic,
     "logistic_l1": lambda f, m: logistic(f, m, l1=True),
     "logistic_cv": tuned_logistic,
