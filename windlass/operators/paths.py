@@ -14,7 +14,9 @@ from .lineage import cut
 
 
 def simple_paths(edges: DataFrame, start: Sequence[str], goal: str, max_hops: int, limit: int | None = None) -> DataFrame:
-    """Simple paths (path array) from the start nodes to the goal, by length, then by names; at most limit of them."""
+    """Simple paths (path array) from the start nodes to the goal; with a limit the first ones, see shortest_paths."""
+    if limit:
+        return shortest_paths(edges, start, goal, max_hops, limit)
     e = edges.select("src", "dst").distinct().filter("src <> dst")
     front = e.filter(F.col("src").isin(*start)).select(F.array("src", "dst").alias("path"))
     done = []
@@ -23,8 +25,62 @@ def simple_paths(edges: DataFrame, start: Sequence[str], goal: str, max_hops: in
         if hop < max_hops:
             open_ = front.filter(F.element_at("path", -1) != goal).withColumn("src", F.element_at("path", -1))
             front = open_.join(e, "src").filter(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"))
-    found = reduce(DataFrame.union, done)
-    return found.orderBy(F.size("path"), "path").limit(limit) if limit else found
+    return reduce(DataFrame.union, done)
+
+
+def shortest_paths(edges: DataFrame, start: Sequence[str], goal: str, max_hops: int, limit: int, made: list | None = None) -> DataFrame:
+    """The first limit simple paths (path array) from the start nodes to the goal, by length, then by names.
+
+    Paths grow a hop at a time, the complete ones first: when there are enough of them, the others of that length don't
+    grow any more. One that is too far from the goal, by the shortest ways from there, doesn't grow either. made gets the number
+    of rows of each step.
+    """
+    e = cut(edges.select("src", "dst").distinct().filter("src <> dst"))
+    last = F.element_at("path", -1)
+    # the nodes from which the goal is in reach, and how far it is
+    away = cut(e.filter(F.col("dst") == goal).select(F.col("src").alias("node"), F.lit(1).alias("away")))
+    for k in range(2, max_hops):
+        more = e.join(away.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct().join(away, "node", "left_anti")
+        grown = cut(away.union(more.filter(F.col("node") != goal).withColumn("away", F.lit(k))))
+        if grown.count() == away.count():
+            break
+        away = grown
+    front = e.filter(F.col("src").isin(*[s for s in start if s != goal])).select(F.array("src").alias("path")).distinct()
+    done, have = [], 0
+    for hop in range(1, max_hops + 1):
+        ended = cut(front.withColumn("src", last).join(e.filter(F.col("dst") == goal), "src").select(F.concat("path", F.array("dst")).alias("path")))
+        n = ended.count()
+        if made is not None:
+            made.append(n)
+        if have + n >= limit:
+            done.append(ended.orderBy("path").limit(limit - have))
+            break
+        have += n
+        done.append(ended)
+        step = front.withColumn("src", last).join(e.filter(F.col("dst") != goal), "src").filter(~F.array_contains("path", F.col("dst")))
+        step = step.join(away.filter(F.col("away") <= max_hops - hop).select(F.col("node").alias("dst")), "dst")
+        front = cut(step.select(F.concat("path", F.array("dst")).alias("path")))
+        n = front.count()
+        if made is not None:
+            made.append(n)
+        if not n:
+            break
+    return reduce(DataFrame.union, done).orderBy(F.size("path"), "path")
+
+
+def trimmed_paths(edges: DataFrame, start: Sequence[str], goal: str, max_hops: int, limit: int, name: str, share: float) -> DataFrame:
+    """shortest_paths of which, if more than a share pass a node, the last such ones make room for the next paths.
+
+    As many go as the part of the limit by which the share is passed (rounded down); the next paths come as they are.
+    """
+    room = limit + int((1 - share) * limit) + 1
+    w = Window.orderBy(F.size("path"), "path")  # over at most twice the limit
+    ranked = cut(shortest_paths(edges, start, goal, max_hops, room).withColumn("_k", F.row_number().over(w)).withColumn("_through", F.array_contains("path", name)))
+    first = ranked.filter(F.col("_k") <= limit)
+    n, through = first.agg(F.count("*"), F.count_if(F.col("_through"))).first()
+    gone = int((through / n - share) * n) if n and through / n > share else 0
+    out = first.filter("_through").orderBy(F.desc("_k")).limit(gone).select("_k")
+    return ranked.filter(F.col("_k") <= limit + gone).join(out, "_k", "left_anti").orderBy("_k").select("path")
 
 
 def reachable(edges: DataFrame) -> DataFrame:

@@ -24,8 +24,10 @@ def drop_last_window(rows: DataFrame, keys: Sequence[str] = ("gran",)) -> DataFr
 def window_labels(spark, grans: Sequence[int], periods: DataFrame, length: int) -> DataFrame:
     """(gran, win, label): 1 where a period (start, end) covers the window, by integer division of both ends."""
     wins = spark.createDataFrame([(g,) for g in grans], "gran int").select("gran", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.lit(length) / F.col("gran")) - 1)).alias("win"))
-    p = periods.select(F.col("start").alias("_s"), F.col("end").alias("_e"))
-    hit = wins.join(p, F.expr("win >= _s div gran and win < _e div gran")).select("gran", "win").distinct().withColumn("label", F.lit(1))
+    # periods are opened into their windows, so the join is on equal ones
+    p = periods.select(F.col("start").alias("_s"), F.col("end").alias("_e"), F.explode(F.array(*map(F.lit, grans))).alias("gran"))
+    open_ = p.filter("_s div gran < _e div gran").select("gran", F.explode(F.expr("sequence(_s div gran, _e div gran - 1)")).alias("win"))
+    hit = open_.distinct().withColumn("label", F.lit(1))
     return wins.join(hit, ["gran", "win"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
 
 

@@ -24,6 +24,7 @@ DROPPED = (
     "pod_comm_but_not_VIP_comms_", "pod_comm_but_not_VIP_comms_no_abs_", "dns_list_outside_", "ide_angles_", "dns_list_inside_", "dns_outside_inside_ratios_", "into_dns_from_outside_list_", "into_dns_ratio_",
     "ide_angles", "DNS outside-to-inside ratio_", "into_dns_eigenval_angles_", "Unnamed: 0", "Communication Between Pods not through VIPs (no abs)_mod_z_score",
     "Fraction of Communication Between Pods not through VIPs (no abs)_mod_z_score", "DNS inside_mod_z_score", "into_dns_from_outside_mod_z_score", "DNS outside_mod_z_score",
+    "Fraction of Communication Between Pods not through VIPs (no abs)_", "Communication Between Pods not through VIPs (w abs)_", "Communication Not Through VIPs",
 )
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.intervals import first_overlap
+
 from ..operators.lineage import cut
 from ..operators.ranks import running
 
@@ -109,6 +111,14 @@ def on_ensemble(frame: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def overlapping(bins: DataFrame, periods: DataFrame) -> DataFrame:
-    """Each bin (lo, hi) with the first period (period_id, start, end) that it overlaps, null without. Periods are few."""
-    hit = bins.join(periods, (F.col("start") < F.col("hi")) & (F.col("end") > F.col("lo")), "left")
-    return hit.groupBy(*bins.columns).agg(F.min("period_id").alias("period_id"))
+    """Each bin (lo, hi) with the first period (period_id, start, end) that it overlaps, null without; bins and periods are half open."""
+    return first_overlap(bins, periods, "period_id")
+
+
+def alert_confusion(bins: DataFrame, periods: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(*keys, tp, fp, fn, tn) of bins (lo, hi, alerts), against the periods that they overlap."""
+    hit, alert = F.col("period_id").isNotNull(), F.col("alerts") > 0
+    n = lambda c: F.count_if(c)
+    counts = [n(alert & hit).alias("tp"), n(alert & ~hit).alias("fp"), n(~alert & hit).alias("fn"), n(~alert & ~hit).alias("tn")]
+    rows = overlapping(bins, periods)
+    return rows.groupBy(*keys).agg(*counts) if keys else rows.agg(*counts)

@@ -294,13 +294,23 @@ def drop_last_window(spark, d):
     return S.drop_last_window(_tumbled(spark, d))
 
 
-_PERIODS = [(100000, 190000), (400000, 410000), (1000000, 1500000)]
-_LABELS = "l AS (SELECT gran, win, CAST(EXISTS (SELECT 1 FROM (VALUES (100000, 190000), (400000, 410000), (1000000, 1500000)) p(s, e) WHERE win >= s // gran AND win < e // gran) AS INTEGER) AS label FROM (SELECT gran, unnest(range(0, CAST(ceil(2592000 / gran) AS BIGINT))) AS win FROM (VALUES (21600), (86400)) g(gran)))"
+# periods: runs of days with more errors than on average, not on the borders of windows
+_RUNS = f"""{EVENTS}, days AS (SELECT CAST(floor(t / 86400) AS BIGINT) AS day, count(*) AS n FROM ev WHERE kind = 'error' GROUP BY ALL),
+runs AS (SELECT day, day - row_number() OVER (ORDER BY day) AS g FROM days WHERE n > (SELECT avg(n) FROM days)),
+pr AS (SELECT min(day) AS period_id, min(day) * 86400 + 30000 AS s, (max(day) + 1) * 86400 + 10000 AS e FROM runs GROUP BY g)"""
+_LABELS = _RUNS + ", l AS (SELECT gran, win, CAST(EXISTS (SELECT 1 FROM pr WHERE win >= s // gran AND win < e // gran) AS INTEGER) AS label FROM (SELECT gran, unnest(range(0, CAST(ceil(2592000 / gran) AS BIGINT))) AS win FROM (VALUES (21600), (86400)) g(gran)))"
+
+
+def _periods(spark, d):
+    days = A.events(spark, d).filter("kind = 'error'").groupBy(F.floor(F.col("t") / 86400).alias("win")).count()
+    marked = days.crossJoin(F.broadcast(days.agg(F.avg("count").alias("mean")))).select(F.lit(86400).alias("gran"), "win", (F.col("count") > F.col("mean")).cast("int").alias("label"))
+    runs = S.islands(marked)
+    return runs.select(F.col("win_start").alias("period_id"), (F.col("win_start") * 86400 + 30000).alias("start"), (F.col("win_end") * 86400 + 10000).alias("end"))
 
 
 @query(f"WITH {_LABELS} SELECT * FROM l")
 def attack_labels(spark, d):
-    return S.window_labels(spark, _GRANS, spark.createDataFrame(_PERIODS, "start long, end long"), 2592000)
+    return S.window_labels(spark, _GRANS, _periods(spark, d), 2592000)
 
 
 @query(f"WITH {_LABELS}, i AS (SELECT gran, win, win - row_number() OVER (PARTITION BY gran ORDER BY win) AS g FROM l WHERE label = 1) SELECT gran, min(win) AS win_start, max(win) + 1 AS win_end FROM i GROUP BY gran, g")
@@ -407,10 +417,23 @@ def alert_histogram(spark, d):
     return C.alert_bins(a, F.expr("(_hi - _lo) div 86400")).select("bin", "alerts")
 
 
-@query("SELECT win, CAST(win * 86400 AS BIGINT) AS lo, CAST((win + 1) * 86400 AS BIGINT) AS hi, (SELECT min(p) FROM (VALUES (0, 100000, 190000), (1, 180000, 410000), (2, 1000000, 1500000)) s(p, a, z) WHERE a < (win + 1) * 86400 AND z > win * 86400) AS period_id FROM (SELECT unnest(range(0, 30)) AS win)")
+_BINS = "bins AS (SELECT CAST(floor(t / 7200) AS BIGINT) AS win, CAST(sum(CASE WHEN value > 95 THEN 1 ELSE 0 END) AS BIGINT) AS alerts FROM ev GROUP BY ALL), bo AS (SELECT win, win * 7200 AS lo, (win + 1) * 7200 AS hi, alerts FROM bins)"
+
+
+def _bins(spark, d):
+    bins = A.events(spark, d).groupBy(F.floor(F.col("t") / 7200).alias("win")).agg(F.count_if(F.col("value") > 95).alias("alerts"))
+    return bins.select("win", (F.col("win") * 7200).alias("lo"), ((F.col("win") + 1) * 7200).alias("hi"), "alerts")
+
+
+@query(f"WITH {_RUNS}, {_BINS} SELECT win, lo, hi, alerts, (SELECT min(period_id) FROM pr WHERE s < hi AND e > lo) AS period_id FROM bo")
 def overlap_score(spark, d):
-    bins = spark.range(30).select(F.col("id").alias("win"), (F.col("id") * 86400).alias("lo"), ((F.col("id") + 1) * 86400).alias("hi"))
-    return C.overlapping(bins, spark.createDataFrame([(0, 100000, 190000), (1, 180000, 410000), (2, 1000000, 1500000)], "period_id int, start long, end long"))
+    return C.overlapping(_bins(spark, d), _periods(spark, d))
+
+
+@query(f"""WITH {_RUNS}, {_BINS}, x AS (SELECT alerts > 0 AS a, EXISTS (SELECT 1 FROM pr WHERE s < hi AND e > lo) AS h FROM bo)
+SELECT count(*) FILTER (a AND h) AS tp, count(*) FILTER (a AND NOT h) AS fp, count(*) FILTER (NOT a AND h) AS fn, count(*) FILTER (NOT a AND NOT h) AS tn FROM x""")
+def alert_confusion(spark, d):
+    return C.alert_confusion(_bins(spark, d), _periods(spark, d))
 
 
 # --- features ----------------------------------------------------------------------------------------------------

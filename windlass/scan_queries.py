@@ -284,6 +284,14 @@ def pods_current_flow_variation(spark, d):
 # --- paths -------------------------------------------------------------------------------------------------------
 
 
+@query(f"""WITH {_PATHS}, o AS (SELECT path, row_number() OVER (ORDER BY len(path), path) AS k, list_contains(path, 'NATION_0') AS d FROM paths),
+g AS (SELECT CAST(floor(greatest(avg(CASE WHEN d THEN 1.0 ELSE 0.0 END) - 0.02::DOUBLE, 0) * count(*)) AS BIGINT) AS gone FROM o WHERE k <= 300), z AS (SELECT k FROM o WHERE k <= 300 AND d ORDER BY k DESC LIMIT (SELECT gone FROM g))
+SELECT path FROM o, g WHERE k <= 300 + gone AND k NOT IN (SELECT k FROM z)""")
+def path_share_trimmed(spark, d):
+    """Of the first paths at most a share, about, pass one node; the next ones take the others' places."""
+    return P.trimmed_paths(_links(spark, d), ["NATION_3", "NATION_15"], "NATION_8", 3, 300, "NATION_0", 0.02)
+
+
 @query(f"WITH {_PATHS} SELECT path FROM paths ORDER BY len(path), path LIMIT 40")
 def path_limit(spark, d):
     return P.simple_paths(_links(spark, d), ["NATION_3", "NATION_15"], "NATION_8", 3, 40)
