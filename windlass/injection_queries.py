@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from .functions import exprs as X
 from .operators import paths as P
 from .operators import scan
-from .queries import FLOWS, _edges, query
+from .operators.lineage import fresh
+from .queries import EVENTS, FLOWS, _edges, query
 from .sources import adapters as A
+from .sources import capture
+from .sources import packets as T
 from .stream_queries import stream, to_end
 from .streaming import ordered
 
@@ -75,3 +78,23 @@ def carry_stream(spark, d):
     """The carry as kept state of a stream of events, as far as the watermark comes."""
     e = stream(spark, d, "events").select((F.col("user_id") % 6).alias("path"), F.col("event_id").alias("win"), F.col("value").cast("double").alias("rate"), F.col("ts").cast("timestamp").alias("ts"))
     return to_end(ordered.in_order(e, ["path"], "ts", ordered.carrying(["path"], "win", "rate", 10), "path long, win long, amount long, sent long", "1 hour"))
+
+
+_PACKETS = f"""{EVENTS}, pk AS (SELECT event_id, pod, svc, CAST(epoch_us(ts) AS BIGINT) AS t, greatest(weight, 34) AS bytes FROM ev JOIN events USING (event_id)),
+ad AS (SELECT t, '10.0.' || ((pod // 256) % 256) || '.' || (pod % 256) AS src, '10.1.0.' || svc AS dst, bytes FROM pk UNION ALL SELECT t, '10.1.0.' || svc, '10.0.' || ((pod // 256) % 256) || '.' || (pod % 256), 60 FROM pk WHERE event_id % 3 = 0)"""
+
+
+@query(f"""WITH {_PACKETS}, x AS (SELECT CAST(t // 21600000000 AS BIGINT) AS win, least(src, dst) AS addr_a, greatest(src, dst) AS addr_b, src <= dst AS ab, bytes FROM ad)
+SELECT win, addr_a, addr_b, count(*) FILTER (NOT ab) AS frames_ba, CAST(coalesce(sum(bytes) FILTER (NOT ab), 0) AS BIGINT) AS bytes_ba, count(*) FILTER (ab) AS frames_ab, CAST(coalesce(sum(bytes) FILTER (ab), 0) AS BIGINT) AS bytes_ab FROM x GROUP BY ALL""")
+def capture_conversations(spark, d):
+    """Events as packets, written as capture files and read back in splits: conversations of windows."""
+    e = A.events(spark, d).join(A.table(spark, d, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")), "event_id")
+    pod = F.concat_ws(".", F.lit("10.0"), ((F.col("pod") / 256).cast("long") % 256).cast("string"), (F.col("pod") % 256).cast("string"))
+    svc = F.concat(F.lit("10.1.0."), F.col("svc").cast("string"))
+    there = e.select(F.col("us").alias("t"), pod.alias("src"), svc.alias("dst"), F.greatest("weight", F.lit(34)).alias("bytes"))
+    back = e.filter("event_id % 3 = 0").select(F.col("us").alias("t"), svc.alias("src"), pod.alias("dst"), F.lit(60).cast("long").alias("bytes"))
+    capture.register(spark)
+    path = fresh(spark, "capture")
+    there.union(back).write.format("capture").mode("append").save(path)
+    packets = spark.read.format("capture").option("split", 1 << 18).load(path).withColumn("win", F.floor(F.col("t") / 21_600_000_000))
+    return T.conversations(packets).drop("start", "duration")
