@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from .operators.lineage import cut
 from .plans import boosting as B
 from .plans.lasso import Lasso, multi_granularity
+from .plans.rates import lowered
+from .plans.scoring import lowest_rates
 from .plans.trees import ExtraTrees
 from .queries import query
 from .sources import adapters as A
@@ -66,3 +68,18 @@ def boosting_logistic_scores(spark, d):
 @query()
 def extra_trees_scores(spark, d):
     return _scored(_frame(spark, d), lambda f: ExtraTrees().fit(f, METRICS))
+
+
+_RATED = """WITH r AS (SELECT event_id, CAST([1, 5, 10][event_id % 3 + 1] AS INTEGER) AS rate, CASE WHEN event_type = 'error' THEN CAST(user_id % 4 AS VARCHAR) END AS path, value FROM events),
+d AS (SELECT path, rate, avg(CASE WHEN value > 50 THEN 1.0::DOUBLE ELSE 0 END) AS tpr FROM r WHERE path IS NOT NULL GROUP BY ALL),
+c AS (SELECT d.path, min(rate) AS rate FROM d JOIN (SELECT path, max(rate) AS most, max_by(tpr, rate) AS top FROM d GROUP BY path) m ON m.path = d.path WHERE (tpr >= top AND tpr <> 0) OR rate = most GROUP BY d.path)
+SELECT r.* FROM r LEFT JOIN c ON c.path = r.path WHERE r.rate = coalesce(c.rate, 10)"""
+
+
+@query(_RATED)
+def lowered_rate_rows(spark, d):
+    """Events as rows of three rates: those of the largest, but of each path those of its lowest rate that is seen as well."""
+    rate = F.element_at(F.array(F.lit(1), F.lit(5), F.lit(10)), (F.col("event_id") % 3 + 1).cast("int"))
+    rows = A.table(spark, d, "events").select("event_id", rate.alias("rate"), F.when(F.col("event_type") == "error", (F.col("user_id") % 4).cast("string")).alias("path"), "value")
+    seen = rows.filter("path is not null").groupBy("path", "rate").agg(F.avg((F.col("value") > 50).cast("int")).alias("tpr"))
+    return lowered(rows, lowest_rates(seen))

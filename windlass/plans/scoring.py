@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.intervals import first_overlap
-
 from ..operators.lineage import cut
 from ..operators.ranks import running
 
