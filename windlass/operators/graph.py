@@ -229,6 +229,43 @@ def ego_features(edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return d.join(t, [*keys, "node"], "left").select(*keys, "node", "degree", (F.col("degree") + F.coalesce("t", F.lit(0))).alias("ego_edges"), (F.col("weight") + F.coalesce("tw", F.lit(0))).alias("ego_weight"))
 
 
+def ego_networks(edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The sixteen columns of every node's ego network: the node, its neighbours either way, and the directed edges among them.
+
+    Nodes, edges, weight and largest weight within; edges and weight that enter and leave the network; the node's own degrees,
+    weights and largest weights both ways; neighbours that have no other neighbour. Triangles are found once each, from their
+    node of least degree, so no node makes as many rows as its degree squared; a hub's sums are partial before they are shuffled.
+    """
+    e = cut(edges.filter("src <> dst").groupBy(*keys, "src", "dst").agg(F.sum("weight").alias("weight")))
+    ends = lambda one, out: e.groupBy(*keys, F.col(one).alias("node")).agg(F.count("*").alias(f"ego_{out}_d"), F.sum("weight").alias(f"ego_{out}_w"), F.max("weight").alias(f"ego_max_{out}_w"))
+    zero = F.lit(0).cast("long")
+    own = ends("dst", "in").join(ends("src", "out"), [*keys, "node"], "full").na.fill(0, [f"ego_{x}_{y}" for x in ("in", "out") for y in "dw"])
+    pair = e.groupBy(*keys, F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.count("*").alias("n"), F.sum("weight").alias("w"), F.max("weight").alias("m"))
+    near = pair.select(*keys, F.col("u").alias("node"), F.col("v").alias("other")).union(pair.select(*keys, F.col("v").alias("node"), F.col("u").alias("other")))
+    degree = cut(near.groupBy(*keys, "node").agg(F.count("*").alias("k")))
+    # pairs from the lesser to the greater degree
+    d = lambda name, k: degree.select(*keys, F.col("node").alias(name), F.col("k").alias(k))
+    p = pair.join(d("u", "ku"), [*keys, "u"]).join(d("v", "kv"), [*keys, "v"])
+    swap = F.struct("kv", "v") < F.struct(F.col("ku").alias("kv"), F.col("u").alias("v"))
+    p = cut(p.select(*keys, F.when(swap, F.col("v")).otherwise(F.col("u")).alias("a"), F.when(swap, F.col("u")).otherwise(F.col("v")).alias("b"), "n", "w", "m"))
+    side = lambda x, y, tag: p.select(*keys, F.col("a").alias(x), F.col("b").alias(y), F.struct("n", "w", "m").alias(tag))
+    triangles = side("x", "y", "xy").join(side("x", "z", "xz"), [*keys, "x"]).join(side("y", "z", "yz"), [*keys, "y", "z"])
+    credit = lambda node, tag: F.struct(F.col(node).alias("node"), F.col(f"{tag}.n").alias("n"), F.col(f"{tag}.w").alias("w"), F.col(f"{tag}.m").alias("m"))
+    across = triangles.select(*keys, F.inline(F.array(credit("x", "yz"), credit("y", "xz"), credit("z", "xy"))))
+    across = across.groupBy(*keys, "node").agg(F.sum("n").alias("_n"), F.sum("w").alias("_w"), F.max("m").alias("_m"))
+    around = near.join(own.select(*keys, F.col("node").alias("other"), "ego_in_d", "ego_in_w", "ego_out_d", "ego_out_w"), [*keys, "other"]).join(d("other", "k"), [*keys, "other"])
+    around = around.groupBy(*keys, "node").agg(F.count("*").alias("_k"), F.count_if(F.col("k") == 1).alias("neighbours_deg1"), *(F.sum(f"ego_{c}").alias(f"_{c}") for c in ("in_d", "in_w", "out_d", "out_w")))
+    out = own.join(around, [*keys, "node"]).join(across, [*keys, "node"], "left")
+    within = F.col("ego_in_d") + F.col("ego_out_d") + F.coalesce("_n", zero)
+    weight = F.col("ego_in_w") + F.col("ego_out_w") + F.coalesce("_w", zero)
+    return out.select(
+        *keys, "node", (F.col("_k") + 1).alias("egonet_n"), within.alias("egonet_e"), weight.alias("egonet_w"),
+        (F.col("ego_in_d") + F.col("_in_d") - within).alias("egonet_in_d"), (F.col("ego_out_d") + F.col("_out_d") - within).alias("egonet_out_d"),
+        (F.col("ego_in_w") + F.col("_in_w") - weight).alias("egonet_in_w"), (F.col("ego_out_w") + F.col("_out_w") - weight).alias("egonet_out_w"),
+        "ego_in_d", "ego_out_d", "ego_in_w", "ego_out_w", F.greatest("ego_max_in_w", "ego_max_out_w", "_m").alias("egonet_max_w"), F.coalesce("ego_max_in_w", zero).alias("ego_max_in_w"), F.coalesce("ego_max_out_w", zero).alias("ego_max_out_w"), "neighbours_deg1",
+    )
+
+
 def edge_vector(edges: DataFrame, universe: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Weights over a fixed set of pairs (src, dst), 0 where a graph lacks the edge: a row for each graph and pair by definition."""
     cells = edges.select(*keys).distinct().crossJoin(universe)
