@@ -1,6 +1,6 @@
 import pytest
 
-from windlass import ego_queries, injection_queries, model_queries, scan_queries, stream_queries  # noqa: F401
+from windlass import ego_queries, injection_queries, model_queries, plan_queries, scan_queries, stream_queries  # noqa: F401
 from windlass.queries import ORACLE, QUERIES
 
 from .oracle import DATA, canonical, sql_rows
