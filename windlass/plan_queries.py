@@ -8,6 +8,7 @@ from .injection_queries import _NUMBER, _carried, _normal
 from .operators import graph as G
 from .operators import paths as P
 from .operators.ranks import numbered
+from .plans import driver as D
 from .plans import schedule as S
 from .queries import _PATHS, _links, query
 from .sources import adapters as A
@@ -34,7 +35,8 @@ sd AS (SELECT exp, part, start, pos % (SELECT count(*) FROM pa) AS path_id FROM
 ow AS (SELECT exp, gran, part, start, path_id, unnest(range(start * (84 // gran), (start + 2) * (84 // gran))) AS win FROM sd, (VALUES (28), (84)) g(gran))""".format(number=_NUMBER.format(at=1))
 
 
-def _plan(spark, d):
+def _tables(spark, d):
+    """Edges of all experiments and granularities, labels, paths."""
     t = lambda n: A.table(spark, d, n)
     nation = t("nation").select("n_nationkey", "n_name")
     src = t("supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("src"))
@@ -48,7 +50,11 @@ def _plan(spark, d):
     mean = by_win.groupBy("exp").agg(F.avg("w").alias("mean"))
     labels = by_win.join(mean, "exp").select("exp", "win", (F.col("w") > 1.12 * F.col("mean")).cast("int").alias("label"))
     paths = numbered(P.shortest_paths(_links(spark, d), ["NATION_3", "NATION_15"], "NATION_8", 3, 6).withColumn("_n", F.size("path")), ["_n", "path"], "path_id").select("path_id", "path")
-    return S.planned(edges, labels, paths, A.nations(spark, d), slot=_SLOT, coarse=_COARSE, grans=_GRANS, train_share=0.6, attack_share=0.4, rate=F.lit(90.0), deviation=40.0, seed=5)
+    return edges, labels, paths
+
+
+def _plan(spark, d):
+    return S.planned(*_tables(spark, d), A.nations(spark, d), slot=_SLOT, coarse=_COARSE, grans=_GRANS, train_share=0.6, attack_share=0.4, rate=F.lit(90.0), deviation=40.0, seed=5)
 
 
 @query(f"WITH {_PATHS}, {_NAMED} SELECT exp, gran, win, part, start, path_id FROM ow")
@@ -81,3 +87,10 @@ def planned_features(spark, d):
     total = services.groupBy(*keys).agg(F.sum("weight").alias("weight"))
     found = total.join(G.reciprocity(services, keys), keys, "left").join(windows.select(*keys, "path_id"), keys, "left")
     return found.select(*keys, "weight", F.round("reciprocity", 6).alias("reciprocity"), "path_id")
+
+
+@query()
+def driver_scores(spark, d):
+    """From a configuration to the scores of all windows; the daily rate is large beside the weights of a pair of regions."""
+    config = D.Config.of('{"time_interval_lengths": [28, 84], "time_of_synethic_exfil": 168, "goal_train_test_split_training": 0.6, "goal_attack_NoAttack_split_training": 0.4, "avg_exfil_per_min": [3.0], "exfil_per_min_variance": [0.3]}')
+    return D.run(*_tables(spark, d), A.nations(spark, d), config)[0]

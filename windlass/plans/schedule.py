@@ -20,12 +20,13 @@ from ..operators.scan import carried
 from ..operators.sequence import islands
 
 
-def budgets(labels: DataFrame, slot: int, train_share: float, attack_share: float) -> DataFrame:
-    """(exp, windows, train_end, train, test): training ends before the first attack, and test has room for what attacks leave of its share."""
+def budgets(labels: DataFrame, slot: int, train_share: float, attack_share: float, test_share: float | None = None) -> DataFrame:
+    """(exp, windows, train_end, train, test): training ends before the first attack, and test has room for what attacks leave of its share (attack_share, if there is no other)."""
+    test_share = attack_share if test_share is None else test_share
     n = labels.groupBy("exp").agg((F.max("win") + 1).alias("windows"), F.min(F.when(F.col("label") == 1, F.col("win"))).alias("_first"), F.sum("label").alias("_taken"))
     end = F.floor(F.least(F.col("windows") * train_share, F.coalesce("_first", "windows"))).cast("long")
     n = n.withColumn("train_end", end)
-    test = F.greatest(F.lit(0.0), attack_share * (F.col("windows") - F.col("train_end")) - F.col("_taken"))
+    test = F.greatest(F.lit(0.0), test_share * (F.col("windows") - F.col("train_end")) - F.col("_taken"))
     return n.select("exp", "windows", "train_end", F.floor(attack_share * F.col("train_end") / slot).alias("train"), F.floor(test / slot).alias("test"))
 
 
@@ -83,10 +84,10 @@ def injected(edges: DataFrame, windows: DataFrame, paths: DataFrame, rate: Colum
     return inject(edges, along, ("exp", "gran", "win"), packet=packet)
 
 
-def planned(edges: DataFrame, labels: DataFrame, paths: DataFrame, nodes: DataFrame, *, slot: int, coarse: int, grans: Sequence[int], train_share: float, attack_share: float, rate: Column, deviation: float, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def planned(edges: DataFrame, labels: DataFrame, paths: DataFrame, nodes: DataFrame, *, slot: int, coarse: int, grans: Sequence[int], train_share: float, attack_share: float, rate: Column, deviation: float, seed: int = 0, test_share: float | None = None, packet: int = 500) -> tuple[DataFrame, DataFrame]:
     """From budgets to graphs: the windows that carry a path, and the service graphs (exp, gran, win, src, dst) with its traffic."""
     labels = cut(labels)
-    budget = cut(budgets(labels, slot, train_share, attack_share))
+    budget = cut(budgets(labels, slot, train_share, attack_share, test_share))
     chosen = with_paths(spread(free_slots(labels, budget, slot), budget, seed), paths)
     windows = cut(opened(chosen, slot, coarse, grans))
-    return windows, service_rollup(injected(edges, windows, paths, rate, deviation, seed=seed), nodes, ("exp", "gran", "win"))
+    return windows, service_rollup(injected(edges, windows, paths, rate, deviation, packet, seed), nodes, ("exp", "gran", "win"))
