@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .functions import exprs as X
 from .operators import graph as G
 from .operators import identity as I
+from .operators import centrality as Z
 from .operators import kernels as K
 from .operators import paths as P
 from .operators import sequence as S
@@ -179,7 +180,25 @@ m AS (SELECT win, src, dst, min(d) AS d FROM p GROUP BY ALL)
 SELECT win, dst AS node, round(sum(1 / d), 3) AS harmonic FROM m GROUP BY ALL""")
 def harmonic_service(spark, d):
     s = G.service_rollup(_edges(spark, d), A.nations(spark, d)).filter("src <> dst")
-    return K.centralities(s, ["harmonic"]).select("win", "node", F.round("value", 3).alias("harmonic"))
+    return Z.centralities(s, ["harmonic"]).select("win", "node", F.round("value", 3).alias("harmonic"))
+
+
+_WAYS = f"""WITH RECURSIVE {FLOWS}, s AS (SELECT win, a.svc AS src, b.svc AS dst, sum(weight) AS w FROM e JOIN n a ON a.node = src JOIN n b ON b.node = dst WHERE a.svc <> b.svc GROUP BY ALL),
+p AS (SELECT win, src, dst, 1.0::DOUBLE / w AS d, [src, dst] AS path FROM s UNION ALL SELECT p.win, p.src, s.dst, p.d + 1.0::DOUBLE / s.w, list_append(path, s.dst) FROM p JOIN s ON s.win = p.win AND s.src = p.dst WHERE NOT list_contains(path, s.dst)),
+m AS (SELECT win, src, dst, min(d) AS d FROM p GROUP BY ALL), k AS (SELECT p.*, count(*) OVER (PARTITION BY p.win, p.src, p.dst) AS c FROM p JOIN m ON m.win = p.win AND m.src = p.src AND m.dst = p.dst AND p.d - m.d < 1e-12),
+v AS (SELECT win, src AS node FROM s UNION SELECT win, dst FROM s), z AS (SELECT win, count(*) AS n FROM v GROUP BY win), t AS (SELECT win, src, dst, c, unnest(path) AS node FROM k)"""
+
+
+@query(f"{_WAYS}, x AS (SELECT win, node, sum(1.0::DOUBLE / c) AS b FROM t GROUP BY ALL) SELECT v.win, v.node, round(coalesce(b, 0) / (n * (n - 1)), 6) AS betweenness FROM v JOIN z USING (win) LEFT JOIN x ON x.win = v.win AND x.node = v.node")
+def betweenness_service(spark, d):
+    s = G.service_rollup(_edges(spark, d), A.nations(spark, d)).filter("src <> dst")
+    return Z.centralities(s, ["betweenness"]).select("win", "node", F.round("value", 6).alias("betweenness"))
+
+
+@query(f"{_WAYS}, x AS (SELECT win, node, sum(1.0::DOUBLE / c) AS b FROM t WHERE src IN ('ASIA', 'AFRICA') AND dst IN ('EUROPE', 'AMERICA') AND node <> src AND node <> dst GROUP BY ALL) SELECT v.win, v.node, round(coalesce(b, 0) / ((n - 1) * (n - 2)), 6) AS betweenness FROM v JOIN z USING (win) LEFT JOIN x ON x.win = v.win AND x.node = v.node")
+def betweenness_subset_service(spark, d):
+    s = G.service_rollup(_edges(spark, d), A.nations(spark, d)).filter("src <> dst")
+    return Z.centralities(s, ["betweenness_subset"], sources=["ASIA", "AFRICA"], targets=["EUROPE", "AMERICA"]).select("win", "node", F.round("value", 6).alias("betweenness"))
 
 
 @query(f"WITH {FLOWS}, p AS (SELECT DISTINCT win, src, dst FROM e), t AS (SELECT src, dst FROM p WHERE win < 1), x AS (SELECT win, count(*) AS c FROM p WHERE win >= 1 AND src IN (SELECT src FROM t) AND (src, dst) NOT IN (SELECT (src, dst) FROM t) GROUP BY win) SELECT win, coalesce(c, 0) AS new_neighbours FROM (SELECT DISTINCT win FROM p WHERE win >= 1) LEFT JOIN x USING (win)")
@@ -658,17 +677,22 @@ def path_share(spark, d):
 
 @query()
 def betweenness(spark, d):
-    return K.centralities(_edges(spark, d), ["betweenness"])
+    return Z.centralities(_edges(spark, d), ["betweenness"])
 
 
 @query()
 def load_centrality(spark, d):
-    return K.centralities(_edges(spark, d), ["load"])
+    return Z.centralities(_edges(spark, d), ["load"])
+
+
+@query()
+def betweenness_subset(spark, d):
+    return Z.centralities(_edges(spark, d), ["betweenness_subset"], sources=["NATION_3", "NATION_15"], targets=["NATION_8"])
 
 
 @query()
 def current_flow(spark, d):
-    return K.centralities(_edges(spark, d), ["current_flow", "current_flow_subset", "current_flow_subset_raw", "betweenness_subset"], sources=["NATION_3", "NATION_15"], targets=["NATION_8"])
+    return K.centralities(_edges(spark, d), ["current_flow", "current_flow_subset", "current_flow_subset_raw"], sources=["NATION_3", "NATION_15"], targets=["NATION_8"])
 
 
 @query()
