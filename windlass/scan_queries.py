@@ -226,12 +226,12 @@ def scan_result_files(spark, d):
     return found.select(F.regexp_extract("file", r"part=(\d+)/", 1).cast("long").alias("part"), F.col("a").cast("long").alias("a"), "name")
 
 
-@query(f"WITH {FLOWS}, i AS (SELECT n_name AS node, n_nationkey AS id FROM nation) SELECT a.id AS a, b.id AS b, weight FROM e JOIN i a ON a.node = src JOIN i b ON b.node = dst WHERE win = 3")
+@query(f"WITH {FLOWS}, i AS (SELECT n_name AS node, n_nationkey AS id FROM nation) SELECT win, a.id AS a, b.id AS b, weight FROM e JOIN i a ON a.node = src JOIN i b ON b.node = dst")
 def scan_numbered_edges(spark, d):
     path = fresh(spark, "numbered")
-    sinks.numbered_edges(_edges(spark, d).filter("win = 3"), path, A.table(spark, d, "nation").select(F.col("n_name").alias("node"), F.col("n_nationkey").alias("id")))
+    sinks.numbered_edges(_edges(spark, d), path, A.table(spark, d, "nation").select(F.col("n_name").alias("node"), F.col("n_nationkey").alias("id")), ("win",))
     t = F.split("value", " ")
-    return spark.read.text(path).select(*(t[k].cast("long").alias(c) for k, c in enumerate(("a", "b", "weight"))))
+    return spark.read.text(path).select(F.col("win").cast("long").alias("win"), *(t[k].cast("long").alias(c) for k, c in enumerate(("a", "b", "weight"))))
 
 
 # --- identity and windows ----------------------------------------------------------------------------------------
@@ -321,14 +321,14 @@ def path_occurrences(spark, d):
 
 _VARIANTS = f"""{_PATHS}, {_IDS}, z AS (SELECT path_id, hop, a, b, unnest(CASE WHEN b = 'nation_8_pod' THEN [[b]] WHEN y = 'nation_18' OR (x = 'nation_3' AND y = 'nation_20') OR (x = 'nation_15' AND y = 'nation_19') THEN [[y || '_vip', b], [b]]
   WHEN (x = 'nation_19' AND y = 'nation_15') OR (x = 'nation_20' AND y = 'nation_3') THEN [[x || '_vip', b], [b]] ELSE [[x || '_vip', b], [y || '_vip', b], [b]] END) AS o
-  FROM (SELECT *, replace(a, '_pod', '') AS x, replace(b, '_pod', '') AS y FROM s) WHERE path_id IN ('NATION_3>NATION_8', 'NATION_3>NATION_0>NATION_8', 'NATION_15>NATION_18>NATION_3>NATION_8')),
+  FROM (SELECT *, replace(a, '_pod', '') AS x, replace(b, '_pod', '') AS y FROM s)),
 gr AS (SELECT path_id, 0 AS hop, list_concat([a], o) AS path FROM z WHERE hop = 0 UNION ALL SELECT gr.path_id, gr.hop + 1, list_concat(gr.path, z.o) FROM gr JOIN z ON z.path_id = gr.path_id AND z.hop = gr.hop + 1)"""
 
 
 @query(f"WITH {_VARIANTS} SELECT path_id, array_to_string(path, '>') AS path FROM gr WHERE hop = (SELECT max(hop) FROM z WHERE z.path_id = gr.path_id)")
 def path_variants(spark, d):
     """All ways that the VIP alternatives of a path's hops make together."""
-    steps = vip_expansion(spark, d).filter("path_id in ('NATION_3>NATION_8', 'NATION_3>NATION_0>NATION_8', 'NATION_15>NATION_18>NATION_3>NATION_8')")
+    steps = vip_expansion(spark, d)
     return P.variants(steps).select("path_id", F.array_join("path", ">").alias("path"))
 
 

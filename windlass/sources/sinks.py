@@ -31,11 +31,12 @@ def policy_lines(pairs: DataFrame, path: str) -> None:
     pairs.select(F.concat_ws(" ALLOWED ", "src", "dst").alias("value")).write.mode("overwrite").text(path)
 
 
-def numbered_edges(edges: DataFrame, path: str, nodes: DataFrame) -> None:
-    """`a b weight` lines with node numbers from nodes(node, id)."""
+def numbered_edges(edges: DataFrame, path: str, nodes: DataFrame, by: tuple[str, ...] = ()) -> None:
+    """`a b weight` lines with node numbers from nodes(node, id), a folder for each value of by."""
     a = nodes.select(F.col("node").alias("src"), F.col("id").alias("a"))
     b = nodes.select(F.col("node").alias("dst"), F.col("id").alias("b"))
-    edges.join(a, "src").join(b, "dst").select(F.concat_ws(" ", "a", "b", "weight").alias("value")).write.mode("overwrite").text(path)
+    lines = edges.join(a, "src").join(b, "dst").select(*by, F.concat_ws(" ", "a", "b", "weight").alias("value"))
+    lines.write.mode("overwrite").partitionBy(*by).text(path)
 
 
 def html_table(rows: DataFrame, limit: int = 1000) -> str:
