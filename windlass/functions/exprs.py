@@ -48,6 +48,11 @@ def angle(dot: Column, norm_a: Column, norm_b: Column) -> Column:
     return F.when(cos.isNotNull(), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))))
 
 
+def path_or_none(text: Column) -> Column:
+    """A path column's names; '0', '?', an empty text and null stand for no path."""
+    return F.when(text.isNull() | text.isin("0", "?", ""), F.array().cast("array<string>")).otherwise(F.split(text, ">"))
+
+
 def same_service(a: Column, b: Column) -> Column:
     """Equal up to the suffixes _pod and _vip."""
     bare = lambda c: F.regexp_replace(c, "_(pod|vip)$", "")

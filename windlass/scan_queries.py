@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .functions import exprs as X
 from .operators import graph as G
 from .operators import identity as I
 from .operators import kernels as K
@@ -541,3 +542,12 @@ def model_grid(spark, d):
         frames[g] = cut(frames[g])  # each model reads it
     fitted = L.fit_grid(frames, names, ("logistic_l1", "forest", "boosting"))
     return L.score_grid(fitted, frames, names).filter("is_test = 1")
+
+
+@query("""WITH v AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN '0' WHEN o_orderkey % 11 = 0 THEN '?' WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderpriority || '>' || o_orderstatus END AS t FROM orders)
+SELECT o_orderkey, CASE WHEN t IS NULL OR t IN ('0', '?') THEN 0 ELSE len(string_split(t, '>')) END AS hops, CASE WHEN t IS NULL OR t IN ('0', '?') THEN '' ELSE string_split(t, '>')[1] END AS first FROM v""")
+def path_column(spark, d):
+    k = F.col("o_orderkey")
+    text_ = F.when(k % 7 == 0, "0").when(k % 11 == 0, "?").when(k % 13 == 0, F.lit(None)).otherwise(F.concat_ws(">", "o_orderpriority", "o_orderstatus"))
+    p = A.table(spark, d, "orders").select("o_orderkey", X.path_or_none(text_).alias("path"))
+    return p.select("o_orderkey", F.size("path").alias("hops"), F.coalesce(F.get("path", F.lit(0)), F.lit("")).alias("first"))

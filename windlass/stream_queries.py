@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .operators.lineage import fresh
 from .queries import query
-from .streaming import identity
+from .streaming import identity, live
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,3 +45,13 @@ def asof_stream(spark, d):
     versions = orders.select(F.col("o_custkey").alias("key"), F.col("o_orderdate").cast("timestamp").alias("since"), F.col("o_orderstatus").alias("status"))
     probes = orders.select("o_orderkey", F.col("o_custkey").alias("key"), (F.col("o_orderdate").cast("timestamp") + F.expr("interval 30 days")).alias("at"))
     return to_end(identity.as_of(probes, versions, "key", "at", "since", ["status"], "10 days")).select("o_orderkey", "key", "status")
+
+
+@query("""SELECT CAST(floor(epoch(ts) / 21600) AS BIGINT) * 21600 AS time, CAST(max(value) > 99 AS INTEGER) AS alert FROM events GROUP BY ALL
+HAVING (floor(epoch(min(ts)) / 21600) + 1) * 21600 <= (SELECT epoch(max(ts) - INTERVAL 1 HOUR) FROM events)""")
+def alert_stream(spark, d):
+    """Alerts of the complete windows of a stream of events."""
+    e = stream(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "value").withWatermark("ts", "1 hour")
+    scores = e.groupBy(F.window("ts", "21600 seconds").alias("w")).agg(F.max("value").alias("score"))
+    wins = scores.select(F.floor(F.unix_timestamp("w.start") / 21600).alias("win"), "score")
+    return to_end(live.alert_table(wins, 21600, 99.0))

@@ -28,6 +28,11 @@ def sliding_angles(vectors: DataFrame, size: int, key: str = "key", order: str =
     return in_order(vectors, [key], time, angles([key], order, size), f"{key} {kind[key]}, {order} {kind[order]}, angle double", late)
 
 
+def alert_table(scores: DataFrame, gran: int, threshold: float) -> DataFrame:
+    """(time, alert) of scored windows (win, score): the second at which a window begins, and 1 where its score is over the threshold."""
+    return scores.select((F.col("win") * gran).alias("time"), F.coalesce((F.col("score") > threshold).cast("int"), F.lit(0)).alias("alert"))
+
+
 def score_each(features: DataFrame, score: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str):
     """Start a query that scores each batch of complete windows and hands (win, score) to the sink."""
     return features.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: sink(score(df), n)).start()
