@@ -135,6 +135,24 @@ def pair_density(edges: DataFrame, nodes: DataFrame, keys: Sequence[str] = KEYS)
     return out.select(*keys, "svc_a", "svc_b", F.coalesce(F.try_divide(F.col("m").cast("double"), (total * (total - 1)).cast("double")), F.lit(0.0)).alias("density"))
 
 
+def every_pair(metrics: DataFrame, nodes: DataFrame, empty: dict[str, float | None], keys: Sequence[str] = KEYS) -> DataFrame:
+    """metrics (*keys, svc_a, svc_b, ...) with rows for the service pairs that have none in a window, empty's values in them.
+
+    Services are those of the nodes, whether a window has them or not; windows are those of the metrics. The result is
+    as large as the number of windows times that of pairs, which the dense form of features asks for.
+    """
+    svcs = nodes.groupBy().agg(F.sort_array(F.collect_set("svc")).alias("s"))
+    # pairs by place in the sorted list of services: a row for each first service, then the ones from it on
+    first = svcs.select("s", F.posexplode("s").alias("i", "svc_a"))
+    pairs = first.select("svc_a", F.explode(F.slice("s", F.col("i") + 1, F.size("s"))).alias("svc_b"))
+    wins = metrics.select(*keys).distinct()
+    one = pairs.agg(F.collect_list(F.struct("svc_a", "svc_b")).alias("p"))  # a single row, so windows only gain a column
+    grid = wins.crossJoin(F.broadcast(one)).select(*keys, F.inline("p"))
+    there = metrics.withColumn("_there", F.lit(True))
+    out = grid.join(there, [*keys, "svc_a", "svc_b"], "left")
+    return out.select(*keys, "svc_a", "svc_b", *(F.when(F.col("_there"), F.col(c)).otherwise(F.lit(v)).alias(c) for c, v in empty.items()))
+
+
 def by_service(metric: DataFrame, nodes: DataFrame, value: str, keys: Sequence[str] = KEYS) -> DataFrame:
     """Variation, mean and maximum of a node metric (keys, node, value) by service."""
     return metric.join(nodes, "node").groupBy(*keys, "svc").agg(F.try_divide(F.stddev_pop(value), F.avg(value)).alias("cov"), F.avg(value).alias("mean"), F.max(value).alias("max"))

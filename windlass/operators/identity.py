@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import VIP, is_ip, matches_service
+from .ranks import RANGE_ROWS, in_ranges
 
 
 def admitted(log: DataFrame) -> DataFrame:
@@ -23,18 +24,31 @@ def services(log: DataFrame) -> DataFrame:
     return log.filter("entity = 'svc'").select(F.replace("name", F.lit(VIP), F.lit("")).alias("svc")).distinct()
 
 
-def as_of(probe: DataFrame, versions: DataFrame, key: str, at: str, since: str, columns: list[str]) -> DataFrame:
+def as_of(probe: DataFrame, versions: DataFrame, key: str, at: str, since: str, columns: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
     """probe with the columns of the latest version of its key from before its time; null where there is none.
 
     One sort by key and time carries the last version forward, so no probe meets more than its own version. Of versions
-    at one time the greatest row counts.
+    at one time the greatest row counts. Where a key has more than range_rows rows, all are dealt to ranges of key and
+    time, and a range starts with the last version of the ranges before it.
     """
     v = versions.groupBy(key, since).agg(F.max(F.struct(*columns)).alias("_v"))
     names = probe.columns
     a = probe.select(F.col(key).alias("_k"), F.col(at).alias("_t"), F.lit(0).alias("_o"), F.struct(*names).alias("_p"), F.lit(None).cast(v.schema["_v"].dataType).alias("_v"))
     b = v.select(F.col(key).alias("_k"), F.col(since).alias("_t"), F.lit(1).alias("_o"), F.lit(None).cast(a.schema["_p"].dataType).alias("_p"), "_v")
-    w = Window.partitionBy("_k").orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    out = a.union(b).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).filter("_o = 0")
+    rows = a.union(b)
+    sizes = rows.groupBy("_k").count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+    last = F.last("_v", ignorenulls=True)
+    if (sizes["most"] or 0) <= range_rows:
+        w = Window.partitionBy("_k").orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0)
+        out = rows.withColumn("_v", last.over(w)).filter("_o = 0")
+    else:
+        dealt = in_ranges(rows, "_k", "_t", "_o", range_rows=range_rows, count=sizes["all"])
+        w = Window.partitionBy("_r", "_k").orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0)
+        # one row for each key and range, of most keys one
+        ends = dealt.groupBy("_k", "_r").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("_t"))).alias("_e"))
+        before = Window.partitionBy("_k").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select(F.col("_k").alias("_key"), F.col("_r").alias("_range"), F.last("_e", ignorenulls=True).over(before).alias("_e")).filter("_e is not null")
+        out = dealt.withColumn("_v", last.over(w)).filter("_o = 0").join(ends, [F.col("_k").eqNullSafe(F.col("_key")), F.col("_r") == F.col("_range")], "left").withColumn("_v", F.coalesce("_v", "_e"))
     return out.select(*[F.col(f"_p.{c}").alias(c) for c in names], *[F.col(f"_v.{c}").alias(c) for c in columns])
 
 
@@ -62,16 +76,46 @@ def named(rows: DataFrame, mapping: DataFrame, columns: list[str], ip: str = "ip
 
 
 def by_label(nodes: DataFrame, svcs: DataFrame) -> DataFrame:
-    """(node, svc) by shared labels (arrays); the shortest service name wins, then the first."""
+    """(node, svc) by shared labels (arrays).
+
+    A label that several services share stands for the one of the shortest name, then the first; a k8s-app label, which
+    system services share, for the last. Of a node's labels' services the shortest name wins, then the first.
+    """
     n = nodes.select("node", F.explode("labels").alias("label"))
-    s = svcs.select("svc", F.explode("labels").alias("label"))
-    return n.join(s, "label").groupBy("node").agg(F.min(F.struct(F.length("svc").alias("n"), F.col("svc"))).alias("m")).select("node", F.col("m.svc").alias("svc"))
+    sized = lambda svc: F.struct(F.length(svc).alias("n"), F.col(svc))
+    s = svcs.select("svc", F.explode("labels").alias("label")).groupBy("label").agg(F.min(sized("svc")).alias("m"), F.max("svc").alias("l"))
+    s = s.select("label", F.when(F.col("label").contains("k8s-app"), F.col("l")).otherwise(F.col("m.svc")).alias("svc"))
+    return n.join(s, "label").groupBy("node").agg(F.min(sized("svc")).alias("m")).select("node", F.col("m.svc").alias("svc"))
+
+
+GRAM = 4
+
+
+def pattern_hits(nodes: DataFrame, svcs: DataFrame) -> DataFrame:
+    """nodes (node) with each service (svc) whose pattern matches: a service's name stands in the name of its nodes.
+
+    So nodes and services are joined on a service's first GRAM characters (all of a shorter name), and only such pairs
+    are held against the pattern. Names are taken as they stand, without meaning as patterns but for dots; services
+    without a name match nothing.
+    """
+    plain = F.replace("node", F.lit("coredns"), F.lit("kube-dns"))
+    cuts = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(plain) - k + 1)), lambda i: F.substring(plain, i, F.lit(k)))
+    grams = F.array_distinct(F.flatten(F.array(*(cuts(k) for k in range(1, GRAM + 1)))))
+    n = nodes.withColumn("_gram", F.explode(grams))
+    s = svcs.filter("svc <> ''").withColumn("_start", F.substring("svc", 1, GRAM))
+    return n.join(s, F.col("_gram") == F.col("_start")).filter(matches_service(F.col("node"), F.col("svc"))).drop("_gram", "_start")
 
 
 def by_pattern(nodes: DataFrame, svcs: DataFrame) -> DataFrame:
-    """(node, svc) by name pattern; the longest service name wins, then the first. Services are few, nodes may be many."""
-    hit = nodes.join(svcs, matches_service(F.col("node"), F.col("svc")))
-    return hit.groupBy("node").agg(F.min(F.struct((-F.length("svc")).alias("n"), F.col("svc"))).alias("m")).select("node", F.col("m.svc").alias("svc"))
+    """(node, svc) by name pattern; the longest service name wins, then the first."""
+    return pattern_hits(nodes, svcs).groupBy("node").agg(F.min(F.struct((-F.length("svc")).alias("n"), F.col("svc"))).alias("m")).select("node", F.col("m.svc").alias("svc"))
+
+
+def infrastructure_nodes(nodes: DataFrame, infra: DataFrame) -> DataFrame:
+    """Distinct (node) of infrastructure (name, entity): pods by their name, services by the pattern of their VIP."""
+    pods = nodes.join(infra.filter("entity = 'pod'").select(F.col("name").alias("node")), "node", "left_semi").select("node")
+    vips = infra.filter("entity = 'svc'").select(F.concat(F.replace("name", F.lit(VIP), F.lit("")), F.lit(VIP)).alias("svc")).distinct()
+    return pods.union(pattern_hits(nodes.select("node").distinct(), vips).select("node")).distinct()
 
 
 def services_of(nodes: DataFrame, svcs: DataFrame) -> DataFrame:

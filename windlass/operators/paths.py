@@ -174,11 +174,12 @@ def choose_node(abstract: DataFrame, nodes: DataFrame, seed: int = 0) -> DataFra
     return abstract.join(nodes.groupBy("svc").agg(pick.alias("m")), "svc", "left").select(*abstract.columns, F.col("m.node").alias("node"))
 
 
-def is_valid(path: Column, goal: str = "internet") -> Column:
-    """Whether each VIP of a path has a neighbour of its own service."""
+def is_valid(path: Column) -> Column:
+    """Whether each VIP of a path has a neighbour of its own service, and one next to a db service is a db's itself."""
     def ok(x: Column, i: Column) -> Column:
         near = lambda j: F.coalesce(same_service(x, F.get(path, j)), F.lit(False))
-        return ~x.endswith("_vip") | near(i - 1) | near(i + 1)
+        db = lambda j: F.coalesce(F.contains(F.get(path, j), F.lit("db")), F.lit(False))
+        return ~x.endswith("_vip") | ((near(i - 1) | near(i + 1)) & (F.contains(x, F.lit("db")) | ~(db(i - 1) | db(i + 1))))
 
     return F.size(F.filter(F.transform(path, ok), lambda b: ~b)) == 0
 

@@ -1,7 +1,7 @@
 """Running totals and exact quantiles over any number of rows: no task sees a whole ordered table, however few its keys.
 
-Rows are dealt to ranges of the ordering value, bounded by approximate quantiles (a few numbers at the driver). Totals of
-whole ranges come from grouped sums, totals within a range from a window over it.
+Rows are dealt to ranges of the ordering value, as many as their count asks for; rows that fit one range are totalled by a
+window alone. Totals of whole ranges come from grouped sums, totals within a range from a window over it.
 """
 
 from __future__ import annotations
@@ -13,25 +13,31 @@ from pyspark.sql import functions as F
 
 from .lineage import cut
 
-RANGES = 64
+RANGE_ROWS = 1_000_000
 
 
-def bounds(rows: DataFrame, value: str, ranges: int = RANGES) -> list[float]:
-    """At most ranges - 1 numbers that cut the values into ranges of about equal rows."""
-    found = rows.approxQuantile(value, [k / ranges for k in range(1, ranges)], 1 / (4 * ranges))
-    return sorted(set(found))
+def in_ranges(rows: DataFrame, *order: str, range_rows: int = RANGE_ROWS, count: int | None = None) -> DataFrame:
+    """rows with _r: the number of their range in the order of columns, of about range_rows rows each; written once.
+
+    Rows that tie in all of the columns are in one range.
+    """
+    parts = max(1, -(-(rows.count() if count is None else count) // range_rows))
+    # the ranges' bounds are sampled, so their numbers stay only once they are written
+    return cut(rows.repartitionByRange(parts, *order).withColumn("_r", F.spark_partition_id()))
 
 
-def running(rows: DataFrame, value: str, sums: Sequence[str], keys: Sequence[str] = (), descending: bool = False, written: bool = False) -> DataFrame:
+def running(rows: DataFrame, value: str, sums: Sequence[str], keys: Sequence[str] = (), descending: bool = False, written: bool = False, range_rows: int = RANGE_ROWS) -> DataFrame:
     """rows with run_<c> for each summed column: its total from the first value up to and with this one, by key.
 
-    Rows have one row for each key and value; they are written once, as they are read for the ranges, totals and ranks.
+    Rows have one row for each key and value; they are written once, as they are read for the count, totals and ranks.
     """
     rows = rows if written else cut(rows)
-    ends = bounds(rows, value)
-    place = sum(((F.col(value) > b).cast("int") for b in ends), F.lit(0))
-    dealt = rows.withColumn("_r", place)
     order = F.desc(value) if descending else F.asc(value)
+    count = rows.count()
+    if count <= range_rows:
+        one = Window.partitionBy(*keys).orderBy(order)
+        return rows.select(*rows.columns, *(F.sum(c).over(one).alias(f"run_{c}") for c in sums))
+    dealt = in_ranges(rows, value, range_rows=range_rows, count=count)
     before = Window.partitionBy(*keys).orderBy(F.desc("_r") if descending else F.asc("_r")).rowsBetween(Window.unboundedPreceding, -1)
     # one row for each key and range
     whole = dealt.groupBy(*keys, "_r").agg(*(F.sum(c).alias(f"_s_{c}") for c in sums))
@@ -42,10 +48,10 @@ def running(rows: DataFrame, value: str, sums: Sequence[str], keys: Sequence[str
     return out.select(*rows.columns, *((F.sum(c).over(within) + F.col(f"_b_{c}")).alias(f"run_{c}") for c in sums))
 
 
-def quantiles(rows: DataFrame, value: str, shares: Sequence[float], keys: Sequence[str]) -> DataFrame:
+def quantiles(rows: DataFrame, value: str, shares: Sequence[float], keys: Sequence[str], range_rows: int = RANGE_ROWS) -> DataFrame:
     """(*keys, q): the exact quantiles of the non-null values of each key, linear between neighbours."""
     counts = cut(rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c")))
-    ranked = running(counts, value, ["_c"], keys, written=True)
+    ranked = running(counts, value, ["_c"], keys, written=True, range_rows=range_rows)
     n = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     ranked = ranked.join(n, list(keys)) if keys else ranked.crossJoin(n)
     picks = []
@@ -59,7 +65,7 @@ def quantiles(rows: DataFrame, value: str, shares: Sequence[float], keys: Sequen
     return found.select(*keys, F.array(*(F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * p for k, p in enumerate(part))).alias("q"))
 
 
-def numbered(rows: DataFrame, order: Sequence[str], name: str = "pos", range_rows: int = 1_000_000) -> DataFrame:
+def numbered(rows: DataFrame, order: Sequence[str], name: str = "pos", range_rows: int = RANGE_ROWS) -> DataFrame:
     """rows with their place (0, 1, ...) in the order of columns; as many ranges are sorted as range_rows asks for.
 
     Rows that tie in all of the order's columns take their places arbitrarily.

@@ -133,6 +133,19 @@ def pair_density(spark, d):
     return _round(G.pair_density(_edges(spark, d), A.nations(spark, d)), "density")
 
 
+@query(f"""WITH {FLOWS}, h AS (SELECT e.* FROM e WHERE weight > (SELECT 1.5 * avg(weight) FROM e)), x AS (SELECT h.*, coalesce(r.weight, 0) AS back FROM h LEFT JOIN h r ON r.win = h.win AND r.src = h.dst AND r.dst = h.src WHERE h.src <> h.dst),
+z AS (SELECT win, least(a.svc, b.svc) AS svc_a, greatest(a.svc, b.svc) AS svc_b, coalesce(sum(least(weight, back)) / nullif(sum(weight), 0), -1) AS r,
+  stddev_pop(CASE WHEN a.svc < b.svc AND NOT a.is_vip THEN weight END) / nullif(avg(CASE WHEN a.svc < b.svc AND NOT a.is_vip THEN weight END), 0) AS c
+  FROM x JOIN n a ON a.node = src JOIN n b ON b.node = dst GROUP BY ALL), s AS (SELECT DISTINCT svc FROM n)
+SELECT w.win, p.svc AS svc_a, q.svc AS svc_b, round(coalesce(r, -1), 6) AS reciprocity, round(c, 6) AS cov
+FROM (SELECT DISTINCT win FROM z) w CROSS JOIN s p JOIN s q ON p.svc <= q.svc LEFT JOIN z ON z.win = w.win AND z.svc_a = p.svc AND z.svc_b = q.svc""")
+def pair_every(spark, d):
+    """The service pairs of heavy edges, pairs without one included."""
+    e, n = _edges(spark, d), A.nations(spark, d)
+    heavy = e.crossJoin(F.broadcast(e.agg(F.avg("weight").alias("_m")))).filter("weight > 1.5 * _m").drop("_m")
+    return _round(G.every_pair(G.pair_metrics(heavy, n), n, {"reciprocity": -1.0, "cov": None}), "reciprocity", "cov")
+
+
 @query(f"""WITH {FLOWS}, g AS (SELECT win, node, sum(weight) AS w FROM (SELECT win, src AS node, weight FROM e UNION ALL SELECT win, dst, weight FROM e) GROUP BY ALL)
 SELECT win, svc, round(stddev_pop(w) / nullif(avg(w), 0), 6) AS cov, round(avg(w), 4) AS mean, CAST(max(w) AS BIGINT) AS max FROM g JOIN n USING (node) GROUP BY ALL""")
 def node_metric_by_service(spark, d):
@@ -258,18 +271,33 @@ def ip_predicates(spark, d):
 _PODS = "p AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN lower(c_mktsegment) || '-' || substr(md5(CAST(c_custkey AS VARCHAR)), 1, 9) WHEN 1 THEN lower(c_mktsegment) || '-3' WHEN 2 THEN lower(c_mktsegment) || '_VIP' ELSE 'coredns-7' END AS node FROM customer), s AS (SELECT DISTINCT lower(c_mktsegment) AS svc FROM customer UNION SELECT 'kube-dns' UNION SELECT 'build')"
 
 
+def _customer_pods(spark, d):
+    """(c_custkey, node): pods and VIPs named by market segments."""
+    c = A.table(spark, d, "customer")
+    seg, k = F.lower("c_mktsegment"), F.col("c_custkey") % 4
+    name = F.when(k == 0, F.concat(seg, F.lit("-"), F.substring(F.md5(F.col("c_custkey").cast("string").cast("binary")), 1, 9))).when(k == 1, F.concat(seg, F.lit("-3"))).when(k == 2, F.concat(seg, F.lit(X.VIP))).otherwise("coredns-7")
+    return c.select("c_custkey", name.alias("node"))
+
+
 @query(f"""WITH {_PODS}, h AS (SELECT node, svc, row_number() OVER (PARTITION BY node ORDER BY length(svc) DESC, svc) AS k FROM (SELECT DISTINCT node FROM p) JOIN s
   ON (contains(replace(node, 'coredns', 'kube-dns'), '_VIP') AND contains(node, svc)) OR regexp_matches(replace(node, 'coredns', 'kube-dns'), '^.*' || svc || '-([a-z0-9]{{9}}|[0-9]|$)'))
 SELECT c_custkey, p.node, svc FROM p LEFT JOIN h ON h.node = p.node AND k = 1""")
 def regex_service_join(spark, d):
-    c = A.table(spark, d, "customer")
-    seg, k = F.lower("c_mktsegment"), F.col("c_custkey") % 4
-    name = F.when(k == 0, F.concat(seg, F.lit("-"), F.substring(F.md5(F.col("c_custkey").cast("string").cast("binary")), 1, 9))).when(k == 1, F.concat(seg, F.lit("-3"))).when(k == 2, F.concat(seg, F.lit(X.VIP))).otherwise("coredns-7")
-    pods = c.select("c_custkey", name.alias("node"))
-    svcs = c.select(seg.alias("svc")).union(spark.createDataFrame([("kube-dns",), ("build",)], "svc string")).distinct()
+    pods = _customer_pods(spark, d)
+    svcs = A.table(spark, d, "customer").select(F.lower("c_mktsegment").alias("svc")).union(spark.createDataFrame([("kube-dns",), ("build",)], "svc string")).distinct()
     return pods.join(I.by_pattern(pods.select("node").distinct(), svcs), "node", "left").select("c_custkey", "node", "svc")
 
 
+@query(f"""WITH {_PODS}, i AS (SELECT lower(p_brand) AS name, 'pod' AS entity FROM part UNION ALL SELECT node, 'pod' FROM p WHERE c_custkey % 100 = 3 UNION ALL SELECT substr(lower(c_mktsegment), 4), 'svc' FROM customer WHERE c_custkey % 5 = 0 AND lower(c_mktsegment) LIKE '%b%')
+SELECT DISTINCT node FROM p WHERE node IN (SELECT name FROM i WHERE entity = 'pod') OR EXISTS (SELECT 1 FROM (SELECT DISTINCT name FROM i WHERE entity = 'svc') v WHERE contains(node, v.name || '_VIP'))""")
+def infrastructure_nodes(spark, d):
+    pods = _customer_pods(spark, d)
+    seg = F.lower("c_mktsegment")
+    named = A.table(spark, d, "part").select(F.lower("p_brand").alias("name")).union(pods.filter("c_custkey % 100 = 3").select("node")).withColumn("entity", F.lit("pod"))
+    svcs = A.table(spark, d, "customer").filter((F.col("c_custkey") % 5 == 0) & seg.contains("b")).select(F.substring(seg, 4, 100).alias("name"), F.lit("svc").alias("entity"))
+    return I.infrastructure_nodes(pods.select("node").distinct(), named.union(svcs))
+
+
 @query("""WITH v AS (SELECT o_custkey AS key, o_orderdate AS since, max(o_orderstatus) AS status FROM orders GROUP BY ALL), q AS (SELECT o_orderkey, o_custkey AS key, o_orderdate + INTERVAL 30 DAY AS at FROM orders)
 SELECT o_orderkey, q.key AS key, status FROM q ASOF LEFT JOIN v ON q.key = v.key AND q.at > v.since""")
 def asof_identity(spark, d):

@@ -479,7 +479,9 @@ def injected_scores(spark, d):
     return _round(out.select("win", "score", "pred", "label"), "score", places=4)
 
 
-_VALID = f"len(list_filter(range(1, len(path) + 1), lambda i: path[i] LIKE '%\\_vip' ESCAPE '\\' AND coalesce({_BARE.format('path[i - 1]')}, '') <> {_BARE.format('path[i]')} AND coalesce({_BARE.format('path[i + 1]')}, '') <> {_BARE.format('path[i]')})) = 0"
+_NEAR = "coalesce({}, '')"
+_VALID = f"""len(list_filter(range(1, len(path) + 1), lambda i: path[i] LIKE '%\\_vip' ESCAPE '\\' AND NOT (({_NEAR.format(_BARE.format('path[i - 1]'))} = {_BARE.format('path[i]')} OR {_NEAR.format(_BARE.format('path[i + 1]'))} = {_BARE.format('path[i]')})
+  AND (path[i] LIKE '%db%' OR NOT ({_NEAR.format('path[i - 1]')} LIKE '%db%' OR {_NEAR.format('path[i + 1]')} LIKE '%db%'))))) = 0"""
 
 
 @query(f"WITH {_VARIANTS} SELECT array_to_string(path, '>') AS path, {_VALID} AS valid FROM (SELECT path[:3] AS path FROM gr WHERE hop = (SELECT max(hop) FROM z WHERE z.path_id = gr.path_id))")
