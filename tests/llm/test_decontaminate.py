@@ -1,6 +1,7 @@
 import random
 
 from windlass.llm import decontaminate as D
+from windlass.llm.common import Scratch
 
 
 def _rows():
@@ -21,7 +22,7 @@ def test_against_brute_force(spark):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want = sorted((r[0], r[1], r[2], r[3]) for r in D.brute_force(docs, items))
     assert _result(D.find(spark, d, b)) == want
-    assert _result(D.find(spark, d, b, block_bytes=400)) == want  # in several blocks
+    assert _result(D.find(spark, d, b, block_windows=60)) == want  # in several blocks
     assert _result(D.find(spark, d, b, vocabulary=10)) == want  # with every term indexed
 
 
@@ -78,3 +79,34 @@ def test_empty(spark):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert D.find(spark, d.limit(0), b).count() == 0
     assert all(r.hit_spans == [] for r in D.find(spark, d, b.limit(0)).collect())
+
+
+def test_blocks_are_of_bounded_windows(spark):
+    text = " ".join(f"w{i % 700}" for i in range(5_000))
+    rows = [(i % 40, text) for i in range(120)] + [(99, "x y z")]  # one text of many items and many rows
+    b = spark.createDataFrame(rows, "item_id long, text string").repartition(3)
+    windows, blocks = D.windows_of(b, Scratch(spark, "t"), block_windows=5_000)
+    sizes = [r["count"] for r in windows.groupBy("block").count().collect()]
+    assert sum(sizes) == 40 * 700 + 1 and blocks == 6 and max(sizes) < 5_500
+    w = D.Windows(windows.filter("block = 0").select("terms", "item").toArrow())
+    assert sum(int(o[-1]) for _, _, o, _ in w.by_length) == windows.filter("block = 0").count() and len(w.vocab) <= 703
+
+
+def test_postings_by_slices(spark, monkeypatch):
+    docs, items = _rows()
+    whole = D.Windows(D.windows_of(spark.createDataFrame(items, "item_id long, text string"), Scratch(spark, "t"))[0].select("terms", "item").toArrow())
+    h = [D.WordHashes()[w] for _, t in docs for w in D.words(t)]
+    begins = D.np.append(0, D.np.cumsum([len(D.words(t)) for _, t in docs]))
+    at = D.np.searchsorted(whole.vocab, D.np.array(h, D.np.uint64)).clip(max=len(whole.vocab) - 1)
+    ok = whole.vocab[at] == D.np.array(h, D.np.uint64)
+    postings = D.np.sort(at[ok] * len(h) + D.np.flatnonzero(ok))
+    first = D.np.append(0, D.np.cumsum(D.np.bincount(at[ok], minlength=len(whole.vocab))))
+
+    def found():
+        parts = [list(D.matches(first, postings, len(h), begins, wins, whole.counts)) for _, wins, _, _ in whole.by_length]
+        return sum(map(len, parts)), sorted((k, int(w), int(s)) for k, p in enumerate(parts) for a, b in p for w, s in zip(a, b))
+
+    n, want = found()
+    monkeypatch.setattr(D, "POSTINGS", 50)
+    m, got = found()
+    assert got == want and len(want) > 100 and m > 10 * n

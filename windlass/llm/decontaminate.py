@@ -3,8 +3,10 @@
 The index of a document table is a stored table of shards: each holds, for a range of documents, the posting lists
 (term, places) of the terms that the benchmark uses, terms in order and places in order within them. (A benchmark of over
 VOCABULARY distinct words is too large to be sent to all: then every term is indexed.) The shards' counts give each term's
-count over all documents. A search holds blocks of test windows against every shard: a window starts from the list of
-its rarest term overall; the lists of its other terms, rarest first, are shifted by their offsets and intersected with
+count over all documents. The test windows are a stored table too, made where the benchmark lies, each with its item once,
+and dealt to blocks of at most about BLOCK_WINDOWS by a hash of both, so that neither a repeated text nor a window of many
+items makes a block large. A search holds one block (some 40 MB) at a time against every shard: a window starts from the
+list of its rarest term overall; the lists of its other terms, rarest first, are shifted by their offsets and intersected with
 what is left. Hits are exact phrases or, with slop > 0, proximity matches: laid so that the rarest term is in place, each
 other term is off its own by at most slop words, within the document. No list of a frequent term is ever gathered, as
 its postings lie in the shards of their documents.
@@ -31,7 +33,8 @@ from .common import Scratch, load, slices
 from .shingles import WordHashes
 
 WINDOW = 10
-BLOCK_BYTES, VOCABULARY = 16 << 20, 4_000_000
+BLOCK_WINDOWS, VOCABULARY = 400_000, 4_000_000
+EMITTED, POSTINGS = 20_000, 1 << 20  # windows of an Arrow batch, postings held at once beside a shard's own
 _TABLE = bytes(32 if b < 0x30 or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 SPANS = "array<struct<start:int,end:int>>"
 
@@ -40,50 +43,94 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-class Windows:
-    """The distinct windows of a block of items, by length, with the items of each; terms are places in the sorted vocabulary."""
-
-    def __init__(self, items: list[tuple], window: int = WINDOW):
-        memo, found = WordHashes(), {}
-        for item_id, text in items:
-            h = [memo[w] for w in words(text)]
-            n = min(window, len(h))
-            for i in range(len(h) - n + 1 if n else 0):
-                found.setdefault(tuple(h[i:i + n]), set()).add(item_id)
-        self.vocab = np.array(sorted({t for w in found for t in w}), np.uint64)
-        by: dict[int, list[tuple]] = {}
-        for w in found:
-            by.setdefault(len(w), []).append(w)
-        self.by_length = [(n, np.searchsorted(self.vocab, np.array(ws, np.uint64)).astype(np.int64), [sorted(i for i in found[w] if i is not None) for w in ws]) for n, ws in sorted(by.items())]
-        self.counts = np.zeros(len(self.vocab), np.int64)
+def _windows(window: int):
+    """(terms, item) of every window of the items."""
+    def run(batches):
+        memo = WordHashes()
+        for piece in slices(batches, rows=256, chars=1 << 20):
+            for item, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
+                h = np.array([memo[w] for w in words(text)], np.uint64)
+                n = min(window, len(h))
+                if not n:
+                    continue
+                for lo in range(0, len(h) - n + 1, EMITTED):
+                    rows = np.lib.stride_tricks.sliding_window_view(h[lo:lo + EMITTED + n - 1], n)
+                    terms = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * n), pa.array(rows.ravel().view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([terms, pa.array([item] * len(rows), pa.string())], names=["terms", "item"])
+
+    return run
 
 
-def matches(first: np.ndarray, postings: np.ndarray, size: int, begins: np.ndarray, wins: np.ndarray, counts: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(window number, start place) of all windows (rows of wins) in a shard of size words.
+def windows_of(benchmark: DataFrame, scratch: Scratch, *, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> tuple[DataFrame, int]:
+    """The stored table (terms, item, block) of distinct windows with their items, and the number of blocks."""
+    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
+    made = scratch.table(rows.mapInArrow(_windows(window), "terms array<long>, item string").distinct(), "windows")
+    blocks = max(1, -(-made.count() // block_windows))
+    if blocks == 1:
+        return made.withColumn("block", F.lit(0)), 1
+    dealt = made.withColumn("block", F.pmod(F.xxhash64("terms", "item"), F.lit(blocks)).cast("int"))
+    dealt.repartition("block").write.partitionBy("block").parquet(scratch.path("blocks"))
+    scratch.drop("windows")
+    return scratch.spark.read.schema(dealt.schema).parquet(scratch.path("blocks")), blocks
 
-    postings are term * size + place in order, first where each term's begin; counts are those over all shards.
+
+class Windows:
+    """A block's distinct windows by length, with the items of each; terms are places in the sorted vocabulary."""
+
+    def __init__(self, block: pa.Table):
+        block = block.combine_chunks()
+        terms = pa.concat_arrays(block.column("terms").chunks) if block.num_rows else pa.array([], pa.list_(pa.int64()))
+        flat, sizes = terms.flatten().to_numpy().view(np.uint64), terms.value_lengths().to_numpy()
+        begins = np.cumsum(sizes) - sizes
+        self.vocab = np.unique(flat)
+        self.counts = np.zeros(len(self.vocab), np.int64)
+        named = pa.concat_arrays(block.column("item").chunks).dictionary_encode() if block.num_rows else pa.array([], pa.string()).dictionary_encode()
+        self.items = named.dictionary.to_pylist()
+        codes = named.indices.fill_null(-1).to_numpy()
+        # (length, windows, where the items of each begin, items)
+        self.by_length: list[tuple] = []
+        for n in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == n)
+            wins, which = np.unique(np.searchsorted(self.vocab, flat[begins[at][:, None] + np.arange(n)]).astype(np.int32), axis=0, return_inverse=True)
+            which, owner = which.ravel(), codes[at]
+            order = np.argsort(which[owner >= 0], kind="stable")
+            owned = np.bincount(which[owner >= 0], minlength=len(wins))
+            self.by_length.append((n, wins, np.append(0, np.cumsum(owned)), owner[owner >= 0][order]))
+
+
+def matches(first: np.ndarray, postings: np.ndarray, size: int, begins: np.ndarray, wins: np.ndarray, counts: np.ndarray, slop: int = 0):
+    """(window numbers, start places) of all windows (rows of wins) in a shard of size words, by slices of windows.
+
+    postings are term * size + place in order, first where each term's begin; counts are those over all shards. The
+    rarest term's postings of a slice are at most POSTINGS, or those of one window.
     """
     n = np.diff(first)
     live = np.flatnonzero((n[wins] > 0).all(1))
-    order = np.argsort(counts[wins[live]], axis=1, kind="stable")  # offsets, rarest term first
-    rare = wins[live, order[:, 0]]
-    many = n[rare]
-    which = np.repeat(np.arange(len(live)), many)
-    places = postings[np.repeat(first[rare] - (np.cumsum(many) - many), many) + np.arange(many.sum())] % size if len(live) else np.zeros(0, np.int64)
-    start = places - order[which, 0]
-    doc = np.searchsorted(begins, places, "right") - 1
-    ok = (start >= begins[doc]) & (start + wins.shape[1] <= begins[doc + 1])
-    which, start, doc = which[ok], start[ok], doc[ok]
-    for k in range(1, wins.shape[1]):
-        if not len(which):
-            break
-        offset = order[which, k]
-        key, place = wins[live[which], offset] * size, start + offset
-        i = np.searchsorted(postings, key + np.maximum(place - slop, begins[doc]))
-        ok = i < len(postings)
-        ok &= postings[np.minimum(i, len(postings) - 1)] <= key + np.minimum(place + slop, begins[doc + 1] - 1)
+    order = np.argsort(counts[wins[live]], axis=1, kind="stable").astype(np.int16)  # offsets, rarest term first
+    rarest = wins[live, order[:, 0]] if len(live) else np.zeros(0, np.int32)
+    upto, lo = np.cumsum(n[rarest]), 0
+    while lo < len(live):
+        done = upto[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(upto, done + POSTINGS, "right")))
+        part, by, rare = live[lo:hi], order[lo:hi], rarest[lo:hi]
+        lo = hi
+        many = n[rare]
+        which = np.repeat(np.arange(len(part)), many)
+        places = postings[np.repeat(first[rare] - (np.cumsum(many) - many), many) + np.arange(many.sum())] % size
+        start = places - by[which, 0]
+        doc = np.searchsorted(begins, places, "right") - 1
+        ok = (start >= begins[doc]) & (start + wins.shape[1] <= begins[doc + 1])
         which, start, doc = which[ok], start[ok], doc[ok]
-    return live[which], start
+        for k in range(1, wins.shape[1]):
+            if not len(which):
+                break
+            offset = by[which, k]
+            key, place = wins[part[which], offset].astype(np.int64) * size, start + offset
+            i = np.searchsorted(postings, key + np.maximum(place - slop, begins[doc]))
+            ok = i < len(postings)
+            ok &= postings[np.minimum(i, len(postings) - 1)] <= key + np.minimum(place + slop, begins[doc + 1] - 1)
+            which, start, doc = which[ok], start[ok], doc[ok]
+        yield part[which], start
 
 
 def _indexer(vocab, schema: pa.Schema):
@@ -157,12 +204,12 @@ def _searcher(windows, slop: int):
                 have[at[at >= 0]] = n[at >= 0]
                 first = np.append(0, np.cumsum(have))
                 marks, items = np.zeros(size + 1, np.int32), {}
-                for length, wins, owners in w.by_length:
-                    which, start = matches(first, postings, size, begins, wins, w.counts, slop)
-                    np.add.at(marks, start, 1)
-                    np.add.at(marks, start + length, -1)
-                    for d, o in set(zip((np.searchsorted(begins, start, "right") - 1).tolist(), which.tolist())):
-                        items.setdefault(d, set()).update(owners[o])
+                for length, wins, owned, owners in w.by_length:
+                    for which, start in matches(first, postings, size, begins, wins, w.counts, slop):
+                        np.add.at(marks, start, 1)
+                        np.add.at(marks, start + length, -1)
+                        for d, o in set(zip((np.searchsorted(begins, start, "right") - 1).tolist(), which.tolist())):
+                            items.setdefault(d, set()).update(owners[owned[o]:owned[o + 1]].tolist())
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(marks)[:-1] > 0).astype(np.int8), [0]])))
                 spans: dict[int, list] = {}
                 for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
@@ -175,7 +222,7 @@ def _searcher(windows, slop: int):
                         s, d = end, d + 1
                 m = len(begins) - 1
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([shard.as_py()] * m, pa.string()), pa.array(np.arange(m, dtype=np.int32)), ids.values, pa.array(np.diff(begins)), pa.array([spans.get(d, []) for d in range(m)], _SPANS_PA), pa.array([sorted(map(str, items.get(d, ()))) for d in range(m)], pa.list_(pa.string())),
+                    pa.array([shard.as_py()] * m, pa.string()), pa.array(np.arange(m, dtype=np.int32)), ids.values, pa.array(np.diff(begins)), pa.array([spans.get(d, []) for d in range(m)], _SPANS_PA), pa.array([sorted(w.items[o] for o in items.get(d, ())) for d in range(m)], pa.list_(pa.string())),
                 ], names=["shard", "place", "id", "n_words", "hit_spans", "hit_items"])
 
     return run
@@ -184,13 +231,15 @@ def _searcher(windows, slop: int):
 _SPANS_PA = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def search(spark: SparkSession, shards: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
-    """(shard, place, id, n_words, hit_spans, hit_items) of every document, for one block of windows."""
+def search(spark: SparkSession, shards: DataFrame, windows: Windows, slop: int = 0) -> tuple[DataFrame, list]:
+    """(shard, place, id, n_words, hit_spans, hit_items) of every document, for one block of windows, and what was sent for it."""
     vocab = spark.sparkContext.broadcast(windows.vocab)
     counts = shards.select("terms", "counts").mapInArrow(_counter(vocab), "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    vocab.destroy()
     windows.counts[counts.column(0).to_numpy()] = counts.column(1).to_numpy()
     kind = shards.schema["ids"].dataType.elementType.simpleString()
-    return shards.mapInArrow(_searcher(spark.sparkContext.broadcast(windows), slop), f"shard string, place int, id {kind}, n_words long, hit_spans {SPANS}, hit_items array<string>")
+    sent = spark.sparkContext.broadcast(windows)
+    return shards.mapInArrow(_searcher(sent, slop), f"shard string, place int, id {kind}, n_words long, hit_spans {SPANS}, hit_items array<string>"), sent
 
 
 def _merged(spans):
@@ -202,13 +251,6 @@ def _merged(spans):
     return F.aggregate(F.sort_array(spans), F.array().cast(SPANS), step)
 
 
-def block_filters(benchmark: DataFrame, text_col: str, block_bytes: int) -> list:
-    """Conditions that cut the items into blocks of about block_bytes of text (a longer item is alone over it)."""
-    total = benchmark.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n = -(-total // block_bytes) or 1
-    return [F.pmod(F.xxhash64(text_col), F.lit(n)) == k for k in range(n)] if n > 1 else [F.lit(True)]
-
-
 def _terms(batches):
     memo = WordHashes()
     for batch in batches:
@@ -216,22 +258,24 @@ def _terms(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.array([memo[w] for w in words(t)], np.uint64)).view(np.int64))], names=["term"])
 
 
-def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="text", item_col="item_id", bench_text_col="text", window: int = WINDOW, slop: int = 0, block_bytes: int = BLOCK_BYTES, vocabulary: int = VOCABULARY) -> DataFrame:
+def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="text", item_col="item_id", bench_text_col="text", window: int = WINDOW, slop: int = 0, block_windows: int = BLOCK_WINDOWS, vocabulary: int = VOCABULARY) -> DataFrame:
     """(id, n_words, hit_spans, hit_items) of every row: word places of hits, merged, and ids of items as sorted strings."""
     scratch = Scratch(spark, "decontaminate")
     terms = benchmark.select(bench_text_col).mapInArrow(_terms, "term long").distinct()
     few = terms.limit(vocabulary + 1).toArrow().column(0).to_numpy()
     vocab = np.sort(few.view(np.uint64)) if len(few) <= vocabulary else None
     shards = index(docs, scratch, vocab, id_col=id_col, text_col=text_col)
-    found = []
-    for block in block_filters(benchmark, bench_text_col, block_bytes):
-        items = benchmark.filter(block).select(item_col, bench_text_col).collect()  # of bounded size
-        found.append(search(spark, shards, Windows([tuple(r) for r in items], window), slop))
-    if len(found) == 1:
-        return found[0].drop("shard", "place")
-    rows = found[0]
-    for f in found[1:]:
-        rows = rows.unionByName(f)
+    windows, blocks = windows_of(benchmark, scratch, item_col=item_col, text_col=bench_text_col, window=window, block_windows=block_windows)
+    rows = None
+    for block in range(blocks):
+        part = Windows(windows.filter(F.col("block") == block).select("terms", "item").toArrow())  # of bounded size
+        found, sent = search(spark, shards, part, slop)
+        if blocks == 1:
+            return found.drop("shard", "place")
+        # of later blocks only hits matter; once they are written, no executor needs the block any longer
+        found = scratch.table(found if rows is None else found.filter("size(hit_spans) > 0"), f"found-{block}")
+        sent.destroy()
+        rows = found if rows is None else rows.unionByName(found)
     rows = rows.groupBy("shard", "place").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hit_spans")).alias("s"), F.flatten(F.collect_list("hit_items")).alias("i"))
     return rows.select("id", "n_words", _merged(F.col("s")).alias("hit_spans"), F.array_sort(F.array_distinct("i")).alias("hit_items"))
 
