@@ -2,6 +2,8 @@ import math
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from windlass.llm import html as H
 from windlass.llm.common import Scratch
 
@@ -100,3 +102,23 @@ def test_the_tree_judges_articles_too(spark):
     got = {r.page_id: r.text for r in H.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[3] == "Title 3\nStory 3 of 9"
     assert got[50].startswith("Title 50\nStory 50 of 1")  # one page says little, the other host's tell more
+
+
+def test_a_teaser_is_not_the_page():
+    body = "".join(f"<p>Paragraph {i} of the story that this page tells at length.</p>" for i in range(9))
+    page = f"<body><div class='story'>{body}</div><article><h2>Read next</h2></article></body>"
+    text = H.main_text(page)
+    assert text.startswith("Paragraph 0") and text.endswith("Read next") and text.count("\n") == 9
+    assert H.main_text(f"<body><p>Lead</p><article>{body}</article></body>").startswith("Paragraph 0")
+    assert H.main_text("<body><p>Only this</p><article> </article></body>") == "Only this"
+
+
+def test_repeats_clashing_columns_hot_host_and_a_long_page(spark):
+    rows = [(i % 300, f"http://hot.org/{i % 300}", f"<body><div class='top'>Same</div><p>Story {i % 300}</p></body>", f"x{i}") for i in range(600)]
+    rows += [(1000 + i, f"http://h{i}.org/", f"<p>Own {i}</p>", None) for i in range(50)]
+    rows += [(5000, "http://hot.org/long", "<body><div class='top'>Same</div><p>" + "word " * 200_000 + "</p></body>", None), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string").withColumn("low", F.lit(1)).withColumn("salt", F.lit("s"))
+    out = H.extract(spark, df)
+    got = sorted(((-1 if r.page_id is None else r.page_id), r.text, r.n_chars) for r in out.collect())
+    want = [(i % 300, f"Story {i % 300}") for i in range(600)] + [(1000 + i, f"Own {i}") for i in range(50)] + [(5000, ("word " * 200_000).strip()), (-1, "")]
+    assert got == sorted((i, t, len(t)) for i, t in want) and out.columns == ["page_id", "url", "text", "n_chars"]

@@ -9,8 +9,10 @@ removed from each page, in articles too; only those that hold or are an article
 says what they are (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts) are noise at any
 entropy: their texts differ from page to page on many sites, where entropy alone would keep them.
 
-Text is that of article or main elements where a page has them with text, else of all that remains. Blocks are joined
-by a line feed, white space within one is a single space, character references are decoded.
+An article or main element is evidence, not a switch: where such elements hold at least MAIN_SHARE of the letters that
+remain, the text is theirs; where they hold less (a teaser beside an unmarked body), it is all that remains. Blocks are
+joined by a line feed in page order, white space within one is a single space, character references are decoded. Scripts,
+styles, frames, drawings, formulas and form fields (RAW) are never text.
 
 Defined results: a null or empty html gives the empty text; a null or odd url belongs to the host ''; broken markup is
 read to its end (unclosed elements end with their parent, an unclosed script or comment ends the page); repeated rows
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, load, slices
 
-PRIOR, LOW = 2.0, 0.2
+PRIOR, LOW, MAIN_SHARE = 2.0, 0.2, 0.25
+HOT = 200  # a host of over 1 / HOT of all pages is dealt to several tasks; there are fewer than HOT of them
 
 # The elements of HTML by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -81,14 +84,13 @@ class Node:
         self.tag, self.path, self.noise, self.main, self.start, self.children, self.holds_main = tag, path, noise, main, start, [], False
 
 
-def read(page: str | None, low: frozenset | set = frozenset(), visit=None) -> tuple[list[str], list[str]]:
-    """(blocks within article or main, all other blocks) without noise and without the branches in low.
+def read(page: str | None, low: frozenset | set = frozenset(), visit=None) -> list[tuple[bool, str]]:
+    """(whether within article or main, text) of the blocks without noise and without the branches in low, in page order.
 
     visit(node, pieces of its text) is called as each element that isn't noise ends.
     """
     page = page or ""
-    inside: list[str] = []
-    outside: list[str] = []
+    blocks: list[tuple[bool, str]] = []
     pieces: list[str] = []  # of all text that isn't noise, for visit
     block: list[str] = []
     stack = [Node("", "", False, False, 0)]
@@ -96,7 +98,7 @@ def read(page: str | None, low: frozenset | set = frozenset(), visit=None) -> tu
     def flush() -> None:
         if block:
             if text := " ".join(entities.unescape("".join(block)).split()):
-                (inside if stack[-1].main else outside).append(text)
+                blocks.append((stack[-1].main, text))
             block.clear()
 
     def text(s: str) -> None:
@@ -158,12 +160,14 @@ def read(page: str | None, low: frozenset | set = frozenset(), visit=None) -> tu
     while len(stack) > 1:
         pop()
     flush()
-    return inside, outside
+    return blocks
 
 
-def main_text(page: str | None, low=frozenset()) -> str:
-    inside, outside = read(page, low)
-    return "\n".join(inside or outside)
+def main_text(page: str | None, low=frozenset(), share: float = MAIN_SHARE) -> str:
+    blocks = read(page, low)
+    inside = sum(len(t) for main, t in blocks if main)
+    marked = inside > 0 and inside >= share * sum(len(t) for _, t in blocks)
+    return "\n".join(t for main, t in blocks if main or not marked)
 
 
 def _styles(batches):
@@ -189,10 +193,22 @@ def _styles(batches):
 
 
 def _hosted(batches):
-    """Pages with the host under which the style tree has them."""
+    """Rows with the host of their url, under which the style tree has them."""
     for batch in batches:
-        hosts = pa.array([host(u) for u in batch.column(1).to_pylist()], pa.string())
-        yield pa.RecordBatch.from_arrays([*batch.columns, hosts], names=["page_id", "url", "html", "host"])
+        hosts = pa.array([host(u) for u in batch.column("url").to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([*batch.columns, hosts], names=[*batch.schema.names, "host"])
+
+
+def _with_removed(pages: DataFrame, removed: DataFrame) -> DataFrame:
+    """pages (page_id, url, html) with the paths that removed (host, low) has for their host; a hot host's pages go to several tasks."""
+    sizes = pages.select("url").mapInArrow(_hosted, "url string, host string").groupBy("host").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    # fewer than HOT rows whatever the input, each with as many salts as it has shares of 1 / HOT
+    hot = sizes.filter(F.col("n") > F.lit(total / HOT)).select("host", F.ceil(F.col("n") * HOT / max(total, 1)).cast("int").alias("salts"))
+    salted = lambda df: df.join(F.broadcast(hot), "host", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    left = salted(pages.mapInArrow(_hosted, "page_id long, url string, html string, host string")).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.col("salts")).cast("int"))
+    right = salted(removed).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return left.join(right, ["host", "salt"], "left").select("page_id", "url", "html", "low")
 
 
 def style_tree(pages: DataFrame, scratch: Scratch, prior: float = PRIOR) -> DataFrame:
@@ -228,7 +244,7 @@ def extract(spark: SparkSession, pages: DataFrame, *, prior: float = PRIOR, low:
     removed = style_tree(pages, scratch, prior).filter(F.col("importance") < low)
     removed = scratch.table(removed.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low")), "removed")
     scratch.drop("styles", "own")
-    return pages.mapInArrow(_hosted, "page_id long, url string, html string, host string").join(removed, "host", "left").select("page_id", "url", "html", "low").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return _with_removed(pages, removed).mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
