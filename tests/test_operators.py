@@ -145,6 +145,27 @@ def test_spectral_score_flags_a_change(spark):
     assert got[0] is None and got[4] < 1e-6 and got[7] > 0.9
 
 
+def test_typical_angles_against_the_singular_vector(spark):
+    rng, size = random.Random(8), 4
+    rows = [(e, 10 * w, f"n{k}", rng.gauss(k, 1)) for e in "xy" for w in range(12) for k in range(7) if rng.random() < 0.8]
+    rows += [("z", w, f"n{w}", 1.0) for w in range(6)] + [("o", w, "n", 0.0) for w in range(6)]  # no node in common, nothing at all
+    frame = spark.createDataFrame(rows, "exp string, win long, node string, value double")
+    got = {(r.exp, r.win): r.score for r in K.typical_angles(frame, size).collect()}
+    assert len(got) == 36
+    for e in "xy":
+        x = np.zeros((12, 7))
+        for f, w, n, v in rows:
+            if f == e:
+                x[w // 10, int(n[1:])] = v
+        for w in range(12):
+            if w < size:
+                assert got[e, 10 * w] is None
+            else:
+                u = np.linalg.svd(x[w - size:w].T, full_matrices=False)[0][:, 0]
+                assert abs(got[e, 10 * w] - (1 - abs(u @ x[w]) / np.linalg.norm(x[w]))) < 1e-9
+    assert got["z", 5] == 1 and got["o", 5] is None
+
+
 def test_model_grid(spark):
     """Each model of the grid learns a plain rule and scores rows of another run."""
     from windlass.plans import models as L

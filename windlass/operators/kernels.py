@@ -164,24 +164,39 @@ def centralities(edges: DataFrame, metrics: Sequence[str], keys: Sequence[str] =
 def spectral_scores(edges: DataFrame, size: int, keys: Sequence[str] = ("exp",)) -> DataFrame:
     """(*keys, win, score): 1 minus the cosine of a window's principal vector with the typical one of the size before.
 
-    The typical one is the first left singular vector of the last size vectors (Ide & Kashima 2004); null for the
-    first windows. Each vector goes to the windows that look back on it, so a task has size + 1 of them at a time.
+    The typical one is the first left singular vector of the last size vectors (Ide & Kashima 2004); null for the first
+    windows, and where those vectors are all zero.
     """
     vectors = cut(centralities(edges, ["eigenvector"], (*keys, "win")).drop("metric"))
-    types = dict(edges.dtypes)
+    return typical_angles(vectors, size, keys)
+
+
+def typical_angles(vectors: DataFrame, size: int, keys: Sequence[str] = ("exp",)) -> DataFrame:
+    """(*keys, win, score) of any vectors (*keys, win, node, value): 1 minus the cosine with the typical one of the size before.
+
+    Only inner products of windows at most size apart are needed: with the vectors as columns of X, the typical one is
+    X v / s, v and s^2 the leading eigenpair of X'X. They are grouped sums over a join by node, so a task never has a
+    window's vector, whatever its length; the eigenpair is of a matrix of size rows.
+    """
+    types = dict(vectors.dtypes)
     # one row for each window
     ranks = vectors.select(*keys, "win").distinct().withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("win")))
-    ahead = F.explode(F.sequence(F.col("_k"), F.col("_k") + size)).alias("_at")
-    seen = vectors.join(ranks, [*keys, "win"]).select(*keys, ahead, "_k", "win", "node", "value")
-    seen = seen.join(ranks.select(*keys, F.col("_k").alias("_at"), F.col("win").alias("_win")), [*keys, "_at"])
+    x = cut(vectors.filter("value <> 0").join(ranks, [*keys, "win"]).select(*keys, "_k", "node", "value"))
+    later = x.select(*keys, "node", F.col("_k").alias("_i"), F.col("value").alias("_x"), F.explode(F.sequence(F.col("_k"), F.col("_k") + size)).alias("_k"))
+    dots = later.join(x, [*keys, "node", "_k"]).groupBy(*keys, "_i", F.col("_k").alias("_j")).agg(F.sum(F.col("_x") * F.col("value")).alias("_dot"))
+    # a product of i and j belongs to the windows from j up to the last that looks back on i
+    own = dots.select(*keys, F.explode(F.sequence(F.col("_j"), F.col("_i") + size)).alias("_k"), "_i", "_j", "_dot")
+    own = own.filter(F.col("_k") > size).join(ranks, [*keys, "_k"])
 
     def run(key, pdf):
-        table = pdf.pivot_table(index="_k", columns="node", values="value", fill_value=0.0).sort_index()
-        x, score = table.to_numpy(), None
-        if len(x) == size + 1:
-            u = np.linalg.svd(x[:size].T, full_matrices=False)[0][:, 0]
-            score = 1 - min(1.0, abs(float(u @ x[size])))
-        return pd.DataFrame({**dict(zip([*keys, "win"], key)), "score": pd.array([score], "Float64")})
-
-    rows = seen.withColumn("win", F.col("_win")).select(*keys, "win", "_k", "node", "value")
-    return rows.groupBy(*keys, "win").applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + f", win {types['win']}, score double")
+        first = pdf._k.iloc[0] - size
+        g = np.zeros((size + 1, size + 1))
+        i, j = pdf._i.to_numpy() - first, pdf._j.to_numpy() - first
+        g[i, j] = g[j, i] = pdf._dot.to_numpy()
+        value, vector = np.linalg.eigh(g[:size, :size])
+        lead, length = value[-1], g[size, size]
+        score = 1 - min(1.0, abs(float(vector[:, -1] @ g[:size, size])) / float(np.sqrt(lead * length))) if lead > 1e-12 and length > 0 else None
+        return pd.DataFrame({**{k: [v] for k, v in zip([*keys, "win"], key)}, "score": pd.array([score], "Float64")})
+
+    found = own.groupBy(*keys, "win").applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + f", win {types['win']}, score double")
+    return ranks.drop("_k").join(found, [*keys, "win"], "left")
