@@ -513,10 +513,29 @@ def rediscovered_features(spark, d):
     """Feature files written by experiment and granularity, found again by their paths: those of experiment 1."""
     f = M.wide(_features(spark, d), ("NATION_3_weight",)).withColumns({"exp": F.col("win") % 2, "gran": F.when(F.col("win") < 14, 10).otherwise(60)})
     path = fresh(spark, "experiments")
-    f.write.partitionBy("exp", "gran").option("header", True).csv(path)
-    found = spark.read.option("header", True).csv(f"{path}/*/*").withColumn("file", F.col("_metadata.file_path")).filter(F.col("file").contains("/exp=1/"))
-    part = lambda name: F.regexp_extract("file", rf"/{name}=(\d+)/", 1)
-    return found.groupBy(part("exp").cast("long").alias("exp"), part("gran").cast("int").alias("gran")).agg(F.count("*").alias("windows"))
+    sinks.feature_csv(f, path, ("exp", "gran"))
+    found = text.feature_folders(spark, path, "exp = 1")
+    return found.groupBy(F.col("exp").cast("long").alias("exp"), F.col("gran").cast("int").alias("gran")).agg(F.count("*").alias("windows"))
+
+
+@query(f"WITH {FLOWS}, o AS (SELECT win, src AS node, sum(weight) AS w FROM e GROUP BY ALL) SELECT win, node, round(w / sqrt(sum(w * w) OVER (PARTITION BY win)), 6) AS value FROM o")
+def scan_node_vectors(spark, d):
+    """Vectors of the nodes' outbound weights, of length 1 in each window, stored and read back."""
+    o = _edges(spark, d).groupBy("win", F.col("src").alias("node")).agg(F.sum("weight").cast("double").alias("w"))
+    norm = o.groupBy("win").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
+    path = fresh(spark, "vectors")
+    sinks.node_vectors(o.join(norm, "win").select("win", "node", (F.col("w") / F.col("n")).alias("value")), path)
+    return _round(text.node_vectors(spark, path), "value")
+
+
+@query(f"WITH {FLOWS} SELECT win, src, dst, frames, weight, a.svc AS src_svc, b.svc AS dst_svc, a.is_vip OR b.is_vip AS over_vip FROM e JOIN n a ON a.node = src JOIN n b ON b.node = dst")
+def scan_attributed_edges(spark, d):
+    """Edges written with attributes of their ends, a folder for each window, and read back."""
+    n = A.nations(spark, d)
+    e = _edges(spark, d).join(n.select(F.col("node").alias("src"), F.col("svc").alias("src_svc"), F.col("is_vip").alias("_a")), "src").join(n.select(F.col("node").alias("dst"), F.col("svc").alias("dst_svc"), F.col("is_vip").alias("_b")), "dst")
+    path = fresh(spark, "attributed")
+    sinks.edge_table(e.select("win", "src", "dst", "frames", "weight", "src_svc", "dst_svc", (F.col("_a") | F.col("_b")).alias("over_vip")), path)
+    return spark.read.parquet(path).withColumn("win", F.col("win").cast("long"))
 
 
 @query(f"WITH {FLOWS}, {_ALLOWED} SELECT e.* FROM e SEMI JOIN al ON al.src = e.src AND al.dst = e.dst WHERE e.win >= 2")

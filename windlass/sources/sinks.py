@@ -23,8 +23,20 @@ def weighted_features(features: DataFrame, coefficients: DataFrame, path: str) -
     features.join(used, "metric").select("win", "metric", "value", "coef").write.mode("overwrite").parquet(path)
 
 
-def feature_csv(frame: DataFrame, path: str) -> None:
-    frame.write.mode("overwrite").option("header", True).option("nullValue", "?").csv(path)
+def feature_csv(frame: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
+    """A feature table with '?' for missing values, a folder for each value of by (rates, granularities, experiments)."""
+    frame.write.mode("overwrite").option("header", True).option("nullValue", "?").partitionBy(*by).csv(path)
+
+
+def edge_table(edges: DataFrame, path: str, by: tuple[str, ...] = ("win",)) -> None:
+    """Parquet of edges with all attributes they have (services, marks of injection), a folder for each value of by."""
+    edges.write.mode("overwrite").partitionBy(*by).parquet(path)
+
+
+def node_vectors(vectors: DataFrame, path: str, keys: tuple[str, ...] = ("win",)) -> None:
+    """Parquet of vectors over nodes (*keys, node, value): nodes in order and their values as arrays, a row for each window."""
+    pairs = F.sort_array(F.collect_list(F.struct("node", "value")))
+    vectors.groupBy(*keys).agg(pairs.alias("p")).select(*keys, F.col("p.node").alias("nodes"), F.col("p.value").alias("values")).write.mode("overwrite").parquet(path)
 
 
 def policy_lines(pairs: DataFrame, path: str) -> None:

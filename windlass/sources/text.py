@@ -94,6 +94,17 @@ def feature_csv(spark: SparkSession, path: str) -> DataFrame:
     return frame.withColumnRenamed(frame.columns[0], "time")
 
 
+def feature_folders(spark: SparkSession, path: str, only: str = "true") -> DataFrame:
+    """Feature tables found again below a folder, with the columns that their folders' names state; only says which folders are read."""
+    return spark.read.option("header", True).option("nullValue", "?").option("inferSchema", True).option("basePath", path).csv(path).filter(only)
+
+
+def node_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """(keys, node, value) of a stored table of vectors."""
+    rows = spark.read.parquet(path)
+    return rows.select(*(c for c in rows.columns if c not in ("nodes", "values")), F.inline(F.arrays_zip(F.col("nodes").alias("node"), F.col("values").alias("value"))).alias("node", "value"))
+
+
 def load_test_totals(spark: SparkSession, path: str) -> DataFrame:
     """(requests, failures, ratio) over a load test's rows whose method is None and count a number; ratio 0 without requests."""
     raw = spark.read.csv(path)
