@@ -6,7 +6,7 @@ from pyspark.ml.classification import LogisticRegression
 
 from windlass.plans import boosting, trees
 from windlass.plans.lasso import Lasso
-from windlass.plans.models import assembled
+from windlass.plans.models import assembled, forest, scored
 
 
 def _data(spark, n=160, seed=2):
@@ -168,3 +168,11 @@ def test_extra_trees_of_one_class_and_of_equal_rows(spark):
     assert {r.score for r in trees.ExtraTrees(2).fit(one, ["a"]).scored(one).collect()} == {1.0}
     same = spark.createDataFrame([(i, 3.0, float(i % 4 == 0)) for i in range(8)], "win long, a double, label double")
     assert {r.score for r in trees.ExtraTrees(2).fit(same, ["a"]).scored(same).collect()} == {0.25}
+
+
+@pytest.mark.parametrize("label", [0.0, 1.0])
+def test_training_rows_of_one_class_give_its_score(spark, label):
+    rows = spark.createDataFrame([(i, float(i % 5), label) for i in range(20)], "win long, a double, label double")
+    models = [boosting.SammeR(boosting.stump(), 3).fit(rows, ["a"]).scored(rows), boosting.SammeR(boosting.logistic(), 3).fit(rows, ["a"]).scored(rows), scored(forest(rows, ["a"], trees=3), rows, ["a"])]
+    for got in models:
+        assert [r.score for r in got.collect()] == pytest.approx([label] * 20, abs=1e-9)

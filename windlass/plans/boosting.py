@@ -12,7 +12,6 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from ..operators.lineage import cut
 from ..operators.ranks import contiguous_folds
 from .lasso import Lasso, grams
-from .models import assembled
+from .models import assembled, class_one
 
 #: A learner's fit: (frame with features, label and weight) -> (frame -> frame with the prediction in a named column).
 Apply = Callable[[DataFrame, str], DataFrame]
@@ -57,7 +56,7 @@ def lasso(folds: int = 5, n: int = 100):
 def stump(depth: int = 1, seed: int = 0):
     def fit(frame: DataFrame, metrics: Sequence[str], label: str, weight: str) -> Apply:
         model = DecisionTreeClassifier(featuresCol="features", labelCol=label, weightCol=weight, maxDepth=depth, seed=seed).fit(frame)
-        return _transformer(model, "_probabilityCol", lambda c: vector_to_array(c)[1])
+        return _transformer(model, "_probabilityCol", class_one)
 
     return fit
 
@@ -66,7 +65,7 @@ def logistic(strength: float = 0.01):
     """Logistic regression with an L2 penalty."""
     def fit(frame: DataFrame, metrics: Sequence[str], label: str, weight: str) -> Apply:
         model = LogisticRegression(featuresCol="features", labelCol=label, weightCol=weight, regParam=strength).fit(frame)
-        return _transformer(model, "_probabilityCol", lambda c: vector_to_array(c)[1])
+        return _transformer(model, "_probabilityCol", class_one)
 
     return fit
 

@@ -12,7 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -72,12 +72,17 @@ class AdaBoost:
         return out.withColumn("score", score).drop("features", *(f"_{x}{k}" for x in "prq" for k in range(len(self.models))))
 
 
+def class_one(probability: Column | str) -> Column:
+    """The probability of class 1; 0 where trees knew class 0 alone, whose probabilities have one place."""
+    return F.coalesce(F.get(vector_to_array(probability), F.lit(1)), F.lit(0.0))
+
+
 def scored(model, frame: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """frame with score: the prediction of a regression, the probability of class 1 of a classifier."""
     if hasattr(model, "scored"):
         return model.scored(frame)
     out = model.transform(assembled(frame, metrics))
-    value = vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction")
+    value = class_one("probability") if "probability" in out.columns else F.col("prediction")
     return out.withColumn("score", value).select(*frame.columns, "score")
 
 
