@@ -1,6 +1,6 @@
 import pytest
 
-from windlass import ego_queries, injection_queries, model_queries, plan_queries, scan_queries, stream_queries  # noqa: F401
+from windlass import ego_queries, injection_queries, model_queries, plan_queries, queries, scan_queries, stream_queries  # noqa: F401
 from windlass.queries import ORACLE, QUERIES
 
 from .oracle import DATA, canonical, sql_rows
@@ -38,3 +38,9 @@ def test_varied(spark, name):
     got = QUERIES[name](spark, SF).toPandas()
     value = next(c for c in ("score", "out_weight", "value", "NATION_3_weight") if c in got)
     assert got[value].nunique() > 1
+
+
+def test_the_frame_of_the_models_is_made_once(spark):
+    """Fits read the written rows, not the tables behind them again and again."""
+    frame = queries._frame(spark, SF)
+    assert not frame.inputFiles() and frame.count() == 28

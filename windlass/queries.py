@@ -11,6 +11,7 @@ from .operators import identity as I
 from .operators import kernels as K
 from .operators import paths as P
 from .operators import sequence as S
+from .operators.lineage import cut
 from .plans import features as M
 from .plans import models as L
 from .plans import results as R
@@ -730,7 +731,9 @@ def spectral_score(spark, d):
 
 def _frame(spark, d):
     f = A.flows(spark, d).groupBy("win", "src").agg((F.sum("weight") / 1e7).alias("value"), F.sum("frames").alias("n"))
-    return M.wide(f.select("win", F.col("src").alias("metric"), "value"), _NATIONS).na.fill(0.0).withColumn("label", (F.col("win") % 5 == 0).cast("double"))
+    wide = M.wide(f.select("win", F.col("src").alias("metric"), "value"), _NATIONS).na.fill(0.0).withColumn("label", (F.col("win") % 5 == 0).cast("double"))
+    # fits read it dozens of times
+    return cut(wide)
 
 
 _NATIONS = ("NATION_3", "NATION_18", "NATION_20", "NATION_8", "NATION_19", "NATION_15")
