@@ -68,3 +68,12 @@ def test_score_each(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert seen == [4.0]
+
+
+def test_rows_of_one_time_come_in_the_order_of_their_numbers(spark, tmp_path):
+    """10 after 9, and negative numbers first, as SQL's order has them."""
+    wins = [10, -2, 9, 100, -10, 2**40]
+    stream = _files(spark, str(tmp_path), "key string, win long, ts timestamp", [("k", w, _at(0)) for w in wins], [("far", 0, _at(10**6))])
+    count = lambda state, rows: ((state or 0) + len(rows), [{"win": r["win"], "n": (state or 0) + i} for i, r in enumerate(rows)])
+    found = ordered.in_order(stream, ["key"], "ts", count, "win long, n long", "10 seconds", tie="win")
+    assert [r.win for r in _run(spark, found, "ties").orderBy("n").collect()] == sorted(wins)

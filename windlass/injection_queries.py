@@ -77,7 +77,7 @@ SELECT key AS path, win, amount, CASE WHEN amount >= 60 THEN amount ELSE 0 END A
 def carry_stream(spark, d):
     """The carry as kept state of a stream of events, as far as the watermark comes."""
     e = stream(spark, d, "events").select((F.col("user_id") % 6).alias("path"), F.col("event_id").alias("win"), F.col("value").cast("double").alias("rate"), F.col("ts").cast("timestamp").alias("ts"))
-    return to_end(ordered.in_order(e, ["path"], "ts", ordered.carrying(["path"], "win", "rate", 10), "path long, win long, amount long, sent long", "1 hour"))
+    return to_end(ordered.in_order(e, ["path"], "ts", ordered.carrying(["path"], "win", "rate", 10), "path long, win long, amount long, sent long", "1 hour", "win"))
 
 
 _PACKETS = f"""{EVENTS}, pk AS (SELECT event_id, pod, svc, CAST(epoch_us(ts) AS BIGINT) AS t, greatest(weight, 34) AS bytes FROM ev JOIN events USING (event_id)),
