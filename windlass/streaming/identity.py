@@ -2,118 +2,61 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-#: Rows travel through the state as JSON, with all of a timestamp's digits.
-JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
-FIRST = -(2**63)
+from .ordered import FIRST, JSON, InOrder
+
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class AsOf(StatefulProcessor):
-    """Of each key, the versions that may still be needed and the probes that wait for the watermark.
+def named(state, rows: list) -> tuple[dict, list[str]]:
+    """A fold over probes (p) and versions (v) of many keys, texts of kind, key, tab and row: each probe with the versions of its key's latest time before its own.
 
-    A probe is answered by the versions of the latest time before its own when the watermark has reached its time. Older
-    versions than the last one before the watermark are forgotten.
+    Probes come before versions of their time. The state is each key's latest time and its versions.
     """
+    state, out = state or {}, []
+    for at, text in rows:
+        key, row = text[1:].split("\t", 1)  # JSON has no bare tab or line break
+        held = state.get(key)
+        if text[0] == "p":
+            out.append(f"{row}\t" + "\n".join(sorted(held[1])) if held else row)
+        elif held is None or at > held[0]:
+            state[key] = [at, {row: 1}]
+        elif at == held[0]:
+            held[1][row] = 1
+    return state, out
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.versions = handle.getMapState("versions", "since long", "rows string")
-        self.waiting = handle.getListState("waiting", "at long, probe string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new, waiting = {}, []
-        for pdf in rows:
-            for is_version, at, row in zip(*(pdf.iloc[:, i] for i in (2, 3, 4))):  # by place: Spark hands the columns on without their names
-                if is_version:
-                    new.setdefault(int(at), set()).add(row)
-                else:
-                    waiting.append((int(at), row))
-        for at, found in new.items():
-            # rows of one time: JSON has no bare line break
-            if self.versions.containsKey((at,)):
-                found |= set(self.versions.getValue((at,))[0].split("\n"))
-            self.versions.updateValue((at,), ("\n".join(sorted(found)),))
-        none = [row for at, row in waiting if at == FIRST]
-        waiting = [(at, row) for at, row in waiting if at != FIRST]
-        if waiting:
-            self.waiting.appendList(waiting)
-            self._wake(min(at for at, _ in waiting))
-        if new:
-            # the timer stands at the first waiting probe, whose version must stay
-            self._forget(min([timerValues.getCurrentWatermarkInMs(), *(t - 1 for t in self._timers())]))
-        if none:  # a probe without a time has no version
-            yield self._out(key, none, [None] * len(none))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        reached = timerValues.getCurrentWatermarkInMs() * 1000
-        held = list(self.waiting.get())
-        done, rest = [r for r in held if r[0] <= reached], [tuple(r) for r in held if r[0] > reached]
-        if rest:
-            self.waiting.put(rest)
-            self._wake(min(at for at, _ in rest), after=reached // 1000)
-        else:
-            self.waiting.clear()
-        known = sorted((k[0], v[0]) for k, v in self.versions.iterator())
-        found, i = [], 0
-        for at, probe in sorted(done):
-            while i < len(known) and known[i][0] < at:
-                i += 1
-            found.append((probe, known[i - 1][1] if i else None))
-        self._forget(reached // 1000)
-        if found:
-            yield self._out(key, *zip(*found))
-
-    def close(self) -> None:
-        pass
-
-    def _out(self, key, probes, versions) -> pd.DataFrame:
-        return pd.DataFrame({"_probe": list(probes), "_versions": list(versions)})
-
-    def _wake(self, at: int, after: int = -1) -> None:
-        """Let the key's one timer ring when the watermark reaches the time (in microseconds), if none rings before; one that rings now doesn't count."""
-        when = -(-at // 1000)
-        timers = [t for t in self._timers() if t > after]
-        if not timers or when < min(timers):
-            for t in timers:
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(when)
-
-    def _timers(self) -> list[int]:
-        return [int(t[0] if isinstance(t, (tuple, list)) else t) for t in self.handle.listTimers()]
 
-    def _forget(self, watermark_ms: int) -> None:
-        past = sorted(k[0] for k in self.versions.keys() if k[0] < watermark_ms * 1000)
-        for since in past[:-1]:
-            self.versions.removeKey((since,))
+def unnamed(probes: list[str]) -> list[str]:
+    return [text.split("\t", 1)[1] for text in probes]
 
 
-def as_of(probe: DataFrame, versions: DataFrame, key: str, at: str, since: str, columns: Sequence[str], late: str = "1 minute", salts: int = 1) -> DataFrame:
+def as_of(probe: DataFrame, versions: DataFrame, key: str, at: str, since: str, columns: Sequence[str], late: str = "1 minute", salts: int = 1, buckets: int = 1024) -> DataFrame:
     """Streams of probes and of versions, as operators.identity.as_of: probe with the columns of its key's latest version from before its time.
 
-    Both times are timestamps; rows may come in any order as long as none is later than late. With salts, a key's probes go
-    to that many groups, each of which has the key's versions, so that no group has all flows of one gateway. State lies in
-    a store on disk (spark.sql.streaming.stateStore.providerClass must be STORE).
+    Both times are timestamps; rows may come in any order as long as none is later than late. A probe is answered when the
+    watermark has reached its time; one without a time at once, by no version. Keys are dealt to buckets, whose rows wait
+    and are answered together: a key of few rows costs no call of its own. With salts, a key's probes go to that many
+    buckets, each of which has the key's versions, so that no bucket has all flows of one gateway. State lies in a store
+    on disk (spark.sql.streaming.stateStore.providerClass must be STORE).
     """
-    micros = lambda c: F.coalesce(F.unix_micros(F.col(c).cast("timestamp")), F.lit(FIRST))
+    micros = lambda c, none: F.coalesce(F.unix_micros(F.col(c).cast("timestamp")), F.lit(none))
     # as text, as a null key doesn't survive the way into pandas
     group = F.to_json(F.struct(F.col(key).cast(probe.schema[key].dataType).alias("k")), JSON)
-    one = probe.withWatermark(at, late).select(
-        group.alias("_key"), F.pmod(F.xxhash64(*probe.columns), F.lit(salts)).cast("int").alias("_salt"), F.lit(False).alias("_version"), micros(at).alias("_at"), F.to_json(F.struct(*probe.columns), JSON).alias("_row"), F.col(at).cast("timestamp").alias("_time"),
-    )
-    two = versions.withWatermark(since, late).select(
-        group.alias("_key"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"), F.lit(True).alias("_version"), micros(since).alias("_at"), F.to_json(F.struct(*columns), JSON).alias("_row"), F.col(since).cast("timestamp").alias("_time"),
-    )
-    found = one.unionByName(two).groupBy("_key", "_salt").transformWithStateInPandas(AsOf(), "_probe string, _versions string", "Append", "EventTime")
+    text = lambda kind, names: F.concat(F.lit(kind), "_key", F.lit("\t"), F.to_json(F.struct(*names), JSON)).alias("_row")
+    bucket = F.pmod(F.xxhash64("_key", "_salt"), F.lit(buckets)).cast("int").alias("_bucket")
+    one = probe.withWatermark(at, late).select("*", group.alias("_key"), F.pmod(F.xxhash64(*probe.columns), F.lit(salts)).cast("int").alias("_salt"))
+    one = one.select(bucket, micros(at, FIRST).alias("_at"), text("p", probe.columns), F.col(at).cast("timestamp").alias("_time"))
+    two = versions.withWatermark(since, late).select("*", group.alias("_key"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    two = two.select(bucket, micros(since, FIRST + 1).alias("_at"), text("v", columns), F.col(since).cast("timestamp").alias("_time"))
+    found = one.unionByName(two).groupBy("_bucket").transformWithStateInPandas(InOrder(named, unnamed), "_row string", "Append", "EventTime")
     shape = probe.select(*probe.columns).schema
     version = versions.select(*columns).schema
+    parts = F.split("_row", "\t", 2)
     # of versions at one time the greatest row counts
-    best = F.array_max(F.transform(F.split("_versions", "\n"), lambda x: F.from_json(x, version, JSON)))
-    out = found.select(F.from_json("_probe", shape, JSON).alias("_p"), best.alias("_v"))
+    best = F.array_max(F.transform(F.split(F.get(parts, F.lit(1)), "\n"), lambda x: F.from_json(x, version, JSON)))
+    out = found.select(F.from_json(parts[0], shape, JSON).alias("_p"), best.alias("_v"))
     return out.select(*(F.col(f"_p.{c}").alias(c) for c in probe.columns), *(F.col(f"_v.{c}").alias(c) for c in columns))
