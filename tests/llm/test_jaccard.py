@@ -49,6 +49,19 @@ def test_linked_sets_share_a_key():
                     assert np.intersect1d(J.keys(a, bands), J.keys(b, bands)).size
 
 
+def test_unlike_sets_share_no_key():
+    """Neither an empty word nor a single common shingle makes unlike sets candidates of each other."""
+    rng = np.random.default_rng(2)
+    common = rng.integers(0, 2**63, 8, dtype=np.uint64)
+    for size in (400, 1000, 3000):
+        bands, seen = J.Bands(80), []
+        for _ in range(30):
+            s = np.unique(np.append(rng.integers(0, 2**63, size - 8, dtype=np.uint64), common))
+            seen.append(np.unique(J.keys(s, bands)))
+        _, n = np.unique(np.concatenate(seen), return_counts=True)
+        assert (n > 1).sum() <= 3
+
+
 @pytest.mark.parametrize("family", [J.FAMILY, 2])
 def test_links_that_no_centre_shows(spark, family):
     rng = random.Random(8)

@@ -2,7 +2,8 @@
 
 Each shingle is XOR-ed into a sketch, so sketches differ in no more places than the sets do: their Hamming distance is a
 lower bound of the symmetric difference. Within a size band that difference is at most d for linked documents. A sketch
-of D > d words of 64 bits then agrees in one word at least (pigeonhole): the words are the join keys. A sketch of some
+of D > d words of 64 bits then agrees in one word at least (pigeonhole): the words are the join keys. D is such that most
+sets need no key for words of one shingle or none, which unlike sets share. A sketch of some
 8 d single bits per document tells how far apart the two sets of a candidate pair are at least; only pairs within the
 reach of their sizes are verified, by exact intersections of the sets of 64-bit shingle hashes.
 
@@ -37,7 +38,7 @@ class Bands:
     """Size bands such that linked sets lie in the same or in adjacent bands, with each band's d and D."""
 
     def __init__(self, percent: int):
-        self.percent, self.low = percent, [1, 2]
+        self.percent, self.low, self.length = percent, [1, 2], {}
 
     def of(self, n: int) -> int:
         while self.low[-1] <= n:
@@ -51,27 +52,47 @@ class Bands:
             self.of(self.low[-1])
         most = self.low[band + 1] - 1
         d = 2 * most * (100 - self.percent) // (100 + self.percent)
-        # D - d words agree at least; with some to spare, only sketches with many empty words need keys for those
-        spare = 0 if d < 4 else int(np.ceil((mean := (d + 1) * np.exp(-self.low[band] / (d + 1))) + 3 * np.sqrt(mean)))
-        return d, d + 1 + spare
+        if band not in self.length:
+            D = d + 1
+            while 4 <= d and D < 2 * d and not all(self.selective(n, band, d, D) for n in (-(-self.low[band] * self.percent // 100), self.low[band], most)):
+                D += 1 + D // 64
+            self.length[band] = D
+        return d, self.length[band]
+
+    def differ(self, n: int, band: int) -> int:
+        """The largest symmetric difference of a set of n members and a set linked with it where the larger is in the band."""
+        return distance(n + min(self.low[band + 1] - 1, n * 100 // self.percent), self.percent)
+
+    def selective(self, n: int, band: int, d: int, D: int) -> bool:
+        """Whether n members leave more words with two or more of them than may differ, by two standard deviations."""
+        few = np.exp(-n / D) * (1 + n / D)
+        return D * (1 - few) - 2 * np.sqrt(D * few * (1 - few)) > self.differ(n, band)
 
 
 def keys(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """The join keys of a set: the words of its sketches for its own band and, as the smaller set, for the next one."""
+    """The join keys of a set: the words of its sketches for its own band and, as the smaller set, for the next one.
+
+    At least D - differ words agree. Words of two or more members are keys always, those of one, which a common shingle
+    makes equal in many sets, only where words of fewer than two are so many, empty ones only where they alone are.
+    """
     own, out = bands.of(len(s)), []
     place = mix(s ^ _U(0x5851F42D4C957F2D))
     for band in (own, own + 1):
         d, D = bands.words(band)
         if len(s) * 100 < bands.low[band] * bands.percent:
             continue
+        agree = D - bands.differ(len(s), band)
         seg = (place % _U(D)).astype(np.int64)
         order = np.argsort(seg, kind="stable")
         count = np.bincount(seg, minlength=D)
         filled = np.flatnonzero(count)
         word = np.bitwise_xor.reduceat(s[order], (np.cumsum(count) - count)[filled])
+        if np.count_nonzero(count < 2) < agree:
+            several = count[filled] > 1
+            filled, word = filled[several], word[several]
         out.append(mix(word + mix((filled + (band << 24)).astype(_U))))
-        if D - len(filled) >= D - d:
-            empty = np.flatnonzero(count == 0)
+        empty = np.flatnonzero(count == 0)
+        if len(empty) >= agree:
             out.append(mix(mix((empty + (band << 24)).astype(_U)) ^ _U(0xE7037ED1A0B428DB)))
     return np.concatenate(out).view(np.int64)
 
