@@ -128,6 +128,17 @@ def test_seating_keeps_its_books():
     assert s.n.tolist() == [0, 0, 1, 7, 100] and s.t[0] == s.t[1] == 0
 
 
+def test_a_sweep_reseats_every_customer():
+    """Customers alone at their tables gather within the sweeps of a chain, in dishes of any size."""
+    cap = np.array([2, 20, 300, 20000])
+    s = H.Seating(cap, 0.1, np.random.default_rng(4))
+    s.fill(np.full(4, 1e12))
+    assert (s.t > 0.9 * cap).all()
+    for _ in range(H.BURN_IN + H.SAMPLES):
+        s.sweep(np.full(4, 1e-9), np.full(4, 1e-9))
+    assert s.n.tolist() == cap.tolist() and (s.t < 0.1 * cap + 2).all(), s.t
+
+
 def test_hot_words_are_those_of_all_rows(spark):
     rows = [(i, "rare " * 5 + f"u{i} " * 60) for i in range(60)] + [(99, "late " * 4000)]
     df = spark.createDataFrame(rows, "id long, text string")

@@ -2,10 +2,10 @@
 
 Restaurants are the contexts of a word, the previous word (by hash, in CLASSES restaurants); all share one parent, the
 restaurant of words without context, whose base is uniform over the known words and gives a share to all unknown ones
-(Good-Turing, from the words met once). Discounts come from counts of counts. Seatings are sampled by Gibbs: a random
-customer of each dish leaves its table and is seated again given all the others, sqrt(c) times a sweep for a dish of c
-customers; a table that opens or closes adds a customer to the parent's dish or takes one away, and the parent's
-customers are reseated likewise. After BURN_IN sweeps each sweep is a sample; the predictive probability of a token is
+(Good-Turing, from the words met once). Discounts come from counts of counts. Seatings are sampled by Gibbs: in a sweep
+every customer of each dish leaves its table and is seated again given the others, in dishes of more than RUNS customers
+a RUNS-th of them at a time; a table that opens or closes adds a customer to the parent's dish or takes one away, and the
+parent's customers are reseated likewise. After BURN_IN sweeps each sweep is a sample; the predictive probability of a token is
 the mean over samples, and a text's score the sum of their log10.
 
 Occurrences are dealt by word, packed: all dishes of a word, and so its parent's dish, meet in one bucket of bounded
@@ -32,7 +32,7 @@ from .common import Scratch, load, slices
 from .shingles import WordHashes, word_hashes
 
 CLASSES, BURN_IN, SAMPLES, ROUNDS = 65536, 2, 4, 1
-BUCKET_BYTES, HOT_SHARE = 10 << 20, 0.002
+BUCKET_BYTES, HOT_SHARE, RUNS = 10 << 20, 0.002, 32
 THETA, THETA_ROOT = 1.0, 1.0
 _END, _START = np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6C)
 _HELD = 1 << 15  # marks held-out texts in a token's place among the texts of its piece
@@ -230,14 +230,50 @@ class Seating:
             self.n[i] += k
 
     def sweep(self, w: np.ndarray, less: np.ndarray) -> None:
-        """sqrt(c) random customers of each dish of c > 1 are seated again; less is w without the leaving customer's closed table."""
-        moves = np.where(self.n > 1, np.ceil(np.sqrt(self.n)), 0)
-        live, k = np.flatnonzero(moves), 0
-        while len(live):
-            shut = self.drop(live)
-            self.add(live, np.where(shut, less[live], w[live]))
+        """Each customer of each dish of n > 1 is seated again, one after the other up to RUNS of them, else in RUNS runs; less is w without a leaving customer's closed table."""
+        i, k = np.flatnonzero(self.n > 1), 0
+        step = -(-self.n // RUNS)
+        while len(i):
+            begin = k * step[i]
+            self._again(i, begin, np.minimum(step[i], self.n[i] - begin), w, less)
             k += 1
-            live = live[moves[live] > k]
+            i = i[k * step[i] < self.n[i]]
+
+    def _again(self, i: np.ndarray, begin: np.ndarray, m: np.ndarray, w: np.ndarray, less: np.ndarray) -> None:
+        """The m customers from place begin on of each listed dish leave, and are seated given those that stay."""
+        dish, first, run = np.repeat(i, m), np.repeat(begin, m), np.repeat(m, m)
+        nth = np.arange(len(dish)) - np.repeat(np.cumsum(m) - m, m)
+        off, stay = self.off[dish], self.n[dish] - run
+        place = off + first + nth
+        table = self.who[place]
+        np.subtract.at(self.size, table, 1)
+        empty = np.flatnonzero(self.size[table] == 0)
+        shut, at = np.unique(table[empty], return_index=True)
+        j, weight = dish[empty[at]], w[dish]
+        if len(j):  # tables are numbered by dish, so j is sorted
+            each, closed = np.unique(j, return_counts=True)
+            rank = np.arange(len(j)) - np.repeat(np.cumsum(closed) - closed, closed)
+            self.free[self.off[j] + self.cap[j] - self.t[j] + rank] = shut
+            self.t[each] -= closed
+            had = np.isin(dish, each, kind="table")
+            weight[had] = less[dish[had]]
+        new = self.rng.random(len(dish)) * (weight + stay + nth - self.d * self.t[dish]) < weight
+        left = np.flatnonzero(~new)
+        while len(left):
+            q = (self.rng.random(len(left)) * stay[left]).astype(np.int64)
+            q += np.where(q >= first[left], run[left], 0)
+            k = self.who[off[left] + q]
+            ok = self.rng.random(len(left)) * self.size[k] < self.size[k] - self.d
+            table[left[ok]] = k[ok]
+            left = left[~ok]
+        fresh = dish[new]
+        if len(fresh):
+            each, opened = np.unique(fresh, return_counts=True)
+            rank = np.arange(len(fresh)) - np.repeat(np.cumsum(opened) - opened, opened)
+            table[new] = self.free[self.off[fresh] + self.cap[fresh] - self.t[fresh] - 1 - rank]
+            self.t[each] += opened
+        self.who[place] = table
+        np.add.at(self.size, table, 1)
 
     def follow(self, customers: np.ndarray, w: np.ndarray) -> None:
         """Customers come or leave until each dish has that many."""
