@@ -62,6 +62,37 @@ def test_unlike_sets_share_no_key():
         assert (n > 1).sum() <= 3
 
 
+def test_pairs_of_many_buckets_are_one_row(spark, monkeypatch):
+    """Near copies share keys in many buckets; no operator makes a row of a pair for each of them."""
+    from windlass.llm.common import Scratch
+
+    rng, texts = random.Random(6), {}
+    for g in range(40):
+        base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        for _ in range(2):
+            texts[len(texts)] = " ".join(base[:rng.randint(0, 399)] + [f"u{len(texts)}"] + base)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(8)
+    rows, table = {}, Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, *a: rows.setdefault(a[1], table(self, *a)))
+    monkeypatch.setattr(Scratch, "drop", lambda *a: None)
+    counts = []
+    for size in (J.BUCKET_BYTES, 60000):
+        monkeypatch.setattr(J, "BUCKET_BYTES", size)
+        rows.clear()
+        J.Join(spark, df, n=3, percent=80).run().collect()
+        counts.append((rows["keyed"].filter("n is null").count(), rows["pairs"].count()))
+    (few, one), (many, same) = counts
+    assert one == same and few <= one
+    buckets = -(-sum(map(len, texts.values())) // 60000)
+    assert 3 <= buckets and many <= buckets * buckets < one
+    # in buckets' order or not, equal pairs meet in one part and become one row
+    p = np.array([[1, 2], [1, 2], [1, 3], [4, 5]])
+    packed = [r for k in (0, 2) for r in J._parted(p[k:], 3).to_pylist()]
+    packed.sort(key=lambda r: r["part"])
+    met = J._met([J._batch(J._KEYED_PA, len(packed), part=[r["part"] for r in packed], pairs=[r["pairs"] for r in packed]).select(["part", "pairs"])])
+    assert sorted(tuple(r.values()) for b in met for r in b.to_pylist()) == [(1, 2), (1, 3), (4, 5)]
+
+
 @pytest.mark.parametrize("family", [J.FAMILY, 2])
 def test_links_that_no_centre_shows(spark, family):
     rng = random.Random(8)

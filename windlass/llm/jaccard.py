@@ -8,8 +8,9 @@ sets need no key for words of one shingle or none, which unlike sets share. A sk
 reach of their sizes are verified, by exact intersections of the sets of 64-bit shingle hashes.
 
 Keys are packed by bucket. A batch holds its members of a key against their least document and sends that one alone on,
-a bucket does the same for all batches and goes on in pieces, so a hot key gathers nowhere. Documents of equal sets are
-one class. Each class is first verified against its nearest candidate, then pairs that still join different components.
+a bucket does the same for all batches and goes on in pieces, so a hot key gathers nowhere. Near copies share keys in many
+buckets, the more the larger the table is: pairs stay packed until those of all buckets have met by their hash, and each
+becomes one row there. Documents of equal sets are one class. Each class is first verified against its nearest candidate, then pairs that still join different components.
 Classes that failed candidates connect are a family: there those outside its largest component are held against
 all of it by their bit sketches, in blocks of bounded rows and bytes, and members with any partner in reach once more by
 their sets; only links that join components leave a task. Families of more than FAMILY classes do the same for each key
@@ -32,6 +33,7 @@ from .shingles import WordHashes, mix, sets
 _U = np.uint64
 FAMILY, BLOCK_BYTES, SKETCH_ROWS, TEXT_ROWS, STAR, BUCKET_BYTES = 65536, 1 << 20, 4096, 1024, 512, 12 << 20
 SPREAD = 4096  # buckets of summaries, which need no other row
+PARTS = 256  # parts of the pairs at most; pairs are dealt to them by hash
 
 
 class Bands:
@@ -122,9 +124,9 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
 
 
 _PACK = "bucket int, doc long, n long, s1 long, s2 long, sketch binary, keys binary, at binary, ids binary, pairs binary"
-_KEYED = "doc long, n long, s1 long, s2 long, sketch binary, a long, b long"
+_KEYED = "doc long, n long, s1 long, s2 long, sketch binary, part int, pairs binary"
 _PACK_PA = pa.schema([("bucket", pa.int32()), *((c, pa.int64()) for c in ("doc", "n", "s1", "s2")), *((c, pa.binary()) for c in ("sketch", "keys", "at", "ids", "pairs"))])
-_KEYED_PA = pa.schema([*((c, pa.int64()) for c in ("doc", "n", "s1", "s2")), ("sketch", pa.binary()), ("a", pa.int64()), ("b", pa.int64())])
+_KEYED_PA = pa.schema([*((c, pa.int64()) for c in ("doc", "n", "s1", "s2")), ("sketch", pa.binary()), ("part", pa.int32()), ("pairs", pa.binary())])
 _LOW = _U((1 << 40) - 1)
 
 
@@ -140,12 +142,13 @@ def _stars(key: np.ndarray, doc: np.ndarray):
     at = np.flatnonzero(first)
     least = doc[np.repeat(at, np.diff(np.append(at, len(key))))]
     other = ~first & (doc != least)
-    pairs = np.stack([least[other], doc[other]], 1)
-    if len(pairs):
-        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-        pairs = pairs[order]
-        pairs = pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(1))]
-    return key[at], doc[at], pairs
+    return key[at], doc[at], _unique(np.stack([least[other], doc[other]], 1))
+
+
+def _unique(pairs: np.ndarray) -> np.ndarray:
+    """The distinct rows of two columns, sorted."""
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    return pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(1))[:len(pairs)]]
 
 
 def _keyed(n: int, percent: int, buckets: int):
@@ -175,46 +178,92 @@ def _keyed(n: int, percent: int, buckets: int):
             c = list(zip(*rows))
             yield _batch(_PACK_PA, len(rows), bucket=c[0], keys=c[1], at=c[2], ids=c[3])
             if len(pairs):
-                yield _batch(_PACK_PA, 1, bucket=[bucket[0]], pairs=[pairs.tobytes()])
+                yield _batch(_PACK_PA, 1, bucket=[bucket[len(pairs) % len(bucket)]], pairs=[pairs.tobytes()])
 
     return run
 
 
-_FOLD = 3_000_000
+_FOLD, _FOLD_PAIRS = 3_000_000, 1_000_000
+
 
+def _parted(pairs: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Pairs packed by part: equal ones of any bucket come to one part."""
+    part = (mix(mix(pairs[:, 0].astype(_U)) ^ pairs[:, 1].astype(_U)) % _U(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    pairs, part = pairs[order], part[order]
+    cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])[:len(part)]), len(part))
+    return _batch(_KEYED_PA, len(cuts) - 1, part=part[cuts[:-1]], pairs=[pairs[b:e].tobytes() for b, e in zip(cuts[:-1], cuts[1:])])
 
-def _bucketed(batches):
-    """Summaries and pairs of each bucket, from rows sorted by bucket; over _FOLD keys, those so far are one each before more come."""
-    now, key, doc, size = None, [], [], 0
 
-    def fold():
-        k, d, pairs = _stars(np.concatenate(key), np.concatenate(doc))
-        return [k], [d], _batch(_KEYED_PA, len(pairs), a=pairs[:, 0], b=pairs[:, 1])
+def _bucketed(parts: int):
+    """Summaries of each bucket and its distinct pairs, packed by part, from rows sorted by bucket; over _FOLD keys, those so far are one each before more come."""
+    def run(batches):
+        now, key, doc, size, found = None, [], [], 0, []
+
+        def fold():
+            k, d, pairs = _stars(np.concatenate(key), np.concatenate(doc))
+            found.append(pairs)
+            return [k], [d]
+
+        def out():
+            pairs = _unique(np.concatenate(found))
+            found.clear()
+            return _parted(pairs, parts)
+
+        for batch in batches:
+            ok = batch.filter(batch.column(2).is_valid())
+            if ok.num_rows:
+                yield pa.RecordBatch.from_arrays([*ok.columns[1:6], pa.nulls(ok.num_rows, pa.int32()), pa.nulls(ok.num_rows, pa.binary())], schema=_KEYED_PA)
+            rest = batch.filter(batch.column(2).is_null())
+            for bucket, ks, at, ids, pairs in zip(*(rest.column(i).to_pylist() for i in (0, 6, 7, 8, 9))):
+                if bucket != now or size > _FOLD:
+                    if key:
+                        key, doc = fold()
+                    if found and (bucket != now or sum(map(len, found)) > _FOLD_PAIRS):
+                        yield out()
+                    if bucket != now:
+                        now, key, doc = bucket, [], []
+                    size = sum(map(len, key))
+                if pairs is not None:
+                    found.append(np.frombuffer(pairs, np.int64).reshape(-1, 2))
+                    if sum(map(len, found)) > _FOLD_PAIRS:
+                        yield out()
+                    continue
+                k = np.zeros((len(ks) // 5, 8), np.uint8)
+                k[:, :5] = np.frombuffer(ks, np.uint8).reshape(-1, 5)
+                key.append(k.view("<u8")[:, 0])
+                doc.append(np.frombuffer(ids, np.int64)[np.frombuffer(at, np.uint16)])
+                size += len(k)
+        if key:
+            fold()
+        if found:
+            yield out()
+
+    return run
+
+
+def _met(batches):
+    """The distinct pairs (a, b) of each part, from rows sorted by part."""
+    now, found, size, small = None, [], 0, _FOLD_PAIRS
+
+    def out():
+        pairs = _unique(np.concatenate(found))
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     for batch in batches:
-        ok = batch.filter(batch.column(2).is_valid())
-        if ok.num_rows:
-            yield pa.RecordBatch.from_arrays([*ok.columns[1:6], *[pa.nulls(ok.num_rows, pa.int64())] * 2], schema=_KEYED_PA)
-        rest = batch.filter(batch.column(2).is_null())
-        for bucket, ks, at, ids, pairs in zip(*(rest.column(i).to_pylist() for i in (0, 6, 7, 8, 9))):
-            if pairs is not None:
-                p = np.frombuffer(pairs, np.int64).reshape(-1, 2)
-                yield _batch(_KEYED_PA, len(p), a=p[:, 0], b=p[:, 1])
-                continue
-            if bucket != now or size > _FOLD:
-                if key:
-                    key, doc, out = fold()
-                    yield out
-                if bucket != now:
-                    now, key, doc = bucket, [], []
-                size = sum(map(len, key))
-            k = np.zeros((len(ks) // 5, 8), np.uint8)
-            k[:, :5] = np.frombuffer(ks, np.uint8).reshape(-1, 5)
-            key.append(k.view("<u8")[:, 0])
-            doc.append(np.frombuffer(ids, np.int64)[np.frombuffer(at, np.uint16)])
-            size += len(k)
-    if key:
-        yield fold()[2]
+        for part, pairs in zip(*(c.to_pylist() for c in batch.columns)):
+            if part != now and found:
+                yield out()
+                found, size, small = [], 0, _FOLD_PAIRS
+            now = part
+            found.append(np.frombuffer(pairs, np.int64).reshape(-1, 2))
+            size += len(found[-1])
+            if size > small:
+                found = [_unique(np.concatenate(found))]
+                size = len(found[0])
+                small = max(_FOLD_PAIRS, 2 * size)
+    if found:
+        yield out()
 
 
 def _in_reach(percent: int):
@@ -531,7 +580,7 @@ class Join:
         size = self.docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         buckets = max(1, -(-size // BUCKET_BYTES))
         packed = self.docs.mapInArrow(_keyed(self.n, self.percent, buckets), _PACK)
-        keyed = sc.table(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucketed, _KEYED), "keyed")
+        keyed = sc.table(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucketed(min(buckets, PARTS)), _KEYED), "keyed")
         found = keyed.filter("n is not null").select("doc", "n", "s1", "s2", "sketch")
         self.repeated = found.groupBy("doc").count().filter("count > 1").limit(1).count() > 0
         if self.repeated:  # of repeated rows the least text counts, as where texts are read
@@ -544,7 +593,8 @@ class Join:
         rep = sc.table(found.join(classes, ["n", "s1", "s2"]).filter("doc <> rep").select("doc", "rep"), "rep")
         named = lambda df, c: df.join(rep.select(F.col("doc").alias(c), F.col("rep").alias(f"{c}_rep")), c, "left").withColumn(c, F.coalesce(f"{c}_rep", c)).drop(f"{c}_rep")
         ordered = lambda df: df.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = sc.table(ordered(named(named(keyed.filter("n is null").select("a", "b").distinct(), "a"), "b")), "pairs")
+        met = keyed.filter("n is null").select("part", "pairs").repartition("part").sortWithinPartitions("part").mapInArrow(_met, "a long, b long")
+        pairs = sc.table(ordered(named(named(met, "a"), "b")), "pairs")
         # the sketches' Hamming distance decides before any text moves
         seen = found.select("doc", "n", "sketch")
         side = lambda c: seen.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
