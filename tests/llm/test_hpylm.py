@@ -139,6 +139,65 @@ def test_a_sweep_reseats_every_customer():
     assert s.n.tolist() == cap.tolist() and (s.t < 0.1 * cap + 2).all(), s.t
 
 
+def test_numbers_of_tables_have_their_probabilities():
+    """Drawn numbers of tables against all seatings of a few customers, and against long runs that seat one after the other."""
+    d, draws, rng = 0.6, 40000, np.random.default_rng(7)
+    w = [0.8, 1.3, 1.1, 2.0, 0.5, 0.9]
+    want = np.zeros(7)
+
+    def seat(sizes, left, weight):
+        if not left:
+            want[len(sizes)] += weight
+            return
+        seat([*sizes, 1], left - 1, weight * w[len(sizes)])
+        for i, x in enumerate(sizes):
+            seat([*sizes[:i], x + 1, *sizes[i + 1:]], left - 1, weight * (x - d))
+
+    seat([], 6, 1.0)
+    n = np.full(draws, 6)
+    s = H.Stirling(d, 100, 50)
+    got = np.bincount(s.draw(n, H._runs(n, 50), lambda i, k: np.tile(np.array(w)[k], (len(i), 1)), rng), minlength=7) / draws
+    assert np.abs(got - want / want.sum()).max() < 0.01
+    n = np.repeat([2, 7, 40, 90], 2000)
+    got = s.draw(n, H._runs(n, 50), lambda i, k: np.full((len(i), len(k)), 1.5), rng).reshape(4, -1).mean(1)
+    seats, w = H.Seating(n, d, rng), np.full(len(n), 1.5)
+    seats.fill(w)
+    for _ in range(60):
+        seats.sweep(w, w)
+    assert np.allclose(got, seats.t.reshape(4, -1).mean(1), rtol=0.05), (got, seats.t.reshape(4, -1).mean(1))
+
+
+def test_large_dishes_against_a_sequential_sampler(monkeypatch):
+    """Dishes seated run by run give the same."""
+    monkeypatch.setattr(H, "LEAF_ROWS", (1, 1))
+    monkeypatch.setattr(H, "ROOT_ROWS", (1, 1))
+    test_chain_against_a_sequential_sampler(monkeypatch)
+
+
+def test_few_customers_are_seated_one_by_one(monkeypatch):
+    """A chain's work grows with its dishes and their tables: hardly any dish has its customers seated by themselves."""
+    rng, seated = np.random.default_rng(3), [0]
+    again, add = H.Seating._again, H.Seating.add
+
+    def counted(self, i, begin, m, w, less):
+        seated[0] += int(m.sum())
+        again(self, i, begin, m, w, less)
+
+    def added(self, i, w):
+        seated[0] += len(i)
+        add(self, i, w)
+
+    monkeypatch.setattr(H.Seating, "_again", counted)
+    monkeypatch.setattr(H.Seating, "add", added)
+    c, at = rng.zipf(1.4, 6000).clip(1, 9000), np.sort(rng.integers(0, 500, 6000))
+    cls = rng.integers(0, H.CLASSES, 6000)
+    x = {"words": np.arange(500, dtype=np.uint64), "nd": np.bincount(at, minlength=500), "at": at, "cls": cls, "c": c}
+    s = H.State(1, np.zeros(0, np.uint64), int(c.sum()), 500, np.bincount(cls, c, H.CLASSES), np.bincount(cls, minlength=H.CLASSES).astype(float), [0.7, 0.6], 0.01, None, None, (6000.0, 500.0))
+    for t, customers, tables, p, _ in s.chain(x, 0, 0):
+        assert (t >= 1).all() and (t <= c).all() and customers.sum() == t.sum() and (tables <= customers).all() and (p > 0).all()
+    assert seated[0] < 0.02 * c.sum() * (H.BURN_IN + H.SAMPLES), seated[0] / c.sum()
+
+
 def test_hot_words_are_those_of_all_rows(spark):
     rows = [(i, "rare " * 5 + f"u{i} " * 60) for i in range(60)] + [(99, "late " * 4000)]
     df = spark.createDataFrame(rows, "id long, text string")

@@ -2,10 +2,12 @@
 
 Restaurants are the contexts of a word, the previous word (by hash, in CLASSES restaurants); all share one parent, the
 restaurant of words without context, whose base is uniform over the known words and gives a share to all unknown ones
-(Good-Turing, from the words met once). Discounts come from counts of counts. Seatings are sampled by Gibbs: in a sweep
-every customer of each dish leaves its table and is seated again given the others, in dishes of more than RUNS customers
-a RUNS-th of them at a time; a table that opens or closes adds a customer to the parent's dish or takes one away, and the
-parent's customers are reseated likewise. After BURN_IN sweeps each sweep is a sample; the predictive probability of a token is
+(Good-Turing, from the words met once). Discounts come from counts of counts. Seatings are sampled by blocked Gibbs: in a
+sweep every customer of each dish leaves and is seated again given the other dishes. Probabilities depend on a dish's
+number of tables alone, so the customers of a dish are seated together, by drawing that number from its distribution
+(generalised Stirling numbers by the weights of its tables). Dishes that may have more tables than the numbers' rows hold
+have their customers leave and return a RUNS-th of them at a time, table by table. A table that opens or closes adds a
+customer to the parent's dish or takes one away, and the parent's customers are reseated likewise. After BURN_IN sweeps each sweep is a sample; the predictive probability of a token is
 the mean over samples, and a text's score the sum of their log10.
 
 Occurrences are dealt by word, packed: all dishes of a word, and so its parent's dish, meet in one bucket of bounded
@@ -22,6 +24,7 @@ probabilities are those of an empty restaurant; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,8 @@ from .shingles import WordHashes, word_hashes
 CLASSES, BURN_IN, SAMPLES, ROUNDS = 65536, 2, 4, 1
 BUCKET_BYTES, HOT_SHARE, RUNS = 10 << 20, 0.002, 32
 THETA, THETA_ROOT = 1.0, 1.0
+LEAF_ROWS, ROOT_ROWS = (16384, 256), (65535, 64)  # most customers and tables of dishes seated by their number of tables
+CELLS = 1 << 17
 _END, _START = np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6C)
 _HELD = 1 << 15  # marks held-out texts in a token's place among the texts of its piece
 _PACK = pa.schema([("bucket", pa.int32()), ("first", pa.int64()), *((n, pa.binary()) for n in ("words", "counts", "cls", "doc", "ids"))])
@@ -287,6 +292,72 @@ class Seating:
             i = i[self.n[i] > customers[i]]
 
 
+class Stirling:
+    """log of S(n, t) / S(n, 1), the generalised Stirling numbers of discount d: n customers at t of up to width tables.
+
+    Of n customers, t tables have the probability S(n, t) times the product of the tables' weights, up to a factor.
+    """
+
+    def __init__(self, d: float, most: int, width: int):
+        self.d, self.most, self.width = d, most, width
+        self.last = np.where(np.arange(width) == 0, 0.0, -np.inf)
+        self.rows = self.last[None].astype(np.float32)
+
+    def upto(self, n: int) -> np.ndarray:
+        """Rows of 1 to n customers at least."""
+        have = len(self.rows)
+        if n > have:
+            n = min(self.most, max(n, 2 * have))
+            more, t, x = np.empty((n - have, self.width), np.float32), np.arange(1, self.width + 1), self.last
+            for k in range(have, n):  # S(k + 1, t) = S(k, t - 1) + (k - d t) S(k, t)
+                y = x + np.log(np.maximum(k - self.d * t, 1e-300))
+                y[1:] = np.logaddexp(y[1:], x[:-1])
+                x = y - y[0]
+                more[k - have] = x
+            self.last, self.rows = x, np.concatenate([self.rows, more])
+        return self.rows
+
+    def holds(self, n: np.ndarray, weight) -> np.ndarray:
+        """Whether dishes of n customers have all their numbers of tables in a row, but for less than a 10^-12 where tables have that weight."""
+        return (n <= self.width) | (n <= self.most) & (weight <= self.width * self.d / 4)
+
+    def draw(self, n: np.ndarray, runs: list, weights, rng: np.random.Generator) -> np.ndarray:
+        """Numbers of tables of dishes of n customers; weights(i, k): of the tables k = 1, 2... of the dishes i that come after the first one."""
+        t = np.minimum(n, 1)
+        for i in runs:
+            m = n[i]
+            rows, k = self.upto(int(m.max())), np.arange(1, min(int(m.max()), self.width))
+            x = np.log(weights(i, k))
+            np.cumsum(x, axis=1, out=x)
+            x += rows[m - 1, 1:len(k) + 1]
+            top = np.maximum(x.max(1), 0)
+            x -= top[:, None]
+            np.exp(x, out=x)
+            np.cumsum(x, axis=1, out=x)
+            one = np.exp(-top)
+            u = rng.random(len(i)) * (one + x[:, -1]) - one
+            t[i] = 1 + (u > 0) + (x[:, :-1] < u[:, None]).sum(1)
+        return t
+
+
+def _runs(n: np.ndarray, width: int) -> list[np.ndarray]:
+    """The dishes of n > 1 customers, those of like numbers together, with up to CELLS numbers of tables in all."""
+    order = np.argsort(np.minimum(n, 65535).astype(np.uint16), kind="stable")
+    n, out = n[order], []
+    at = int(np.searchsorted(n, 2))
+    while at < len(n):
+        most = n[at] + n[at] // 8
+        end = min(int(np.searchsorted(n, most, "right")), at + max(1, CELLS // min(int(most), width)))
+        out.append(order[at:end])
+        at = end
+    return out
+
+
+@lru_cache(maxsize=2)
+def _stirling(d: float, most: int, width: int) -> Stirling:
+    return Stirling(d, most, width)
+
+
 class State:
     """What every task knows: discounts, and the totals of each restaurant and of the hot words' parents, of bounded size."""
 
@@ -305,42 +376,68 @@ class State:
         """The samples of a bucket's chain: (tables of each dish, root customers, root tables, root probability) of its words."""
         rng = np.random.default_rng([19, round_, bucket])
         d, d0 = self.discounts
-        at, c = x["at"], x["c"]
-        several = np.flatnonzero(c > 1)
+        at, c, size = x["at"], x["c"], len(x["words"])
+        guests, total = np.bincount(at, c, size).astype(np.int64), THETA_ROOT + self.root[0]
         t = (c > 0).astype(np.int64)
-        leaf = Seating(c[several], d, rng)
-        restaurant = THETA + d * self.tables[x["cls"][several]]
-        if bucket >= self.buckets:
+        own = bucket < self.buckets
+        if own:
+            known = guests > 0
+            customers = np.bincount(at, t, size).astype(np.int64)
+            tables = (customers > 0).astype(np.int64)
+        else:
             i = np.searchsorted(self.hot, x["words"])
-            root, known = None, self.hot_counts[i] > 0
+            known = self.hot_counts[i] > 0
             customers, tables = self.hot_root[:, i]
-        else:
-            known = np.bincount(at, c, len(x["words"])) > 0
-            root = Seating(np.bincount(at, c, len(x["words"])), d0, rng)
-            opened = (THETA_ROOT + d0 * self.root[1]) * self.base(known)
-            closed = np.maximum(THETA_ROOT + d0 * (self.root[1] - 1), 1e-9) * self.base(known)
-            customers = np.bincount(at, t, len(x["words"]))
-            tables = (customers > 0).astype(np.int64)
-        p = self.root_p(customers, tables, known)
-        leaf.fill(restaurant * p[at[several]])
+        p, base = self.root_p(customers, tables, known), self.base(known)
+        opened = (THETA_ROOT + d0 * self.root[1]) * base
+        closed = np.maximum(THETA_ROOT + d0 * (self.root[1] - 1), 1e-9) * base
+        leaf, root = _stirling(d, *LEAF_ROWS), _stirling(d0, *ROOT_ROWS)
+        several = np.flatnonzero(c > 1)
+        ok = leaf.holds(c[several], (THETA + d * (self.tables[x["cls"][several]] + leaf.width)) * p[at[several]])
+        light, heavy = several[ok], several[~ok]
+        runs, word, served = _runs(c[light], leaf.width), at[light], self.tables[x["cls"][light]]
+        seats, restaurant = Seating(c[heavy], d, rng), THETA + d * self.tables[x["cls"][heavy]]
+        seats.fill(restaurant * p[at[heavy]])
+        if own:
+            ok = root.holds(guests, (THETA_ROOT + d0 * (self.root[1] + root.width)) * base)
+            small, large = np.flatnonzero(ok), np.flatnonzero(~ok)
+            above = Seating(guests[large], d0, rng)
+
+        def leaf_weights(i, k):
+            """Of the dishes' tables when all of theirs have left the restaurant and the parent's dish, which keeps its share of tables."""
+            mine, w = t[light[i]], word[i]
+            there = np.maximum(customers[w] - mine, 0)[:, None] + k
+            share = np.divide(tables[w], customers[w], out=np.ones(len(w)), where=customers[w] > 0)[:, None]
+            y = there - d0 * np.maximum(share * there, 1) + opened[w][:, None]
+            y *= (THETA + d * np.maximum(served[i] - mine, 0))[:, None] + d * k
+            return y / (np.maximum(total - mine, THETA_ROOT)[:, None] + k)
+
+        def root_weights(i, k):
+            others = np.maximum(self.root[1] - tables[small[i]], 0)[:, None]
+            return base[small[i]][:, None] * (THETA_ROOT + d0 * (others + k))
+
         for k in range(BURN_IN + SAMPLES):
-            # a table that closes takes a customer from the parent's dish, of one of its tables on average
-            total = THETA_ROOT + self.root[0]
-            alone = np.divide(tables, customers, out=np.zeros(len(p)), where=customers > 0)
-            without = np.maximum((p * total - 1 + d0 * alone) / max(total - 1, 1e-9), 1e-12)
-            leaf.sweep(restaurant * p[at[several]], np.maximum(restaurant - d, 1e-9) * without[at[several]])
-            t[several] = leaf.t
-            customers = np.bincount(at, t, len(x["words"])).astype(np.int64)
-            if root is not None:
-                if k:
-                    root.follow(customers, opened)
-                else:
-                    root.fill(opened, customers)
-                root.sweep(opened, closed)
-                tables = root.t
+            now = leaf.draw(c[light], runs, leaf_weights, rng)
+            if len(heavy):
+                # a table that closes takes a customer from the parent's dish, of one of its tables on average
+                alone = np.divide(tables, customers, out=np.zeros(len(p)), where=customers > 0)
+                without = np.maximum((p * total - 1 + d0 * alone) / max(total - 1, 1e-9), 1e-12)
+                seats.sweep(restaurant * p[at[heavy]], np.maximum(restaurant - d, 1e-9) * without[at[heavy]])
+                t[heavy] = seats.t
+            t[light] = now
+            if own:
+                customers = np.bincount(at, t, size).astype(np.int64)
+                tables[small] = root.draw(customers[small], _runs(customers[small], root.width), root_weights, rng)
+                if len(large):
+                    if k:
+                        above.follow(customers[large], opened[large])
+                    else:
+                        above.fill(opened[large], customers[large])
+                    above.sweep(opened[large], closed[large])
+                    tables[large] = above.t
                 p = self.root_p(customers, tables, known)
             if k >= BURN_IN:
-                yield t, customers, tables, p, known
+                yield t, customers if own else np.bincount(at, t, size), tables, p, known
 
 
 def _dishes(r: dict) -> dict:
