@@ -207,6 +207,22 @@ def test_hot_words_are_those_of_all_rows(spark):
         assert sorted(names[h] for h in hot.tolist()) == ["late", "rare"]
 
 
+def test_hot_words_take_one_pass_where_pieces_tell_enough(spark, monkeypatch):
+    """Words that some pieces don't list are counted in a second pass; the words are the same with and without one."""
+    rng, texts = random.Random(9), []
+    for i in range(90):
+        texts.append(" ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(80)) + (" part" * 6 if i < 40 else ""))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").repartitionByRange(3, "id")
+    tokens = [t for x in texts for t in [*x.split(), None]]
+    want = {int(H.word_hashes([t], H.WordHashes())[0][0]) for t in set(tokens) - {None} if tokens.count(t) >= 0.02 * len(tokens)}
+    want |= {int(H._END)} if len(texts) >= 0.02 * len(tokens) else set()
+    monkeypatch.setattr(H, "FINE", 1)  # a word that isn't hot in each piece is open
+    assert set(map(int, H.hot_words(df, 0.02))) == want and len(want) > 3
+    monkeypatch.undo()
+    monkeypatch.setattr(H, "_counted", None)
+    assert set(map(int, H.hot_words(df, 0.02))) == want
+
+
 def test_order_of_rows_does_not_matter(spark):
     texts = _texts()
     df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")

@@ -35,7 +35,7 @@ from .common import Scratch, load, slices
 from .shingles import WordHashes, word_hashes
 
 CLASSES, BURN_IN, SAMPLES, ROUNDS = 65536, 2, 4, 1
-BUCKET_BYTES, HOT_SHARE, RUNS = 10 << 20, 0.002, 32
+BUCKET_BYTES, HOT_SHARE, FINE, RUNS = 10 << 20, 0.002, 16, 32
 THETA, THETA_ROOT = 1.0, 1.0
 LEAF_ROWS, ROOT_ROWS = (16384, 256), (65535, 64)  # most customers and tables of dishes seated by their number of tables
 CELLS = 1 << 17
@@ -63,13 +63,15 @@ def _tokens(texts: list, memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _common(share: float):
-    """Words that have that share of a piece, and null for its tokens: what is common overall is so in some piece."""
+    """(word, n, tokens) of the words that have that share of a piece and its tokens, and (null, tokens, tokens)."""
     def run(batches):
         memo = WordHashes()
         for piece in slices(batches, rows=1024, chars=3 << 20):
-            words, n = np.unique(_tokens(piece.column(0).to_pylist(), memo)[0], return_counts=True)
-            words = words[n >= share * n.sum()]
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64))], names=["word"])
+            h = _tokens(piece.column(0).to_pylist(), memo)[0]
+            words, n = np.unique(h, return_counts=True)
+            often = n >= share * len(h)
+            word, n = np.append(words[often].view(np.int64), 0), np.append(n[often], len(h))
+            yield pa.RecordBatch.from_arrays([pa.array(word, mask=np.arange(len(word)) == len(word) - 1), pa.array(n), pa.array(np.full(len(n), len(h)))], names=["word", "n", "tokens"])
 
     return run
 
@@ -89,13 +91,19 @@ def _counted(words: np.ndarray):
 
 def hot_words(docs: DataFrame, share: float = HOT_SHARE) -> np.ndarray:
     """Hashes of the words (and the end) with that share of all tokens: at most 1 / share of them."""
-    found = docs.select("text").mapInArrow(_common(share), "word long").distinct().toArrow().column(0).to_numpy()
-    words = np.sort(found.view(np.uint64))
-    if not len(words):
-        return words
-    counts = docs.select("text").mapInArrow(_counted(words), "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    low = share / FINE
+    found = docs.select("text").mapInArrow(_common(low), "word long, n long, tokens long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).persist()
+    total = found.filter("word is null").agg(F.sum("n")).first()[0] or 0
+    # a piece that doesn't list a word has less than the low share of it
+    likely = found.filter("word is not null").filter(F.col("n") + low * (total - F.col("tokens")) >= share * total).select("word", "n").toArrow()
+    found.unpersist()
+    words, n = likely.column(0).to_numpy().view(np.uint64), likely.column(1).to_numpy()
+    sure, open_ = np.sort(words[n >= share * total]), np.sort(words[n < share * total])
+    if not len(open_):
+        return sure
+    counts = docs.select("text").mapInArrow(_counted(open_), "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
     n = dict(zip(counts.column(0).to_pylist(), counts.column(1).to_pylist()))
-    return words[[n[i] >= share * n[-1] for i in range(len(words))]]
+    return np.sort(np.append(sure, open_[[n[i] >= share * total for i in range(len(open_))]]))
 
 
 def _packer(buckets: int, hot: np.ndarray):
